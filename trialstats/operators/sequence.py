@@ -46,6 +46,7 @@ def ordered_scan(
     running_sum: Mapping[str, str] | None = None,
     fill_up: Mapping[str, str] | None = None,
     segment: Column | None = None,
+    segment_desc: bool = False,
 ) -> DataFrame:
     """Add scan columns computed in ``order`` within each group of ``keys``.
 
@@ -56,6 +57,8 @@ def ordered_scan(
     ``fill_up``     — ``{out: col}``: this row's ``col``, else the next non-null value
                       below it in the group (tidyr ``fill(.direction='up')``, N5/N6).
     ``segment``     — see the module docstring; ``None`` for a plain window.
+    ``segment_desc``— the segment falls (instead of rises) along ``order``, e.g. for a
+                      scan in descending time order with a time-bucket segment.
     """
     lag = dict(lag or {})
     running_sum = dict(running_sum or {})
@@ -77,10 +80,10 @@ def ordered_scan(
                 w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
         return df.withColumns(exprs)
 
-    return _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up, segment)
+    return _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up, segment, segment_desc)
 
 
-def _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up, segment):
+def _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up, segment, segment_desc):
     part = F.struct(*[F.col(k) for k in keys], segment.alias(_SEG))
     base = df.withColumn(_PART, part)
     w_in = Window.partitionBy(_PART).orderBy(*order_cols)
@@ -107,7 +110,8 @@ def _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up,
     seg_summary = rows.groupBy(_PART).agg(*aggs)
 
     # scan the (few) segment rows of each group in segment order
-    ws = Window.partitionBy(F.col(_PART).dropFields(_SEG)).orderBy(F.col(f"{_PART}.{_SEG}"))
+    seg_order = F.col(f"{_PART}.{_SEG}")
+    ws = Window.partitionBy(F.col(_PART).dropFields(_SEG)).orderBy(seg_order.desc() if segment_desc else seg_order)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     carry: dict[str, Column] = {"_ts_off": F.coalesce(F.sum("_ts_n").over(before), F.lit(0))}
     for out in lag:

@@ -189,7 +189,8 @@ def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0, bins:
                   F.stddev_samp("_x").alias("sd"),
                   F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     st = st.withColumn("bw", bandwidth_nrd0(F.col("sd"), F.col("q")[1] - F.col("q")[0], F.col("n")))
-    lo, hi = st.select("lo").scalar(), st.select("hi").scalar()
+    p = st.select(F.struct("lo", "hi").alias("p")).scalar()  # one scalar subquery for both bounds
+    lo, hi = p["lo"], p["hi"]
     width = F.greatest((hi - lo) / F.lit(bins), F.lit(1e-12))
     b = F.least(F.floor((F.col("_x") - lo) / width), F.lit(bins - 1)).cast("int")
     binned = base.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"))
@@ -206,4 +207,4 @@ def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0, bins:
         "bins", F.lit(0.0),
         lambda acc, e: acc + e["c"] * F.exp(F.lit(-0.5) * F.pow((F.col("x") - e["x"]) / F.col("bw"), 2)))
     norm = F.col("n") * F.col("bw") * F.lit(2.5066282746310002)  # sqrt(2*pi)
-    return g.select(F.col("i").alias("point"), "x", (kern / norm).alias("density"))
+    return g.select(F.col("i").alias("point"), "x", F.bround(kern / norm, 6).alias("density"))

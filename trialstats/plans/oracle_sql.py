@@ -78,12 +78,13 @@ def summary_sql(source: str, groups: list[str], kind: str = "common", value: str
     g = ", ".join(groups + [variable])
     t = t975_sql_duckdb("(n - 1)")
     r = lambda e: f"round_even({e}, 3)"
+    src = f"(SELECT {g}, CAST({value} AS DOUBLE) AS v_ FROM {source}) src_"
     base = f"""
-SELECT {g}, CAST(count({value}) AS BIGINT) AS n, min({value}) AS mn, max({value}) AS mx,
-       quantile_cont({value}, 0.5) AS med, quantile_cont({value}, 0.25) AS q1,
-       quantile_cont({value}, 0.75) AS q3, 1.4826 * mad({value}) AS mad_, avg({value}) AS mean_,
-       stddev_samp({value}) AS sd_
-FROM {source} WHERE {value} IS NOT NULL GROUP BY {g}"""
+SELECT {g}, CAST(count(v_) AS BIGINT) AS n, min(v_) AS mn, max(v_) AS mx,
+       quantile_cont(v_, 0.5) AS med, quantile_cont(v_, 0.25) AS q1,
+       quantile_cont(v_, 0.75) AS q3, 1.4826 * mad(v_) AS mad_, avg(v_) AS mean_,
+       stddev_samp(v_) AS sd_
+FROM {src} WHERE v_ IS NOT NULL GROUP BY {g}"""
     cols = [f"{r('mn')} AS min", f"{r('mx')} AS max", f"{r('med')} AS median"]
     if kind == "full":
         cols += [f"{r('q1')} AS q1", f"{r('q3')} AS q3"]

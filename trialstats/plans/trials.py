@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from trialstats.functions import scalars as X
 from trialstats.operators.sequence import ordered_scan
+from trialstats.session import wide_plan_settings
 
 # ----------------------------------------------------------------------------------
 # Fixed values of the experiment (they must equal the reference's codes).
@@ -175,10 +176,11 @@ def wide_logs_from_events(events: DataFrame, segment: Column | None = None) -> D
     no-response trial sit in the ``loc`` columns. ``nBlocks*_thisRepN`` is set on the last trial of
     a block only, so the block number has to be back-filled. Everything is text, as read from CSV.
     """
+    wide_plan_settings(events.sparkSession)
     e = events_as_trials(events)
     # position in the block from the end (1 = last trial): a scan in reverse order
     e = ordered_scan(e, ["id", "blockNr"], [F.col("ts").desc(), F.col("event_id").desc()],
-                     row_number="_from_end", segment=segment)
+                     row_number="_from_end", segment=segment, segment_desc=True)
     kind = F.when(F.col("block") == "mixed", F.lit("mix")).otherwise(F.lit("free"))
     resp_task = F.when(F.col("task_perf") == "shapeloc", F.lit("loc")).otherwise(F.col("task_perf"))
     odd = X.rmod(F.col("event_id"), 2) == 1
@@ -223,47 +225,49 @@ def _lower_match(columns, prefix: str, suffix: str) -> list[str]:
     return [c for c in columns if c.lower().startswith(p) and c.lower().endswith(s)]
 
 
-def code_trials(wide: DataFrame, keys_order=("ts", "event_id"), file_key: str = "id",
+def code_trials(wide: DataFrame, keys_order=("ts", "event_id"), file_key: str = "participant",
                 segment: Column | None = None) -> DataFrame:
     """The reference's coding chain over wide logs, as one lazy plan.
 
     ``keys_order`` is the row order inside a file; ``file_key`` the column that
     tells files apart (the back-fill of the block number must not cross files).
+    The one-hot columns are collapsed in the first projection, so the ordered
+    scans (back-fill, lag) run on a narrow table.
     """
+    wide_plan_settings(wide.sparkSession)
     cols = wide.columns
-    df = wide.withColumns({c: F.nullif(F.col(c), F.lit("")) for c, t in wide.dtypes if t == "string"})  # N1
-    df = df.withColumn("id", X.to_int("participant")).withColumn("countBal", counterbalance("id"))
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))  # noqa: E731  N1
+    no_key = lambda c: F.nullif(blank(c), F.lit(NO_KEY))  # noqa: E731  N2
     # D3: practice rows have no corr and no block-loop counter
     practice_cols = _lower_match(cols, "both_", "_corr") + _lower_match(cols, "nBlocks", "_thisTrialN")
-    df = df.where(X.any_not_null(practice_cols))
-    # Block number = collapsed nBlocks*.thisRepN + 1, back-filled within the file
-    rep_cols = _lower_match(cols, "nBlocks", "_thisRepN")
-    df = df.withColumn("_blk", X.to_int(X.unite(rep_cols)) + 1)
-    df = ordered_scan(df, [file_key], list(keys_order), fill_up={"blockNr": "_blk"}, segment=segment)
-    # block-end rows carry no trial: drop rows without any experiment column
-    df = df.where(X.any_not_null(["Cue", "Task", "Block"]))
-    # Performed task from which key columns stayed empty
+    df = wide.where(X.any_not_null([blank(c) for c in practice_cols]))
     loc_keys = _lower_match(cols, "both_loc_", "_keys")
     shape_keys = _lower_match(cols, "both_shape_", "_keys")
-    no_key = lambda c: F.nullif(F.col(c), F.lit(NO_KEY))  # noqa: E731  N2
-    task1 = F.when(X.all_null([no_key(c) for c in loc_keys]), F.lit("shape"))
+    task1 = F.when(X.all_null([no_key(c) for c in loc_keys]), F.lit("shape"))    # D5
     task2 = F.when(X.all_null([no_key(c) for c in shape_keys]), F.lit("loc"))
-    # Response, rt, corr collapsed across the one-hot columns
     key_cols = _lower_match(cols, "both_", "_keys")
     rt_cols = _lower_match(cols, "both_", "_rt")
     corr_cols = _lower_match(cols, "both_", "_corr")
-    trial_n = X.to_int(X.unite(_lower_match(cols, "nTrials", "_thisN")))
+    rep_cols = _lower_match(cols, "nBlocks", "_thisRepN")
+    trial_n = X.to_int(X.unite([blank(c) for c in _lower_match(cols, "nTrials", "_thisN")]))
     df = df.select(
-        "id", "countBal", "blockNr", *keys_order,
-        F.col("Block").alias("block"),
-        F.col("Task").alias("trial_type"),
-        cued_task("Cue").alias("task_cued"),
+        F.col(file_key), *keys_order,
+        X.to_int(blank("participant")).alias("id"),
+        # block-end rows carry the block number but no trial (dropped after the back-fill)
+        X.any_not_null([blank(c) for c in ("Cue", "Task", "Block")]).alias("_is_trial"),
+        (X.to_int(X.unite([blank(c) for c in rep_cols])) + 1).alias("_blk"),          # D4
+        blank("Block").alias("block"),
+        blank("Task").alias("trial_type"),
+        cued_task(blank("Cue")).alias("task_cued"),                                    # D6
         X.unite([task1, task2]).alias("task_perf"),
-        X.unite([no_key(c) for c in key_cols]).alias("resp"),
-        X.to_double(X.unite(rt_cols)).alias("rt"),
-        X.to_int(X.unite([F.nullif(F.col(c), F.lit(str(NOT_ASKED))) for c in corr_cols])).alias("corr"),
-        (trial_n + 1).alias("trialNr"),
+        X.unite([no_key(c) for c in key_cols]).alias("resp"),                          # D7
+        X.to_double(X.unite([blank(c) for c in rt_cols])).alias("rt"),
+        X.to_int(X.unite([F.nullif(blank(c), F.lit(str(NOT_ASKED))) for c in corr_cols])).alias("corr"),
+        (trial_n + 1).alias("trialNr"),                                                # D11
     )
+    df = df.withColumn("countBal", counterbalance("id"))                             # D1
+    df = ordered_scan(df, [file_key], list(keys_order), fill_up={"blockNr": "_blk"}, segment=segment)
+    df = df.where(F.col("_is_trial"))
     # D9, D10 before the filters, then F6, F7 and D2
     df = code_switches(df, keys=("id", "blockNr"), order=list(keys_order), segment=segment)
     df = keep_scored(df).withColumn("cBal", block_order("countBal"))
