@@ -104,6 +104,17 @@ def mahalanobis(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), p:
 
 # ---------------------------------------------------------------- M3
 
+def _ship_by_value(fn: Callable) -> None:
+    """Pickle a function of this package by value, so Python workers that do not have the
+    package on their path (a cluster without ``--py-files``) can still run it."""
+    import sys
+
+    from pyspark import cloudpickle
+    mod = sys.modules.get(getattr(fn, "__module__", "") or "")
+    if mod is not None and mod.__name__.split(".")[0] == __name__.split(".")[0]:
+        cloudpickle.register_pickle_by_value(mod)
+
+
 def apply_per_group(df: DataFrame, keys: Sequence[str], fn: Callable, schema: str,
                     split: Column | None = None, combine: Mapping[str, Column] | None = None) -> DataFrame:
     """``doo`` / grouped apply: run a pandas ``fn(pdf) -> pdf`` on each group.
@@ -114,6 +125,7 @@ def apply_per_group(df: DataFrame, keys: Sequence[str], fn: Callable, schema: st
     merges per group with an ordinary aggregate.
     """
     keys = list(keys)
+    _ship_by_value(fn)
     if split is None:
         return df.groupBy(*keys).applyInPandas(fn, schema)
     parts = df.withColumn("_ap_split", split).groupBy(*keys, "_ap_split").applyInPandas(fn, schema)

@@ -26,12 +26,52 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SEGMENT_ROWS_CONF = "spark.trialstats.segmentRows"
+DEFAULT_SEGMENT_ROWS = 2_000_000  # rows one window task may hold (a few hundred MB of trial rows)
+
 _PART = "_ts_part"      # struct(keys..., segment): partition of the inner window
 _GROUP = "_ts_group"    # struct(keys...): the logical group
 _SEG = "_ts_seg"
 _RN = "_ts_rn"
 
 
+class Auto:
+    """``segment=Auto(by)``: decide the scan shape from the data.
+
+    One aggregate job (partial aggregation, result = one row) measures the
+    densest group: its row count and how many rows fall per unit of ``by``.
+    If no group holds more than ``spark.trialstats.segmentRows`` rows, a plain
+    window is used; otherwise segments of ``by`` are sized so that the densest
+    group puts about that many rows into each segment. ``by`` is a timestamp
+    (``time=True``, unit: microseconds) or a dense number such as a trial number.
+    """
+
+    def __init__(self, by: str, time: bool = True):
+        self.by, self.time = by, time
+
+    def value(self) -> Column:
+        c = F.col(self.by)
+        return F.unix_micros(c.cast("timestamp")) if self.time else c.cast("long")
+
+    def resolve(self, df: DataFrame, keys: Sequence[str]) -> Column | None:
+        spark = df.sparkSession
+        target = int(spark.conf.get(SEGMENT_ROWS_CONF, str(DEFAULT_SEGMENT_ROWS)))
+        v = self.value()
+        per_group = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        top = per_group.agg(F.max("n").alias("n"),
+                            F.max(F.col("n") / (F.col("hi") - F.col("lo") + 1)).alias("density")).first()
+        if top is None or top["n"] is None or top["n"] <= target:
+            return None
+        width = max(1, int(target / max(top["density"], 1e-300)))
+        return F.floor(v / F.lit(width))
+
+
+def resolve_segment(segment, df: DataFrame, keys: Sequence[str]) -> Column | None:
+    """Turn ``Auto`` into a concrete segment (or ``None``) once, on a cheap input plan, so
+    that several scans of one pipeline share the decision without re-running upstream work."""
+    return segment.resolve(df, keys) if isinstance(segment, Auto) else segment
+
+
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
@@ -45,7 +85,7 @@ def ordered_scan(
     row_number: str | None = None,
     running_sum: Mapping[str, str] | None = None,
     fill_up: Mapping[str, str] | None = None,
-    segment: Column | None = None,
+    segment: Column | Auto | None = None,
     segment_desc: bool = False,
 ) -> DataFrame:
     """Add scan columns computed in ``order`` within each group of ``keys``.
@@ -56,10 +96,13 @@ def ordered_scan(
                       nulls are skipped, as Spark's ``sum`` does.
     ``fill_up``     — ``{out: col}``: this row's ``col``, else the next non-null value
                       below it in the group (tidyr ``fill(.direction='up')``, N5/N6).
-    ``segment``     — see the module docstring; ``None`` for a plain window.
+    ``segment``     — see the module docstring; ``None`` for a plain window, ``Auto(col)``
+                      to choose from the data.
     ``segment_desc``— the segment falls (instead of rises) along ``order``, e.g. for a
                       scan in descending time order with a time-bucket segment.
     """
+    if isinstance(segment, Auto):
+        segment = segment.resolve(df, keys)
     lag = dict(lag or {})
     running_sum = dict(running_sum or {})
     fill_up = dict(fill_up or {})

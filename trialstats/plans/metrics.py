@@ -18,7 +18,7 @@ from trialstats.operators import joins as J
 from trialstats.operators import reshape as R
 from trialstats.operators import stats as S
 from trialstats.operators.columns import mutate_keep_unused
-from trialstats.operators.sequence import first_per, ordered_scan
+from trialstats.operators.sequence import Auto, first_per, ordered_scan
 
 SWITCH_TYPE_ORDER = ("stay_loc", "switch_loc", "stay_shape", "switch_shape")  # plot order of the reference
 DIFFICULTY_LABELS = {"easy": "Easy", "diff": "Difficult"}
@@ -269,12 +269,12 @@ def task_selection_counterbalance(trials: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- E17 (run lengths)
 
-RUN_SEGMENT_TRIALS = 4096  # trials per segment of the running sum (bounded task size)
+def running_switches(trials: DataFrame, segment: Column | Auto | None | str = "auto") -> DataFrame:
+    """Running count of switches in (id, block, blockNr) over free trials with a known status.
 
-
-def running_switches(trials: DataFrame, segment: Column | None | str = "auto") -> DataFrame:
-    """Running count of switches in (id, block, blockNr) over free trials with a known status."""
-    seg = F.floor(F.col("trialNr") / RUN_SEGMENT_TRIALS) if isinstance(segment, str) else segment
+    The trial number is dense, so ``auto`` cuts a hot block into equal runs of trial numbers.
+    """
+    seg = Auto("trialNr", time=False) if isinstance(segment, str) else segment
     base = trials.where(known_switch() & free())
     return ordered_scan(base, ["id", "block", "blockNr"], ["trialNr"], running_sum={"sumSwitch": "switch"},
                         segment=seg)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions import scalars as X
-from trialstats.operators.sequence import ordered_scan
+from trialstats.operators.sequence import Auto, ordered_scan, resolve_segment
 from trialstats.session import wide_plan_settings
 
 # ----------------------------------------------------------------------------------
@@ -94,13 +94,15 @@ def code_switches(df: DataFrame, keys=("id", "blockNr"), order=("trialNr",), seg
 
 # ---------------------------------------------------------------- events fixture (FIXTURES.md §3)
 
-def events_segment(unit: str = "minute") -> Column:
-    """Segment of the events order key for skew-proof scans: a time bucket of ``ts``.
+def events_segment(unit: str | None = None) -> Column | Auto:
+    """Segment of the events order key for skew-proof scans.
 
-    A bucket holds the events of one user in one ``unit``; at 100 TB with one
-    user holding a third of all rows a minute bucket is below 1 GB.
+    Default: ``Auto('ts')`` — plain windows while every user fits a task, else time
+    buckets of ``ts`` sized from the densest user. A fixed ``unit`` ('minute', 'hour')
+    forces buckets of that size (at 100 TB with one user holding a third of all
+    rows a minute bucket is below 1 GB).
     """
-    return F.date_trunc(unit, F.col("ts"))
+    return Auto("ts") if unit is None else F.date_trunc(unit, F.col("ts"))
 
 
 def events_as_trials(events: DataFrame) -> DataFrame:
@@ -145,8 +147,8 @@ def coded_events(events: DataFrame, segment: Column | None = None) -> DataFrame:
                          row_number="trialNr")
 
 
-def trials_from_events(events: DataFrame, segment: Column | None | str = "auto") -> DataFrame:
-    """The ``trials`` table (D12) from ``events``; ``segment='auto'`` uses minute buckets."""
+def trials_from_events(events: DataFrame, segment: Column | Auto | None | str = "auto") -> DataFrame:
+    """The ``trials`` table (D12) from ``events``; ``segment='auto'`` decides from the data."""
     seg = events_segment() if isinstance(segment, str) and segment == "auto" else segment
     return keep_scored(coded_events(events, seg)).select(*TRIAL_COLUMNS)
 
@@ -178,6 +180,7 @@ def wide_logs_from_events(events: DataFrame, segment: Column | None = None) -> D
     """
     wide_plan_settings(events.sparkSession)
     e = events_as_trials(events)
+    segment = resolve_segment(segment, e, ["id", "blockNr"])
     # position in the block from the end (1 = last trial): a scan in reverse order
     e = ordered_scan(e, ["id", "blockNr"], [F.col("ts").desc(), F.col("event_id").desc()],
                      row_number="_from_end", segment=segment, segment_desc=True)
@@ -266,6 +269,8 @@ def code_trials(wide: DataFrame, keys_order=("ts", "event_id"), file_key: str =
         (trial_n + 1).alias("trialNr"),                                                # D11
     )
     df = df.withColumn("countBal", counterbalance("id"))                             # D1
+    # one decision for both scans; a file bounds every (id, block) group inside it
+    segment = resolve_segment(segment, wide.select(file_key, *keys_order), [file_key])
     df = ordered_scan(df, [file_key], list(keys_order), fill_up={"blockNr": "_blk"}, segment=segment)
     df = df.where(F.col("_is_trial"))
     # D9, D10 before the filters, then F6, F7 and D2
