@@ -56,14 +56,23 @@ class Auto:
     def resolve(self, df: DataFrame, keys: Sequence[str]) -> Column | None:
         spark = df.sparkSession
         target = int(spark.conf.get(SEGMENT_ROWS_CONF, str(DEFAULT_SEGMENT_ROWS)))
+        key = (df.semanticHash(), tuple(keys), self.by, self.time, target)
+        if key not in _AUTO_CACHE:  # one measuring job per input plan and session
+            _AUTO_CACHE[key] = self._measure(df, keys, target)
+        width = _AUTO_CACHE[key]
+        return None if width is None else F.floor(self.value() / F.lit(width))
+
+    def _measure(self, df: DataFrame, keys: Sequence[str], target: int) -> int | None:
         v = self.value()
         per_group = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
         top = per_group.agg(F.max("n").alias("n"),
                             F.max(F.col("n") / (F.col("hi") - F.col("lo") + 1)).alias("density")).first()
         if top is None or top["n"] is None or top["n"] <= target:
             return None
-        width = max(1, int(target / max(top["density"], 1e-300)))
-        return F.floor(v / F.lit(width))
+        return max(1, int(target / max(top["density"], 1e-300)))
+
+
+_AUTO_CACHE: dict[tuple, int | None] = {}
 
 
 def resolve_segment(segment, df: DataFrame, keys: Sequence[str]) -> Column | None:

@@ -177,11 +177,12 @@ def bandwidth_nrd0(sd: Column, iqr: Column, n: Column) -> Column:
 def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0, bins: int = 4096) -> DataFrame:
     """Gaussian kernel density of ``col`` on ``points`` grid points (R ``density`` defaults).
 
-    The data are first reduced to at most ``bins`` equal-width bins between min and max
-    (an aggregate with partial aggregation: size independent of the row count). The bins
-    are folded into one row of arrays, the grid is generated from that row with
-    ``explode(sequence(...))``, and each grid point sums the kernel over the bins with a
-    higher-order function — no join, no Python. Grid: from min − cut·bw to max + cut·bw.
+    Two passes over the data. Pass 1 is one aggregate (n, min, max, sd, quartiles → the
+    rule-of-thumb bandwidth); its single row is read as plan parameters. Pass 2 reduces the
+    data to at most ``bins`` equal-width bins (partial aggregation: the shuffle does not grow
+    with the row count). The bins are folded into one row of arrays, the grid is generated
+    from that row with ``explode(sequence(...))``, and each grid point sums the kernel over the
+    bins with a higher-order function — no join, no Python. Grid: min − cut·bw … max + cut·bw.
     """
     x = F.col(col).cast("double")
     base = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
@@ -189,22 +190,21 @@ def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0, bins:
                   F.stddev_samp("_x").alias("sd"),
                   F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     st = st.withColumn("bw", bandwidth_nrd0(F.col("sd"), F.col("q")[1] - F.col("q")[0], F.col("n")))
-    p = st.select(F.struct("lo", "hi").alias("p")).scalar()  # one scalar subquery for both bounds
-    lo, hi = p["lo"], p["hi"]
-    width = F.greatest((hi - lo) / F.lit(bins), F.lit(1e-12))
-    b = F.least(F.floor((F.col("_x") - lo) / width), F.lit(bins - 1)).cast("int")
+    p = st.select("n", "lo", "hi", "bw").first()  # one row of parameters
+    schema = "point int, x double, density double"
+    if p is None or not p["n"] or p["bw"] is None:
+        return df.sparkSession.createDataFrame([], schema)
+    n, lo, hi, bw = p["n"], p["lo"], p["hi"], p["bw"]
+    width = max((hi - lo) / bins, 1e-12)
+    b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     binned = base.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    folded = binned.agg(F.collect_list(F.struct((lo + (F.col("b") + 0.5) * width).alias("x"),
+    folded = binned.agg(F.collect_list(F.struct((F.lit(lo) + (F.col("b") + 0.5) * F.lit(width)).alias("x"),
                                                 F.col("c").cast("double").alias("c"))).alias("bins"))
-    grid_from = st.select((F.col("lo") - cut * F.col("bw")).alias("g0"), (F.col("hi") + cut * F.col("bw")).alias("g1"),
-                          "bw", "n")
-    # single summary row: attach the bin array with a scalar subquery, then explode the grid
-    row = grid_from.withColumn("bins", folded.select("bins").scalar())
-    g = row.select("bw", "n", "bins", "g0", "g1", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    step = (F.col("g1") - F.col("g0")) / F.lit(points - 1)
-    g = g.withColumn("x", F.col("g0") + F.col("i") * step)
+    g0, g1 = lo - cut * bw, hi + cut * bw
+    g = folded.select("bins", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    g = g.withColumn("x", F.lit(g0) + F.col("i") * F.lit((g1 - g0) / (points - 1)))
     kern = F.aggregate(
         "bins", F.lit(0.0),
-        lambda acc, e: acc + e["c"] * F.exp(F.lit(-0.5) * F.pow((F.col("x") - e["x"]) / F.col("bw"), 2)))
-    norm = F.col("n") * F.col("bw") * F.lit(2.5066282746310002)  # sqrt(2*pi)
+        lambda acc, e: acc + e["c"] * F.exp(F.lit(-0.5) * F.pow((F.col("x") - e["x"]) / F.lit(bw), 2)))
+    norm = F.lit(n * bw * 2.5066282746310002)  # n · bw · sqrt(2π)
     return g.select(F.col("i").alias("point"), "x", F.bround(kern / norm, 6).alias("density"))

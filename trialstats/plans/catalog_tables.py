@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +36,13 @@ def _events(spark, sf_dir):
 
 
 def _wide(spark, sf_dir) -> DataFrame:
-    """The wide-log fixture, written once per call to the checkpoint folder (it stands for
-    the CSV logs on disk; reading it back keeps the decoding plans small)."""
-    return materialize(wide_logs_from_events(_events(spark, sf_dir), segment=events_segment()), "wide_logs")
+    """The wide-log fixture: ``events`` in the reference's one-hot log shape, written once per
+    checkpoint folder (it stands for the CSV logs on disk; reading it back keeps the decoding
+    plans small). The key includes the events file's size and modification time."""
+    path = os.path.join(sf_dir, "events.parquet")
+    st = os.stat(path) if os.path.exists(path) else None
+    key = f"{os.path.abspath(path)}:{st.st_size if st else ''}:{st.st_mtime_ns if st else ''}"
+    return materialize(wide_logs_from_events(_events(spark, sf_dir), segment=events_segment()), "wide_logs", key)
 
 
 # ================================================================ D9-D12: coding

@@ -8,6 +8,7 @@ is the case in local tests.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -60,14 +61,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str | None = None, key: str | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder.
 
     Unlike ``localCheckpoint`` the files survive the loss of an executor; unlike
-    ``cache`` the plan below is not recomputed after such a loss.
+    ``cache`` the plan below is not recomputed after such a loss. With ``key`` the
+    table is written once per checkpoint folder and read back on later calls (for
+    deterministic derived inputs such as a fixture built from a given table).
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
+    if key is not None:
+        path = os.path.join(base, f"{name or 'table'}-{hashlib.sha1(key.encode()).hexdigest()[:16]}")
+        if not _exists(spark, os.path.join(path, "_SUCCESS")):
+            df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     path = os.path.join(base, f"{name or 'table'}-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Existence test through the Hadoop file system of the session (works on HDFS / object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
