@@ -253,11 +253,18 @@ def _task_counts(ids: list[str]) -> str:
             f"FROM trials WHERE task_perf != 'unknownTask' AND trial_type = 'free' {grp}")
 
 
-_trial_query("task_selection_overall", M.task_selection_overall, with_trials(
-    "w AS (" + _task_counts([]) + ")") + """
-SELECT CASE WHEN loc > 0 THEN loc END AS loc, CASE WHEN shape > 0 THEN shape END AS shape,
-       CAST(loc AS DOUBLE) / nullif(loc + shape, 0) AS easy_prop,
-       CAST(shape AS DOUBLE) / nullif(loc + shape, 0) AS diff_prop FROM w""")
+def _task_overall_sql(ids: list[str]) -> str:
+    sel = "".join(f"{i}, " for i in ids)
+    return with_trials("w AS (" + _task_counts(ids) + ")",
+                       f"w2 AS (SELECT {sel}CASE WHEN loc > 0 THEN loc END AS loc, "
+                       "CASE WHEN shape > 0 THEN shape END AS shape FROM w)") + f"""
+SELECT {sel}loc, shape, CAST(loc AS DOUBLE) / nullif(loc + shape, 0) AS easy_prop,
+       CAST(shape AS DOUBLE) / nullif(loc + shape, 0) AS diff_prop FROM w2"""
+
+
+_trial_query("task_selection_overall", M.task_selection_overall, _task_overall_sql([]))
+_trial_query("task_selection_cbal_overall", lambda t: M.task_selection_overall(t, ("cBal",)),
+             _task_overall_sql(["cBal"]))
 
 _SEL = """sel AS (SELECT *, CAST(loc AS DOUBLE) / nullif(loc + shape, 0) AS easy_sel,
                     CAST(shape AS DOUBLE) / nullif(loc + shape, 0) AS diff_sel FROM w)"""

@@ -20,8 +20,9 @@ from trialstats.operators.sequence import first_per
 from trialstats.plans import metrics as M
 from trialstats.plans.catalog import ORDER_CASE, _long, _trial_query, register, trials
 from trialstats.plans.oracle_sql import EVENTS_BASE, summary_sql, with_trials
+from trialstats.operators.sequence import Auto
 from trialstats.plans.trials import (
-    LOOP_FIELDS, code_trials, coded_events, counterbalance, block_order, cued_task, events_as_trials,
+    LOOP_FIELDS, code_switches, code_trials, coded_events, counterbalance, block_order, cued_task, events_as_trials,
     events_segment, loop_name, wide_logs_from_events,
 )
 from trialstats.session import materialize
@@ -57,6 +58,20 @@ register("trials_coded", with_trials() + "SELECT * FROM trials")(
 
 register("trials_from_events", with_trials() + "SELECT * FROM trials")(trials)
 
+register("switch_type_legacy", with_trials("""
+lg AS (SELECT id, blockNr, event_id, task_perf,
+              lag(task_perf) OVER (PARTITION BY id ORDER BY ts, event_id) AS prev FROM ev4)""") + """
+SELECT id, blockNr, event_id, task_perf,
+       CASE WHEN task_perf = 'shape' AND prev = 'shape' THEN 'stay_shape'
+            WHEN task_perf = 'loc' AND prev = 'loc' THEN 'stay_loc'
+            WHEN task_perf = 'shape' AND prev = 'loc' THEN 'switch_shape'
+            WHEN task_perf = 'loc' AND prev = 'shape' THEN 'switch_loc' ELSE 'unknownSwitch' END AS switch_type,
+       CASE WHEN task_perf = prev AND task_perf IN ('loc', 'shape') THEN CAST(0 AS DOUBLE)
+            WHEN task_perf IN ('loc', 'shape') AND prev IN ('loc', 'shape') THEN CAST(1 AS DOUBLE) END AS switch
+FROM lg""")(lambda spark, sf: code_switches(events_as_trials(_events(spark, sf)), keys=("id",),
+                                            order=("ts", "event_id"), segment=Auto("ts"), unknown="unknownSwitch")
+            .select("id", "blockNr", "event_id", "task_perf", "switch_type", "switch"))
+
 # ================================================================ wide-log fixture operators (N, F, X)
 
 register("coalesce_wide", with_trials() + """
@@ -303,6 +318,11 @@ def _ljc(o: DataFrame) -> DataFrame:
 _trial_query("count_by", lambda t: S.count_by(t, ["id", "blockNr"]), with_trials() + """
 SELECT id, blockNr, CAST(count(*) AS BIGINT) AS n FROM trials GROUP BY id, blockNr""")
 
+EXPECTED_TRIALS = 63 * 4  # Q4: trials per participant in the design (63 trials x 4 blocks)
+_trial_query("expected_trials", lambda t: S.count_by(t, ["id"]).withColumn(
+    "complete", F.col("n") == F.lit(EXPECTED_TRIALS)), with_trials() + f"""
+SELECT id, CAST(count(*) AS BIGINT) AS n, count(*) = {EXPECTED_TRIALS} AS complete FROM trials GROUP BY id""")
+
 _trial_query("count_by_expr", lambda t: S.count_by_expr(t, ["id", "blockNr"], F.col("switch").isNotNull(),
                                                         "switch_data"), with_trials() + """
 SELECT id, blockNr, switch IS NOT NULL AS switch_data, CAST(count(*) AS BIGINT) AS n
@@ -383,6 +403,11 @@ SELECT bin, bin * 0.1 AS x, CAST(count(*) AS BIGINT) AS count,
 FROM (SELECT CAST(floor(rt / 0.1 + 0.5) AS BIGINT) AS bin FROM trials WHERE rt IS NOT NULL) GROUP BY bin""")
 
 
+_trial_query("rt_histogram_30", lambda t: S.histogram(t, "rt", bins=30), with_trials("""
+w AS (SELECT (max(rt) - min(rt)) / 29 AS w FROM trials WHERE rt IS NOT NULL)""") + """
+SELECT bin, bin * w AS x, CAST(count(*) AS BIGINT) AS count, count(*) / (sum(count(*)) OVER () * w) AS density
+FROM (SELECT CAST(floor(rt / w + 0.5) AS BIGINT) AS bin, w FROM trials, w WHERE rt IS NOT NULL) GROUP BY bin, w""")
+
 # ================================================================ outliers (M1-M3)
 
 _trial_query("rt_outliers", lambda t: O.identify_outliers(t, ["id", "block", "switch_type"], "rt")
@@ -428,6 +453,23 @@ FROM acc a JOIN q ON a.id IS NOT DISTINCT FROM q.id AND a.block IS NOT DISTINCT
 WHERE acc < q1 - 1.5 * (q3 - q1) OR acc > q3 + 1.5 * (q3 - q1)""")
 
 
+_trial_query("accuracy_outliers_legacy", lambda t: accuracy_outliers(t, legacy=True), with_trials("""
+su AS (SELECT id, block, switch_type, CAST(coalesce(sum(corr), 0) AS BIGINT) AS sumCorr
+       FROM trials WHERE task_perf != 'unknownTask' GROUP BY id, block, switch_type)""", """
+cn AS (SELECT id, block, task_perf, CAST(count(*) AS BIGINT) AS n
+       FROM trials WHERE task_perf != 'unknownTask' GROUP BY id, block, task_perf)""", """
+acc AS (SELECT su.id, su.block, su.switch_type, su.sumCorr, cn.task_perf, cn.n,
+               CAST(su.sumCorr AS DOUBLE) / nullif(cn.n, 0) AS acc
+        FROM su LEFT JOIN cn ON su.id IS NOT DISTINCT FROM cn.id AND su.block IS NOT DISTINCT FROM cn.block)""",
+    """q AS (SELECT id, block, quantile_cont(acc, 0.25) AS q1, quantile_cont(acc, 0.75) AS q3
+      FROM acc WHERE acc IS NOT NULL GROUP BY id, block)""") + """
+SELECT a.id, a.block, a.switch_type, a.sumCorr, a.task_perf, a.n, a.acc,
+       (acc < q1 - 1.5 * (q3 - q1) OR acc > q3 + 1.5 * (q3 - q1)) AS is_outlier,
+       (acc < q1 - 3.0 * (q3 - q1) OR acc > q3 + 3.0 * (q3 - q1)) AS is_extreme
+FROM acc a JOIN q ON a.id IS NOT DISTINCT FROM q.id AND a.block IS NOT DISTINCT FROM q.block
+WHERE acc < q1 - 1.5 * (q3 - q1) OR acc > q3 + 1.5 * (q3 - q1)""")
+
+
 def _mahal_sql(keys: list[str]) -> str:
     cols = ["rt", "corr", "trialNr"]
     num, det = O.mahalanobis_sql(cols, lambda i: f"mu{i}", lambda i, j: f"cv{i}_{j}",

@@ -59,15 +59,16 @@ def cued_task(cue: str | Column) -> Column:
     return X.case_when([(c == k, v) for k, v in CUE_TO_TASK.items()], default=UNKNOWN_TASK)
 
 
-def switch_type(task: str | Column, prev_task: str | Column) -> Column:
-    """Stay / switch to the current task; null when either task is not loc / shape."""
+def switch_type(task: str | Column, prev_task: str | Column, unknown: str | None = None) -> Column:
+    """Stay / switch to the current task; otherwise null (pilots 4+) or ``unknown``
+    (pilots 2-3 use 'unknownSwitch')."""
     t, p = X.col(task), X.col(prev_task)
     return X.case_when([
         ((t == "shape") & (p == "shape"), "stay_shape"),
         ((t == "loc") & (p == "loc"), "stay_loc"),
         ((t == "shape") & (p == "loc"), "switch_shape"),
         ((t == "loc") & (p == "shape"), "switch_loc"),
-    ])
+    ], default=unknown)
 
 
 def switch_flag(stype: str | Column) -> Column:
@@ -83,11 +84,15 @@ def keep_scored(df: DataFrame) -> DataFrame:
 
 
 def code_switches(df: DataFrame, keys=("id", "blockNr"), order=("trialNr",), segment: Column | None = None,
-                  row_number: str | None = None) -> DataFrame:
-    """W1 + D9 + D10: lag of ``task_perf`` in (id, blockNr), then type and 0/1 flag."""
+                  row_number: str | None = None, unknown: str | None = None) -> DataFrame:
+    """W1 + D9 + D10: lag of ``task_perf`` in (id, blockNr), then type and 0/1 flag.
+
+    The pilots 2-3 rule (§2.16 #6) is ``keys=("id",)`` — the lag crosses block
+    starts — with ``unknown='unknownSwitch'``.
+    """
     scanned = ordered_scan(df, list(keys), list(order), lag={"_prev_task": "task_perf"},
                            row_number=row_number, segment=segment)
-    return (scanned.withColumn("switch_type", switch_type("task_perf", "_prev_task"))
+    return (scanned.withColumn("switch_type", switch_type("task_perf", "_prev_task", unknown))
             .withColumn("switch", switch_flag("switch_type"))
             .drop("_prev_task"))
 
