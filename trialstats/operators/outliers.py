@@ -35,11 +35,18 @@ def identify_outliers(df: DataFrame, keys: Sequence[str], col: str, coef: float
     """
     keys = list(keys)
     x = F.col(col).cast("double")
-    base = df.withColumn(_G, F.struct(*keys)) if keys else df.withColumn(_G, F.lit(0))
-    q = base.where(x.isNotNull()).groupBy(_G).agg(
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    joined = base.join(q, _G, "inner")
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    quart = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
+    if keys:
+        base = df.withColumn(_G, F.struct(*keys))
+        q = base.where(x.isNotNull()).groupBy(_G).agg(quart.alias("_q"))
+        joined = base.join(q, _G, "inner")
+        q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    else:  # one group: its two quartiles are plan parameters (no join)
+        row = df.where(x.isNotNull()).agg(quart.alias("q")).first()
+        if row is None or row["q"] is None:
+            return df.withColumns({"is_outlier": F.lit(False), "is_extreme": F.lit(False)}).limit(0)
+        joined = df.withColumn(_G, F.lit(0)).withColumn("_q", F.lit(0))
+        q1, q3 = F.lit(row["q"][0]), F.lit(row["q"][1])
     iqr = q3 - q1
     out = joined.withColumns({
         "is_outlier": (x < q1 - coef * iqr) | (x > q3 + coef * iqr),
@@ -87,19 +94,25 @@ def mahalanobis(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), p:
     keys, cols = list(keys), list(cols)
     k = len(cols)
     base = df.dropna(subset=cols)
-    base = base.withColumn(_G, F.struct(*keys)) if keys else base.withColumn(_G, F.lit(0))
     aggs = [F.avg(F.col(c).cast("double")).alias(f"_mu{i}") for i, c in enumerate(cols)]
     aggs += [F.covar_samp(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"_cv{i}_{j}")
              for i in range(k) for j in range(i, k)]
-    st = base.groupBy(_G).agg(*aggs)
-    expr = mahalanobis_sql(cols, lambda i: f"_mu{i}", lambda i, j: f"_cv{i}_{j}",
-                           lambda i: f"CAST(`{cols[i]}` AS DOUBLE)")
+    value = lambda i: f"CAST(`{cols[i]}` AS DOUBLE)"
     cut = chi2_quantile(p, k)
-    num, det = expr
+    if keys:
+        base = base.withColumn(_G, F.struct(*keys))
+        st = base.groupBy(_G).agg(*aggs)
+        num, det = mahalanobis_sql(cols, lambda i: f"_mu{i}", lambda i, j: f"_cv{i}_{j}", value)
+        out = base.join(st, _G, "inner")
+        drop = [_G, *[c for c in st.columns if c != _G]]
+    else:  # one group: means and covariances are plan parameters (no join)
+        row = base.agg(*aggs).first()
+        lit = lambda name: "CAST(NULL AS DOUBLE)" if row[name] is None else repr(float(row[name]))
+        num, det = mahalanobis_sql(cols, lambda i: lit(f"_mu{i}"), lambda i, j: lit(f"_cv{i}_{j}"), value)
+        out, drop = base, []
     dist = F.bround(F.expr(f"try_divide({num}, {det})"), digits)
-    out = base.join(st, _G, "inner").withColumn("mahal_dist", dist)
-    out = out.withColumn("is_outlier", F.col("mahal_dist") > F.lit(cut))
-    return out.drop(_G, *[c for c in st.columns if c != _G])
+    out = out.withColumn("mahal_dist", dist).withColumn("is_outlier", F.col("mahal_dist") > F.lit(cut))
+    return out.drop(*drop)
 
 
 # ---------------------------------------------------------------- M3

@@ -157,8 +157,9 @@ def histogram(df: DataFrame, col: str, binwidth: float | None = None, bins: int
     keys = list(keys)
     x = F.col(col).cast("double")
     base = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
-    if binwidth is None:
-        w = base.select(((F.max("_x") - F.min("_x")) / F.lit(bins - 1)).alias("w")).scalar()
+    if binwidth is None:  # ggplot's width from the range: one small aggregate, used as a plan parameter
+        w_val = base.select(((F.max("_x") - F.min("_x")) / F.lit(bins - 1)).alias("w")).first()["w"]
+        w = F.lit(w_val if w_val else 1.0)
     else:
         w = F.lit(float(binwidth))
     idx = F.floor(F.col("_x") / w + F.lit(0.5)).cast("long")
