@@ -47,3 +47,20 @@ def test_result_does_not_depend_on_partitioning(spark):
     a = M.vsr(trials_from_events(ev)).collect()
     b = M.vsr(trials_from_events(ev.repartition(13, "event_type"))).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_report_writes_tables_from_one_materialized_trials(spark, tmp_path):
+    from trialstats.plans.report import run_report
+    from trialstats.plans.catalog import trials as load_trials
+    paths = run_report(spark, load_trials(spark, SF_ORACLE), str(tmp_path / "report"), only=["vsr", "rt_density"])
+    assert spark.read.parquet(paths["vsr"]).count() == 299
+    assert spark.read.parquet(paths["rt_density"]).count() == 512
+
+
+def test_assert_same_count(spark):
+    import pytest
+    from trialstats.operators.joins import assert_same_count
+    a = spark.range(3)
+    assert_same_count(a, spark.range(3))
+    with pytest.raises(AssertionError):
+        assert_same_count(a, spark.range(4))
