@@ -2,8 +2,10 @@
 
 All of them are ``groupBy`` aggregates with map-side partial aggregation, so a
 group that holds a third of all rows is reduced inside each map task before
-anything is shuffled. Totals over a whole table are attached with scalar
-subqueries (one extra small job, no join, no single-partition window).
+anything is shuffled. A grand total over an aggregated table is a scalar
+subquery over its checkpoint (no join, no single-partition window, one scan of
+the input); one-row statistics that parameterise a second pass (histogram
+width, density bandwidth) are read as plan parameters.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialstats.functions.distributions import t975
+from trialstats.session import ensure_checkpoint_dir
 
 FULL = ("n", "min", "max", "median", "q1", "q3", "iqr", "mad", "mean", "sd", "se", "ci")
 COMMON = ("n", "min", "max", "median", "iqr", "mean", "sd", "se", "ci")
@@ -46,10 +49,19 @@ def freq_table(df: DataFrame, keys: Sequence[str], n: str = "n", prop: str = "pr
     if len(keys) > 1:
         total = F.sum(n).over(Window.partitionBy(*keys[:-1]))
     else:
-        total = counts.select(F.sum(n)).scalar()
+        counts, total = _with_grand_total(counts, n)
     return counts.withColumn(prop, F.bround(F.lit(100.0) * F.col(n) / total, 1))
 
 
+def _with_grand_total(counts: DataFrame, n: str) -> tuple[DataFrame, Column]:
+    """The sum of ``n`` over a whole aggregated table, without a single-partition window
+    (the table may have many rows) and without scanning the input twice: the aggregate
+    is checkpointed to the shared checkpoint folder, the total is a scalar subquery on it."""
+    ensure_checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint(eager=True)
+    return counts, counts.select(F.sum(n)).scalar()
+
+
 # ---------------------------------------------------------------- A11
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -164,7 +176,10 @@ def histogram(df: DataFrame, col: str, binwidth: float | None = None, bins: int
         w = F.lit(float(binwidth))
     idx = F.floor(F.col("_x") / w + F.lit(0.5)).cast("long")
     counts = base.groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy(*keys)) if keys else counts.select(F.sum("count")).scalar()
+    if keys:
+        total = F.sum("count").over(Window.partitionBy(*keys))
+    else:
+        counts, total = _with_grand_total(counts, "count")
     return counts.select(*keys, "bin", (F.col("bin") * w).alias("x"), "count",
                          (F.col("count") / (total * w)).alias("density"))
 
