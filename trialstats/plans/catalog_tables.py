@@ -16,16 +16,16 @@ from trialstats.operators import missing as N
 from trialstats.operators import outliers as O
 from trialstats.operators import reshape as R
 from trialstats.operators import stats as S
-from trialstats.operators.sequence import first_per
+from trialstats.operators.sequence import Auto, first_per, ordered_scan
 from trialstats.plans import metrics as M
 from trialstats.plans.catalog import ORDER_CASE, _long, _trial_query, register, trials
 from trialstats.plans.oracle_sql import EVENTS_BASE, summary_sql, with_trials
-from trialstats.operators.sequence import Auto
 from trialstats.plans.trials import (
-    LOOP_FIELDS, code_switches, code_trials, coded_events, counterbalance, block_order, cued_task, events_as_trials,
+    code_switches, code_trials, coded_events, counterbalance, block_order, cued_task, events_as_trials,
     events_segment, loop_name, wide_logs_from_events,
 )
 from trialstats.session import materialize
+from trialstats.sources.csv_logs import stack_by_name
 from trialstats.sources.tables import table
 
 TRIAL_COLS = ("id, countBal, cBal, block, blockNr, trialNr, trial_type, task_cued, task_perf, resp, rt, corr, "
@@ -98,7 +98,6 @@ register("fill_up", with_trials() + "SELECT event_id, blockNr FROM coded3")(
 def _fill_up(w: DataFrame) -> DataFrame:
     reps = P.matching(w, "nBlocks", "_thisRepN")
     w = w.withColumn("_blk", X.to_int(X.unite(reps)) + 1)
-    from trialstats.operators.sequence import ordered_scan
     w = ordered_scan(w, ["participant"], ["ts", "event_id"], fill_up={"blockNr": "_blk"}, segment=events_segment())
     return w.select("event_id", "blockNr")
 
@@ -285,7 +284,6 @@ SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance, s_nationkey AS na
 
 
 def _union(spark, sf) -> DataFrame:
-    from trialstats.sources.csv_logs import stack_by_name
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
                                             F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"),
