@@ -75,6 +75,12 @@ def test_unlike_headers_are_stacked_by_name(spark):
     assert [r.rt for r in first] == [0.51, 0.62, 0.73, 0.84]
     assert [r.trialNr for r in first] == [1, 2, 3, 4]
 
+    # the file split is the natural segment of a CSV row order: the segmented scans agree
+    from pyspark.sql import functions as F
+    seg = code_trials(raw, keys_order=("file_name", "file_block_start", "seq"), file_key="file_name",
+                      segment=F.col("file_block_start"))
+    assert sorted(map(tuple, seg.collect())) == sorted(map(tuple, trials.collect()))
+
     out = os.path.join(folder, "out")
     write_summary(trials, out)
     assert spark.read.parquet(out).count() == 12

@@ -29,6 +29,11 @@ def to_int(c: str | Column) -> Column:
     return col(c).try_cast("double").try_cast("int")
 
 
+def to_long(c: str | Column) -> Column:
+    """``as.integer`` for identifiers that may exceed 32 bits (participant / user ids)."""
+    return col(c).try_cast("double").try_cast("long")
+
+
 def to_str(c: str | Column) -> Column:
     """``as.character``."""
     return col(c).cast("string")

@@ -122,7 +122,7 @@ SELECT event_id, id FROM coded3 WHERE task_perf IN ('loc', 'shape')""")(
 def _any_key(w: DataFrame) -> DataFrame:
     keys = P.matching(w, "both_", "_keys")
     w = N.value_to_null(w, keys, "None")
-    return N.filter_any_not_null(w, keys).select("event_id", X.to_int("participant").alias("id"))
+    return N.filter_any_not_null(w, keys).select("event_id", X.to_long("participant").alias("id"))
 
 
 register("value_to_null", with_trials() + """
@@ -506,7 +506,7 @@ def _partial_sums(pdf: pd.DataFrame) -> pd.DataFrame:
 
 _trial_query("apply_per_group", lambda t: O.apply_per_group(
     t.select("id", "blockNr", "trialNr", "rt", "corr"), ["id", "blockNr"], _partial_sums,
-    "id int, blockNr int, n long, rt_sum double, corr_sum long",
+    "id long, blockNr int, n long, rt_sum double, corr_sum long",
     split=F.floor(F.col("trialNr") / 4096),
     combine={"n": F.sum("n"), "rt_sum": F.bround(F.sum("rt_sum"), 6), "corr_sum": F.sum("corr_sum")}),
     with_trials() + """

@@ -12,7 +12,7 @@ from trialstats.functions.distributions import t975_sql_duckdb
 
 EVENTS_BASE = """
 ev AS (
-  SELECT ts, event_id, CAST(user_id AS INTEGER) AS id,
+  SELECT ts, event_id, CAST(user_id AS BIGINT) AS id,
          TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          CAST(floor((dayofmonth(ts) - 1) / 8) + 1 AS INTEGER) AS blockNr,
          CASE WHEN event_type IN ('click', 'view') THEN 'loc'

@@ -119,7 +119,7 @@ def events_as_trials(events: DataFrame) -> DataFrame:
                  .when(et == "error", F.lit("shapeloc")))
     e = events.select(
         F.col("ts"), F.col("event_id"),
-        F.col("user_id").cast("int").alias("id"),
+        F.col("user_id").cast("long").alias("id"),  # ids at scale exceed 32 bits
         k.alias("_k"),
         (F.floor((F.dayofmonth("ts") - 1) / 8) + 1).cast("int").alias("blockNr"),
         task_perf.alias("task_perf"),
@@ -260,7 +260,7 @@ def code_trials(wide: DataFrame, keys_order=("ts", "event_id"), file_key: str =
     trial_n = X.to_int(X.unite([blank(c) for c in _lower_match(cols, "nTrials", "_thisN")]))
     df = df.select(
         F.col(file_key), *keys_order,
-        X.to_int(blank("participant")).alias("id"),
+        X.to_long(blank("participant")).alias("id"),
         # block-end rows carry the block number but no trial (dropped after the back-fill)
         X.any_not_null([blank(c) for c in ("Cue", "Task", "Block")]).alias("_is_trial"),
         (X.to_int(X.unite([blank(c) for c in rep_cols])) + 1).alias("_blk"),          # D4

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference is a batch pipeline over finished experiment logs: it has no
+streams, event-time windows, watermarks, state or late data (SURVEY §2.15),
+so no streaming operator is built. Every operator of this package works on a
+static DataFrame; a user who receives logs continuously can run the same plans
+per micro-batch with ``foreachBatch``.
+"""
