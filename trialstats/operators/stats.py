@@ -118,22 +118,18 @@ def summary_stats(
     long = to_long(df, keys, variables).where(F.col("value").isNotNull())
     gcols = keys + ["variable"]
     long = long.withColumn(_G, F.struct(*gcols))
-    if exact:
-        qs = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    else:
-        qs = F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000)
-    st = long.groupBy(_G).agg(
-        F.count("value").alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
-        qs.alias("_q"), F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"),
-    )
+    pct = (lambda c, p: F.percentile(c, p)) if exact else (lambda c, p: F.percentile_approx(c, p, 10000))
+    qs = pct(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    aggs = [F.count("value").alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
+            qs.alias("_q"), F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd")]
     if kind == "full":
-        # second pass: median absolute deviation; stats has one row per group, so the
-        # join is broadcast by AQE when small and a skew-split sort-merge join when not
-        dev = long.join(st.select(_G, F.col("_q")[1].alias("_med")), _G) \
-                  .select(_G, F.abs(F.col("value") - F.col("_med")).alias("_dev"))
-        mad_q = F.percentile("_dev", F.lit(0.5)) if exact else F.percentile_approx("_dev", F.lit(0.5), 10000)
-        mad = dev.groupBy(_G).agg(mad_q.alias("_mad"))
-        st = st.join(mad, _G)
+        # two passes: the group medians, then one aggregate for everything including the
+        # median absolute deviation; the medians table has one row per group, so the join
+        # is a broadcast when small (AQE) and a skew-split sort-merge join when not
+        med = long.groupBy(_G).agg(pct(F.col("value"), F.lit(0.5)).alias("_med"))
+        long = long.join(med, _G)
+        aggs.append(pct(F.abs(F.col("value") - F.col("_med")), F.lit(0.5)).alias("_mad"))
+    st = long.groupBy(_G).agg(*aggs)
     r = lambda c: F.bround(c, digits)
     se = F.col("_sd") / F.sqrt(F.col("n"))
     out = {

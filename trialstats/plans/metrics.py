@@ -124,9 +124,13 @@ def participant_attributes(trials: DataFrame, cols: Sequence[str] = ("cBal",)) -
 
 
 def vsr_by_counterbalance(trials: DataFrame) -> DataFrame:
-    """E9 + J2: VSR summary per block order and block."""
-    s1 = J.left_join(vsr(trials), participant_attributes(trials), "id")
-    return S.summary_stats(s1, ["cBal", "block"], ["vsr"])
+    """E9 + J2: VSR summary per block order and block.
+
+    The reference joins each participant's first-row ``cBal`` onto the VSR table. ``cBal``
+    is a function of the participant id, so carrying it as a grouping key of the same
+    aggregate gives the same table from one pass over the trials (no second scan, no join).
+    """
+    return S.summary_stats(vsr(trials, keys=("id", "cBal", "block")), ["cBal", "block"], ["vsr"])
 
 
 # ---------------------------------------------------------------- E10-E13 (switch / stay shares)
@@ -269,21 +273,22 @@ def task_selection_counterbalance(trials: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- E17 (run lengths)
 
-def running_switches(trials: DataFrame, segment: Column | Auto | None | str = "auto") -> DataFrame:
+def running_switches(trials: DataFrame, segment: Column | Auto | None | str = "auto",
+                     keys: Sequence[str] = ("id", "block", "blockNr")) -> DataFrame:
     """Running count of switches in (id, block, blockNr) over free trials with a known status.
 
     The trial number is dense, so ``auto`` cuts a hot block into equal runs of trial numbers.
     """
     seg = Auto("trialNr", time=False) if isinstance(segment, str) else segment
     base = trials.where(known_switch() & free())
-    return ordered_scan(base, ["id", "block", "blockNr"], ["trialNr"], running_sum={"sumSwitch": "switch"},
-                        segment=seg)
+    return ordered_scan(base, list(keys), ["trialNr"], running_sum={"sumSwitch": "switch"}, segment=seg)
 
 
-def run_lengths(trials: DataFrame, segment: Column | None | str = "auto") -> DataFrame:
+def run_lengths(trials: DataFrame, segment: Column | None | str = "auto",
+                keys: Sequence[str] = ("id", "block", "blockNr")) -> DataFrame:
     """Trials per run (id, block, blockNr, running switches, task) — gaps and islands."""
-    p8 = running_switches(trials, segment)
-    return S.count_by(p8, ["id", "block", "blockNr", "sumSwitch", "task_perf"])
+    p8 = running_switches(trials, segment, keys)
+    return S.count_by(p8, [*keys, "sumSwitch", "task_perf"])
 
 
 def run_length_task(trials: DataFrame, keys: Sequence[str] = ("task_perf",)) -> DataFrame:
@@ -309,8 +314,9 @@ def run_length_skeleton(trials: DataFrame) -> DataFrame:
 
 
 def run_length_counterbalance(trials: DataFrame) -> DataFrame:
-    """E17 + J2: run-length summary per block order, block and task."""
-    x2 = J.left_join(run_lengths(trials), participant_attributes(trials), "id")
+    """E17 + J2: run-length summary per block order, block and task (``cBal`` carried as a key of
+    the per-participant grouping, as in ``vsr_by_counterbalance``)."""
+    x2 = run_lengths(trials, keys=("id", "cBal", "block", "blockNr"))
     return S.summary_stats(x2, ["cBal", "block", "task_perf"], ["n"])
 
 
