@@ -396,9 +396,10 @@ FROM trials WHERE switch_type IS NOT NULL GROUP BY switch_type""")
 # ================================================================ histogram, density
 
 _trial_query("rt_histogram", lambda t: S.histogram(t, "rt", binwidth=0.1), with_trials() + """
-SELECT bin, bin * 0.1 AS x, CAST(count(*) AS BIGINT) AS count,
-       count(*) / (sum(count(*)) OVER () * 0.1) AS density
-FROM (SELECT CAST(floor(rt / 0.1 + 0.5) AS BIGINT) AS bin FROM trials WHERE rt IS NOT NULL) GROUP BY bin""")
+SELECT bin, bin * CAST(0.1 AS DOUBLE) AS x, CAST(count(*) AS BIGINT) AS count,
+       count(*) / (sum(count(*)) OVER () * CAST(0.1 AS DOUBLE)) AS density
+FROM (SELECT CAST(floor(rt / CAST(0.1 AS DOUBLE) + 0.5) AS BIGINT) AS bin FROM trials WHERE rt IS NOT NULL)
+GROUP BY bin""")
 
 
 _trial_query("rt_histogram_30", lambda t: S.histogram(t, "rt", bins=30), with_trials("""
