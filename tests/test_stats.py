@@ -93,3 +93,18 @@ def test_mahalanobis_matches_numpy(spark):
         mine = got[got.k == k].sort_values("a")["mahal_dist"].to_numpy()
         order = np.argsort(part["a"].to_numpy())
         assert np.allclose(mine, want[order], atol=1e-6)
+
+
+def _sums(pdf):
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [len(pdf)], "s": [float(pdf["x"].sum())]})
+
+
+def test_apply_per_group_split_equals_whole(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.choice([1, 2, 3], 2000, p=[0.8, 0.1, 0.1]), "x": rng.normal(size=2000),
+                        "i": np.arange(2000)})
+    df = spark.createDataFrame(pdf)
+    whole = {r.g: (r.n, round(r.s, 9)) for r in O.apply_per_group(df, ["g"], _sums, "g long, n long, s double").collect()}
+    split = O.apply_per_group(df, ["g"], _sums, "g long, n long, s double", split=F.floor(F.col("i") / 100),
+                              combine={"n": F.sum("n"), "s": F.sum("s")})
+    assert {r.g: (r.n, round(r.s, 9)) for r in split.collect()} == whole

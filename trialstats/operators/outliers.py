@@ -118,13 +118,19 @@ def mahalanobis(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), p:
 # ---------------------------------------------------------------- M3
 
 def _ship_by_value(fn: Callable) -> None:
-    """Pickle a function of this package by value, so Python workers that do not have the
-    package on their path (a cluster without ``--py-files``) can still run it."""
+    """Pickle a grouped function by value when its module is user code (this package, a
+    script, a test module) rather than an installed library, so Python workers that do not
+    have that module on their path (a cluster without ``--py-files``) can still run it."""
     import sys
+    import sysconfig
 
     from pyspark import cloudpickle
     mod = sys.modules.get(getattr(fn, "__module__", "") or "")
-    if mod is not None and mod.__name__.split(".")[0] == __name__.split(".")[0]:
+    path = getattr(mod, "__file__", None) or ""
+    if mod is None or not path or mod.__name__ == "__main__":
+        return  # __main__ and dynamic functions are pickled by value anyway
+    installed = (sysconfig.get_paths()["purelib"], sysconfig.get_paths()["stdlib"], "site-packages")
+    if not any(p and p in path for p in installed):
         cloudpickle.register_pickle_by_value(mod)
 
 
