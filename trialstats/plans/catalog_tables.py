@@ -565,3 +565,37 @@ SELECT CAST(i AS INTEGER) AS point, x,
        round_even(sum(c * exp(-0.5 * pow((x - (lo + (b + 0.5) * width)) / bw, 2))) / (n * bw * 2.5066282746310002), 6)
          AS density
 FROM grid, bins, bw GROUP BY i, x, n, bw""")
+
+
+# ================================================================ duration and frame-rate histograms
+
+def _hist_sql(source: str, width: str) -> str:
+    return f"""
+SELECT bin, bin * {width} AS x, CAST(count(*) AS BIGINT) AS count,
+       count(*) / (sum(count(*)) OVER () * {width}) AS density
+FROM (SELECT CAST(floor(v / {width} + 0.5) AS BIGINT) AS bin FROM {source} WHERE v IS NOT NULL)
+GROUP BY bin"""
+
+
+def _break_values(e: DataFrame) -> DataFrame:
+    b = _breaks(e)
+    cols = P.matching(b, "timebreak")
+    return N.filter_any_not_null(b.select(*cols)).select(X.to_double(X.unite(cols)).alias("timeBreak"))
+
+
+register("break_histogram", "WITH b AS (SELECT value AS v FROM events WHERE event_type = 'view')"
+         + _hist_sql("b", "CAST(2 AS DOUBLE)"))(
+    lambda spark, sf: S.histogram(_break_values(_events(spark, sf)), "timeBreak", binwidth=2))
+
+register("experiment_histogram", "WITH b AS (SELECT (value * 60) / 60 AS v FROM events WHERE event_type = 'signup')"
+         + _hist_sql("b", "CAST(0.1 AS DOUBLE)"))(
+    lambda spark, sf: S.histogram(
+        _events(spark, sf).where(F.col("event_type") == "signup")
+        .select(((F.col("value") * 60) / 60).alias("globalClockTime")), "globalClockTime", binwidth=0.1))
+
+register("frame_rate_histogram", """WITH b AS (SELECT DISTINCT l_quantity AS v FROM lineitem),
+w AS (SELECT (max(v) - min(v)) / 29 AS w FROM b)
+SELECT bin, bin * w AS x, CAST(count(*) AS BIGINT) AS count, count(*) / (sum(count(*)) OVER () * w) AS density
+FROM (SELECT CAST(floor(v / w + 0.5) AS BIGINT) AS bin, w FROM b, w WHERE v IS NOT NULL) GROUP BY bin, w""")(
+    lambda spark, sf: S.histogram(table(spark, sf, "lineitem").select(F.col("l_quantity").alias("frameRate"))
+                                  .distinct(), "frameRate", bins=30))
