@@ -599,3 +599,27 @@ SELECT bin, bin * w AS x, CAST(count(*) AS BIGINT) AS count, count(*) / (sum(cou
 FROM (SELECT CAST(floor(v / w + 0.5) AS BIGINT) AS bin, w FROM b, w WHERE v IS NOT NULL) GROUP BY bin, w""")(
     lambda spark, sf: S.histogram(table(spark, sf, "lineitem").select(F.col("l_quantity").alias("frameRate"))
                                   .distinct(), "frameRate", bins=30))
+
+
+# ================================================================ descriptive counts
+
+_trial_query("trials_per_block", lambda t: S.count_by(t, ["block"]), with_trials() + """
+SELECT block, CAST(count(*) AS BIGINT) AS n FROM trials GROUP BY block""")
+
+_trial_query("participants_per_counterbalance", lambda t: S.freq_table(
+    first_per(t.select("id", "blockNr", "trialNr", "countBal"), ["id"], ["blockNr", "trialNr"]), ["countBal"]),
+    with_trials("f AS (SELECT id, arg_min(countBal, (blockNr, trialNr)) AS countBal FROM trials GROUP BY id)") + """
+SELECT countBal, CAST(count(*) AS BIGINT) AS n,
+       round_even(100 * CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE), 1) AS prop
+FROM f WHERE countBal IS NOT NULL GROUP BY countBal""")
+
+
+def _freq_sql(col: str) -> str:
+    return with_trials() + f"""
+SELECT {col}, CAST(count(*) AS BIGINT) AS n,
+       round_even(100 * CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE), 1) AS prop
+FROM trials WHERE {col} IS NOT NULL GROUP BY {col}"""
+
+
+for _c in ("resp", "corr", "task_cued"):
+    _trial_query(f"freq_{_c}", (lambda c: lambda t: S.freq_table(t, [c]))(_c), _freq_sql(_c))
