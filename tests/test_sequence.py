@@ -62,3 +62,11 @@ def test_first_per_is_deterministic(spark):
     pdf = df.toPandas().sort_values(["t", "eid"])
     want = {None if g != g else int(g): int(e) for g, e in pdf.groupby("g", dropna=False)["eid"].first().items()}
     assert {k if k is None else int(k): v for k, v in got.items()} == want
+
+
+def test_descending_segmented_scan_rejects_value_scans(spark):
+    import pytest
+    df = _data(spark, seed=5)
+    with pytest.raises(ValueError):
+        ordered_scan(df, ["g"], [F.col("t").desc()], lag={"p": "v"}, segment=F.floor(F.col("t") / 10.0),
+                     segment_desc=True)

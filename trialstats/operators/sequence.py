@@ -136,6 +136,10 @@ def ordered_scan(
 
 
 def _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up, segment, segment_desc):
+    if segment_desc and (lag or running_sum or fill_up):
+        # the segment summaries pick the last / first row with max_by / min_by on the ascending
+        # order struct; a descending scan is supported for row numbers only
+        raise ValueError("segment_desc supports row_number only; scan in ascending order instead")
     part = F.struct(*[F.col(k) for k in keys], segment.alias(_SEG))
     base = df.withColumn(_PART, part)
     w_in = Window.partitionBy(_PART).orderBy(*order_cols)
