@@ -623,3 +623,28 @@ FROM trials WHERE {col} IS NOT NULL GROUP BY {col}"""
 
 for _c in ("resp", "corr", "task_cued"):
     _trial_query(f"freq_{_c}", (lambda c: lambda t: S.freq_table(t, [c]))(_c), _freq_sql(_c))
+
+
+# ================================================================ plot captions of the duration plots
+
+def caption(stats: DataFrame, unit: str, digits: int = 1) -> DataFrame:
+    """'Med = <median> <unit>\\n Mean = <mean> <unit>' with both rounded (after the summary's own rounding)."""
+    med, mean = F.bround("median", digits), F.bround("mean", digits)
+    return stats.select(med.alias("median"), mean.alias("mean"),
+                        X.paste("Med = ", med, f"{unit}\n", "Mean = ", mean, unit).alias("caption"))
+
+
+def _caption_sql(source_cte: str, unit: str) -> str:
+    return source_cte + ",\ns AS (" + summary_sql("l", []) + ")" + f"""
+SELECT round_even(median, 1) AS median, round_even(mean, 1) AS mean,
+       concat_ws(' ', 'Med = ', CAST(round_even(median, 1) AS VARCHAR), '{unit}' || chr(10), 'Mean = ',
+                 CAST(round_even(mean, 1) AS VARCHAR), '{unit}') AS caption FROM s"""
+
+
+register("break_caption", _caption_sql(
+    "WITH l AS (SELECT 'timeBreak' AS variable, value FROM events WHERE event_type = 'view')", "(s)"))(
+    lambda spark, sf: caption(break_durations(_events(spark, sf)), "(s)"))
+register("experiment_caption", _caption_sql(
+    "WITH l AS (SELECT 'globalClockTime' AS variable, (value * 60) / 60 AS value FROM events "
+    "WHERE event_type = 'signup')", "(min)"))(
+    lambda spark, sf: caption(experiment_duration(_events(spark, sf)), "(min)"))
