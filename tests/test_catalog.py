@@ -5,10 +5,11 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_ORACLE, SF_SMALL
 from oracle import compare, duck
+from trialstats.plans import catalog
 from trialstats.operators.sequence import SEGMENT_ROWS_CONF
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 SEQUENCE_QUERIES = ["switch_type", "trials_from_events", "trials_coded", "fill_up", "row_sum", "pick_one_of_two",
                     "running_switches", "run_lengths", "vsr_decomposed", "coalesce_wide"]
 
@@ -23,6 +24,11 @@ def test_every_query_has_sql():
     assert len(QUERIES) >= 90
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(E.queries())
+    assert SQL.items() <= E.oracle_sql().items()
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["id", "block", "switch_sum", "n", "vsr"]
