@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialstats.llm.packing import pack
+from trialstats.llm.secrets import scan
 from trialstats.llm.sharding import shard_documents
 from trialstats.llm.warc import archive_round_trip
 from trialstats.sources.tables import table
@@ -14,6 +16,10 @@ from trialstats.sources.tables import table
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -38,8 +44,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, QueryFn]:
-    return {"op3_warc": op3_warc, "op5_sharding": op5_sharding}
+    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op5_sharding": op5_sharding, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -72,8 +72,8 @@ class WordHasher:
                 out[0] = 1
                 setattr(self, name, np.multiply.accumulate(out))
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-        """Words of the texts ``data[offsets[i]:offsets[i+1]]``."""
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, cuts: np.ndarray | None = None) -> Words:
+        """Words of the texts ``data[offsets[i]:offsets[i+1]]``; ``cuts``: bytes before which a word also ends."""
         n = len(data)
         if n == 0:
             none = np.zeros(0, np.int64)
@@ -83,6 +83,8 @@ class WordHasher:
         inside = ~_SPACE[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
+        if cuts is not None:
+            edge[:n] |= cuts
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | edge[1:n]
         ends = inside.copy()
