@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialstats.llm.decontaminate import find_leaks
 from trialstats.llm.packing import pack
+from trialstats.llm.quality import COUNTS, judge_quality, train_on_labels
 from trialstats.llm.secrets import scan
 from trialstats.llm.sharding import shard_documents
 from trialstats.llm.warc import archive_round_trip
@@ -44,13 +46,43 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = train_on_labels(docs, table(spark, sf_dir, "labels"))
+    return judge_quality(docs, trees).select("doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: CTEs (id, shingle): the distinct 5-word shingles of a table's texts, as the operators define them.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def shingle_sql(name: str, table_name: str, id_col: str) -> str:
+    return rf"""{name}_w AS (SELECT {id_col}, row_number() OVER () AS rid, regexp_extract_all({_LOWER}, '[^ 	-]+') AS w FROM {table_name}),
+{name} AS (SELECT DISTINCT rid, {id_col}, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_w WHERE len(w) > 0))"""
+
+
+OP9_SQL = f"""
+WITH {shingle_sql('d', 'documents', 'doc_id')}, {shingle_sql('b', 'benchmark', 'item_id')},
+n AS (SELECT rid, item_id, count(*) AS item_shingles FROM b GROUP BY ALL)
+SELECT d.doc_id, b.item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles
+FROM d JOIN b USING (shingle) JOIN n ON n.rid = b.rid
+GROUP BY d.rid, b.rid, d.doc_id, b.item_id HAVING 100 * count(*) >= 75 * any_value(item_shingles)
+"""
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, QueryFn]:
-    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op5_sharding": op5_sharding, "op10_secrets": op10_secrets}
+    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op5_sharding": op5_sharding, "op7_quality": op7_quality,
+            "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op9_decontamination": OP9_SQL}

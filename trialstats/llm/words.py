@@ -91,13 +91,17 @@ class WordHasher:
         ends[:-1] &= ~inside[1:] | edge[1:n]
         start = np.flatnonzero(begins)
         end = np.flatnonzero(ends) + 1
+        value = self.ranges(data, start, end)
+        return Words(start, end, value, np.searchsorted(start, offsets))
+
+    def ranges(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the byte strings ``data[start[i]:end[i]]``."""
+        n = len(data)
         self._grow(n + 1)
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(self._byte[data] * self._power[:n], out=total[1:])
-        value = (total[end] - total[start]) * self._inverse[start]
-        value = mix64(value + (end - start).astype(np.uint64))
-        return Words(start, end, value, np.searchsorted(start, offsets))
+        return mix64((total[end] - total[start]) * self._inverse[start] + (end - start).astype(np.uint64))
 
 
 _SHINGLE = _multipliers(SHINGLE_WORDS, 0xE7037ED1A0B428DB)
