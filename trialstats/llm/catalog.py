@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialstats.llm.chat import as_transcript, parse, train
 from trialstats.llm.decontaminate import find_leaks
 from trialstats.llm.packing import pack
 from trialstats.llm.quality import COUNTS, judge_quality, train_on_labels
@@ -40,6 +41,13 @@ FROM p JOIN d USING (hex)
 """
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles are hidden from the parser; two of three conversations (by a hash of their id) train it."""
+    chunks = as_transcript(table(spark, sf_dir, "conversations"))
+    model = train(chunks.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 3 != 1))
+    return parse(chunks.drop("role"), model)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -61,7 +69,8 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 
 def shingle_sql(name: str, table_name: str, id_col: str) -> str:
-    return rf"""{name}_w AS (SELECT {id_col}, row_number() OVER () AS rid, regexp_extract_all({_LOWER}, '[^ 	-]+') AS w FROM {table_name}),
+    return rf"""{name}_w AS (SELECT {id_col}, row_number() OVER () AS rid, regexp_extract_all({_LOWER}, '[^ 	-
+]+') AS w FROM {table_name}),
 {name} AS (SELECT DISTINCT rid, {id_col}, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS shingle
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_w WHERE len(w) > 0))"""
 
@@ -80,7 +89,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op5_sharding": op5_sharding, "op7_quality": op7_quality,
+    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op7_quality": op7_quality,
             "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
 
 
