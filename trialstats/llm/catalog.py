@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialstats.llm.chat import as_transcript, parse, train
 from trialstats.llm.decontaminate import find_leaks
+from trialstats.llm.lm import score
 from trialstats.llm.packing import pack
 from trialstats.llm.quality import COUNTS, judge_quality, train_on_labels
 from trialstats.llm.secrets import scan
@@ -54,6 +55,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = train_on_labels(docs, table(spark, sf_dir, "labels"))
@@ -89,7 +94,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op7_quality": op7_quality,
+    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op6_lm": op6_lm, "op7_quality": op7_quality,
             "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
 
 
