@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialstats.llm import toxicity
 from trialstats.llm.chat import as_transcript, parse, train
 from trialstats.llm.decontaminate import find_leaks
 from trialstats.llm.lm import score
@@ -65,6 +66,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, trees).select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+    def fold(doc_id):
+        return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
+
+    model = toxicity.train(docs, labels.where(fold(F.col("doc_id")) != 1))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -94,7 +106,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op6_lm": op6_lm, "op7_quality": op7_quality,
+    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity,
             "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
 
 

@@ -1,8 +1,13 @@
-"""Tables that cut lineage: written to the cluster's shared folder and read back."""
+"""Tables that cut lineage, and values sent to the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pickle
+from typing import Any
+
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from trialstats.session import materialize
 
@@ -10,3 +15,13 @@ from trialstats.session import materialize
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table under ``spark.checkpoint.dir``; survives the loss of executors."""
     return materialize(df, f"llm-{name}")
+
+
+def shipped(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast of a value of this package's classes; their code goes along, as it does with functions."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(value: Broadcast) -> Any:
+    """The value of ``shipped``, inside a task."""
+    return pickle.loads(value.value)
