@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialstats.llm import toxicity
 from trialstats.llm.chat import as_transcript, parse, train
 from trialstats.llm.decontaminate import find_leaks
+from trialstats.llm.jaccard import jaccard_components
 from trialstats.llm.lm import score
 from trialstats.llm.packing import pack
 from trialstats.llm.quality import COUNTS, judge_quality, train_on_labels
@@ -21,6 +22,10 @@ from trialstats.sources.tables import table
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("set_id")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -86,7 +91,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 
 def shingle_sql(name: str, table_name: str, id_col: str) -> str:
-    return rf"""{name}_w AS (SELECT {id_col}, row_number() OVER () AS rid, regexp_extract_all({_LOWER}, '[^ 	-
+    return rf"""{name}_w AS MATERIALIZED (SELECT {id_col}, row_number() OVER () AS rid, regexp_extract_all({_LOWER}, '[^ 	-
 ]+') AS w FROM {table_name}),
 {name} AS (SELECT DISTINCT rid, {id_col}, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS shingle
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_w WHERE len(w) > 0))"""
@@ -101,14 +106,30 @@ GROUP BY d.rid, b.rid, d.doc_id, b.item_id HAVING 100 * count(*) >= 75 * any_val
 """
 
 
+OP1_SQL = f"""
+WITH RECURSIVE {shingle_sql('s', 'documents', 'doc_id')},
+sets AS (SELECT rid, any_value(doc_id) AS doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS k FROM s GROUP BY rid),
+one AS (SELECT k, min(rid) AS rid, any_value(n) AS n FROM sets GROUP BY k),
+members AS (SELECT one.rid, one.n, shingle FROM one JOIN s USING (rid)),
+links AS (SELECT x.rid AS a, y.rid AS b FROM members x JOIN members y ON x.shingle = y.shingle AND x.rid <> y.rid
+          GROUP BY x.rid, y.rid HAVING 175 * count(*) >= 75 * (any_value(x.n) + any_value(y.n))),
+reach AS (SELECT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+component AS (SELECT a AS rid, min(b) AS c FROM reach GROUP BY a),
+labelled AS (SELECT sets.*, coalesce(c, one.rid) AS c FROM sets JOIN one USING (k) LEFT JOIN component ON component.rid = one.rid),
+least AS (SELECT c, min(doc_id) AS component_id FROM labelled GROUP BY c)
+SELECT w.doc_id, CAST(coalesce(labelled.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+FROM s_w w LEFT JOIN labelled ON labelled.rid = w.rid LEFT JOIN least USING (c)
+"""
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, QueryFn]:
-    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity,
+    return {"op1_jaccard": op1_jaccard, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity,
             "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_jaccard": OP1_SQL, "op3_warc": OP3_SQL, "op9_decontamination": OP9_SQL}
