@@ -105,15 +105,46 @@ class ItemIndex:
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                item_text_col: str = "text", percent: int = 75, block_shingles: int = 1 << 20) -> DataFrame:
     """One row per (document, item) found: doc_id, item_id, shared and item_shingles."""
-    sets = written(shingle_sets(items, item_id_col, item_text_col).where("n > 0").dropDuplicates(["id", "shingles"]), "items")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // block_shingles))
-    block_of = F.pmod(F.xxhash64("id", "shingles"), F.lit(blocks))
+    sets, blocks = _item_blocks(items, item_id_col, item_text_col, block_shingles)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("item_id", sets.schema["id"].dataType),
                            T.StructField("shared", T.LongType()), T.StructField("item_shingles", T.LongType())])
-    found = [_search_block(rows, sets.where(block_of == b).orderBy("id", "shingles").collect(), percent, schema) for b in range(blocks)]
-    return reduce(DataFrame.unionAll, found)
+    return reduce(DataFrame.unionAll, [_search_block(rows, block, percent, schema) for block in blocks])
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+                  percent: int = 75, block_shingles: int = 1 << 20) -> DataFrame:
+    """Rows of ``docs`` in which no item is found, with all their columns."""
+    _, blocks = _item_blocks(items, item_id_col, item_text_col, block_shingles)
+    at = docs.columns.index(text_col)
+    for block in blocks:
+        if block:
+            docs = _clean(docs, at, [bytes(r["shingles"]) for r in block], percent)
+    return docs
+
+
+def _clean(docs: DataFrame, at: int, block: list[bytes], percent: int) -> DataFrame:
+    shared_sets = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, hasher = ItemIndex([np.frombuffer(s, np.uint64) for s in shared_sets.value], percent), WordHasher()
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for row, _, data, offsets in pieces(batch.column(at)):
+                for d, _, _ in index.search(*distinct_by_text(*shingle_hashes(hasher(data, offsets)))):
+                    clean[row + d] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_shingles: int) -> tuple[DataFrame, Iterator[list]]:
+    """The items' sets, and their rows in blocks of about ``block_shingles`` shingles."""
+    sets = written(shingle_sets(items, id_col, text_col).where("n > 0").dropDuplicates(["id", "shingles"]), "items")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    n = max(1, -(-total // block_shingles))
+    of = F.pmod(F.xxhash64("id", "shingles"), F.lit(n))
+    return sets, (sets.where(of == b).orderBy("id", "shingles").collect() for b in range(n))
 
 
 def _search_block(rows: DataFrame, block: list, percent: int, schema: T.StructType) -> DataFrame:

@@ -40,6 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -371,6 +372,47 @@ def _cross_pairs(texts: DataFrame, rule: Rule, sketch, open_keys: DataFrame, lab
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, scan_cost: float = 4.0) -> DataFrame:
     """Per row: doc_id, n_shingles, set_id, component_id (smallest id reachable by links, its own included)."""
+    rows, _, named = _components(docs, id_col, text_col, percent, scan_cost)
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(named, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "set_id", own.alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, scan_cost: float = 4.0) -> DataFrame:
+    """Rows of ``docs``, all columns, without those that link to a row with a smaller id; one of repeated rows stays.
+
+    Rows without shingles stay. The texts are shuffled once, by their set, for the join with the one set of each
+    component that stays; only sets with repeated rows of the staying id need more.
+    """
+    rows, by_set, named = _components(docs, id_col, text_col, percent, scan_cost)
+    of_set = by_set.select("set_id", "least_id").join(named, "set_id")
+    stays = of_set.where(F.col("least_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("set_id").alias("set_id"), F.first("component_id").alias("stay_id"))
+    times = rows.join(stays, "set_id").where(F.col("doc_id").eqNullSafe(F.col("stay_id"))).groupBy("set_id").agg(F.count("*").alias("times"))
+    stays = written(stays.join(times, "set_id").select(F.col("set_id").alias("_llm_stay_set"), F.col("stay_id").alias("_llm_stay_id"), "times"), "jaccard-stays")
+    marked = _with_set(docs, text_col)
+    chosen = [marked.join(stays.where(where).drop("times"), (F.col("_llm_set") == F.col("_llm_stay_set")) & F.col(id_col).eqNullSafe(F.col("_llm_stay_id")))
+              for where in ("times = 1", "times > 1")]
+    empty = marked.where("_llm_set is null")
+    return reduce(DataFrame.unionAll, [x.select(docs.columns) for x in (chosen[0], chosen[1].dropDuplicates(["_llm_set"]), empty)])
+
+
+def _with_set(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with its set id as ``_llm_set``; null without shingles."""
+    at = docs.columns.index(text_col)
+    out = T.StructType([*docs.schema.fields, T.StructField("_llm_set", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            parts = [document_sets(hasher, data, bounds)[2:] for _, _, data, bounds in pieces(batch.column(at))]
+            if parts:
+                n, ids = (np.concatenate(c) for c in zip(*parts))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, mask=n == 0)], names=out.names)
+
+    return docs.mapInArrow(run, out)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, scan_cost: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, set_id) by row, (set_id, n, least_id) by set, (set_id, component, component_id) by set."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = written(_sets_and_repeats(texts), "jaccard-sets")
     rows = first.where("n is not null").select("doc_id", "n", "set_id")
@@ -380,10 +422,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of_set = by_set.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     of_set = written(of_set, "jaccard-labelled")
     least = written(of_set.groupBy("component").agg(F.min("least_id").alias("component_id")), "jaccard-least")
-    named = written(of_set.join(least, "component").select("set_id", "component_id"), "jaccard-components")
-    out = rows.join(named, "set_id", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "set_id", own.alias("component_id"))
+    return rows, by_set, written(of_set.join(least, "component").select("set_id", "component", "component_id"), "jaccard-components")
 
 
 def links_of_sets(texts: DataFrame, by_set: DataFrame, order: np.ndarray, percent: int, scan_cost: float) -> DataFrame:
