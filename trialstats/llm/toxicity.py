@@ -188,7 +188,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic",
-          max_training_rows: int = 20_000, max_terms: int = 2_000, least_z: float = 5.0, least_texts: int = 4, neighbours: int = 15) -> Classifier:
+          max_training_rows: int = 8_000, max_terms: int = 1_000, least_z: float = 5.0, least_texts: int = 4, neighbours: int = 15) -> Classifier:
     """Classifier from ``labels`` (only the rows to learn from) and the texts of ``docs``."""
     sample, texts = _sample(docs, labels, id_col, text_col, label_id_col, label_col, max_training_rows)
     labelled = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "label")
