@@ -1,4 +1,4 @@
-"""Every catalogue query against its DuckDB twin; the scan-heavy ones again with forced segmentation."""
+"""Every catalogue query against its DuckDB twin; the scan-heavy ones again with other ranges."""
 
 import pytest
 
@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from conftest import SF_ORACLE, SF_SMALL
 from oracle import compare, duck
 from trialstats.plans import catalog
-from trialstats.operators.sequence import SEGMENT_ROWS_CONF
+from trialstats.operators.sequence import RANGES_CONF
 
 QUERIES = catalog.queries()
 SQL = catalog.oracle_sql()
@@ -44,11 +44,11 @@ def test_query_matches_oracle(spark, con_small, name):
 
 @pytest.mark.parametrize("name", SEQUENCE_QUERIES)
 def test_segmented_scans_match_oracle(spark, name):
-    """With at most 25 rows per task every ordered scan takes the segmented shape."""
-    spark.conf.set(SEGMENT_ROWS_CONF, "25")
+    """With few ranges, more rows than by default lie in one."""
+    spark.conf.set(RANGES_CONF, "20")
     try:
         got = QUERIES[name](spark, SF_ORACLE).toPandas()
     finally:
-        spark.conf.unset(SEGMENT_ROWS_CONF)
+        spark.conf.unset(RANGES_CONF)
     want = duck(SF_ORACLE).execute(SQL[name]).df()
     assert compare(got, want) is None, compare(got, want)

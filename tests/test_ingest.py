@@ -4,7 +4,7 @@ import os
 import tempfile
 
 from trialstats.plans.trials import code_trials
-from trialstats.sources.csv_logs import read_trials
+from trialstats.sources.csv_logs import ORDER_KEY, read_trials
 from trialstats.sources.sinks import write_summary
 
 
@@ -119,3 +119,16 @@ def test_row_order_survives_file_splits(spark):
         assert [r.trialNr for r in sorted(plain.collect(), key=lambda r: r.trialNr)][:3] == [1, 2, 3]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_files_of_one_name_stay_apart(spark):
+    """The block number is back-filled within a file; two folders may hold files of one name."""
+    folder = tempfile.mkdtemp(prefix="trialstats-same-")
+    for sub, cb in (("a", 1), ("b", 4)):
+        os.mkdir(os.path.join(folder, sub))
+        header, rows = _log(cb, "mix", None)
+        _write(os.path.join(folder, sub), "log.csv", header, rows[:-1] if sub == "a" else rows)  # a: no block-end row
+    raw = read_trials(spark, folder, recursive=True)
+    assert raw.select("file_name").distinct().count() == 1 and raw.select("file_path").distinct().count() == 2
+    got = code_trials(raw, keys_order=ORDER_KEY, file_key="file_path").select("id", "blockNr").distinct().collect()
+    assert sorted(map(tuple, got)) == [(101, None), (104, 1)]

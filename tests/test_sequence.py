@@ -1,10 +1,12 @@
-"""Ordered scans: the segmented (skew-proof) shape equals the plain window, for every scan kind."""
+"""Ordered scans: equal to plain windows for every scan kind, and truly cut whatever the order column holds."""
 
 import random
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trialstats.operators.sequence import Auto, SEGMENT_ROWS_CONF, first_per, ordered_scan
+from trialstats.operators.sequence import RANGES_CONF, first_per, ordered_scan, with_rank_segment
 
 
 def _data(spark, n=600, seed=1):
@@ -18,42 +20,83 @@ def _data(spark, n=600, seed=1):
     return spark.createDataFrame(rows, "g int, t double, eid long, v string, x double")
 
 
-def _scan(df, segment, desc=False):
-    order = [F.col("t").desc(), F.col("eid").desc()] if desc else ["t", "eid"]
+@pytest.fixture(params=["2", "40", "3000"])
+def ranges(spark, request):
+    spark.conf.set(RANGES_CONF, request.param)
+    yield int(request.param)
+    spark.conf.unset(RANGES_CONF)
+
+
+def _plain(df, desc=False):
+    w = Window.partitionBy("g").orderBy(*[F.col(c).desc() if desc else F.col(c) for c in ("t", "eid")])
     if desc:
-        return ordered_scan(df, ["g"], order, row_number="rn", segment=segment, segment_desc=True)
-    return ordered_scan(df, ["g"], order, lag={"prev": "v"}, row_number="rn",
+        return df.withColumn("rn", F.row_number().over(w))
+    return df.withColumns({"prev": F.lag("v").over(w), "rn": F.row_number().over(w),
+                           "cs": F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+                           "bf": F.first("v", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+
+
+def _scan(df, segment=None):
+    return ordered_scan(df, ["g"], ["t", "eid"], lag={"prev": "v"}, row_number="rn",
                         running_sum={"cs": "x"}, fill_up={"bf": "v"}, segment=segment)
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.select("eid", *[c for c in ("prev", "rn", "cs", "bf") if c in df.columns])
-                  .collect())
+    return sorted(tuple(r) for r in df.select("eid", *[c for c in ("prev", "rn", "cs", "bf") if c in df.columns]).collect())
 
 
-def test_segmented_equals_plain(spark):
+def test_scan_equals_plain_window(spark, ranges):
     df = _data(spark)
-    plain = _rows(_scan(df, None))
-    for width in (1.0, 37.0, 250.0, 5000.0):
-        assert _rows(_scan(df, F.floor(F.col("t") / width))) == plain
+    assert _rows(_scan(df)) == _rows(_plain(df))
 
 
-def test_segmented_descending(spark):
+def test_given_segment(spark):
+    df = _data(spark)
+    for width in (1.0, 250.0, 5000.0):
+        assert _rows(_scan(df, F.floor(F.col("t") / width))) == _rows(_plain(df))
+
+
+def test_descending(spark, ranges):
     df = _data(spark, seed=2)
-    plain = _rows(_scan(df, None, desc=True))
-    assert _rows(_scan(df, F.floor(F.col("t") / 50.0), desc=True)) == plain
+    assert _rows(ordered_scan(df, ["g"], ["t", "eid"], row_number="rn", descending=True)) == _rows(_plain(df, desc=True))
+    with pytest.raises(ValueError):
+        ordered_scan(df, ["g"], ["t"], lag={"p": "v"}, descending=True)
+
 
+def test_types_and_empty_table(spark):
+    df = _scan(_data(spark).limit(0))
+    assert dict(df.dtypes)["rn"] == "bigint" and df.collect() == []
 
-def test_auto_picks_plain_then_segments(spark):
-    df = _data(spark, seed=3)
-    assert Auto("t", time=False).resolve(df, ["g"]) is None
-    spark.conf.set(SEGMENT_ROWS_CONF, "40")
+
+def test_hot_groups_are_cut(spark):
+    """A burst, a tie and one hot group among groups of one row: no range holds many rows, and the ranges
+    add at most one summary row for each cut."""
+    burst = [(1, 1000.0 if i % 100 else float(i), i) for i in range(6000)]       # 99 % of the rows on one time
+    tie = [(2, 5.0, 10_000 + i) for i in range(3000)]
+    cold = [(100 + i, float(i), 20_000 + i) for i in range(3000)]
+    df = spark.createDataFrame(burst + tie + cold, "g int, t double, eid long")
+    spark.conf.set(RANGES_CONF, "101")
     try:
-        seg = Auto("t", time=False).resolve(df, ["g"])
-        assert seg is not None
-        assert _rows(_scan(df, Auto("t", time=False))) == _rows(_scan(df, None))
+        cut = with_rank_segment(df, ["g"], ["t", "eid"], "s")
+        parts = cut.groupBy("g", "s").count().collect()
+        got = ordered_scan(df, ["g"], ["t", "eid"], row_number="rn")
     finally:
-        spark.conf.unset(SEGMENT_ROWS_CONF)
+        spark.conf.unset(RANGES_CONF)
+    assert max(r["count"] for r in parts) < 12_000 * 8 / 101
+    assert len(parts) <= 3002 + 100
+    w = Window.partitionBy("g").orderBy("t", "eid")
+    assert sorted(map(tuple, got.select("eid", "rn").collect())) == sorted(map(tuple, df.select("eid", F.row_number().over(w)).collect()))
+
+
+def test_building_a_scan_runs_no_job(spark):
+    df = _data(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        _scan(df)
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_first_per_is_deterministic(spark):
@@ -62,11 +105,3 @@ def test_first_per_is_deterministic(spark):
     pdf = df.toPandas().sort_values(["t", "eid"])
     want = {None if g != g else int(g): int(e) for g, e in pdf.groupby("g", dropna=False)["eid"].first().items()}
     assert {k if k is None else int(k): v for k, v in got.items()} == want
-
-
-def test_descending_segmented_scan_rejects_value_scans(spark):
-    import pytest
-    df = _data(spark, seed=5)
-    with pytest.raises(ValueError):
-        ordered_scan(df, ["g"], [F.col("t").desc()], lag={"p": "v"}, segment=F.floor(F.col("t") / 10.0),
-                     segment_desc=True)

@@ -28,7 +28,7 @@ def summarise(plan: str) -> dict[str, object]:
 
 def main() -> None:
     from trialstats.session import local_session
-    import __spark_entry__ as entry
+    from trialstats.plans import catalog
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8)
@@ -39,10 +39,13 @@ def main() -> None:
     print("window operators, Python in the plan, filters pushed into the scan.\n")
     print("| Query | Scans | Shuffles | Single | BHJ | SMJ | SHJ | Windows | Python | Pushed filters |")
     print("|---|---|---|---|---|---|---|---|---|---|")
-    for name, fn in sorted(entry.queries().items()):
+    for name, fn in sorted(catalog.queries().items()):
         df = fn(spark, sf)
-        df.write.format("noop").mode("overwrite").save()
-        s = summarise(df._jdf.queryExecution().executedPlan().toString())
+        df.collect()  # runs this frame's own plan, so that the one read below is final
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "isFinalPlan=false" in plan:
+            raise RuntimeError(f"{name}: the plan is not final")
+        s = summarise(plan.split("== Initial Plan ==")[0])
         print(f"| {name} | {s['scans']} | {s['shuffles']} | {s['single']} | {s['bhj']} | {s['smj']} | {s['shj']} "
               f"| {s['windows']} | {s['python']} | {s['pushed']} |")
 

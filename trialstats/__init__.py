@@ -7,7 +7,6 @@ Sub-packages:
 * ``operators`` — DataFrame operators: columns, missing data, ordered scans, joins,
                   reshape, statistics, outliers (P, N, W, J, R, O, A, M)
 * ``plans``     — trial coding, metrics, checks, and the query catalogue (D, E, Q)
-* ``streaming`` — empty by design; the analyses are batch only
 """
 
 __version__ = "0.1.0"

@@ -30,11 +30,6 @@ def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
 
 
-def rename_levels(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """Rename pivoted level columns **by level value**, never by position (§2.16 #12)."""
-    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
-
-
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
     """Names of the columns lying from ``first`` to ``last`` inclusive (R's ``'a':'b'``)."""
     cols = df.columns
@@ -57,10 +52,6 @@ def matching(df: DataFrame, prefix: str = "", suffix: str = "") -> list[str]:
     return [c for c in df.columns if c.lower().startswith(p) and c.lower().endswith(s)]
 
 
-def select_matching(df: DataFrame, prefix: str = "", suffix: str = "") -> DataFrame:
-    return df.select(*matching(df, prefix, suffix))
-
-
 def drop_columns(df: DataFrame, *parts: str | tuple[str, str]) -> DataFrame:
     """P5: drop names and ``(first, last)`` ranges (``select(-c('a':'b', 'x'))``)."""
     gone: list[str] = []
@@ -106,9 +97,3 @@ def is_string(f: T.StructField) -> bool:
 
 def is_numeric(f: T.StructField) -> bool:
     return isinstance(f.dataType, T.NumericType)
-
-
-def bind_columns(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
-    """P10: the reference glues column sets derived from the same table side by side;
-    here that is one projection over the same rows (no positional zip, no row parity risk)."""
-    return df.withColumns(dict(exprs))

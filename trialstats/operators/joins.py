@@ -59,13 +59,20 @@ def complete_left(df: DataFrame, keys: Sequence[str], stats: DataFrame,
     return out.fillna(dict(fill)) if fill else out
 
 
+def join_group_stats(rows: DataFrame, stats: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Statistics of each group back on its rows, whatever part of the rows one group holds.
+
+    The side of the statistics is partitioned by its own aggregate, so AQE could not split a hot key. The
+    statistics (one row per group) are repeated for each salt and the rows of a group are dealt over the
+    salts by their content. A small table of statistics is still broadcast, by its measured size.
+    """
+    salted = stats.withColumn("_jn_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(salts)).cast("int")
+    return rows.withColumn("_jn_salt", own).join(salted, [key, "_jn_salt"]).drop("_jn_salt")
+
+
 def assert_same_count(a: DataFrame, b: DataFrame) -> None:
     """Q1: row parity of two tables about to be combined (an action; for tests and checks)."""
     na, nb = a.count(), b.count()
     if na != nb:
         raise AssertionError(f"row counts differ: {na} != {nb}")
-
-
-def one_row_bind(*aggs: Column) -> list[Column]:
-    """Glue one-row aggregates side by side — written as one conditional aggregation."""
-    return list(aggs)

@@ -64,11 +64,6 @@ def coalesce_wide(df: DataFrame, cols: Sequence[str], name: str, cast: str | Non
     return out.drop(*[c for c in cols if c != name]) if drop else out
 
 
-def if_null(df: DataFrame, defaults: dict[str, Any]) -> DataFrame:
-    """Default value for missing entries of some columns."""
-    return df.withColumns({c: X.if_null(c, v) for c, v in defaults.items()})
-
-
 def pick_one_of_two(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """The value of whichever of two columns is set (null if both or neither)."""
     return df.withColumn(name, X.pick_one_of_two(a, b))

@@ -2,10 +2,10 @@
 
 * ``identify_outliers`` — box-plot rule per group: quartiles by one aggregate,
   joined back on the group (struct key, null-safe), rows outside the fences kept.
-* ``mahalanobis`` — per group means and sample covariances by one aggregate; the
-  k×k inverse is written out symbolically (adjugate / determinant) as one SQL
-  expression, so the distance is a plain column expression on every row: no
-  matrix ever travels to the driver, any number of groups works.
+* ``mahalanobis`` — per group means and sample covariances by one aggregate; their
+  Cholesky factor is a few columns on the group's row of statistics, and the distance
+  a few columns on every row: no matrix ever travels to the driver, any number of
+  groups and of columns works.
 * ``apply_per_group`` — ``applyInPandas`` for arbitrary pandas functions; with
   ``split`` the function runs on sub-groups and ``combine`` merges their partial
   results, so a hot group never lands in one task.
@@ -14,12 +14,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions.distributions import chi2_quantile
+from trialstats.operators.joins import join_group_stats
 
 _G = "_ol_group"
 
@@ -39,14 +39,10 @@ def identify_outliers(df: DataFrame, keys: Sequence[str], col: str, coef: float
     if keys:
         base = df.withColumn(_G, F.struct(*keys))
         q = base.where(x.isNotNull()).groupBy(_G).agg(quart.alias("_q"))
-        joined = base.join(q, _G, "inner")
-        q1, q3 = F.col("_q")[0], F.col("_q")[1]
-    else:  # one group: its two quartiles are plan parameters (no join)
-        row = df.where(x.isNotNull()).agg(quart.alias("q")).first()
-        if row is None or row["q"] is None:
-            return df.withColumns({"is_outlier": F.lit(False), "is_extreme": F.lit(False)}).limit(0)
-        joined = df.withColumn(_G, F.lit(0)).withColumn("_q", F.lit(0))
-        q1, q3 = F.lit(row["q"][0]), F.lit(row["q"][1])
+        joined = join_group_stats(base, q, _G)
+    else:  # one group: its quartiles are a scalar subquery (no join)
+        joined = df.withColumn(_G, F.lit(0)).withColumn("_q", df.where(x.isNotNull()).agg(quart.alias("q")).scalar())
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
     iqr = q3 - q1
     out = joined.withColumns({
         "is_outlier": (x < q1 - coef * iqr) | (x > q3 + coef * iqr),
@@ -57,62 +53,45 @@ def identify_outliers(df: DataFrame, keys: Sequence[str], col: str, coef: float
 
 # ---------------------------------------------------------------- M2
 
-def _det(m: list[list[str]]) -> str:
-    """Determinant of a symbolic matrix as SQL text (Leibniz formula; k is small)."""
-    k = len(m)
-    if k == 1:
-        return m[0][0]
-    terms = []
-    for perm in permutations(range(k)):
-        inv = sum(1 for i in range(k) for j in range(i + 1, k) if perm[i] > perm[j])
-        sign = "-" if inv % 2 else "+"
-        terms.append(sign + " " + " * ".join(m[i][perm[i]] for i in range(k)))
-    return "(" + " ".join(terms).lstrip("+ ") + ")"
-
-
-def mahalanobis_sql(cols: Sequence[str], mean: Callable[[int], str], cov: Callable[[int, int], str],
-                    value: Callable[[int], str]) -> tuple[str, str]:
-    """SQL text of (x − μ)ᵀ adj(Σ) (x − μ) and of det(Σ); the distance is their ratio
-    (Σ⁻¹ = adj(Σ) / det(Σ)). Shared with the oracle."""
-    k = len(cols)
-    m = [[cov(min(i, j), max(i, j)) for j in range(k)] for i in range(k)]
-    det = _det(m)
-    terms = []
-    for i in range(k):
-        for j in range(k):
-            minor = [[m[r][c] for c in range(k) if c != i] for r in range(k) if r != j]  # cofactor C_ji
-            cof = _det(minor) if minor else "1"
-            sign = "" if (i + j) % 2 == 0 else "-"
-            terms.append(f"({value(i)} - {mean(i)}) * ({value(j)} - {mean(j)}) * ({sign}{cof})")
-    return f"({' + '.join(terms)})", det
+def _whitening(df: DataFrame, k: int, cov) -> tuple[DataFrame, list[str]]:
+    """Cholesky factor of the k×k covariances ``cov(i, j)`` (i >= j) as columns ``_l{i}_{j}``, one step of columns at a time.
+
+    Each entry refers to earlier columns, so the text of the plan grows with k², not with k!. A factor that is not
+    positive (constant or collinear columns) is null, and with it the distance.
+    """
+    names: list[str] = []
+    for j in range(k):
+        taken = lambda i: sum((F.col(f"_l{i}_{m}") * F.col(f"_l{j}_{m}") for m in range(j)), F.lit(0.0))  # noqa: B023, E731
+        rest = cov(j, j) - taken(j)
+        df = df.withColumn(f"_l{j}_{j}", F.when(rest > F.abs(cov(j, j)) * 1e-12, F.sqrt(rest)))
+        df = df.withColumns({f"_l{i}_{j}": (cov(i, j) - taken(i)) / F.col(f"_l{j}_{j}") for i in range(j + 1, k)})
+        names += [f"_l{i}_{j}" for i in range(j, k)]
+    return df, names
 
 
 def mahalanobis(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), p: float = 0.999,
                 digits: int = 3) -> DataFrame:
     """rstatix ``mahalanobis_distance`` over complete rows: adds ``mahal_dist`` and ``is_outlier``
-    (distance above the chi-square ``p`` quantile with ``len(cols)`` degrees of freedom)."""
+    (distance above the chi-square ``p`` quantile with ``len(cols)`` degrees of freedom).
+
+    The covariances of each group are factored on its one row of statistics; a row's distance is the
+    squared length of the forward solution for its deviations, a few columns for any number of them.
+    """
     keys, cols = list(keys), list(cols)
     k = len(cols)
-    base = df.dropna(subset=cols)
-    aggs = [F.avg(F.col(c).cast("double")).alias(f"_mu{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_samp(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"_cv{i}_{j}")
-             for i in range(k) for j in range(i, k)]
-    value = lambda i: f"CAST(`{cols[i]}` AS DOUBLE)"
-    cut = chi2_quantile(p, k)
-    if keys:
-        base = base.withColumn(_G, F.struct(*keys))
-        st = base.groupBy(_G).agg(*aggs)
-        num, det = mahalanobis_sql(cols, lambda i: f"_mu{i}", lambda i, j: f"_cv{i}_{j}", value)
-        out = base.join(st, _G, "inner")
-        drop = [_G, *[c for c in st.columns if c != _G]]
-    else:  # one group: means and covariances are plan parameters (no join)
-        row = base.agg(*aggs).first()
-        lit = lambda name: "CAST(NULL AS DOUBLE)" if row[name] is None else repr(float(row[name]))
-        num, det = mahalanobis_sql(cols, lambda i: lit(f"_mu{i}"), lambda i, j: lit(f"_cv{i}_{j}"), value)
-        out, drop = base, []
-    dist = F.bround(F.expr(f"try_divide({num}, {det})"), digits)
-    out = out.withColumn("mahal_dist", dist).withColumn("is_outlier", F.col("mahal_dist") > F.lit(cut))
-    return out.drop(*drop)
+    x = [F.col(c).cast("double") for c in cols]
+    base = df.dropna(subset=cols).withColumn(_G, F.struct(*keys) if keys else F.lit(0))
+    st = base.groupBy(_G).agg(*[F.avg(x[i]).alias(f"_mu{i}") for i in range(k)],
+                              *[F.covar_samp(x[i], x[j]).alias(f"_cv{i}_{j}") for i in range(k) for j in range(i + 1)])
+    st, factor = _whitening(st, k, lambda i, j: F.col(f"_cv{i}_{j}"))
+    st = st.select(_G, *[f"_mu{i}" for i in range(k)], *factor)
+    out = join_group_stats(base, st, _G)
+    for i in range(k):
+        done = sum((F.col(f"_l{i}_{m}") * F.col(f"_z{m}") for m in range(i)), F.lit(0.0))
+        out = out.withColumn(f"_z{i}", (x[i] - F.col(f"_mu{i}") - done) / F.col(f"_l{i}_{i}"))
+    dist = F.bround(sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(k)), F.lit(0.0)), digits)
+    out = out.withColumn("mahal_dist", dist).withColumn("is_outlier", F.col("mahal_dist") > F.lit(chi2_quantile(p, k)))
+    return out.select(*df.columns, "mahal_dist", "is_outlier")
 
 
 # ---------------------------------------------------------------- M3

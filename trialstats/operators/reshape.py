@@ -22,10 +22,14 @@ def _level_name(v: Any) -> str:
 
 def pivot_wider(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str,
                 levels: Sequence[Any], names: Mapping[Any, str] | None = None) -> DataFrame:
-    """Long → wide; one column per level (named by ``names`` or by the level value)."""
+    """Long → wide; one column per level (named by ``names`` or by the level value). Two values for one cell are an error."""
     names = dict(names or {})
-    aggs = [F.first(F.when(F.col(names_from) == F.lit(lv), F.col(values_from)), ignorenulls=True)
-            .alias(names.get(lv, _level_name(lv))) for lv in levels]
+    aggs = []
+    for lv in levels:
+        value = F.when(F.col(names_from) == F.lit(lv), F.col(values_from))
+        only = F.when(F.count(value) <= 1, F.first(value, ignorenulls=True)).otherwise(
+            F.raise_error(F.lit(f"several values of {values_from} for {names_from} = {lv}")))
+        aggs.append(only.alias(names.get(lv, _level_name(lv))))
     return df.groupBy(*ids).agg(*aggs)
 
 
@@ -76,8 +80,3 @@ def relabel(c: str | Column, labels: Mapping[str, str]) -> Column:
     for k, v in labels.items():
         out = F.when(x == F.lit(k), F.lit(v)) if out is None else out.when(x == F.lit(k), F.lit(v))
     return out
-
-
-def sort_by(df: DataFrame, *cols: str | Column) -> DataFrame:
-    """O1: ``arrange`` (a global sort: a range-partitioned shuffle; use only for output)."""
-    return df.orderBy(*cols)

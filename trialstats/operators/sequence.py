@@ -1,22 +1,24 @@
 """Ordered scans inside groups: lag, row number, running sum, back-fill.
 
 The reference relies on the row order of its files. Here every scan takes an
-explicit partition key and order key, and each scan can run in one of two shapes:
-
-* ``segment=None`` — a plain window ``partitionBy(keys).orderBy(order)``. Right
-  when a group is small by nature (one participant of an experiment: some
-  hundred trials).
-* ``segment=<Column>`` — a two-level scan for groups of any size. ``segment``
-  must be non-decreasing along ``order`` inside a group (a time bucket of the
-  timestamp, ``trialNr div 4096``, the file split of a CSV row). Rows are
-  windowed per (group, segment), so a group that holds a third of all rows is
-  spread over many tasks; each segment is then summarised to one row (count,
-  last value, sum, first non-null), those few rows are scanned per group, and
-  the carry-in of every segment is joined back onto its rows. The join key is
-  the same struct the rows are already hash-partitioned on, so the big side is
-  not shuffled again.
-
-Both shapes give identical results (tests check this on every scan).
+explicit partition key and order key, and runs in one shape for groups of any size:
+
+1. ``with_rank_segment`` cuts the whole table, ordered by (keys, order), into ranges of
+   about equal numbers of rows. The cuts are rows of the table itself: those with the
+   smallest hashes of their full order key, a sample that depends on nothing but the
+   data, found by a top-k inside the same plan (no job runs while a query is built).
+   A burst or a tie in the leading order column is cut like any other run of rows,
+   as the cuts use the full key; a group of one row stays in one range.
+2. Rows are windowed per (group, range), so a group that holds a third of all rows
+   is spread over about a third of the ranges.
+3. Each (group, range) is summarised to one row (count, last value, sum, first
+   non-null): at most one for each group and one more for each cut.
+4. These rows are scanned per group, and the carry-in is joined back on the same
+   struct key the rows are already hash-partitioned on, so the big side is not
+   shuffled again.
+
+A caller that scans twice along one order computes the segment once and passes it
+on as a column.
 """
 
 from __future__ import annotations
@@ -26,59 +28,33 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT_ROWS_CONF = "spark.trialstats.segmentRows"
-DEFAULT_SEGMENT_ROWS = 2_000_000  # rows one window task may hold (a few hundred MB of trial rows)
+RANGES_CONF = "spark.trialstats.scanRanges"
+DEFAULT_RANGES = 1024  # ranges of the ordered table; more of them for more rows or more cores
+_FAN = 32  # cuts that are compared at once on each of the two levels of the search
 
 _PART = "_ts_part"      # struct(keys..., segment): partition of the inner window
-_GROUP = "_ts_group"    # struct(keys...): the logical group
 _SEG = "_ts_seg"
 _RN = "_ts_rn"
+_CUTS, _HERE, _PASSED = "_ts_cuts", "_ts_here", "_ts_passed"
 
 
-class Auto:
-    """``segment=Auto(by)``: decide the scan shape from the data.
+def with_rank_segment(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "scan_segment") -> DataFrame:
+    """Add the number of cuts up to each row, a segment that never falls along (keys, order).
 
-    One aggregate job (partial aggregation, result = one row) measures the
-    densest group: its row count and how many rows fall per unit of ``by``.
-    If no group holds more than ``spark.trialstats.segmentRows`` rows, a plain
-    window is used; otherwise segments of ``by`` are sized so that the densest
-    group puts about that many rows into each segment. ``by`` is a timestamp
-    (``time=True``, unit: microseconds) or a dense number such as a trial number.
+    ``order`` names ascending columns; with the keys it should tell rows apart, since equal
+    rows of the full key cannot be cut.
     """
-
-    def __init__(self, by: str, time: bool = True):
-        self.by, self.time = by, time
-
-    def value(self) -> Column:
-        c = F.col(self.by)
-        return F.unix_micros(c.cast("timestamp")) if self.time else c.cast("long")
-
-    def resolve(self, df: DataFrame, keys: Sequence[str]) -> Column | None:
-        spark = df.sparkSession
-        target = int(spark.conf.get(SEGMENT_ROWS_CONF, str(DEFAULT_SEGMENT_ROWS)))
-        key = (df.semanticHash(), tuple(keys), self.by, self.time, target)
-        if key not in _AUTO_CACHE:  # one measuring job per input plan and session
-            _AUTO_CACHE[key] = self._measure(df, keys, target)
-        width = _AUTO_CACHE[key]
-        return None if width is None else F.floor(self.value() / F.lit(width))
-
-    def _measure(self, df: DataFrame, keys: Sequence[str], target: int) -> int | None:
-        v = self.value()
-        per_group = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-        top = per_group.agg(F.max("n").alias("n"),
-                            F.max(F.col("n") / (F.col("hi") - F.col("lo") + 1)).alias("density")).first()
-        if top is None or top["n"] is None or top["n"] <= target:
-            return None
-        return max(1, int(target / max(top["density"], 1e-300)))
-
-
-_AUTO_CACHE: dict[tuple, int | None] = {}
-
-
-def resolve_segment(segment, df: DataFrame, keys: Sequence[str]) -> Column | None:
-    """Turn ``Auto`` into a concrete segment (or ``None``) once, on a cheap input plan, so
-    that several scans of one pipeline share the decision without re-running upstream work."""
-    return segment.resolve(df, keys) if isinstance(segment, Auto) else segment
+    ranges = int(df.sparkSession.conf.get(RANGES_CONF, str(DEFAULT_RANGES)))
+    here = F.struct(*keys, *[c for c in order if c not in keys])
+    points = df.select(here.alias("k")).orderBy(F.xxhash64("k"), "k").limit(max(1, ranges - 1))
+    every = F.filter("all", lambda _, i: (i + 1) % _FAN == 0)
+    cuts = points.agg(F.sort_array(F.collect_list("k")).alias("all")).select(F.struct("all", every.alias("some"))).scalar()
+    # a column of its own first: subqueries cannot stand inside higher-order functions
+    passed = F.size(F.filter(F.col(f"{_CUTS}.some"), lambda c: c <= F.col(_HERE))) * _FAN
+    near = F.slice(F.col(f"{_CUTS}.all"), F.col(_PASSED) + 1, _FAN)
+    return (df.withColumns({_CUTS: cuts, _HERE: here}).withColumn(_PASSED, passed)
+            .withColumn(name, F.col(_PASSED) + F.size(F.filter(near, lambda c: c <= F.col(_HERE))))
+            .drop(_CUTS, _HERE, _PASSED))
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -88,62 +64,39 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str | Column],
+    order: Sequence[str],
     *,
     lag: Mapping[str, str] | None = None,
     row_number: str | None = None,
     running_sum: Mapping[str, str] | None = None,
     fill_up: Mapping[str, str] | None = None,
-    segment: Column | Auto | None = None,
-    segment_desc: bool = False,
+    segment: Column | None = None,
+    descending: bool = False,
 ) -> DataFrame:
     """Add scan columns computed in ``order`` within each group of ``keys``.
 
     ``lag``         — ``{out: col}``: value of ``col`` on the previous row (W1).
-    ``row_number``  — name of a 1-based position column (W3, D11).
+    ``row_number``  — name of a 1-based bigint position column (W3, D11).
     ``running_sum`` — ``{out: col}``: sum of ``col`` from the first row to this one (W2);
                       nulls are skipped, as Spark's ``sum`` does.
     ``fill_up``     — ``{out: col}``: this row's ``col``, else the next non-null value
                       below it in the group (tidyr ``fill(.direction='up')``, N5/N6).
-    ``segment``     — see the module docstring; ``None`` for a plain window, ``Auto(col)``
-                      to choose from the data.
-    ``segment_desc``— the segment falls (instead of rises) along ``order``, e.g. for a
-                      scan in descending time order with a time-bucket segment.
+    ``segment``     — a column that never falls along ``order`` inside a group, where the
+                      caller has one; by default ``with_rank_segment``.
+    ``descending``  — number the rows from the last one (row numbers only).
     """
-    if isinstance(segment, Auto):
-        segment = segment.resolve(df, keys)
-    lag = dict(lag or {})
-    running_sum = dict(running_sum or {})
-    fill_up = dict(fill_up or {})
-    order_cols = _cols(order)
-    key_cols = [F.col(k) for k in keys]
-
+    lag, running_sum, fill_up = dict(lag or {}), dict(running_sum or {}), dict(fill_up or {})
+    if descending and (lag or running_sum or fill_up):
+        # the segment summaries pick the last / first row with max_by / min_by on the ascending struct
+        raise ValueError("descending supports row_number only; scan in ascending order instead")
+    columns = df.columns
     if segment is None:
-        w = Window.partitionBy(*key_cols).orderBy(*order_cols)
-        exprs: dict[str, Column] = {}
-        for out, c in lag.items():
-            exprs[out] = F.lag(c).over(w)
-        if row_number:
-            exprs[row_number] = F.row_number().over(w)
-        for out, c in running_sum.items():
-            exprs[out] = F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        for out, c in fill_up.items():
-            exprs[out] = F.first(c, ignorenulls=True).over(
-                w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        return df.withColumns(exprs)
-
-    return _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up, segment, segment_desc)
-
-
-def _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up, segment, segment_desc):
-    if segment_desc and (lag or running_sum or fill_up):
-        # the segment summaries pick the last / first row with max_by / min_by on the ascending
-        # order struct; a descending scan is supported for row numbers only
-        raise ValueError("segment_desc supports row_number only; scan in ascending order instead")
+        df, segment = with_rank_segment(df, keys, order, _SEG), F.col(_SEG)
+    order_cols = [F.col(c).desc() if descending else F.col(c) for c in order]
     part = F.struct(*[F.col(k) for k in keys], segment.alias(_SEG))
     base = df.withColumn(_PART, part)
     w_in = Window.partitionBy(_PART).orderBy(*order_cols)
-    ord_struct = F.struct(*order_cols)
+    ord_struct = F.struct(*order)
 
     inner: dict[str, Column] = {_RN: F.row_number().over(w_in)}
     for out, c in lag.items():
@@ -167,7 +120,7 @@ def _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up,
 
     # scan the (few) segment rows of each group in segment order
     seg_order = F.col(f"{_PART}.{_SEG}")
-    ws = Window.partitionBy(F.col(_PART).dropFields(_SEG)).orderBy(seg_order.desc() if segment_desc else seg_order)
+    ws = Window.partitionBy(F.col(_PART).dropFields(_SEG)).orderBy(seg_order.desc() if descending else seg_order)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     carry: dict[str, Column] = {"_ts_off": F.coalesce(F.sum("_ts_n").over(before), F.lit(0))}
     for out in lag:
@@ -184,32 +137,17 @@ def _segmented_scan(df, keys, order_cols, lag, row_number, running_sum, fill_up,
     for out in lag:
         final[out] = F.when(F.col(_RN) == 1, F.col(f"_ts_prev_{out}")).otherwise(F.col(f"_ts_lag_{out}"))
     if row_number:
-        final[row_number] = (F.col(_RN) + F.col("_ts_off")).cast("int")
+        final[row_number] = (F.col(_RN) + F.col("_ts_off")).cast("long")
     for out in running_sum:
         a, b = F.col(f"_ts_cs_{out}"), F.col(f"_ts_psum_{out}")
         final[out] = F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(
             F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     for out in fill_up:
         final[out] = F.coalesce(F.col(f"_ts_bf_{out}"), F.col(f"_ts_next_{out}"))
-    keep = [c for c in df.columns if c not in final]
+    keep = [c for c in columns if c not in final]
     return joined.select(*keep, *[e.alias(n) for n, e in final.items()])
 
 
-def lag_in_group(df, col, out, keys, order, segment=None):
-    """``out`` = previous row's ``col`` inside the group."""
-    return ordered_scan(df, keys, order, lag={out: col}, segment=segment)
-
-
-def running_sum(df, col, out, keys, order, segment=None):
-    """``out`` = cumulative sum of ``col`` inside the group."""
-    return ordered_scan(df, keys, order, running_sum={out: col}, segment=segment)
-
-
-def fill_up(df, cols, keys, order, segment=None):
-    """Fill nulls of each column from the next non-null row below."""
-    return ordered_scan(df, keys, order, fill_up={c: c for c in cols}, segment=segment)
-
-
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each group in ``order`` (``row_number() == 1``).
 
@@ -223,7 +161,8 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return picked.select(*keys, *[F.col(f"_ts_row.{c}").alias(c) for c in others])
 
 
-def run_lengths(df, keys, order, switch_col, task_col, out="n", segment=None):
+def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[str], switch_col: str, task_col: str, out: str = "n",
+                segment: Column | None = None) -> DataFrame:
     """Gaps and islands. Running count of switches numbers the runs; rows per run are counted."""
     scanned = ordered_scan(df, keys, order, running_sum={"sumSwitch": switch_col}, segment=segment)
     return scanned.groupBy(*keys, "sumSwitch", task_col).agg(F.count(F.lit(1)).cast("long").alias(out))

@@ -3,9 +3,9 @@
 All of them are ``groupBy`` aggregates with map-side partial aggregation, so a
 group that holds a third of all rows is reduced inside each map task before
 anything is shuffled. A grand total over an aggregated table is a scalar
-subquery over its checkpoint (no join, no single-partition window, one scan of
-the input); one-row statistics that parameterise a second pass (histogram
-width, density bandwidth) are read as plan parameters.
+subquery (no join, no single-partition window), and so are the one-row statistics
+that parameterise a second pass (histogram width, density bandwidth): building a
+query runs no job.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialstats.functions.distributions import t975
-from trialstats.session import ensure_checkpoint_dir
+from trialstats.operators.joins import join_group_stats
 
 FULL = ("n", "min", "max", "median", "q1", "q3", "iqr", "mad", "mean", "sd", "se", "ci")
 COMMON = ("n", "min", "max", "median", "iqr", "mean", "sd", "se", "ci")
@@ -46,20 +46,14 @@ def freq_table(df: DataFrame, keys: Sequence[str], n: str = "n", prop: str = "pr
     """Counts and percent (1 decimal) within all keys but the last; rows with a null key removed."""
     keys = list(keys)
     counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    if len(keys) > 1:
-        total = F.sum(n).over(Window.partitionBy(*keys[:-1]))
-    else:
-        counts, total = _with_grand_total(counts, n)
+    total = F.sum(n).over(Window.partitionBy(*keys[:-1])) if len(keys) > 1 else _grand_total(counts, n)
     return counts.withColumn(prop, F.bround(F.lit(100.0) * F.col(n) / total, 1))
 
 
-def _with_grand_total(counts: DataFrame, n: str) -> tuple[DataFrame, Column]:
-    """The sum of ``n`` over a whole aggregated table, without a single-partition window
-    (the table may have many rows) and without scanning the input twice: the aggregate
-    is checkpointed to the shared checkpoint folder, the total is a scalar subquery on it."""
-    ensure_checkpoint_dir(counts.sparkSession)
-    counts = counts.checkpoint(eager=True)
-    return counts, counts.select(F.sum(n)).scalar()
+def _grand_total(counts: DataFrame, n: str) -> Column:
+    """The sum of ``n`` over a whole aggregated table as a scalar subquery, without a single-partition
+    window (the table may have many rows); the exchange of the counts is reused."""
+    return counts.select(F.sum(n)).scalar()
 
 
 # ---------------------------------------------------------------- A11
@@ -124,10 +118,9 @@ def summary_stats(
             qs.alias("_q"), F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd")]
     if kind == "full":
         # two passes: the group medians, then one aggregate for everything including the
-        # median absolute deviation; the medians table has one row per group, so the join
-        # is a broadcast when small (AQE) and a skew-split sort-merge join when not
+        # median absolute deviation
         med = long.groupBy(_G).agg(pct(F.col("value"), F.lit(0.5)).alias("_med"))
-        long = long.join(med, _G)
+        long = join_group_stats(long, med, _G)
         aggs.append(pct(F.abs(F.col("value") - F.col("_med")), F.lit(0.5)).alias("_mad"))
     st = long.groupBy(_G).agg(*aggs)
     r = lambda c: F.bround(c, digits)
@@ -165,17 +158,15 @@ def histogram(df: DataFrame, col: str, binwidth: float | None = None, bins: int
     keys = list(keys)
     x = F.col(col).cast("double")
     base = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
-    if binwidth is None:  # ggplot's width from the range: one small aggregate, used as a plan parameter
-        w_val = base.select(((F.max("_x") - F.min("_x")) / F.lit(bins - 1)).alias("w")).first()["w"]
-        w = F.lit(w_val if w_val else 1.0)
+    if binwidth is None:  # ggplot's width from the range, a scalar subquery
+        width = base.select(((F.max("_x") - F.min("_x")) / F.lit(bins - 1)).alias("w")).scalar()
+        w = F.coalesce(F.nullif(width, F.lit(0.0)), F.lit(1.0))
     else:
         w = F.lit(float(binwidth))
-    idx = F.floor(F.col("_x") / w + F.lit(0.5)).cast("long")
+    base = base.withColumn("_bin", F.floor(F.col("_x") / w + F.lit(0.5)).cast("long"))
+    idx = F.col("_bin")
     counts = base.groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    if keys:
-        total = F.sum("count").over(Window.partitionBy(*keys))
-    else:
-        counts, total = _with_grand_total(counts, "count")
+    total = F.sum("count").over(Window.partitionBy(*keys)) if keys else _grand_total(counts, "count")
     return counts.select(*keys, "bin", (F.col("bin") * w).alias("x"), "count",
                          (F.col("count") / (total * w)).alias("density"))
 
@@ -186,15 +177,14 @@ def bandwidth_nrd0(sd: Column, iqr: Column, n: Column) -> Column:
     return F.lit(0.9) * lo * F.pow(n.cast("double"), F.lit(-0.2))
 
 
-def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0, bins: int = 4096) -> DataFrame:
+def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0, reach: float = 7.0) -> DataFrame:
     """Gaussian kernel density of ``col`` on ``points`` grid points (R ``density`` defaults).
 
-    Two passes over the data. Pass 1 is one aggregate (n, min, max, sd, quartiles → the
-    rule-of-thumb bandwidth); its single row is read as plan parameters. Pass 2 reduces the
-    data to at most ``bins`` equal-width bins (partial aggregation: the shuffle does not grow
-    with the row count). The bins are folded into one row of arrays, the grid is generated
-    from that row with ``explode(sequence(...))``, and each grid point sums the kernel over the
-    bins with a higher-order function — no join, no Python. Grid: min − cut·bw … max + cut·bw.
+    Equal values are counted once, without bins, so no value is moved. The rule-of-thumb bandwidth and
+    the grid (min − cut·bw … max + cut·bw) come from one aggregate, a scalar subquery. Each distinct
+    value adds its kernel to the grid points within ``reach`` bandwidths (beyond them it is below
+    3e-11 of its peak), summed per point with map-side partial aggregation: no join, no Python, and
+    at most ``points`` rows leave a task.
     """
     x = F.col(col).cast("double")
     base = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
@@ -202,21 +192,15 @@ def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0, bins:
                   F.stddev_samp("_x").alias("sd"),
                   F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     st = st.withColumn("bw", bandwidth_nrd0(F.col("sd"), F.col("q")[1] - F.col("q")[0], F.col("n")))
-    p = st.select("n", "lo", "hi", "bw").first()  # one row of parameters
-    schema = "point int, x double, density double"
-    if p is None or not p["n"] or p["bw"] is None:
-        return df.sparkSession.createDataFrame([], schema)
-    n, lo, hi, bw = p["n"], p["lo"], p["hi"], p["bw"]
-    width = max((hi - lo) / bins, 1e-12)
-    b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    binned = base.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    folded = binned.agg(F.collect_list(F.struct((F.lit(lo) + (F.col("b") + 0.5) * F.lit(width)).alias("x"),
-                                                F.col("c").cast("double").alias("c"))).alias("bins"))
-    g0, g1 = lo - cut * bw, hi + cut * bw
-    g = folded.select("bins", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    g = g.withColumn("x", F.lit(g0) + F.col("i") * F.lit((g1 - g0) / (points - 1)))
-    kern = F.aggregate(
-        "bins", F.lit(0.0),
-        lambda acc, e: acc + e["c"] * F.exp(F.lit(-0.5) * F.pow((F.col("x") - e["x"]) / F.lit(bw), 2)))
-    norm = F.lit(n * bw * 2.5066282746310002)  # n · bw · sqrt(2π)
-    return g.select(F.col("i").alias("point"), "x", F.bround(kern / norm, 6).alias("density"))
+    start, end = F.col("lo") - cut * F.col("bw"), F.col("hi") + cut * F.col("bw")
+    grid = st.select(F.struct("n", "bw", start.alias("start"), ((end - start) / (points - 1)).alias("step")).alias("grid")).scalar()
+    g = {c: F.col(f"_grid.{c}") for c in ("n", "bw", "start", "step")}
+    near = lambda side: (F.col("_x") + side * reach * g["bw"] - g["start"]) / g["step"]
+    first, last = F.greatest(F.ceil(near(-1)), F.lit(0)).cast("int"), F.least(F.floor(near(1)), F.lit(points - 1)).cast("int")
+    values = base.groupBy("_x").agg(F.count(F.lit(1)).cast("double").alias("c")).withColumn("_grid", grid).where(g["bw"] > 0)
+    at = values.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
+    kernel = F.col("c") * F.exp(F.lit(-0.5) * F.pow((g["start"] + F.col("point") * g["step"] - F.col("_x")) / g["bw"], 2))
+    none = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"), F.lit(0.0).alias("k"))
+    total = at.select("point", kernel.alias("k")).unionAll(none).groupBy("point").agg(F.sum("k").alias("k")).withColumn("_grid", grid)
+    norm = g["n"] * g["bw"] * F.lit(2.5066282746310002)  # n · bw · sqrt(2π)
+    return total.where(g["bw"] > 0).select("point", (g["start"] + F.col("point") * g["step"]).alias("x"), F.bround(F.col("k") / norm, 6).alias("density"))

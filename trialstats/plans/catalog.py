@@ -37,8 +37,9 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials_from_events(table(spark, sf_dir, "events"))
 
 
-def _trial_query(name: str, metric: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
-    register(name, sql)(lambda spark, sf_dir: metric(trials(spark, sf_dir)))
+def _trial_query(name: str, metric: Callable[[DataFrame], DataFrame], sql: str | None, scans: bool = False) -> None:
+    """``scans``: the metric scans along the trial numbers and takes the segment of the coding."""
+    register(name, sql)(lambda spark, sf_dir: metric(trials_from_events(table(spark, sf_dir, "events"), with_segment=scans)))
 
 
 # ================================================================ SQL building blocks
@@ -288,27 +289,27 @@ _trial_query("task_selection_counterbalance", M.task_selection_counterbalance, w
 _trial_query("running_switches", M.running_switches, with_trials(X2.split(",\nx2 AS")[0]) + """
 SELECT id, countBal, cBal, block, blockNr, trialNr, trial_type, task_cued, t.task_perf, resp, rt, corr,
        switch_type, switch, p8.sumSwitch
-FROM trials t JOIN p8 USING (id, block, blockNr, trialNr)""")
-_trial_query("run_lengths", M.run_lengths, with_trials(X2) + "SELECT * FROM x2")
+FROM trials t JOIN p8 USING (id, block, blockNr, trialNr)""", scans=True)
+_trial_query("run_lengths", M.run_lengths, with_trials(X2) + "SELECT * FROM x2", scans=True)
 _trial_query("run_length_task", M.run_length_task, with_trials(
-    X2, "l AS (SELECT task_perf, 'n' AS variable, n AS value FROM x2)") + summary_sql("l", ["task_perf"]))
+    X2, "l AS (SELECT task_perf, 'n' AS variable, n AS value FROM x2)") + summary_sql("l", ["task_perf"]), scans=True)
 _trial_query("run_length_block_task", lambda t: M.run_length_task(t, ("block", "task_perf")), with_trials(
     X2, "l AS (SELECT block, task_perf, 'n' AS variable, n AS value FROM x2)")
-    + summary_sql("l", ["block", "task_perf"]))
+    + summary_sql("l", ["block", "task_perf"]), scans=True)
 _trial_query("run_length_id_task", M.run_length_id_task, with_trials(
     X2, "l AS (SELECT id, task_perf, 'n' AS variable, n AS value FROM x2 WHERE block = 'freeOnly')",
     "s AS (" + summary_sql("l", ["id", "task_perf"]) + ")") + """
-SELECT nullif(id, 0) AS id, task_perf, nullif(n, 0) AS n, nullif(mean, 0) AS mean, nullif(se, 0) AS se FROM s""")
+SELECT nullif(id, 0) AS id, task_perf, nullif(n, 0) AS n, nullif(mean, 0) AS mean, nullif(se, 0) AS se FROM s""", scans=True)
 _trial_query("run_length_skeleton", M.run_length_skeleton, with_trials(
     X2, "l AS (SELECT id, task_perf, 'n' AS variable, n AS value FROM x2 WHERE block = 'freeOnly')",
     "s AS (" + summary_sql("l", ["id", "task_perf"]) + ")",
     "fr AS (SELECT DISTINCT id, task_perf FROM x2)") + """
 SELECT fr.id, fr.task_perf, s.variable, CAST(coalesce(s.n, 0) AS BIGINT) AS n, s.min, s.max, s.median,
        s.iqr, coalesce(s.mean, 0) AS mean, s.sd, s.se, s.ci
-FROM fr LEFT JOIN s ON fr.id IS NOT DISTINCT FROM s.id AND fr.task_perf IS NOT DISTINCT FROM s.task_perf""")
+FROM fr LEFT JOIN s ON fr.id IS NOT DISTINCT FROM s.id AND fr.task_perf IS NOT DISTINCT FROM s.task_perf""", scans=True)
 _trial_query("run_length_counterbalance", M.run_length_counterbalance, with_trials(
     X2, CBAL, "l AS (SELECT cb.cBal, x2.block, x2.task_perf, 'n' AS variable, x2.n AS value "
-              "FROM x2 LEFT JOIN cb ON x2.id = cb.id)") + summary_sql("l", ["cBal", "block", "task_perf"]))
+              "FROM x2 LEFT JOIN cb ON x2.id = cb.id)") + summary_sql("l", ["cBal", "block", "task_perf"]), scans=True)
 
 # ================================================================ E18: accuracy
 
@@ -321,7 +322,7 @@ _trial_query("accuracy_task", M.accuracy_task, with_trials(
     + summary_sql("l", ["block", "task_perf"]))
 _trial_query("accuracy_id", M.accuracy_id,
              with_trials(_acc_sql("switch_type IS NOT NULL", "id, block, switch_type")) + "SELECT * FROM acc")
-_trial_query("accuracy_block_switch_type", M.accuracy_block_switch_type, with_trials(
+_trial_query("accuracy_block_switch_type", lambda t: M.accuracy_block_switch_type(t, M.EXCLUDED_GROUPS), with_trials(
     _acc_sql("switch_type IS NOT NULL", "id, block, switch_type"),
     "l AS (SELECT block, switch_type, 'acc' AS variable, acc AS value FROM acc "
     "WHERE NOT (id = 107 AND switch_type = 'stay_loc'))",

@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import os
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions import scalars as X
-from trialstats.functions.distributions import chi2_quantile
 from trialstats.operators import columns as P
 from trialstats.operators import joins as J
 from trialstats.operators import missing as N
 from trialstats.operators import outliers as O
 from trialstats.operators import reshape as R
 from trialstats.operators import stats as S
-from trialstats.operators.sequence import Auto, first_per, ordered_scan
+from trialstats.operators.sequence import first_per, ordered_scan
 from trialstats.plans import metrics as M
-from trialstats.plans.catalog import ORDER_CASE, _long, _trial_query, register, trials
+from trialstats.plans.catalog import CBAL, ORDER_CASE, S1, _long, _trial_query, register, trials
 from trialstats.plans.oracle_sql import EVENTS_BASE, summary_sql, with_trials
 from trialstats.plans.trials import (
-    code_switches, code_trials, coded_events, counterbalance, block_order, cued_task, events_as_trials,
-    events_segment, loop_name, wide_logs_from_events,
+    COUNTERBALANCES, code_switches, code_trials, coded_events, counterbalance, block_order, cued_task, events_as_trials,
+    loop_name, wide_logs_from_events,
 )
 from trialstats.session import materialize
 from trialstats.sources.csv_logs import stack_by_name
@@ -37,24 +35,20 @@ def _events(spark, sf_dir):
 
 
 def _wide(spark, sf_dir) -> DataFrame:
-    """The wide-log fixture: ``events`` in the reference's one-hot log shape, written once per
-    checkpoint folder (it stands for the CSV logs on disk; reading it back keeps the decoding
-    plans small). The key includes the events file's size and modification time."""
-    path = os.path.join(sf_dir, "events.parquet")
-    st = os.stat(path) if os.path.exists(path) else None
-    key = f"{os.path.abspath(path)}:{st.st_size if st else ''}:{st.st_mtime_ns if st else ''}"
-    return materialize(wide_logs_from_events(_events(spark, sf_dir), segment=events_segment()), "wide_logs", key)
+    """The wide-log fixture: ``events`` in the reference's one-hot log shape, written to the shared folder anew for
+    each query (it stands for the CSV logs on disk; a plan over its hundred computed columns would not compile)."""
+    return materialize(wide_logs_from_events(_events(spark, sf_dir)), "wide_logs")
 
 
 # ================================================================ D9-D12: coding
 
 register("switch_type", with_trials() + """
 SELECT id, blockNr, trialNr, event_id, task_perf, switch_type, switch FROM coded3""")(
-    lambda spark, sf: coded_events(_events(spark, sf), events_segment())
+    lambda spark, sf: coded_events(_events(spark, sf))
     .select("id", "blockNr", "trialNr", "event_id", "task_perf", "switch_type", "switch"))
 
 register("trials_coded", with_trials() + "SELECT * FROM trials")(
-    lambda spark, sf: code_trials(_wide(spark, sf), file_key="participant", segment=events_segment()))
+    lambda spark, sf: code_trials(_wide(spark, sf), file_key="participant"))
 
 register("trials_from_events", with_trials() + "SELECT * FROM trials")(trials)
 
@@ -69,7 +63,7 @@ SELECT id, blockNr, event_id, task_perf,
        CASE WHEN task_perf = prev AND task_perf IN ('loc', 'shape') THEN CAST(0 AS DOUBLE)
             WHEN task_perf IN ('loc', 'shape') AND prev IN ('loc', 'shape') THEN CAST(1 AS DOUBLE) END AS switch
 FROM lg""")(lambda spark, sf: code_switches(events_as_trials(_events(spark, sf)), keys=("id",),
-                                            order=("ts", "event_id"), segment=Auto("ts"), unknown="unknownSwitch")
+                                            order=("ts", "event_id"), unknown="unknownSwitch")
             .select("id", "blockNr", "event_id", "task_perf", "switch_type", "switch"))
 
 # ================================================================ wide-log fixture operators (N, F, X)
@@ -98,7 +92,7 @@ register("fill_up", with_trials() + "SELECT event_id, blockNr FROM coded3")(
 def _fill_up(w: DataFrame) -> DataFrame:
     reps = P.matching(w, "nBlocks", "_thisRepN")
     w = w.withColumn("_blk", X.to_int(X.unite(reps)) + 1)
-    w = ordered_scan(w, ["participant"], ["ts", "event_id"], fill_up={"blockNr": "_blk"}, segment=events_segment())
+    w = ordered_scan(w, ["participant"], ["ts", "event_id"], fill_up={"blockNr": "_blk"})
     return w.select("event_id", "blockNr")
 
 
@@ -157,13 +151,15 @@ def _row_sum(w: DataFrame) -> DataFrame:
 
 
 register("pick_one_of_two", "WITH " + _LAST + """
-SELECT event_id, CAST(CASE WHEN is_last AND countBal = 1 THEN blockNr - 1 END AS INTEGER) AS blockRep
+SELECT event_id, CAST(CASE WHEN is_last THEN blockNr - 1 END AS INTEGER) AS blockRep
 FROM lastr""")(lambda spark, sf: _pick(_wide(spark, sf)))
 
 
 def _pick(w: DataFrame) -> DataFrame:
-    a, b = loop_name("Blocks", "mix", 1, "thisRepN"), loop_name("Blocks", "free", 1, "thisRepN")
-    return N.pick_one_of_two(w, a, b, "_p").select("event_id", X.to_int("_p").alias("blockRep"))
+    """The counter of the mixed or the free blocks of each counterbalance; a row has values in its own counterbalance only."""
+    for cb in COUNTERBALANCES:
+        w = N.pick_one_of_two(w, loop_name("Blocks", "mix", cb, "thisRepN"), loop_name("Blocks", "free", cb, "thisRepN"), f"_p{cb}")
+    return w.select("event_id", X.to_int(F.coalesce(*[f"_p{cb}" for cb in COUNTERBALANCES])).alias("blockRep"))
 
 
 register("filter_all_not_null", with_trials() + """
@@ -180,7 +176,7 @@ _CODED_COLS = ["id", "countBal", "cBal", "block", "blockNr", "trialNr", "trial_t
                "resp", "rt", "corr", "switch_type", "switch"]
 register("null_profile", with_trials() + "SELECT " + ", ".join(
     f"CAST(count(*) - count({c}) AS BIGINT) AS {c}" for c in _CODED_COLS) + " FROM coded3")(
-    lambda spark, sf: S.null_profile(coded_events(_events(spark, sf), events_segment()).select(*_CODED_COLS)))
+    lambda spark, sf: S.null_profile(coded_events(_events(spark, sf)).select(*_CODED_COLS)))
 
 # ================================================================ D1, D2, D6 and scalar functions
 
@@ -469,33 +465,51 @@ FROM acc a JOIN q ON a.id IS NOT DISTINCT FROM q.id AND a.block IS NOT DISTINCT
 WHERE acc < q1 - 1.5 * (q3 - q1) OR acc > q3 + 1.5 * (q3 - q1)""")
 
 
-def _mahal_sql(keys: list[str]) -> str:
-    cols = ["rt", "corr", "trialNr"]
-    num, det = O.mahalanobis_sql(cols, lambda i: f"mu{i}", lambda i, j: f"cv{i}_{j}",
-                                 lambda i: f"CAST({cols[i]} AS DOUBLE)")
-    k = ", ".join(keys)
+def _inverse_ctes(k: int) -> tuple[list[str], str]:
+    """Gauss-Jordan elimination of the statistics ``s`` as a chain of CTEs, and the name of the last; entries are a{i}_{j}."""
+    first = [f"cv{max(i, j)}_{min(i, j)} AS a{i}_{j}" if j < k else f"CAST({int(i == j - k)} AS DOUBLE) AS a{i}_{j}" for i in range(k) for j in range(2 * k)]
+    ctes = ["e0 AS (SELECT s.*, " + ", ".join(first) + " FROM s)"]
+    for p in range(k):
+        entry = [f"a{p}_{j} / a{p}_{p} AS a{p}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p} AS a{i}_{j}" for i in range(k) for j in range(2 * k)]
+        names = ", ".join(f"a{i}_{j}" for i in range(k) for j in range(2 * k))
+        ctes.append(f"e{p + 1} AS (SELECT * EXCLUDE ({names}), {', '.join(entry)} FROM e{p})")
+    return ctes, f"e{k}"
+
+
+def _mahal_sql(source: str, cols: list[str], keys: list[str], shown: list[str]) -> tuple[list[str], str]:
+    """(CTEs, SELECT) of the distances over ``source`` by an explicit inverse."""
+    k, g = len(cols), "".join(f"{x}, " for x in keys)
     aggs = [f"avg(CAST({c} AS DOUBLE)) AS mu{i}" for i, c in enumerate(cols)]
-    aggs += [f"covar_samp(CAST({cols[i]} AS DOUBLE), CAST({cols[j]} AS DOUBLE)) AS cv{i}_{j}"
-             for i in range(3) for j in range(i, 3)]
-    join = " AND ".join(f"t.{x} IS NOT DISTINCT FROM s.{x}" for x in keys) or "TRUE"
-    grp = f"GROUP BY {k}" if keys else ""
-    cut = chi2_quantile(0.999, 3)
-    sel = ", ".join(["t.id", "t.blockNr", "t.trialNr", "t.block", "t.rt", "t.corr"])
-    return with_trials(f"s AS (SELECT {k}{', ' if keys else ''}{', '.join(aggs)} FROM trials "
-                       f"WHERE rt IS NOT NULL AND corr IS NOT NULL AND trialNr IS NOT NULL {grp})") + f"""
-SELECT {sel}, round_even(({num}) / nullif({det}, 0), 3) AS mahal_dist,
-       round_even(({num}) / nullif({det}, 0), 3) > {cut!r} AS is_outlier
-FROM trials t JOIN s ON {join}
-WHERE t.rt IS NOT NULL AND t.corr IS NOT NULL AND t.trialNr IS NOT NULL"""
+    aggs += [f"covar_samp(CAST({cols[i]} AS DOUBLE), CAST({cols[j]} AS DOUBLE)) AS cv{i}_{j}" for i in range(k) for j in range(i + 1)]
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    steps, last = _inverse_ctes(k)
+    terms = [f"(CAST(t.{cols[i]} AS DOUBLE) - mu{i}) * a{i}_{k + j} * (CAST(t.{cols[j]} AS DOUBLE) - mu{j})" for i in range(k) for j in range(k)]
+    join = " AND ".join(f"t.{x} IS NOT DISTINCT FROM {last}.{x}" for x in keys) or "TRUE"
+    ctes = [f"s AS (SELECT {g}{', '.join(aggs)} FROM {source} WHERE {whole} GROUP BY ALL)", *steps,
+            f"dist AS (SELECT {', '.join('t.' + c for c in shown)}, round_even({' + '.join(terms)}, 3) AS mahal_dist FROM {source} t JOIN {last} ON {join} WHERE {whole})"]
+    # 0.999 quantiles of the chi-square distribution with 3 and 7 degrees of freedom
+    return ctes, f"SELECT *, mahal_dist > {({3: 16.26623619623813, 7: 24.321886347856854})[k]} AS is_outlier FROM dist"
+
+
+_MAHAL_SHOWN = ["id", "blockNr", "trialNr", "block", "rt", "corr"]
+
+
+def _mahal_trials_sql(keys: list[str]) -> str:
+    ctes, query = _mahal_sql("trials", ["rt", "corr", "trialNr"], keys, _MAHAL_SHOWN)
+    return with_trials(*ctes) + query
 
 
 def _mahal(t: DataFrame, keys) -> DataFrame:
-    out = O.mahalanobis(t, ["rt", "corr", "trialNr"], keys)
-    return out.select("id", "blockNr", "trialNr", "block", "rt", "corr", "mahal_dist", "is_outlier")
+    return O.mahalanobis(t, ["rt", "corr", "trialNr"], keys).select(*_MAHAL_SHOWN, "mahal_dist", "is_outlier")
 
 
-_trial_query("mahalanobis_rt_corr", lambda t: _mahal(t, ["block"]), _mahal_sql(["block"]))
-_trial_query("mahalanobis_all", lambda t: _mahal(t, []), _mahal_sql([]))
+_WIDE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_linenumber"]
+_WIDE_CTES, _WIDE_QUERY = _mahal_sql("lineitem", _WIDE_COLS, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_returnflag"])
+register("mahalanobis_seven_columns", "WITH " + ",\n".join(_WIDE_CTES) + "\n" + _WIDE_QUERY)(
+    lambda spark, sf: O.mahalanobis(table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", *_WIDE_COLS), _WIDE_COLS, ["l_returnflag"])
+    .select("l_orderkey", "l_linenumber", "l_returnflag", "mahal_dist", "is_outlier"))
+_trial_query("mahalanobis_rt_corr", lambda t: _mahal(t, ["block"]), _mahal_trials_sql(["block"]))
+_trial_query("mahalanobis_all", lambda t: _mahal(t, []), _mahal_trials_sql([]))
 
 
 def _partial_sums(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -551,20 +565,41 @@ register("experiment_duration", """WITH l AS (
   SELECT 'globalClockTime' AS variable, (value * 60) / 60 AS value FROM events WHERE event_type = 'signup')
 """ + summary_sql("l", []))(lambda spark, sf: experiment_duration(_events(spark, sf)))
 
+# ================================================================ further grains of E1, E18, E19, A13; J2
+
+_trial_query("vsr_block_number", lambda t: M.vsr(t, ("id", "blockNr"), free_only=False), with_trials() + """
+SELECT id, blockNr, sum(switch) AS switch_sum, CAST(count(*) AS BIGINT) AS n, round_even(sum(switch) / count(*), 3) AS vsr
+FROM trials WHERE switch IS NOT NULL GROUP BY id, blockNr""")
+_ACC_TYPE = """acc AS (SELECT id, switch_type, CAST(coalesce(sum(corr), 0) AS BIGINT) AS sumCorr, CAST(count(*) AS BIGINT) AS n,
+  CAST(coalesce(sum(corr), 0) AS DOUBLE) / count(*) AS acc FROM trials WHERE switch_type IS NOT NULL GROUP BY id, switch_type)"""
+_trial_query("accuracy_id_switch_type", lambda t: M.accuracy_id(t, ("id", "switch_type")), with_trials(_ACC_TYPE) + "SELECT * FROM acc")
+_trial_query("accuracy_switch_type", M.accuracy_switch_type, with_trials(
+    _ACC_TYPE, "l AS (SELECT switch_type, 'acc' AS variable, acc AS value FROM acc)",
+    "s AS (" + summary_sql("l", ["switch_type"]) + ")") + f"""
+SELECT *, round_even(mean - 2 * se, 3) AS lower, round_even(mean + 2 * se, 3) AS upper, {ORDER_CASE} FROM s""")
+_trial_query("rt_by_switch_type_only", lambda t: M.rt_by_switch_type(t, ("switch_type",)), with_trials(
+    "l AS (SELECT switch_type, 'rt' AS variable, rt AS value FROM trials WHERE switch_type IS NOT NULL)",
+    "s AS (" + summary_sql("l", ["switch_type"]) + ")") + f"""
+SELECT *, round_even(mean - 2 * se, 3) AS lower, round_even(mean + 2 * se, 3) AS upper, {ORDER_CASE} FROM s""")
+_trial_query("vsr_with_counterbalance", lambda t: J.left_join(M.vsr(t), M.counterbalance_of(t), "id"), with_trials(
+    CBAL, S1) + "SELECT s1.*, cb.cBal FROM s1 LEFT JOIN cb ON s1.id IS NOT DISTINCT FROM cb.id")
+
+_LOOPS = {(k, cb): loop_name("Blocks", k, cb, "thisRepN") for cb in COUNTERBALANCES for k in ("mix", "free")}
+register("loop_counters", "WITH " + _LAST + "SELECT event_id, " + ", ".join(
+    f"CAST(CASE WHEN is_last AND countBal = {cb} AND block = '{'mixed' if k == 'mix' else 'freeOnly'}' THEN blockNr - 1 END AS INTEGER) AS {name}"
+    for (k, cb), name in _LOOPS.items()) + " FROM lastr")(
+    lambda spark, sf: _wide(spark, sf).select("event_id", *[X.to_int(c).alias(c) for c in _LOOPS.values()]))
+
 _trial_query("rt_density", lambda t: S.density(t, "rt"), with_trials("""
 st AS (SELECT count(rt) AS n, min(rt) AS lo, max(rt) AS hi, stddev_samp(rt) AS sd,
               quantile_cont(rt, 0.25) AS q1, quantile_cont(rt, 0.75) AS q3 FROM trials WHERE rt IS NOT NULL)""",
     """bw AS (SELECT *, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
-                          ELSE sd END) * pow(CAST(n AS DOUBLE), -0.2) AS bw,
-              greatest((hi - lo) / 4096, 1e-12) AS width FROM st)""",
-    """bins AS (SELECT least(floor((rt - bw.lo) / bw.width), 4095) AS b, count(*) AS c
-                FROM trials, bw WHERE rt IS NOT NULL GROUP BY 1)""",
+                          ELSE sd END) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st)""",
     """grid AS (SELECT i, (lo - 3.0 * bw) + i * (((hi + 3.0 * bw) - (lo - 3.0 * bw)) / 511) AS x
                 FROM range(512) r(i), bw)""") + """
 SELECT CAST(i AS INTEGER) AS point, x,
-       round_even(sum(c * exp(-0.5 * pow((x - (lo + (b + 0.5) * width)) / bw, 2))) / (n * bw * 2.5066282746310002), 6)
-         AS density
-FROM grid, bins, bw GROUP BY i, x, n, bw""")
+       round_even(sum(exp(-0.5 * pow((x - rt) / bw, 2))) / (n * bw * 2.5066282746310002), 6) AS density
+FROM grid, trials, bw WHERE rt IS NOT NULL GROUP BY i, x, n, bw""")
 
 
 # ================================================================ duration and frame-rate histograms

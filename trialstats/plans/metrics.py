@@ -18,12 +18,13 @@ from trialstats.operators import joins as J
 from trialstats.operators import reshape as R
 from trialstats.operators import stats as S
 from trialstats.operators.columns import mutate_keep_unused
-from trialstats.operators.sequence import Auto, first_per, ordered_scan
+from trialstats.plans.trials import SEGMENT
+from trialstats.operators.sequence import first_per, ordered_scan
 
 SWITCH_TYPE_ORDER = ("stay_loc", "switch_loc", "stay_shape", "switch_shape")  # plot order of the reference
 DIFFICULTY_LABELS = {"easy": "Easy", "diff": "Difficult"}
 TASK_LABELS = {"loc": "Easy", "shape": "Difficult"}
-EXCLUDED_GROUPS = ((107, "stay_loc"),)  # the one odd (id, switch_type) group the reference leaves out
+EXCLUDED_GROUPS = ((107, "stay_loc"),)  # the one odd (id, switch_type) group that the reference's plot leaves out
 
 def free() -> Column:
     return F.col("trial_type") == "free"
@@ -133,6 +134,11 @@ def vsr_by_counterbalance(trials: DataFrame) -> DataFrame:
     return S.summary_stats(vsr(trials, keys=("id", "cBal", "block")), ["cBal", "block"], ["vsr"])
 
 
+def counterbalance_of(trials: DataFrame) -> DataFrame:
+    """The block order (``cBal``) on each participant's first row, the right side of the reference's join."""
+    return first_per(trials, ["id"], ["blockNr", "trialNr"]).select("id", "cBal")
+
+
 # ---------------------------------------------------------------- E10-E13 (switch / stay shares)
 
 def switch_types_per_id(trials: DataFrame) -> DataFrame:
@@ -273,22 +279,19 @@ def task_selection_counterbalance(trials: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- E17 (run lengths)
 
-def running_switches(trials: DataFrame, segment: Column | Auto | None | str = "auto",
-                     keys: Sequence[str] = ("id", "block", "blockNr")) -> DataFrame:
+def running_switches(trials: DataFrame, keys: Sequence[str] = ("id", "block", "blockNr")) -> DataFrame:
     """Running count of switches in (id, block, blockNr) over free trials with a known status.
 
-    The trial number is dense, so ``auto`` cuts a hot block into equal runs of trial numbers.
+    Trials that still carry the segment of their coding (``trials_from_events(with_segment=True)``) are not ranked again.
     """
-    seg = Auto("trialNr", time=False) if isinstance(segment, str) else segment
     base = trials.where(known_switch() & free())
-    return ordered_scan(base, list(keys), ["trialNr"], running_sum={"sumSwitch": "switch"}, segment=seg)
+    segment = F.col(SEGMENT) if SEGMENT in trials.columns else None
+    return ordered_scan(base, list(keys), ["trialNr"], running_sum={"sumSwitch": "switch"}, segment=segment).drop(SEGMENT)
 
 
-def run_lengths(trials: DataFrame, segment: Column | None | str = "auto",
-                keys: Sequence[str] = ("id", "block", "blockNr")) -> DataFrame:
+def run_lengths(trials: DataFrame, keys: Sequence[str] = ("id", "block", "blockNr")) -> DataFrame:
     """Trials per run (id, block, blockNr, running switches, task) — gaps and islands."""
-    p8 = running_switches(trials, segment, keys)
-    return S.count_by(p8, [*keys, "sumSwitch", "task_perf"])
+    return S.count_by(running_switches(trials, keys), [*keys, "sumSwitch", "task_perf"])
 
 
 def run_length_task(trials: DataFrame, keys: Sequence[str] = ("task_perf",)) -> DataFrame:
@@ -342,25 +345,31 @@ def accuracy_task(trials: DataFrame) -> DataFrame:
     return S.summary_stats(acc, ["block", "task_perf"], ["acc"])
 
 
-def accuracy_id(trials: DataFrame) -> DataFrame:
-    """Accuracy per (id, block, switch type)."""
-    return accuracy_table(trials.where(F.col("switch_type").isNotNull()), ["id", "block", "switch_type"])
+def accuracy_id(trials: DataFrame, keys: Sequence[str] = ("id", "block", "switch_type")) -> DataFrame:
+    """Accuracy per (id, block, switch type), or per (id, switch type) over both blocks."""
+    return accuracy_table(trials.where(F.col("switch_type").isNotNull()), list(keys))
+
+
+def accuracy_switch_type(trials: DataFrame) -> DataFrame:
+    """E18 + A13 + O3: accuracy per (id, switch type), summarised per switch type with ±2·se bars, in plot order."""
+    st = S.summary_stats(accuracy_id(trials, ("id", "switch_type")), ["switch_type"], ["acc"])
+    return R.with_order(S.with_error_bars(st), "switch_type", SWITCH_TYPE_ORDER)
 
 
-def accuracy_block_switch_type(trials: DataFrame, exclude=EXCLUDED_GROUPS) -> DataFrame:
-    """E18 + F10 + O3: accuracy per switch type, one odd group left out, summarised, in plot order."""
+def accuracy_block_switch_type(trials: DataFrame, exclude: Sequence[tuple] = ()) -> DataFrame:
+    """E18 + F10 + O3: accuracy per switch type without the (id, switch type) groups of ``exclude``, summarised, in plot order."""
     acc = accuracy_id(trials)
     for gid, gtype in exclude:
-        acc = acc.where(~((F.col("id") == gid) & (F.col("switch_type") == gtype)))
+        acc = acc.where(~(F.col("id").eqNullSafe(gid) & F.col("switch_type").eqNullSafe(gtype)))
     st = S.summary_stats(acc, ["block", "switch_type"], ["acc"])
     return R.with_order(st, "switch_type", SWITCH_TYPE_ORDER)
 
 
 # ---------------------------------------------------------------- E19, E20 (RT)
 
-def rt_by_switch_type(trials: DataFrame) -> DataFrame:
-    """E19 + A13 + O3: RT summary per (block, switch type) with ±2·se bars, in plot order."""
-    st = S.summary_stats(trials.where(F.col("switch_type").isNotNull()), ["block", "switch_type"], ["rt"])
+def rt_by_switch_type(trials: DataFrame, keys: Sequence[str] = ("block", "switch_type")) -> DataFrame:
+    """E19 + A13 + O3: RT summary per (block, switch type), or per switch type, with ±2·se bars, in plot order."""
+    st = S.summary_stats(trials.where(F.col("switch_type").isNotNull()), list(keys), ["rt"])
     return R.with_order(S.with_error_bars(st), "switch_type", SWITCH_TYPE_ORDER)
 
 

@@ -41,7 +41,7 @@ ev4 AS (
   FROM ev3),
 coded AS (
   SELECT *,
-    CAST(row_number() OVER w AS INTEGER) AS trialNr,
+    row_number() OVER w AS trialNr,
     lag(task_perf) OVER w AS prev_task
   FROM ev4
   WINDOW w AS (PARTITION BY id, blockNr ORDER BY ts, event_id)),

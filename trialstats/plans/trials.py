@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions import scalars as X
-from trialstats.operators.sequence import Auto, ordered_scan, resolve_segment
-from trialstats.session import wide_plan_settings
+from trialstats.operators.sequence import ordered_scan, with_rank_segment
 
 # ----------------------------------------------------------------------------------
 # Fixed values of the experiment (they must equal the reference's codes).
@@ -37,6 +36,7 @@ NO_KEY, NOT_ASKED, UNKNOWN_CORR = "None", 888, 999
 
 TRIAL_COLUMNS = ["id", "countBal", "cBal", "block", "blockNr", "trialNr", "trial_type",
                  "task_cued", "task_perf", "resp", "rt", "corr", "switch_type", "switch"]
+SEGMENT = "scan_segment"  # optional last column: never falls along (id, blockNr, trialNr)
 
 
 # ---------------------------------------------------------------- D1, D2, D6, D9, D10
@@ -99,17 +99,6 @@ def code_switches(df: DataFrame, keys=("id", "blockNr"), order=("trialNr",), seg
 
 # ---------------------------------------------------------------- events fixture (FIXTURES.md §3)
 
-def events_segment(unit: str | None = None) -> Column | Auto:
-    """Segment of the events order key for skew-proof scans.
-
-    Default: ``Auto('ts')`` — plain windows while every user fits a task, else time
-    buckets of ``ts`` sized from the densest user. A fixed ``unit`` ('minute', 'hour')
-    forces buckets of that size (at 100 TB with one user holding a third of all
-    rows a minute bucket is below 1 GB).
-    """
-    return Auto("ts") if unit is None else F.date_trunc(unit, F.col("ts"))
-
-
 def events_as_trials(events: DataFrame) -> DataFrame:
     """Per-event projection to trial columns (no ordering yet)."""
     k = F.get_json_object("props", "$.k").try_cast("int")
@@ -145,17 +134,16 @@ def events_as_trials(events: DataFrame) -> DataFrame:
     return e.withColumn("task_cued", cued_task("cue")).drop("_k")
 
 
-def coded_events(events: DataFrame, segment: Column | None = None) -> DataFrame:
-    """All events with trial number and switch coding, before the scored-trial filters."""
+def coded_events(events: DataFrame) -> DataFrame:
+    """All events with trial number and switch coding, before the scored-trial filters; the last column is the scan's segment."""
     e = events_as_trials(events)
-    return code_switches(e, keys=("id", "blockNr"), order=("ts", "event_id"), segment=segment,
-                         row_number="trialNr")
+    e = with_rank_segment(e, ["id", "blockNr"], ["ts", "event_id"], SEGMENT)
+    return code_switches(e, keys=("id", "blockNr"), order=("ts", "event_id"), segment=F.col(SEGMENT), row_number="trialNr")
 
 
-def trials_from_events(events: DataFrame, segment: Column | Auto | None | str = "auto") -> DataFrame:
-    """The ``trials`` table (D12) from ``events``; ``segment='auto'`` decides from the data."""
-    seg = events_segment() if isinstance(segment, str) and segment == "auto" else segment
-    return keep_scored(coded_events(events, seg)).select(*TRIAL_COLUMNS)
+def trials_from_events(events: DataFrame, with_segment: bool = False) -> DataFrame:
+    """The ``trials`` table (D12) from ``events``; ``with_segment`` keeps the column that later scans along trialNr can use."""
+    return keep_scored(coded_events(events)).select(*TRIAL_COLUMNS, *([SEGMENT] if with_segment else []))
 
 
 # ---------------------------------------------------------------- wide logs (FIXTURES.md §3, last part)
@@ -175,7 +163,7 @@ RESPONSE_COLUMNS = [wide_name(t, cb, kind, f) for cb in COUNTERBALANCES for kind
 LOOP_FIELDS = ("thisRepN", "thisTrialN", "thisN", "thisIndex")
 
 
-def wide_logs_from_events(events: DataFrame, segment: Column | None = None) -> DataFrame:
+def wide_logs_from_events(events: DataFrame) -> DataFrame:
     """Write ``events`` as the reference's wide logs: one column per counterbalance x block kind x task.
 
     Only the matching column of a row holds the response; of the other key columns half hold
@@ -183,12 +171,10 @@ def wide_logs_from_events(events: DataFrame, segment: Column | None = None) -> D
     no-response trial sit in the ``loc`` columns. ``nBlocks*_thisRepN`` is set on the last trial of
     a block only, so the block number has to be back-filled. Everything is text, as read from CSV.
     """
-    wide_plan_settings(events.sparkSession)
     e = events_as_trials(events)
-    segment = resolve_segment(segment, e, ["id", "blockNr"])
-    # position in the block from the end (1 = last trial): a scan in reverse order
-    e = ordered_scan(e, ["id", "blockNr"], [F.col("ts").desc(), F.col("event_id").desc()],
-                     row_number="_from_end", segment=segment, segment_desc=True)
+    e = with_rank_segment(e, ["id", "blockNr"], ["ts", "event_id"], SEGMENT)
+    # position in the block from the end (1 = last trial)
+    e = ordered_scan(e, ["id", "blockNr"], ["ts", "event_id"], row_number="_from_end", segment=F.col(SEGMENT), descending=True)
     kind = F.when(F.col("block") == "mixed", F.lit("mix")).otherwise(F.lit("free"))
     resp_task = F.when(F.col("task_perf") == "shapeloc", F.lit("loc")).otherwise(F.col("task_perf"))
     odd = X.rmod(F.col("event_id"), 2) == 1
@@ -215,7 +201,7 @@ def wide_logs_from_events(events: DataFrame, segment: Column | None = None) -> D
                     else:
                         v = F.when(here, F.lit("0"))
                     cols[loop_name(loop, kd, cb, f)] = v
-    e = ordered_scan(e, ["id", "blockNr"], ["ts", "event_id"], row_number="_rn", segment=segment)
+    e = ordered_scan(e, ["id", "blockNr"], ["ts", "event_id"], row_number="_rn", segment=F.col(SEGMENT))
     e = e.withColumn("_pos", F.col("_rn") - 1)
     out = e.select(
         F.col("id").cast("string").alias("participant"),
@@ -238,11 +224,11 @@ def code_trials(wide: DataFrame, keys_order=("ts", "event_id"), file_key: str =
     """The reference's coding chain over wide logs, as one lazy plan.
 
     ``keys_order`` is the row order inside a file; ``file_key`` the column that
-    tells files apart (the back-fill of the block number must not cross files).
+    tells files apart (the back-fill of the block number must not cross files). ``segment``: a
+    column that never falls along the row order of a file, where there is one.
     The one-hot columns are collapsed in the first projection, so the ordered
     scans (back-fill, lag) run on a narrow table.
     """
-    wide_plan_settings(wide.sparkSession)
     cols = wide.columns
     blank = lambda c: F.nullif(F.col(c), F.lit(""))  # noqa: E731  N1
     no_key = lambda c: F.nullif(blank(c), F.lit(NO_KEY))  # noqa: E731  N2
@@ -257,9 +243,9 @@ def code_trials(wide: DataFrame, keys_order=("ts", "event_id"), file_key: str =
     rt_cols = _lower_match(cols, "both_", "_rt")
     corr_cols = _lower_match(cols, "both_", "_corr")
     rep_cols = _lower_match(cols, "nBlocks", "_thisRepN")
-    trial_n = X.to_int(X.unite([blank(c) for c in _lower_match(cols, "nTrials", "_thisN")]))
+    trial_n = X.to_long(X.unite([blank(c) for c in _lower_match(cols, "nTrials", "_thisN")]))
     df = df.select(
-        F.col(file_key), *keys_order,
+        F.col(file_key), *[c for c in keys_order if c != file_key], *([segment.alias(SEGMENT)] if segment is not None else []),
         X.to_long(blank("participant")).alias("id"),
         # block-end rows carry the block number but no trial (dropped after the back-fill)
         X.any_not_null([blank(c) for c in ("Cue", "Task", "Block")]).alias("_is_trial"),
@@ -274,11 +260,12 @@ def code_trials(wide: DataFrame, keys_order=("ts", "event_id"), file_key: str =
         (trial_n + 1).alias("trialNr"),                                                # D11
     )
     df = df.withColumn("countBal", counterbalance("id"))                             # D1
-    # one decision for both scans; a file bounds every (id, block) group inside it
-    segment = resolve_segment(segment, wide.select(file_key, *keys_order), [file_key])
-    df = ordered_scan(df, [file_key], list(keys_order), fill_up={"blockNr": "_blk"}, segment=segment)
+    # one segment for both scans, as an (id, block) group lies inside a file
+    if segment is None:
+        df = with_rank_segment(df, [file_key], list(keys_order), SEGMENT)
+    df = ordered_scan(df, [file_key], list(keys_order), fill_up={"blockNr": "_blk"}, segment=F.col(SEGMENT))
     df = df.where(F.col("_is_trial"))
     # D9, D10 before the filters, then F6, F7 and D2
-    df = code_switches(df, keys=("id", "blockNr"), order=list(keys_order), segment=segment)
+    df = code_switches(df, keys=("id", "blockNr"), order=list(keys_order), segment=F.col(SEGMENT))
     df = keep_scored(df).withColumn("cBal", block_order("countBal"))
     return df.select(*TRIAL_COLUMNS)

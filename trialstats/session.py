@@ -31,7 +31,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.constraintPropagation.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,20 +38,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def wide_plan_settings(spark: SparkSession) -> None:
-    """Settings for plans over the wide one-hot logs (about a hundred CASE / concat columns).
-
-    Catalyst's constraint propagation infers ``IsNotNull`` / equality constraints through
-    every aliased column of every projection and join; with these wide projections its
-    cost grows far beyond the plan size (planning took 30 s for 1,000 rows). No filter it
-    could infer helps these plans, so it is switched off for the session.
-    """
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; create a scratch one only if unset."""
+    """Return the session's checkpoint folder; only a local session without one gets a scratch folder."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="trialstats-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)

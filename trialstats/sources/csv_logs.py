@@ -12,9 +12,11 @@ assigns values **by position** — silently wrong. Here:
 3. the groups are stacked by name, missing columns as null (``unionByName``).
 
 Every value stays text (no ``inferSchema``); types are applied later by the
-explicit casts of ``functions.scalars``. Each row carries its provenance and
-an order key ``(file_name, file_block_start, seq)`` that sorts rows as they lie
-in the file (one split of a file is read by one task, in order).
+explicit casts of ``functions.scalars``. Each row carries its provenance, the
+file's full path and base name, and an order key ``(file_path, file_block_start,
+seq)`` that sorts rows as they lie in the file (one split of a file is read by one
+task, in order). Files of one name in two folders stay apart by their path; the
+coding chain takes ``file_path`` as its file key.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trialstats.operators.columns import clean_name
 
-ORDER_KEY = ("file_name", "file_block_start", "seq")
+ORDER_KEY = ("file_path", "file_block_start", "seq")
 
 
 def file_headers(spark: SparkSession, path: str, glob: str = "*.csv", recursive: bool = False) -> list[tuple[str, str]]:
@@ -63,6 +65,7 @@ def read_trials(spark: SparkSession, path: str, glob: str = "*.csv", recursive:
               .option("mode", "PERMISSIVE").csv(sorted(files)))
         df = df.toDF(*[clean_name(c) for c in df.columns])
         df = df.select(F.col("_metadata.file_name").alias("file_name"),
+                       F.col("_metadata.file_path").alias("file_path"),
                        F.col("_metadata.file_block_start").alias("file_block_start"),
                        F.monotonically_increasing_id().alias("seq"), "*")
         parts.append(df)
