@@ -45,7 +45,7 @@ class Limits:
 class Packer:
     """Fills sequences from a pool of waiting examples. ``placed`` gets (example, start, length, loss, sequence, offset)."""
 
-    def __init__(self, limits: Limits, waiting: int = 1024, least_cut: int = 16) -> None:
+    def __init__(self, limits: Limits, waiting: int = 1024, least_cut: int = 4) -> None:
         self.limits, self.waiting, self.least_cut = limits, waiting, least_cut
         self.sequence = 0
         self.placed: list[tuple] = []
