@@ -206,8 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 weight = 1 + np.log(np.diff(begin, append=len(terms)))
                 key, of = np.unique(terms[first], return_inverse=True)
                 positive = label[row + text[first]] == 1
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(of, positive, len(key))), pa.array(np.bincount(of, weight * positive, len(key))),
-                                                  pa.array(np.bincount(of, weight * ~positive, len(key))), pa.array(np.bincount(of, weight ** 2, len(key)))], names=["key", "texts", "a", "b", "squares"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(of, positive, len(key)).astype(float), pa.float64()), pa.array(np.bincount(of, weight * positive, len(key)).astype(float), pa.float64()),
+                                                  pa.array(np.bincount(of, weight * ~positive, len(key)).astype(float), pa.float64()), pa.array(np.bincount(of, weight ** 2, len(key)).astype(float), pa.float64())], names=["key", "texts", "a", "b", "squares"])
 
     share = labelled.groupBy(F.col("label") == 1).count().collect()
     n1 = sum(r["count"] for r in share if r[0])
