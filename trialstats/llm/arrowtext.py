@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers handle at once; one longer text is handled alone.
 PIECE_BYTES = 1 << 20
@@ -34,3 +36,17 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         end = max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1)
         yield row, end, data[at[row]:at[end]], at[row:end + 1] - at[row]
         row = end
+
+
+def text_udf(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str) -> Any:
+    """Column function of a text column; ``make`` builds, once for each task, what maps a batch of texts to values.
+
+    The other columns of the rows stay in the JVM.
+    """
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = make()
+        for batch in texts:
+            yield own(batch)
+
+    return F.arrow_udf(run, returns)

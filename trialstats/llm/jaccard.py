@@ -21,7 +21,9 @@ size, and only neighbours are tested. Components of the links found tell which
 lists still hold more than one component; only in those lists are pairs between
 different components tested too, again with the size and position bounds. That is
 exact: two linked sets share a list, and are then either in one component already
-or tested themselves. All tested pairs are verified on the full sets.
+or tested themselves. A profile of each set (its shingles counted in cells, about an eighth
+of a byte for each) excludes most pairs that cannot reach the similarity, again exactly; all
+others are verified on the full sets.
 
 Plan. Postings move as packed blocks, dealt over buckets of the key range, and a
 list with many sets in one task is tested there and goes on with one of them, so a
@@ -44,11 +46,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialstats.llm.arrowtext import pieces
+from trialstats.llm.arrowtext import pieces, text_udf
 from trialstats.llm.components import components
 from trialstats.llm.packed import KEY_BITS, by_bucket, pack, pack_sorted, short_key, summed, unpack, unpack_sorted
 from trialstats.llm.shared import received, shipped, written
@@ -61,6 +63,8 @@ ORDER_BLOCK, ORDER_REPEATS = 4_000_000, 4
 POSTING_BLOCK, HOT_LIST = 1_000_000, 16
 BUCKET_POSTINGS = 2_000_000
 BIT_ARRAY_BITS = 1 << 21
+#: Rounds of (places apart, pairs for each set) that are tested in lists that hold several components.
+RANDOM_ORDERS = ((4, 12), (16, 48))
 
 
 @dataclass(frozen=True)
@@ -97,9 +101,25 @@ def document_sets(hasher: WordHasher, data: np.ndarray, at: np.ndarray) -> tuple
     return values, bounds, n, ids.view(np.int64)
 
 
+def profile(values: np.ndarray) -> bytes | None:
+    """Numbers of a set's shingles by their low bits, about eight to a cell; None if one does not fit a byte."""
+    cells = 8 << max(0, (len(values) // 64 - 1).bit_length())
+    counts = np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def largest_overlap(a: bytes | None, b: bytes | None) -> int | None:
+    """What two sets can share at most by their profiles: the smaller number of each cell. None if unknown."""
+    if a is None or b is None:
+        return None
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    cells = min(len(x), len(y))  # powers of two, so the cells of one fold onto those of the other
+    return int(np.minimum(x.reshape(-1, cells).sum(0), y.reshape(-1, cells).sum(0)).sum())
+
+
 def _sets_and_repeats(texts: DataFrame, buckets: int = 64) -> DataFrame:
     """One row per document (doc_id, n, set_id), and blocks of order cells that repeat (bucket, block)."""
-    out = T.StructType([texts.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_id", T.LongType()),
+    out = T.StructType([texts.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("profile", T.BinaryType()),
                         T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +131,15 @@ def _sets_and_repeats(texts: DataFrame, buckets: int = 64) -> DataFrame:
             cells, counts = summed(short_key(keys[often]) >> np.uint64(KEY_BITS - ORDER_BITS) << np.uint64(KEY_BITS - ORDER_BITS), counts[often])
             found = [(b, pack_sorted(cells[s], counts[s])) for b, s in by_bucket(cells, buckets)]
             m = len(found)
-            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=out.names)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=out.names)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
             for row, end, data, at in pieces(batch.column(1)):
-                values, _, n, ids = document_sets(hasher, data, at)
+                values, bounds, n, ids = document_sets(hasher, data, at)
                 m = end - row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, m), pa.array(n), pa.array(ids), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=out.names)
+                profiles = [profile(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, m), pa.array(n), pa.array(ids), pa.array(profiles, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=out.names)
                 held.append(values)
                 size += len(values)
                 if size >= ORDER_BLOCK:
@@ -212,16 +233,17 @@ def neighbours(rule: Rule, key: np.ndarray, set_id: np.ndarray, n: np.ndarray, p
 _PAIR = "a bigint, b bigint, n_a bigint, n_b bigint, may boolean, keys binary"
 
 
-def _posting_pass(texts: DataFrame, rule: Rule, sketch, buckets: int) -> DataFrame:
-    """Pairs of lists that are hot within a task (bucket null), and packed postings by bucket."""
-    out = T.StructType([*T._parse_datatype_string(_PAIR).fields, T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType())])
+def _list_pairs(texts: DataFrame, rule: Rule, sketch, buckets: int) -> DataFrame:
+    """Pairs of neighbours of all lists. Postings go to their bucket in packed blocks; the pairs of lists that are hot
+    within a task go along as they are, in buckets below 0."""
+    out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, hasher, seen = received(sketch), WordHasher(), set()
         held: list[tuple] = []
         size = sets = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             ids, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             key, of, position = (np.concatenate([h[2][k] for h in held]) for k in range(3))
             rank = np.lexsort((ids[of], sizes[of], key))
@@ -231,18 +253,16 @@ def _posting_pass(texts: DataFrame, rule: Rule, sketch, buckets: int) -> DataFra
             hot = np.repeat(length >= HOT_LIST, length)
             if hot.any():
                 pairs = neighbours(rule, key[hot], ids[of[hot]], sizes[of[hot]], position[hot], np.ones(int(hot.sum()), bool))
-                m = pairs.num_rows
-                yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=out.names)
                 stays = ~hot
                 stays[first] = True
                 key, of, position, hot = key[stays], of[stays], position[stays], hot[stays]
-            found = []
+            else:
+                pairs = None
+            found = [] if pairs is None else [(-1 - int(pairs.column(0)[0].as_py()) % buckets, _written_batch(pairs))]
             for b, s in by_bucket(key, buckets):
                 own, place = np.unique(of[s], return_inverse=True)
                 found.append((b, pack(np.diff(key[s], prepend=np.uint64(0)), place, position[s], hot[s], ids[own].view(np.uint64), sizes[own])))
-            m = len(found)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())],
-                                              pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=out.names)
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=out.names)
 
         for batch in batches:
             for _, _, data, at in pieces(batch.column(0)):
@@ -257,16 +277,14 @@ def _posting_pass(texts: DataFrame, rule: Rule, sketch, buckets: int) -> DataFra
                 held.append((ids, n, (key, of + sets, position)))
                 size, sets = size + len(key), sets + len(n)
                 if size >= POSTING_BLOCK:
-                    yield from flush()
+                    yield flush()
                     held, size, sets = [], 0, 0
         if size:
-            yield from flush()
-
-    return texts.select("text").mapInArrow(run, out)
-
+            yield flush()
 
-def _list_pairs(blocks: DataFrame, rule: Rule) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
+    def chain(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table.column("block")])
         parts = []
         for block in table.column("block"):
             steps, place, position, hot, ids, sizes = unpack(block.as_py())
@@ -274,7 +292,14 @@ def _list_pairs(blocks: DataFrame, rule: Rule) -> DataFrame:
             parts.append((np.cumsum(steps, dtype=np.uint64), ids.view(np.int64)[place], sizes.astype(np.int64)[place], position.astype(np.int64), hot > 0))
         return pa.Table.from_batches([neighbours(rule, *(np.concatenate(c) for c in zip(*parts)))])
 
-    return blocks.groupBy("bucket").applyInArrow(run, _PAIR)
+    return texts.select("text").mapInArrow(run, out).groupBy("bucket").applyInArrow(chain, _PAIR)
+
+
+def _written_batch(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def bit_array(values: DataFrame, column: str, bits: int = BIT_ARRAY_BITS) -> np.ndarray:
@@ -288,55 +313,61 @@ def bit_array(values: DataFrame, column: str, bits: int = BIT_ARRAY_BITS) -> np.
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b of set ids) whose full sets reach the similarity."""
-    wanted = shipped(texts.sparkSession, np.packbits(bit_array(pairs.select(F.explode(F.array("a", "b")).alias("set_id")), "set_id")))
+def _members(texts: DataFrame, by_set: DataFrame, ids: DataFrame) -> DataFrame:
+    """(set_id, members): the full sets of some ids, each from (at least) the document with its smallest id.
+
+    Only texts whose document may be wanted, by a bit array over hashes of document ids, are hashed.
+    """
+    wanted_docs = by_set.join(ids, "set_id", "left_semi").select(_cell("least_id").alias("cell"))
+    wanted = shipped(texts.sparkSession, np.packbits(bit_array(wanted_docs, "cell")))
+    out = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, hasher, seen = np.unpackbits(received(wanted)).astype(bool), WordHasher(), set()
-        low = np.uint64(len(mask) - 1)
         for batch in batches:
-            for _, _, data, at in pieces(batch.column(0)):
+            chosen = batch.column(1).filter(pa.array(mask[batch.column(0).to_numpy()]))
+            for _, _, data, at in pieces(chosen):
                 values, bounds, _, ids = document_sets(hasher, data, at)
-                rows = [i for i in np.flatnonzero(mask[(ids.view(np.uint64) & low).astype(np.int64)]).tolist() if ids[i] not in seen]
-                new = []
-                for i in rows:
-                    if (own := int(ids[i])) not in seen:
-                        seen.add(own)
-                        new.append(i)
-                if new:
-                    six = short_key(values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array([np.ascontiguousarray(six[bounds[i]:bounds[i + 1]]).tobytes() for i in new], pa.binary())], names=["set_id", "members"])
-
-    def members(column: pa.Array) -> Iterator[np.ndarray]:
-        for value in column:
-            six = np.frombuffer(value.as_py(), np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(six), 8), np.uint8)
-            wide[:, :6] = six
-            yield wide.view("<u8").ravel()
+                new = [i for i, s in enumerate(ids.tolist()) if not (s in seen or seen.add(s))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array([values[bounds[i]:bounds[i + 1]].view(np.int64) for i in new], pa.list_(pa.int64()))], names=out.names)
+
+    return texts.select(_cell("doc_id"), "text").mapInArrow(sets, out).join(ids, "set_id", "left_semi")
+
+
+def _cell(doc_id: str) -> Column:
+    return F.xxhash64(doc_id).bitwiseAND(F.lit(BIT_ARRAY_BITS - 1))
+
+
+def _possible(pairs: DataFrame, by_set: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sets' profiles do not exclude."""
+    left = by_set.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("profile").alias("x"))
+    right = by_set.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("profile").alias("y"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(members(batch.column(2)), members(batch.column(3))):
-                where = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                shared = int((x[where] == y).sum())
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            c = batch.to_pydict()
+            most = [largest_overlap(x, y) for x, y in zip(c["x"], c["y"])]
+            good = [m is None or (100 + percent) * m >= percent * (i + j) for m, i, j in zip(most, c["n_a"], c["n_b"])]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    whole = written(texts.select("text").mapInArrow(sets, "set_id bigint, members binary"), "sets").dropDuplicates(["set_id"])
-    left = whole.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
-    right = whole.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(test, "a bigint, b bigint"), "verified")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
+    return both.mapInArrow(test, "a bigint, b bigint")
+
+
+def _verified(texts: DataFrame, by_set: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b of set ids) whose full sets reach the similarity."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "pair-ids")
+    sets = _members(texts, by_set, ids).dropDuplicates(["set_id"])
+    left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    enough = (100 + percent) * shared >= percent * (F.size("x") + F.size("y"))
+    return written(pairs.select("a", "b").join(left, "a").join(right, "b").where(enough).select("a", "b"), "verified")
 
 
 def _open_keys(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Keys of the lists that hold neighbours of different components."""
-    a = labels.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
-    b = labels.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
-    apart = (pairs.where("length(keys) > 0").join(a, "a", "left").join(b, "b", "left")
-             .where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("keys"))
+    apart = _apart(pairs.where("length(keys) > 0"), labels).select("keys")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,8 +378,8 @@ def _open_keys(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(apart.mapInArrow(keys, "key bigint").distinct(), "open-keys")
 
 
-def _cross_pairs(texts: DataFrame, rule: Rule, sketch, open_keys: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of different components in the open lists, within the size and position bounds."""
+def _open_entries(texts: DataFrame, rule: Rule, sketch, open_keys: DataFrame) -> DataFrame:
+    """(key, id, n, most) of all entries of the open lists; most is the largest size of a partner."""
     wanted = shipped(texts.sparkSession, np.packbits(bit_array(open_keys, "key")))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,11 +394,31 @@ def _cross_pairs(texts: DataFrame, rule: Rule, sketch, open_keys: DataFrame, lab
                 key, of, position = key[hit], of[hit], position[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ids[of]), pa.array(n[of].astype(np.int64)), pa.array(rule.largest_partner(n[of], position))], names=["key", "id", "n", "most"])
 
-    found = texts.select("text").mapInArrow(entries, "key bigint, id bigint, n bigint, most bigint").join(open_keys, "key", "left_semi")
-    found = written(found.dropDuplicates(["key", "id"]).join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "open-entries")
-    x, y = found.alias("x"), found.alias("y")
+    found = texts.select("text").mapInArrow(entries, "key bigint, id bigint, n bigint, most bigint")
+    return written(found.join(open_keys, "key", "left_semi").dropDuplicates(["key", "id"]), "open-entries")
+
+
+def _still_open(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries, with their components, of lists that hold more than one."""
+    labelled = written(entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    return labelled.join(written(open_keys, "still-open"), "key", "left_semi")
+
+
+def _shuffled_pairs(entries: DataFrame, turn: int, reach: int) -> DataFrame:
+    """Pairs up to ``reach`` places apart in a random order of each list, of different components and within the bounds."""
+    following = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+    there = F.array(*[F.lead(F.struct("id", "n", "most", "component"), k).over(following) for k in range(1, reach + 1)])
+    fits = F.filter("there", lambda o: (F.col("component") != o["component"]) & (F.col("n") <= o["most"]) & (o["n"] <= F.col("most")))
+    pairs = entries.withColumn("there", there).select("id", F.explode(fits).alias("o"))
+    return pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+
+
+def _cross_pairs(entries: DataFrame) -> DataFrame:
+    """All pairs of different components in the lists, within the size and position bounds."""
+    x, y = entries.alias("x"), entries.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
-    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, scan_cost: float = 4.0) -> DataFrame:
@@ -397,18 +448,18 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def _with_set(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with its set id as ``_llm_set``; null without shingles."""
-    at = docs.columns.index(text_col)
-    out = T.StructType([*docs.schema.fields, T.StructField("_llm_set", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         hasher = WordHasher()
-        for batch in batches:
-            parts = [document_sets(hasher, data, bounds)[2:] for _, _, data, bounds in pieces(batch.column(at))]
-            if parts:
-                n, ids = (np.concatenate(c) for c in zip(*parts))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, mask=n == 0)], names=out.names)
 
-    return docs.mapInArrow(run, out)
+        def set_ids(texts: pa.Array) -> pa.Array:
+            parts = [document_sets(hasher, data, bounds)[2:] for _, _, data, bounds in pieces(texts)]
+            n, ids = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+            return pa.array(ids, pa.int64(), mask=n == 0)
+
+        return set_ids
+
+    return docs.withColumn("_llm_set", text_udf(make, "bigint")(F.col(text_col).cast("string")))
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, scan_cost: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -416,10 +467,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, scan_
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = written(_sets_and_repeats(texts), "jaccard-sets")
     rows = first.where("n is not null").select("doc_id", "n", "set_id")
-    by_set = written(rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id")), "jaccard-distinct")
+    by_set = (first.where("n > 0").groupBy("set_id")
+              .agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.max("profile").alias("profile")))
+    by_set = written(by_set, "jaccard-distinct")
     links = links_of_sets(texts, by_set, _order_sketch(first), percent, scan_cost)
     labels = components(links)
-    of_set = by_set.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    of_set = by_set.drop("profile").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     of_set = written(of_set, "jaccard-labelled")
     least = written(of_set.groupBy("component").agg(F.min("least_id").alias("component_id")), "jaccard-least")
     return rows, by_set, written(of_set.join(least, "component").select("set_id", "component", "component_id"), "jaccard-components")
@@ -432,13 +485,50 @@ def links_of_sets(texts: DataFrame, by_set: DataFrame, order: np.ndarray, percen
     n = np.array(list(sizes), np.int64)
     total = int((np.array(list(sizes.values())) * rule.prefix(n, 1)).sum()) if len(n) else 0
     sketch = shipped(texts.sparkSession, order)
-    passed = written(_posting_pass(texts, rule, sketch, max(8, -(-total // BUCKET_POSTINGS))), "postings")
-    pairs = written(passed.where("bucket is null").select("a", "b", "n_a", "n_b", "may", "keys").unionAll(_list_pairs(passed.where("bucket is not null").select("bucket", "block"), rule)), "pairs")
-    tested = written(pairs.where("may").select("a", "b").distinct(), "tested")
-    links = _verified(texts, tested, percent)
-    labels = components(links)
+    pairs = written(_list_pairs(texts, rule, sketch, max(8, -(-total // BUCKET_POSTINGS))), "pairs")
+    tested = written(_possible(pairs.where("may").select("a", "b").distinct(), by_set, percent), "tested")
+    links, labels = _connecting_links(texts, by_set, tested, percent)
     open_keys = _open_keys(pairs, labels)
     if open_keys.isEmpty():
         return links
-    crossing = written(_cross_pairs(texts, rule, sketch, open_keys, labels, tested), "crossing")
-    return links if crossing.isEmpty() else links.unionAll(_verified(texts, crossing, percent))
+    entries = _open_entries(texts, rule, sketch, open_keys)
+    # neighbours in a few random orders join most of what belongs together, so that few pairs are left for the full test
+    for turn, (reach, each) in enumerate(RANDOM_ORDERS):
+        found = _shuffled_pairs(_still_open(entries, labels), turn, reach).join(tested, ["a", "b"], "left_anti")
+        found = written(_possible(found, by_set, percent), "shuffled")
+        chosen = written(_few_of_each(found, each), "chosen")
+        tested = written(tested.unionAll(chosen), "tested")
+        links = links.unionAll(_verified(texts, by_set, chosen, percent))
+        labels = components(links, rounds=2)
+    crossing = _cross_pairs(_still_open(entries, labels)).join(tested, ["a", "b"], "left_anti")
+    crossing = written(_possible(crossing, by_set, percent), "crossing")
+    return links if crossing.isEmpty() else links.unionAll(_connecting_links(texts, by_set, crossing, percent)[0])
+
+
+def _few_of_each(pairs: DataFrame, each: int = 3) -> DataFrame:
+    """The ``each`` pairs of every set with the smallest hashes."""
+    both = pairs.select("a", "b", F.col("a").alias("node")).unionAll(pairs.select("a", "b", F.col("b").alias("node")))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("a", "b"), "a", "b"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= each).select("a", "b").distinct()
+
+
+def _connecting_links(texts: DataFrame, by_set: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links with the components of all links among ``pairs``, without verifying all of them, and component labels.
+
+    First a few pairs of every set, which connect most of a group, then of the others those between different components.
+    """
+    first = written(_few_of_each(pairs), "first-pairs")
+    links = _verified(texts, by_set, first, percent)
+    labels = components(links, rounds=2)
+    rest = written(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels).select("a", "b"), "rest-pairs")
+    if rest.isEmpty():
+        return links, labels
+    links = links.unionAll(_verified(texts, by_set, rest, percent))
+    return links, components(links, rounds=2)
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different components."""
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
