@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialstats.llm.arrowtext import pieces
+from trialstats.llm.arrowtext import pieces, text_udf
 from trialstats.llm.shared import written
 from trialstats.llm.words import WordHasher, distinct_by_text, shingle_hashes
 
@@ -116,26 +116,28 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
                   percent: int = 75, block_shingles: int = 1 << 20) -> DataFrame:
     """Rows of ``docs`` in which no item is found, with all their columns."""
     _, blocks = _item_blocks(items, item_id_col, item_text_col, block_shingles)
-    at = docs.columns.index(text_col)
     for block in blocks:
         if block:
-            docs = _clean(docs, at, [bytes(r["shingles"]) for r in block], percent)
+            docs = docs.where(_is_clean([bytes(r["shingles"]) for r in block], docs, percent)(F.col(text_col).cast("string")))
     return docs
 
 
-def _clean(docs: DataFrame, at: int, block: list[bytes], percent: int) -> DataFrame:
+def _is_clean(block: list[bytes], docs: DataFrame, percent: int):
     shared_sets = docs.sparkSession.sparkContext.broadcast(block)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         index, hasher = ItemIndex([np.frombuffer(s, np.uint64) for s in shared_sets.value], percent), WordHasher()
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            for row, _, data, offsets in pieces(batch.column(at)):
+
+        def clean(texts: pa.Array) -> pa.Array:
+            out = np.ones(len(texts), bool)
+            for row, _, data, offsets in pieces(texts):
                 for d, _, _ in index.search(*distinct_by_text(*shingle_hashes(hasher(data, offsets)))):
-                    clean[row + d] = False
-            yield batch.filter(pa.array(clean))
+                    out[row + d] = False
+            return pa.array(out)
+
+        return clean
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_udf(make, "boolean")
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_shingles: int) -> tuple[DataFrame, Iterator[list]]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialstats.llm.arrowtext import pieces
+from trialstats.llm.arrowtext import pieces, text_udf
 from trialstats.llm.words import WordHasher, mix64
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -219,17 +219,18 @@ def judge_quality(docs: DataFrame, trees: Trees | None, *, id_col: str = "doc_id
 
 def keep_good(docs: DataFrame, trees: Trees | None, *, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that ``judge_quality`` keeps, with all their columns, in one pass."""
-    at, schema = docs.columns.index(text_col), docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         hasher = WordHasher()
-        for batch in batches:
-            parts = [document_counts(hasher, data, at_) for _, _, data, at_ in pieces(batch.column(at))]
-            if parts:
-                c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-                good = (c["n_words"] >= 50) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
-                if trees:
-                    good &= trees.probability(feature_matrix(c)) >= least_score
-                yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(run, schema)
+
+        def good(texts: pa.Array) -> pa.Array:
+            out = []
+            for _, _, data, at in pieces(texts):
+                c = document_counts(hasher, data, at)
+                keep = (c["n_words"] >= 50) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
+                out.append(keep & (trees.probability(feature_matrix(c)) >= least_score) if trees else keep)
+            return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+        return good
+
+    return docs.where(text_udf(make, "boolean")(F.col(text_col).cast("string")))

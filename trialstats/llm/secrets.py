@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialstats.llm.arrowtext import text_udf
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "der", "openssh", "token")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -226,19 +228,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def redacted(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the secrets of its texts replaced by ``<secret>``; the length column, where there is one, is set anew."""
     schema = docs.schema
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(at)
-            hit = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(text, _ANY), False)).to_pylist()
-            if hit:
-                clean = {i: redact(t, find_secrets(t)) for i in hit for t in [text[i].as_py()]}
-                mask = pc.is_in(pa.array(range(len(text)), pa.int64()), value_set=pa.array(hit, pa.int64()))
-                batch = batch.set_column(at, batch.schema.field(at), pc.replace_with_mask(text, mask, pa.array([clean[i] for i in hit], text.type)))
-            yield batch
-
-    out = docs.mapInArrow(run, schema)
+    def make():
+        def clean(texts: pa.Array) -> pa.Array:
+            hit = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, _ANY), False)).to_pylist()
+            if not hit:
+                return texts
+            mask = pc.is_in(pa.array(range(len(texts)), pa.int64()), value_set=pa.array(hit, pa.int64()))
+            return pc.replace_with_mask(texts, mask, pa.array([redact(t, find_secrets(t)) for i in hit for t in [texts[i].as_py()]], texts.type))
+
+        return clean
+
+    out = docs.withColumn(text_col, text_udf(make, "string")(F.col(text_col).cast("string")))
     if chars_col and chars_col in docs.columns:
         changed = F.char_length(text_col)
         out = out.withColumn(chars_col, F.when(F.col(chars_col).isNull(), F.col(chars_col)).otherwise(changed).cast(schema[chars_col].dataType))
