@@ -58,10 +58,10 @@ from trialstats.llm.words import WordHasher, distinct_by_text, mix64, shingle_ha
 
 ORDER_BITS = 22
 #: Shingles in a block whose repeats are counted for the order, and repeats from which they are.
-ORDER_BLOCK, ORDER_REPEATS = 4_000_000, 4
+ORDER_BLOCK, ORDER_REPEATS = 2_000_000, 4
 #: Postings that a task gathers before it sends them on, entries of one list from which a task tests it itself.
-POSTING_BLOCK, HOT_LIST = 1_000_000, 16
-BUCKET_POSTINGS = 2_000_000
+POSTING_BLOCK, HOT_LIST = 500_000, 16
+BUCKET_POSTINGS = 1_000_000
 BIT_ARRAY_BITS = 1 << 21
 #: Rounds of (places apart, pairs for each set) that are tested in lists that hold several components.
 RANDOM_ORDERS = ((4, 12), (16, 48))
