@@ -73,3 +73,28 @@ def test_odd_rows(spark, docs, odd_docs, no_docs):
     for rows in ([], [(None, 1), (1, None)], [(1, 1)]):
         got = score(odd_docs, train(odd_docs, spark.createDataFrame(rows, schema))).collect()
         assert len({r["score"] for r in got}) == 1 and all(r["evidence"] == [] for r in got)
+
+
+def test_neighbours_are_those_of_whole_vectors(spark):
+    """Also terms that say nothing of the label, or speak for label 0, belong to the vectors and their norms."""
+    common = "alpha beta gamma delta"
+    rows = [(i, f"rude{i % 3} {common} mix{i % 2} own{i}") for i in range(12)] + [(i, f"kind{i % 4} {common} mix{i % 2} own{i}") for i in range(12, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(40)], "doc_id long, toxic int")
+    terms = [set(t.split()) for _, t in rows]
+    every = sorted(set().union(*terms))
+    idf = np.log([41 / (sum(t in s for s in terms) + 1) for t in every])
+    x = np.array([[t in s for t in every] for s in terms]) * idf
+    x /= np.sqrt((x ** 2).sum(1))[:, None]
+    model = train(docs, labels, least_z=0.1, least_texts=2)
+    got = {r["doc_id"]: r["evidence"] for r in score(docs, model, evidence=15).collect()}
+    for i in range(40):
+        want = x @ x[i]
+        assert np.allclose([e["cosine"] for e in got[i]], np.sort(want)[::-1][:len(got[i])]) and len(got[i]) == 15
+        assert np.allclose([want[int(e["doc_id"])] for e in got[i]], [e["cosine"] for e in got[i]])
+
+
+def test_examples_are_not_cut_below_the_first_bound():
+    from inspect import signature
+
+    assert signature(train).parameters["max_training_rows"].default >= 20_000 and signature(train).parameters["max_terms"].default >= 2_000

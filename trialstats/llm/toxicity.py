@@ -1,27 +1,33 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words (ASCII letters lower-cased, ASCII punctuation at their ends cut
-off) and the first five bytes of longer words. The vocabulary holds the terms that
-go with the label in the training sample, by a z score of the mean 1 + ln tf of the two
-kinds of texts. Texts are
-vectors of (1 + ln tf) * idf over the vocabulary, the document frequencies counted
-over all documents.
-
-The examples lie in an inverted index whose lists are cut into blocks of examples,
-with the largest weight of each term in each block. A query's bound for a block is
-the dot product with those maxima; only blocks whose bound reaches the k-th best
-score so far are scored, so the k nearest are exact. Their votes, weighted by the
-square of one minus the distance, are turned into probabilities by an isotonic fit on
-leave-one-out votes of the examples.
+off) and the first five bytes of longer words. The vocabulary holds all terms of the
+training sample. Texts are vectors of (1 + ln tf) * idf over it, the document
+frequencies counted over all documents.
+
+The neighbours shown as evidence are the nearest by these whole vectors. A second
+search takes the part of the vectors over the label terms: those that go with the
+label in the sample, by a z score of the mean 1 + ln tf of the two kinds of texts. A
+vote weights the labels of the nearest by the square of one minus the distance; the
+mean of both votes is turned into a probability by an isotonic fit on leave-one-out
+votes of the examples. Whole vectors alone speak of a text's subject more than of its
+label (figures in the README).
+
+Rare terms have posting lists; common ones lie in a matrix cut into blocks of examples.
+A block's bound for a query is the largest of its examples' scores over rare terms
+and products of their norms over common ones. Blocks are scored in the order of their bounds,
+the k-th best score rising after each, and those whose bound does not reach it are not;
+so the k nearest are exact.
 
 Plan. The classifier is fitted on a bounded sample of labelled rows
 (``max_training_rows``, those with the smallest hashes of their id), which bounds the
-vocabulary and the index that are broadcast. One pass counts terms of the sample, one
-counts document frequencies, one scores all documents; only the first shuffles, and
-only the sample's term counts.
+vocabulary and the examples that are broadcast; each task builds its index of them. One
+pass counts terms of the sample, one counts document frequencies (summed by ranges of
+terms), one scores all documents; the last shuffles nothing.
 
 Edge cases. A null or empty text, or one without a vocabulary term, has no vector; it
-gets the smoothed share of positive labels among such examples. Labels without an id or
+gets the smoothed share of positive labels among such examples; without a label term
+that share among such examples is the second vote. Labels without an id or
 value are left out; repeated labels each count. With no usable labels or terms every
 text gets the smoothed share of all examples (one half without any). Ties between
 neighbours go to the earlier example in index order. Null ids and repeated rows are
@@ -30,20 +36,30 @@ scored each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialstats.llm.arrowtext import pieces
-from trialstats.llm.shared import received, shipped
+from trialstats.llm.packed import pack, pack_sorted, unpack, unpack_sorted
+from trialstats.llm.shared import received, shipped, written
 from trialstats.llm.words import WordHasher
 
 PREFIX_BYTES = 5
+#: Terms that more than one in so many examples hold are common to an index; texts that are searched together.
+COMMON_SHARE, QUERIES = 16, 64
+#: Examples whose votes a task finds.
+EXAMPLES_A_TASK = 5_000
+#: Examples in a block of an index.
+EXAMPLE_BLOCK = 256
+#: Numbers of document frequencies that meet in one row.
+FREQUENCY_BLOCK = 1 << 14
 _MARK = np.zeros(256, bool)
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,59 +97,101 @@ def term_counts(keys: np.ndarray, hasher: WordHasher, data: np.ndarray, at: np.n
     return both // len(keys), both % len(keys), tf
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + n[0] - 1, start[1] .. and so on."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
 @dataclass
 class BlockMaxIndex:
-    """Examples' unit vectors as posting lists by (term, block), with the block maxima."""
+    """Examples' vectors of positive weights: posting lists of rare terms, and blocks of examples by common terms."""
 
-    start: np.ndarray  # (terms, blocks + 1) into the postings
+    start: np.ndarray  # of each rare term's postings, one more at the end
     example: np.ndarray
     weight: np.ndarray
-    most: np.ndarray  # (terms, blocks)
+    column: np.ndarray  # of each term in ``common``; -1 for rare terms
+    common: np.ndarray  # (examples, common terms)
+    norm: np.ndarray  # of the rows of common
+    rows: tuple[np.ndarray, np.ndarray, np.ndarray]  # examples' starts, terms and exact weights
     n: int
     block: int
 
     @classmethod
     def build(cls, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, block: int = 64) -> BlockMaxIndex:
-        order = np.lexsort((example, term))
-        example, term, weight = example[order], term[order], weight[order]
-        blocks = max(1, -(-n // block))
-        cell = term * blocks + example // block
-        start = np.searchsorted(cell, np.arange(terms * blocks + 1))
-        most = np.zeros(terms * blocks)
-        np.maximum.at(most, cell, weight)
-        bounds = np.column_stack([start[:-1].reshape(terms, blocks), start[blocks::blocks]])
-        return cls(bounds, example, weight, most.reshape(terms, blocks), n, block)
-
-    def _scores(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, scores) of the examples of some blocks that share a term with the query."""
-        a, b = self.start[term][:, blocks].ravel(), self.start[term][:, blocks + 1].ravel()
-        n = b - a
-        total = int(n.sum())
-        if not total:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.arange(total) + np.repeat(a - (np.cumsum(n) - n), n)
-        value = self.weight[at] * np.repeat(np.repeat(weight, len(blocks)), n)
-        example, of = np.unique(self.example[at], return_inverse=True)
-        return example, np.bincount(of, value)
+        frequency = np.bincount(term, minlength=terms)
+        often = np.flatnonzero(frequency * COMMON_SHARE > n)
+        column = np.full(terms, -1, np.int32)
+        column[often] = np.arange(len(often))
+        common = np.zeros((n, len(often)), np.float32)
+        in_common = column[term] >= 0
+        common[example[in_common], column[term[in_common]]] = weight[in_common]
+        norm = np.sqrt(np.einsum("ij,ij->i", common, common))
+        if (example[1:] < example[:-1]).any():
+            order = np.argsort(example, kind="stable")
+            example, term, weight, in_common = example[order], term[order], weight[order], in_common[order]
+        own = np.flatnonzero(~in_common).astype(np.int32 if len(term) < 1 << 31 else np.int64)
+        own = own[np.argsort(term[own], kind="stable")]
+        start = np.concatenate([[0], np.cumsum(np.bincount(term[own], minlength=terms))])
+        rows = np.searchsorted(example, np.arange(n + 1)), term.astype(np.int32, copy=False), weight.astype(float, copy=False)
+        return cls(start, example[own].astype(np.int32), weight[own].astype(np.float32), column, common, norm, rows, n, block)
+
+    def _rare(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Every example's dot product over the rare terms."""
+        m = self.start[term + 1] - self.start[term]
+        at = _ranges(self.start[term], m)
+        return np.bincount(self.example[at], self.weight[at] * np.repeat(weight, m), self.n)
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, positive weights) the k examples with the largest positive dot products, exactly.
+
+        Blocks are scored in the order of their bounds, in single precision, and the k-th best score so far is raised
+        after each; all within the rounding error of the last one are scored anew in double precision.
+        """
+        q = len(queries)
+        if not q or not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * q
+        error = (self.common.shape[1] + 16) * 2.0 ** -22
+        score, asked = np.empty((q, self.n), np.float32), np.zeros((q, self.common.shape[1]), np.float32)
+        for i, (term, weight) in enumerate(queries):
+            score[i] = self._rare(term, weight)
+            column = self.column[term]
+            asked[i, column[column >= 0]] = weight[column >= 0]
+        skip = np.full(q, -1) if without is None else np.array(without)
+        left_out = np.flatnonzero(skip >= 0)
+        starts = np.arange(0, self.n, self.block)
+        bound = np.maximum.reduceat(score + np.sqrt((asked ** 2).sum(1))[:, None] * self.norm, starts, axis=1) * (1 + error)
+        least, best = np.zeros(q, np.float32), np.zeros((q, k), np.float32)
+        done = np.zeros((q, len(starts)), bool)
+        for j in np.argsort(-bound.max(0), kind="stable"):
+            need = np.flatnonzero((bound[:, j] > 0) & (bound[:, j] >= least * (1 - error)))
+            if not len(need):
+                continue
+            a, b = starts[j], min(starts[j] + self.block, self.n)
+            score[need, a:b] += asked[need] @ self.common[a:b].T
+            here = left_out[(skip[left_out] >= a) & (skip[left_out] < b)]
+            score[here, skip[here]] = 0
+            done[need, j] = True
+            better = need[score[need, a:b].max(1) > least[need]]
+            best[better] = np.partition(np.concatenate([best[better], score[better, a:b]], axis=1), -k, axis=1)[:, -k:]
+            least = best.min(1)
+        out = []
+        values = np.zeros(len(self.column))
+        for i, (term, weight) in enumerate(queries):
+            found = np.flatnonzero((score[i] > 0) & (score[i] >= least[i] * (1 - error)) & np.repeat(done[i], self.block)[:self.n])
+            found = found[found != skip[i]]
+            values[term] = weight
+            begin, of, exact = self.rows
+            m = begin[found + 1] - begin[found]
+            at = _ranges(begin[found], m)
+            dot = np.bincount(np.repeat(np.arange(len(found)), m), exact[at] * values[of[at]], len(found))
+            values[term] = 0
+            top = np.lexsort((found, -np.round(dot, 12)))[:k]
+            out.append((found[top], dot[top]))
+        return out
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest positive dot products, exactly; ``without`` leaves one example out."""
-        bound = weight @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        first = min(len(order), 2 + k // self.block)
-        found, score = self._scores(term, weight, np.sort(order[:first]))
-        keep = found != without
-        found, score = found[keep], score[keep]
-        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-        rest = order[first:]
-        rest = rest[bound[rest] >= least - 1e-9]
-        if len(rest):
-            more, more_score = self._scores(term, weight, np.sort(rest))
-            keep = more != without
-            found, score = np.concatenate([found, more[keep]]), np.concatenate([score, more_score[keep]])
-        top = np.lexsort((found, -np.round(score, 12)))[:k]
-        return found[top], score[top]
+        """``nearest_of`` for one query; ``without`` leaves one example out."""
+        return self.nearest_of([(term, weight)], k, [without])[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, bins: int = 25, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -154,26 +212,83 @@ def isotonic(x: np.ndarray, y: np.ndarray, bins: int = 25, prior: float = 1.0) -
     return np.array([k for k, _ in knots]), np.array([v for _, v in knots])
 
 
+def _packed_lists(start: np.ndarray, term: np.ndarray, tf: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Starts, terms (as differences) and tfs of the examples."""
+    steps = np.diff(term.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    return tuple(zlib.compress(c.tobytes(), 1) for c in (start.astype("<i8"), steps, tf.astype("<i4")))
+
+
+def _lists(packed: tuple[bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start, steps, tf = (np.frombuffer(zlib.decompress(c), t) for c, t in zip(packed, ("<i8", "<u4", "<i4")))
+    return start, np.cumsum(steps, dtype=np.uint32).view(np.int32), tf
+
+
+@dataclass
+class View:
+    """Unit TF-IDF vectors of the examples over some of the terms, and their index."""
+
+    column: np.ndarray  # of each term of the vocabulary; -1 if not in the view
+    idf: np.ndarray  # of the view's terms
+    index: BlockMaxIndex
+
+    @classmethod
+    def build(cls, chosen: np.ndarray, idf: np.ndarray, example: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> View:
+        column = np.full(len(idf), -1, np.int32)
+        column[chosen] = np.arange(len(chosen))
+        # terms in all documents weigh nothing; large arrays are worked on in place, as every task holds its own
+        own = (column[term] >= 0) & (idf[term] > 0)
+        example, term, weight = example[own], column[term[own]], np.log(tf[own])
+        weight += 1
+        weight *= idf[chosen][term]
+        weight /= np.sqrt(np.bincount(example, weight ** 2, n))[example]
+        return cls(column, idf[chosen], BlockMaxIndex.build(example, term, weight, n, len(chosen), EXAMPLE_BLOCK))
+
+    def query(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = self.column[term]
+        own = column >= 0
+        weight = (1 + np.log(tf[own])) * self.idf[column[own]]
+        some = weight > 0
+        weight = weight[some]
+        return column[own][some], weight / np.sqrt((weight ** 2).sum()) if len(weight) else weight
+
+
 @dataclass
 class Classifier:
     keys: np.ndarray
     idf: np.ndarray
-    index: BlockMaxIndex | None
+    label_terms: np.ndarray
+    examples: tuple[bytes, bytes, bytes]  # starts, terms and tfs of the examples, packed
     ids: list
     labels: np.ndarray
     knots: tuple[np.ndarray, np.ndarray]
     without_terms: float
+    without_label_terms: float
     k: int
 
-    def vote(self, term: np.ndarray, tf: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """(vote, neighbours, their cosines); None without any neighbour."""
-        weight = (1 + np.log(tf)) * self.idf[term]
-        norm = np.sqrt((weight ** 2).sum())
-        if self.index is None or norm == 0:
-            return None, np.zeros(0, np.int64), np.zeros(0)
-        found, cosine = self.index.nearest(term, weight / norm, self.k, without)
+    def views(self) -> tuple[View, View] | None:
+        """The examples by all their terms, and by those that go with the label; built where they are searched."""
+        if not len(self.ids):
+            return None
+        start, term, tf = _lists(self.examples)
+        example = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(start))
+        return tuple(View.build(chosen, self.idf, example, term, tf, len(self.ids)) for chosen in (np.arange(len(self.keys)), self.label_terms))
+
+    def votes(self, views: tuple[View, View] | None, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """(vote, neighbours by all terms, their cosines) of some texts (terms, tfs); a vote of None without any neighbour."""
+        if views is None:
+            return [(None, np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        whole, label = ([*view.index.nearest_of([view.query(*t) for t in texts], self.k, without)] for view in views)
+        out = []
+        for (found, cosine), (near, likeness) in zip(whole, label):
+            of_label = self._vote(near, likeness)
+            of_all = self._vote(found, cosine)
+            both = None if of_all is None else (of_all + (self.without_label_terms if of_label is None else of_label)) / 2
+            out.append((both, found, cosine))
+        return out
+
+    def _vote(self, found: np.ndarray, cosine: np.ndarray) -> float | None:
         share = cosine ** 2
-        return (float((share * self.labels[found]).sum() / share.sum()) if len(found) and share.sum() > 0 else None), found, cosine
+        return float((share * self.labels[found]).sum() / share.sum()) if len(found) and share.sum() > 0 else None
 
     def score(self, vote: float | None) -> float:
         return self.without_terms if vote is None else float(np.interp(vote, *self.knots))
@@ -188,7 +303,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic",
-          max_training_rows: int = 8_000, max_terms: int = 1_000, least_z: float = 5.0, least_texts: int = 4, neighbours: int = 15) -> Classifier:
+          max_training_rows: int = 20_000, max_terms: int = 2_000, least_z: float = 5.0, least_texts: int = 4, neighbours: int = 15) -> Classifier:
     """Classifier from ``labels`` (only the rows to learn from) and the texts of ``docs``."""
     sample, texts = _sample(docs, labels, id_col, text_col, label_id_col, label_col, max_training_rows)
     labelled = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "label")
@@ -212,43 +327,71 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     share = labelled.groupBy(F.col("label") == 1).count().collect()
     n1 = sum(r["count"] for r in share if r[0])
     n0 = sum(r["count"] for r in share if not r[0])
-    keys = np.zeros(0, np.uint64)
+    keys, label_terms = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if n1 and n0:
         mean = (F.col("a") + F.col("b")) / (n0 + n1)
         z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt((F.col("squares") / (n0 + n1) - mean * mean) * (1 / n0 + 1 / n1) + 1e-12)
         sums = ("texts", "a", "b", "squares")
-        best = (labelled.mapInArrow(count, "key bigint, texts double, a double, b double, squares double").groupBy("key").agg(*[F.sum(c).alias(c) for c in sums])
-                .where(F.col("texts") >= least_texts).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "key").limit(max_terms))
-        keys = np.sort(np.array([r["key"] for r in best.select("key").collect()], np.int64).view(np.uint64))
+        found = (labelled.mapInArrow(count, "key bigint, texts double, a double, b double, squares double").groupBy("key").agg(*[F.sum(c).alias(c) for c in sums])
+                 .select("key", F.when((F.col("texts") >= least_texts) & (z >= least_z), z).otherwise(0.0).alias("z")).toArrow())
+        keys, z = found.column("key").to_numpy().view(np.uint64), found.column("z").to_numpy()
+        order = np.argsort(keys)
+        keys, z = keys[order], z[order]
+        best = np.lexsort((keys.view(np.int64), -z))[:max_terms]
+        label_terms = np.sort(best[z[best] > 0])
     frequency, n, examples = _frequencies(texts, sample, keys)
     idf = np.log((n + 1) / (frequency + 1))
     labels_of = np.array([e[1] for e in examples], float)
-    empty = np.array([len(e[2]) == 0 for e in examples], bool)
-    rate = (labels_of[empty].sum() + 0.5) / (empty.sum() + 1) if empty.any() else (labels_of.sum() + 0.5) / (len(labels_of) + 1)
-    held = [e for e in examples if len(e[2])]
+    is_label_term = np.zeros(len(keys), bool)
+    is_label_term[label_terms] = True
+
+    def rate(chosen: np.ndarray) -> float:
+        return float((labels_of[chosen].sum() + 0.5) / (chosen.sum() + 1)) if chosen.any() else float((labels_of.sum() + 0.5) / (len(labels_of) + 1))
+
+    without_terms = rate(np.array([len(e[2]) == 0 for e in examples], bool))
+    without_label_terms = rate(np.array([not is_label_term[e[2]].any() for e in examples], bool))
+    # like examples side by side, so that a block's bound is close to its members'
+    held = sorted((e for e in examples if len(e[2])), key=lambda e: (int(e[2][np.argmax((1 + np.log(e[3])) * idf[e[2]])]), e[1], str(e[0])))
+    lists = (np.concatenate([[0], np.cumsum([len(e[2]) for e in held])]).astype(np.int64), *(np.concatenate([e[i] for e in held] or [np.zeros(0, np.int32)]) for i in (2, 3)))
+    model = Classifier(keys, idf, label_terms, _packed_lists(*lists), [e[0] for e in held], np.array([e[1] for e in held], float), (np.array([0.0, 1.0]), np.full(2, without_terms)),
+                       without_terms, without_label_terms, neighbours)
     if not held:
-        return Classifier(keys, idf, None, [], np.zeros(0), (np.array([0.0, 1.0]), np.array([rate, rate])), float(rate), neighbours)
-    # like examples side by side, so that a block's maxima are close to its members
-    held.sort(key=lambda e: (int(e[2][np.argmax((1 + np.log(e[3])) * idf[e[2]])]), e[1], str(e[0])))
-    example = np.repeat(np.arange(len(held)), [len(e[2]) for e in held])
-    term, tf = np.concatenate([e[2] for e in held]), np.concatenate([e[3] for e in held])
-    weight = (1 + np.log(tf)) * idf[term]
-    norm = np.sqrt(np.bincount(example, weight ** 2))
-    index = BlockMaxIndex.build(example, term, weight / np.maximum(norm, 1e-12)[example], len(held), len(keys))
-    model = Classifier(keys, idf, index, [e[0] for e in held], np.array([e[1] for e in held], float), (np.zeros(0), np.zeros(0)), float(rate), neighbours)
-    votes = [model.vote(e[2], e[3], without=i)[0] for i, e in enumerate(held)]
+        return model
+    del examples, held, lists
+    votes = _votes_of_examples(docs.sparkSession, model)
     known = np.array([v is not None for v in votes])
     model.knots = isotonic(np.array([v for v in votes if v is not None]), model.labels[known])
     return model
 
 
+def _votes_of_examples(spark: SparkSession, model: Classifier) -> list[float | None]:
+    """Each example's vote by the others, found on the executors."""
+    shared, n = shipped(spark, model), len(model.ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = received(shared)
+        views, (start, term, tf) = own.views(), _lists(own.examples)
+        for batch in batches:
+            of = batch.column(0).to_pylist()
+            for i in range(0, len(of), QUERIES):
+                some = of[i:i + QUERIES]
+                votes = own.votes(views, [(term[start[e]:start[e + 1]], tf[start[e]:start[e + 1]]) for e in some], some)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([v for v, _, _ in votes], pa.float64())], names=["example", "vote"])
+
+    found = spark.range(0, n, 1, -(-n // EXAMPLES_A_TASK)).mapInArrow(run, "example bigint, vote double").toArrow()
+    shared.destroy()
+    return found.sort_by("example").column("vote").to_pylist()
+
+
 def _frequencies(texts: DataFrame, sample: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int, list[tuple]]:
     """(documents that hold each term, all documents, the sample's rows as (id, label, terms, tfs)), from one pass over all documents."""
     joined = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "label")
-    out = T.StructType([joined.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()),
-                        T.StructField("term", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.LongType()))])
+    out = T.StructType([joined.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()),
+                        T.StructField("block", T.BinaryType())])
+    shared = shipped(texts.sparkSession, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = received(shared)
         hasher, total, n, id_type = WordHasher(), np.zeros(len(keys), np.int64), 0, None
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -260,20 +403,24 @@ def _frequencies(texts: DataFrame, sample: DataFrame, keys: np.ndarray) -> tuple
                 bounds = np.searchsorted(text, np.arange(end - row + 1))
                 some = [i for i in range(end - row) if label[row + i] is not None]
                 if some:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([row + i for i in some])), pa.array([label[row + i] for i in some], pa.int32()), pa.nulls(len(some), pa.int64()),
-                         pa.array([term[bounds[i]:bounds[i + 1]] for i in some], pa.list_(pa.int64())), pa.array([tf[bounds[i]:bounds[i + 1]] for i in some], pa.list_(pa.int64()))], names=out.names)
+                    lists = pa.array([pack_sorted(term[bounds[i]:bounds[i + 1]].astype(np.uint64), tf[bounds[i]:bounds[i + 1]]) for i in some], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row + i for i in some])), pa.array([label[row + i] for i in some], pa.int32()),
+                                                      pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.int64()), lists], names=out.names)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], names=out.names)
+            at = range(0, max(1, len(keys)), FREQUENCY_BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.nulls(len(at), pa.int32()), pa.array(range(len(at)), pa.int32()), pa.array([n] * len(at), pa.int64()),
+                                              pa.array([pack(total[a:a + FREQUENCY_BLOCK]) for a in at], pa.binary())], names=out.names)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([unpack(x.as_py())[0].astype(np.int64) for x in table.column("block")], axis=0)
+        return pa.table({"part": table.column("part")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "total": pa.array([pack(total)], pa.binary())})
 
-    frequency, n, examples = np.zeros(len(keys), np.int64), 0, []
-    for r in joined.mapInArrow(run, out).collect():
-        if r["n"] is None:
-            examples.append((r["doc_id"], int(r["label"] == 1), np.array(r["term"], np.int64), np.array(r["tf"], np.int64)))
-        else:
-            n += r["n"]
-            frequency += np.array(r["term"], np.int64)
-    return frequency, n, examples
+    counted = written(joined.mapInArrow(run, out), "toxicity-terms")
+    sums = sorted(counted.where("part is not null").select("part", "n", "block").groupBy("part").applyInArrow(add, "part int, n bigint, total binary").collect())
+    frequency = np.concatenate([unpack(bytes(r["total"]))[0].astype(np.int64) for r in sums]) if sums else np.zeros(len(keys), np.int64)
+    examples = [(r["doc_id"], int(r["label"] == 1), *(c.astype(np.int32) for c in unpack_sorted(bytes(r["block"]))))
+                for r in counted.where("part is null").select("doc_id", "label", "block").toLocalIterator()]
+    return frequency, sums[0]["n"] if sums else 0, examples
 
 
 def score(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.7, evidence: int = 3) -> DataFrame:
@@ -286,16 +433,19 @@ def score(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, hasher = received(shared), WordHasher()
+        views = own.views()
         for batch in batches:
             scores, shown = np.full(batch.num_rows, own.without_terms), [[] for _ in range(batch.num_rows)]
             for row, _, data, at in pieces(batch.column(1)):
                 text, term, tf = term_counts(own.keys, hasher, data, at)
                 starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
-                for a, b in zip(starts, [*starts[1:], len(text)]):
-                    vote, found, cosine = own.vote(term[a:b], tf[a:b])
-                    i = row + int(text[a])
-                    scores[i] = own.score(vote)
-                    shown[i] = [{"doc_id": str(own.ids[e]), "label": int(own.labels[e]), "cosine": float(c)} for e, c in zip(found[:evidence], cosine[:evidence])]
+                ends = np.append(starts, len(text))[1:]
+                for first in range(0, len(starts), QUERIES):
+                    bounds = list(zip(starts[first:first + QUERIES], ends[first:first + QUERIES]))
+                    for (a, _), (vote, found, cosine) in zip(bounds, own.votes(views, [(term[a:b], tf[a:b]) for a, b in bounds])):
+                        i = row + int(text[a])
+                        scores[i] = own.score(vote)
+                        shown[i] = [{"doc_id": str(own.ids[e]), "label": int(own.labels[e]), "cosine": float(c)} for e, c in zip(found[:evidence], cosine[:evidence])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= least_score).astype(np.int32)), pa.array(shown, arrow)], names=out.names)
 
     return texts.mapInArrow(run, out)
