@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from llm_tables import no_docs, odd_docs  # noqa: F401
-from plain import jaccard_components
+from plain import jaccard_components, shingles
 from trialstats.llm import jaccard
 from trialstats.llm.components import components
 
@@ -62,6 +62,20 @@ def test_hot_lists_and_random_orders(spark, monkeypatch):
     assert _rows(jaccard.jaccard_components(df)) == _want(rows)
 
 
+@pytest.mark.parametrize("part", [1_000, 5])
+def test_every_link_is_counted(spark, monkeypatch, odd_docs, no_docs, part):
+    """Also inside groups of near copies, of equal texts, and in lists of several parts."""
+    monkeypatch.setattr(jaccard, "LIST_PART", part)
+    rows = _near_copies()[:250]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), odd_docs):
+        sets = [(r["doc_id"], shingles(r["text"])) for r in df.collect()]
+        want = [(d, len(x), sum(j != i and bool(x) and 175 * len(x & y) >= 75 * (len(x) + len(y)) for j, (_, y) in enumerate(sets))) for i, (d, x) in enumerate(sets)]
+        got = [(r["doc_id"], r["n_shingles"], r["n_links"]) for r in jaccard.link_counts(df).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and max(w[2] for w in want) > 1
+    assert jaccard.link_counts(no_docs).collect() == []
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     assert _rows(jaccard.jaccard_components(odd_docs)) == _want(rows)

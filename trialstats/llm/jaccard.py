@@ -62,6 +62,8 @@ ORDER_BLOCK, ORDER_REPEATS = 2_000_000, 4
 #: Postings that a task gathers before it sends them on, entries of one list from which a task tests it itself.
 POSTING_BLOCK, HOT_LIST = 500_000, 16
 BUCKET_POSTINGS = 1_000_000
+#: Entries of a list, about, that meet the others of a part where all links are wanted.
+LIST_PART = 1_000
 BIT_ARRAY_BITS = 1 << 21
 #: Rounds of (places apart, pairs for each set) that are tested in lists that hold several components.
 RANDOM_ORDERS = ((4, 12), (16, 48))
@@ -462,6 +464,69 @@ def _with_set(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("_llm_set", text_udf(make, "bigint")(F.col(text_col).cast("string")))
 
 
+def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, scan_cost: float = 4.0) -> DataFrame:
+    """Per row: doc_id, n_shingles, n_links (other rows it links with, those of an equal set included).
+
+    Unlike the components this needs every link, so all pairs of distinct sets that the bounds allow are verified; the
+    cost grows with the number of links.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    first = written(_sets_and_repeats(texts), "jaccard-sets")
+    by_set = (first.where("n > 0").groupBy("set_id")
+              .agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.max("profile").alias("profile"), F.count("*").alias("times")))
+    by_set = written(by_set, "jaccard-distinct")
+    links = all_links(texts, by_set, _order_sketch(first), percent, scan_cost)
+    times = by_set.select(F.col("set_id").alias("b"), "times")
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(times, "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("times").alias("others"))
+    of_set = by_set.join(others, "set_id", "left").select("set_id", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows = first.where("n is not null").select("doc_id", "n", "set_id")
+    return rows.join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def all_links(texts: DataFrame, by_set: DataFrame, order: np.ndarray, percent: int, scan_cost: float) -> DataFrame:
+    """All verified links (a, b of set ids; a < b) between distinct sets."""
+    rule, _ = _rule(by_set, percent, scan_cost)
+    entries = _entries(texts, rule, shipped(texts.sparkSession, order))
+    pairs = written(_possible(_pairs_in_parts(entries), by_set, percent), "all-pairs")
+    return _verified(texts, by_set, pairs, percent)
+
+
+def _pairs_in_parts(entries: DataFrame) -> DataFrame:
+    """All pairs in the lists within the size and position bounds; every two parts of a long list meet in a place of their own."""
+    counts = entries.groupBy("key").agg(F.ceil(F.count("*") / LIST_PART).alias("parts")).where("parts > 1")
+    own = entries.join(counts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    other = own.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    dealt = written(other.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "n", "most"), "list-parts")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "lo", "hi")]
+    fits = (F.col("x.id") < F.col("y.id")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.part") != F.col("y.part")))
+    return x.join(y, reduce(Column.__and__, on) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _entries(texts: DataFrame, rule: Rule, sketch) -> DataFrame:
+    """(key, id, n, most) of all entries of all lists; most is the largest size of a partner."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, hasher = received(sketch), WordHasher()
+        for batch in batches:
+            for _, _, data, at in pieces(batch.column(0)):
+                values, bounds, n, ids = document_sets(hasher, data, at)
+                key, of, position = postings(rule, order, values, bounds, n)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ids[of]), pa.array(n[of].astype(np.int64)), pa.array(rule.largest_partner(n[of], position))], names=["key", "id", "n", "most"])
+
+    found = texts.select("text").mapInArrow(entries, "key bigint, id bigint, n bigint, most bigint")
+    return written(found.groupBy("key", "id", "n").agg(F.max("most").alias("most")), "entries")
+
+
+def _rule(by_set: DataFrame, percent: int, scan_cost: float) -> tuple[Rule, int]:
+    """The rule with the best boundary, and the number of list entries."""
+    sizes = {r["n"]: r["count"] for r in by_set.groupBy(F.least("n", F.lit(4096)).alias("n")).count().collect()}
+    rule = Rule(percent, choose_boundary(sizes, percent, scan_cost))
+    n = np.array(list(sizes), np.int64)
+    return rule, int((np.array(list(sizes.values())) * rule.prefix(n, 1)).sum()) if len(n) else 0
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, scan_cost: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n, set_id) by row, (set_id, n, least_id) by set, (set_id, component, component_id) by set."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -480,10 +545,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, scan_
 
 def links_of_sets(texts: DataFrame, by_set: DataFrame, order: np.ndarray, percent: int, scan_cost: float) -> DataFrame:
     """Verified links (a, b of set ids) that connect all linked sets: their components are those of all links."""
-    sizes = {r["n"]: r["count"] for r in by_set.groupBy(F.least("n", F.lit(4096)).alias("n")).count().collect()}
-    rule = Rule(percent, choose_boundary(sizes, percent, scan_cost))
-    n = np.array(list(sizes), np.int64)
-    total = int((np.array(list(sizes.values())) * rule.prefix(n, 1)).sum()) if len(n) else 0
+    rule, total = _rule(by_set, percent, scan_cost)
     sketch = shipped(texts.sparkSession, order)
     pairs = written(_list_pairs(texts, rule, sketch, max(8, -(-total // BUCKET_POSTINGS))), "pairs")
     tested = written(_possible(pairs.where("may").select("a", "b").distinct(), by_set, percent), "tested")
