@@ -14,8 +14,10 @@ from trialstats.llm.jaccard import jaccard_components
 from trialstats.llm.lm import score
 from trialstats.llm.packing import pack
 from trialstats.llm.quality import COUNTS, judge_quality, train_on_labels
+from trialstats.llm.runs import periodic_runs, run_digest
 from trialstats.llm.secrets import scan
 from trialstats.llm.sharding import shard_documents
+from trialstats.llm.suffix import without_repeats
 from trialstats.llm.warc import archive_round_trip
 from trialstats.sources.tables import table
 
@@ -126,9 +128,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth text, by a hash of its id, is made periodic first; texts without an id stay as they are."""
+    return run_digest(periodic_runs(table(spark, sf_dir, "documents"), plant_key="crc32(cast(cast(doc_id AS string) AS binary))"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {"op1_jaccard": op1_jaccard, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity,
-            "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets}
+            "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets, "op11_suffix_dedup": op11_suffix_dedup, "op12_periodic_runs": op12_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
