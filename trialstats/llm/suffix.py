@@ -215,7 +215,7 @@ def _compare(head: np.ndarray, room: np.ndarray, a: np.ndarray, b: np.ndarray, r
 
 
 def _solve_shard(owner: np.ndarray, salts: np.ndarray, piece: np.ndarray, count: np.ndarray, column: pa.Array, length: int):
-    """Of a shard's distinct pieces: repeated window ranges, and a row for each distinct window of owners that are in other shards too."""
+    """Of a shard's distinct pieces: repeated window ranges, and the sorted digests, with places, of distinct windows of owners that are in other shards too."""
     parts = [np.frombuffer(x, np.uint8) for x in (b.as_buffer() for b in column)]
     sizes = np.array([len(x) for x in parts], np.int64)
     ends = np.cumsum(sizes)
@@ -233,7 +233,9 @@ def _solve_shard(owner: np.ndarray, salts: np.ndarray, piece: np.ndarray, count:
     single[at[twice]] = False
     reps = np.flatnonzero(single)
     raw = data.tobytes()
-    digests = [hashlib.blake2b(raw[i:i + length], digest_size=16).digest() for i in reps.tolist()]
+    digests = np.frombuffer(b"".join(hashlib.blake2b(raw[i:i + length], digest_size=16).digest() for i in reps.tolist()), "S16")
+    order = np.argsort(digests)
+    reps, digests = reps[order], digests[order]
     edge = repeated.copy()
     edge[1:] &= ~repeated[:-1] | (of[1:] != of[:-1])
     last = repeated.copy()
@@ -246,9 +248,12 @@ def _solve_shard(owner: np.ndarray, salts: np.ndarray, piece: np.ndarray, count:
     return spans, classes
 
 
+_PLACE = "owner long, piece long, lo long, hi long"
+
+
 def shard_windows(distinct: DataFrame, shards: int, shard_bytes: int, length: int) -> DataFrame:
-    """(owner, piece, lo, hi, digest): repeated windows lo..hi of a piece (digest null), and distinct windows of salted owners (digest set;
-    lo is -1 where the window repeats in its own shard)."""
+    """Rows of two kinds: repeated windows lo..hi of a piece (range null); and, a row for each range of digests, the sorted digests of
+    distinct windows of salted owners with owners, pieces and places (-1 where the window repeats in its own shard) as packed numbers."""
     salts = F.ceil(F.col("weight") / F.lit(shard_bytes)).cast("long")
     dealt = distinct.withColumn("salts", salts).withColumn(
         "shard", F.pmod(F.xxhash64("owner", F.pmod("piece", "salts")), F.lit(shards)))
@@ -257,27 +262,35 @@ def shard_windows(distinct: DataFrame, shards: int, shard_bytes: int, length: in
         num = {c: table.column(c).to_numpy() for c in ("owner", "salts", "piece", "n")}
         text = table.column("bytes").combine_chunks()
         spans, classes = _solve_shard(num["owner"], num["salts"], num["piece"], num["n"], text, length)
-        a, b = len(spans[0]), len(classes[0])
-        cols = [np.concatenate([x, y]) for x, y in zip(spans[:3], classes[:3])]
-        hi = np.concatenate([spans[3], classes[2]])
-        return pa.table([*(pa.array(c, pa.int64()) for c in (*cols, hi)), pa.array([None] * a + classes[3], pa.binary())], names=["owner", "piece", "lo", "hi", "digest"])
-
-    return dealt.select("owner", "salts", "piece", "n", "bytes", "shard").groupBy("shard").applyInArrow(run, "owner long, piece long, lo long, hi long, digest binary")
-
-
-def merged_windows(found: DataFrame, ranges: int) -> DataFrame:
+        digests = classes[3]
+        heads = np.frombuffer(digests.tobytes(), ">u4")[::4].astype(np.uint64)
+        of = (heads * np.uint64(shards)) >> np.uint64(32)
+        starts = np.flatnonzero(np.diff(of, prepend=np.uint64(shards)))
+        parts = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(of)])]
+        n, k = len(spans[0]), len(parts)
+        none = [None] * n
+        packed = [pa.array(none + [c[p].tobytes() for p in parts], pa.binary()) for c in (*(x.astype(np.int64) for x in classes[:3]), digests)]
+        return pa.table([*(pa.array([*c.tolist(), *[None] * k], pa.int64()) for c in spans), pa.array(none + of[starts].tolist(), pa.int64()), *packed],
+                        names=["owner", "piece", "lo", "hi", "range", "owners", "pieces", "places", "digests"])
+
+    return dealt.select("owner", "salts", "piece", "n", "bytes", "shard").groupBy("shard").applyInArrow(
+        run, _PLACE + ", range long, owners binary, pieces binary, places binary, digests binary")
+
+
+def merged_windows(found: DataFrame) -> DataFrame:
     """(owner, piece, lo, hi) of windows that are single in their own shard and occur in another one. found: ``shard_windows``."""
-    place = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long")
-    classes = found.where("digest IS NOT NULL").withColumn("range", F.floor(place * F.lit(ranges) / F.lit(1 << 32)))
 
     def run(table: pa.Table) -> pa.Table:
-        digest = np.array(table.column("digest").to_pylist(), dtype="S16") if len(table) else np.zeros(0, "S16")
+        owner, piece, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("owners", "pieces", "places"))
+        digest = np.frombuffer(b"".join(table.column("digests").to_pylist()), "S16")
         ordered = np.sort(digest)
-        lo = table.column("lo").to_numpy()
-        elsewhere = np.searchsorted(ordered, digest, "right") - np.searchsorted(ordered, digest, "left") >= 2
-        return table.filter(pa.array(elsewhere & (lo >= 0))).select(["owner", "piece", "lo", "hi"])
+        alone = np.flatnonzero(place >= 0)
+        seen = np.searchsorted(ordered, digest[alone], "right") - np.searchsorted(ordered, digest[alone], "left")
+        hit = alone[seen >= 2]
+        return pa.table([pa.array(c[hit]) for c in (owner, piece, place, place)], names=["owner", "piece", "lo", "hi"])
 
-    return classes.select("owner", "piece", "lo", "hi", "digest", "range").groupBy("range").applyInArrow(run, "owner long, piece long, lo long, hi long")
+    classes = found.where("range IS NOT NULL").select("range", "owners", "pieces", "places", "digests")
+    return classes.groupBy("range").applyInArrow(run, _PLACE)
 
 
 # ---------------------------------------------------------------- the operator
@@ -314,7 +327,7 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     each = each.select("a.owner", "a.piece", "a.weight", F.substring("text", F.col("a.lo").cast("int") + 1, (F.col("a.hi") - F.col("a.lo") + length).cast("int")).alias("bytes"))
     distinct = each.groupBy("owner", "piece", "weight").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"))
     found = written(shard_windows(distinct, shards, shard_bytes, length), "shard-windows")
-    repeated = found.where("digest IS NULL").drop("digest").unionAll(merged_windows(found, shards))
+    repeated = found.where("range IS NULL").select("owner", "piece", "lo", "hi").unionAll(merged_windows(found))
 
     placed = of_text.select("key", F.explode("anchors").alias("a")).select("key", "a.*")
     whole = placed.where("NOT mixed").select("key", "lo", "hi")
