@@ -20,12 +20,13 @@ COLUMNS = {
     "op7_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op8_toxicity": "doc_id held_out score predicted",
     "op9_decontamination": "doc_id item_id", "op10_secrets": "doc_id n_assign n_access n_hex base_sha256 spans", "op4_chat": "conv_id turn role n_lines text rendered",
     "op11_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
-    "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256"}
+    "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13_transcript_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256"}
 
 
 def test_one_query_for_each_operator():
     names = [q for q in entry.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 13)) and set(names) == set(COLUMNS) == set(catalog.queries())
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and set(names) == set(COLUMNS) == set(catalog.queries())
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
 
 

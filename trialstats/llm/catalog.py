@@ -18,6 +18,7 @@ from trialstats.llm.runs import periodic_runs, run_digest
 from trialstats.llm.secrets import scan
 from trialstats.llm.sharding import shard_documents
 from trialstats.llm.suffix import without_repeats
+from trialstats.llm.transcript_repair import audits, damaged, placed, repair_summary
 from trialstats.llm.warc import archive_round_trip
 from trialstats.sources.tables import table
 
@@ -137,9 +138,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(table(spark, sf_dir, "documents"), plant_key="crc32(cast(cast(doc_id AS string) AS binary))"))
 
 
+def op13_transcript_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = placed(damaged(table(spark, sf_dir, "conversations")))
+    return repair_summary(rows, audits(rows))
+
+
 def queries() -> dict[str, QueryFn]:
     return {"op1_jaccard": op1_jaccard, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_chat": op4_chat, "op5_sharding": op5_sharding, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity,
-            "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets, "op11_suffix_dedup": op11_suffix_dedup, "op12_periodic_runs": op12_periodic_runs}
+            "op9_decontamination": op9_decontamination, "op10_secrets": op10_secrets, "op11_suffix_dedup": op11_suffix_dedup, "op12_periodic_runs": op12_periodic_runs, "op13_transcript_repair": op13_transcript_repair}
 
 
 def oracle_sql() -> dict[str, str]:
