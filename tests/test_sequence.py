@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trialstats.operators.sequence import RANGES_CONF, first_per, ordered_scan, with_rank_segment
+from trialstats.operators.sequence import RANGES_CONF, RANGE_BYTES_CONF, first_per, ordered_scan, range_count, ranged
 
 
 def _data(spark, n=600, seed=1):
@@ -20,7 +20,7 @@ def _data(spark, n=600, seed=1):
     return spark.createDataFrame(rows, "g int, t double, eid long, v string, x double")
 
 
-@pytest.fixture(params=["2", "40", "3000"])
+@pytest.fixture(params=["2", "40", "300"])
 def ranges(spark, request):
     spark.conf.set(RANGES_CONF, request.param)
     yield int(request.param)
@@ -77,7 +77,7 @@ def test_hot_groups_are_cut(spark):
     df = spark.createDataFrame(burst + tie + cold, "g int, t double, eid long")
     spark.conf.set(RANGES_CONF, "101")
     try:
-        cut = with_rank_segment(df, ["g"], ["t", "eid"], "s")
+        cut = ranged(df, ["g"], ["t", "eid"], "s")
         parts = cut.groupBy("g", "s").count().collect()
         got = ordered_scan(df, ["g"], ["t", "eid"], row_number="rn")
     finally:
@@ -88,15 +88,42 @@ def test_hot_groups_are_cut(spark):
     assert sorted(map(tuple, got.select("eid", "rn").collect())) == sorted(map(tuple, df.select("eid", F.row_number().over(w)).collect()))
 
 
-def test_building_a_scan_runs_no_job(spark):
-    df = _data(spark)
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("building", "building")
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange " in line]
+
+
+def test_rows_are_exchanged_once(spark):
+    """After the range exchange that writes the table, only summaries move: neither the windows nor a second scan move the rows."""
+    df = ranged(_data(spark).withColumn("wide", F.lit("w")), ["g"], ["t", "eid"], "seg")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        _scan(df)
-        assert list(tracker.getJobIdsForGroup("building")) == []
+        once = ordered_scan(df, ["g"], ["t", "eid"], lag={"p": "v"}, segment=F.col("seg"))
+        twice = ordered_scan(once, ["g"], ["t", "eid"], running_sum={"s": "x"}, segment=F.col("seg"))
+        for scan in (once, twice):
+            scan._jdf.queryExecution().assertAnalyzed()
+            assert not any("wide" in line for line in _exchanges(scan))
+            assert "hashpartitioning(_ts_seg" in "".join(_exchanges(scan))
     finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ranges_follow_the_input(spark, tmp_path):
+    """Ten times the rows of one hot user are cut into about ten times as many ranges."""
+    parts = []
+    for n in (20_000, 200_000):
+        path = str(tmp_path / str(n))
+        spark.range(n).selectExpr("7L AS g", "id AS t", "id AS eid", "hash(id) AS x").write.parquet(path)
+        df = spark.read.parquet(path)
+        spark.conf.set(RANGE_BYTES_CONF, "16384")
+        try:
+            ranges = range_count(df)
+            sizes = [r["count"] for r in ranged(df, ["g"], ["t", "eid"], "s").groupBy("s").count().collect()]
+        finally:
+            spark.conf.unset(RANGE_BYTES_CONF)
+        parts.append((ranges, max(sizes)))
+    assert parts[1][0] > 6 * parts[0][0] and parts[1][1] < 2 * parts[0][1]
+    assert range_count(_data(spark)) == spark.sparkContext.defaultParallelism  # unknown size
 
 
 def test_first_per_is_deterministic(spark):

@@ -108,3 +108,52 @@ def test_apply_per_group_split_equals_whole(spark):
     split = O.apply_per_group(df, ["g"], _sums, "g long, n long, s double", split=F.floor(F.col("i") / 100),
                               combine={"n": F.sum("n"), "s": F.sum("s")})
     assert {r.g: (r.n, round(r.s, 9)) for r in split.collect()} == whole
+
+
+def test_order_statistics_of_a_hot_group(spark):
+    """Ties, a group that holds most rows, a null group, NaN-free doubles of all signs: equal to NumPy, whatever the number of ranges."""
+    from trialstats.operators.selection import order_statistics
+    from trialstats.operators.sequence import RANGES_CONF
+    rng = np.random.default_rng(2)
+    hot = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25), rng.integers(-3, 4, 1000) * 1e9])
+    data = {"hot": hot, None: rng.normal(size=7), "one": np.array([4.0]), "two": np.array([-1.0, 2.0])}
+    rows = [(g, float(v)) for g, x in data.items() for v in x] + [("none", None), ("hot", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.77, "e": 1.0}
+    for ranges in ("1", "30"):
+        spark.conf.set(RANGES_CONF, ranges)
+        try:
+            got = {r["g"]: r for r in order_statistics(df, ["g"], F.col("x"), probs, {"n": F.count("_qs_value")}, mad="mad").collect()}
+        finally:
+            spark.conf.unset(RANGES_CONF)
+        assert set(got) == set(data)
+        for g, x in data.items():
+            assert got[g]["n"] == len(x)
+            assert [got[g][k] for k in probs] == pytest.approx(np.quantile(x, list(probs.values())).tolist(), abs=1e-6)
+            assert got[g]["mad"] == pytest.approx(np.median(np.abs(x - np.median(x))), abs=1e-9)
+    assert order_statistics(df.limit(0), ["g"], F.col("x"), probs, mad="mad").collect() == []
+
+
+def test_summary_reads_its_table_once(spark, tmp_path, monkeypatch):
+    """The full summary, median deviation included, scans its input for the counts only."""
+    from trialstats.operators import sequence
+    path = str(tmp_path / "t")
+    spark.range(500).selectExpr("id % 3 AS g", "cast(id % 101 AS double) AS x").write.parquet(path)
+    written = []
+    kept = sequence.bucketed
+    monkeypatch.setattr(sequence, "bucketed", lambda df, *a: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, *a))
+    out = S.summary_stats(spark.read.parquet(path), ["g"], ["x"], kind="full")
+    assert [p.count("Relation [g") for p in written] == [1, 0]
+    assert "percentile" not in "".join(written) + out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(out.collect()) == 3
+
+
+def test_density_counts_every_value(spark):
+    """Values hundreds of bandwidths apart, ties, and one far outlier: equal to the sum of all kernels."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=400), np.full(300, 2.5), rng.normal(50, 0.1, 200), [400.0]])
+    out = S.density(spark.createDataFrame(pd.DataFrame({"x": x})), "x").toPandas().sort_values("point")
+    q1, q3 = np.quantile(x, [0.25, 0.75])
+    bw = 0.9 * min(x.std(ddof=1), (q3 - q1) / 1.34) * len(x) ** -0.2
+    exact = np.exp(-0.5 * ((out["x"].to_numpy()[:, None] - x[None, :]) / bw) ** 2).sum(1) / (len(x) * bw * math.sqrt(2 * math.pi))
+    assert np.max(np.abs(out["density"].to_numpy() - exact)) < 1e-6

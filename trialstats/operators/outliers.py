@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.distributions import chi2_quantile
 from trialstats.operators.joins import join_group_stats
+from trialstats.operators.selection import order_statistics
 
 _G = "_ol_group"
 
@@ -35,20 +36,20 @@ def identify_outliers(df: DataFrame, keys: Sequence[str], col: str, coef: float
     """
     keys = list(keys)
     x = F.col(col).cast("double")
-    quart = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
+    q = order_statistics(df, keys, x, {"_q1": 0.25, "_q3": 0.75})
     if keys:
         base = df.withColumn(_G, F.struct(*keys))
-        q = base.where(x.isNotNull()).groupBy(_G).agg(quart.alias("_q"))
-        joined = join_group_stats(base, q, _G)
+        joined = join_group_stats(base, q.select(F.struct(*keys).alias(_G), "_q1", "_q3"), _G)
     else:  # one group: its quartiles are a scalar subquery (no join)
-        joined = df.withColumn(_G, F.lit(0)).withColumn("_q", df.where(x.isNotNull()).agg(quart.alias("q")).scalar())
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+        joined = df.withColumn(_G, F.lit(0)).withColumn("_q", q.select(F.struct("_q1", "_q3").alias("q")).scalar())
+        joined = joined.withColumns({"_q1": F.col("_q._q1"), "_q3": F.col("_q._q3")}).drop("_q")
+    q1, q3 = F.col("_q1"), F.col("_q3")
     iqr = q3 - q1
     out = joined.withColumns({
         "is_outlier": (x < q1 - coef * iqr) | (x > q3 + coef * iqr),
         "is_extreme": (x < q1 - extreme_coef * iqr) | (x > q3 + extreme_coef * iqr),
     })
-    return out.where(F.col("is_outlier")).drop(_G, "_q")
+    return out.where(F.col("is_outlier")).drop(_G, "_q1", "_q3")
 
 
 # ---------------------------------------------------------------- M2

@@ -3,22 +3,17 @@
 The reference relies on the row order of its files. Here every scan takes an
 explicit partition key and order key, and runs in one shape for groups of any size:
 
-1. ``with_rank_segment`` cuts the whole table, ordered by (keys, order), into ranges of
-   about equal numbers of rows. The cuts are rows of the table itself: those with the
-   smallest hashes of their full order key, a sample that depends on nothing but the
-   data, found by a top-k inside the same plan (no job runs while a query is built).
-   A burst or a tie in the leading order column is cut like any other run of rows,
-   as the cuts use the full key; a group of one row stays in one range.
-2. Rows are windowed per (group, range), so a group that holds a third of all rows
-   is spread over about a third of the ranges.
-3. Each (group, range) is summarised to one row (count, last value, sum, first
-   non-null): at most one for each group and one more for each cut.
-4. These rows are scanned per group, and the carry-in is joined back on the same
-   struct key the rows are already hash-partitioned on, so the big side is not
-   shuffled again.
-
-A caller that scans twice along one order computes the segment once and passes it
-on as a column.
+1. ``ranged`` deals the table to ranges of (keys, order) with the engine's range exchange
+   and writes it once, with the range as a column, as a table bucketed by the range. A
+   range's bounds come from the engine's sample of the full key, so bursts, ties in the
+   leading order column and hot groups are cut like any other rows, and the number of
+   ranges follows the bytes of the input.
+2. Rows are windowed per (range, group). The table is bucketed by the range, so the
+   windows need no exchange, and a second scan along the same order needs none either.
+3. Each (range, group) is summarised to one row (count, last value, sum, first
+   non-null), and the few groups that lie in several ranges are scanned over these rows.
+4. What they carry goes back as one row for each range, joined on the range: the rows
+   stay where they are.
 """
 
 from __future__ import annotations
@@ -28,33 +23,36 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES_CONF = "spark.trialstats.scanRanges"
-DEFAULT_RANGES = 1024  # ranges of the ordered table; more of them for more rows or more cores
-_FAN = 32  # cuts that are compared at once on each of the two levels of the search
+from trialstats.session import bucketed, input_bytes
+
+RANGES_CONF = "spark.trialstats.scanRanges"      # number of ranges, in place of that from the input's size
+RANGE_BYTES_CONF = "spark.trialstats.rangeBytes"  # input bytes of a range
+DEFAULT_RANGE_BYTES = 64 << 20
 
-_PART = "_ts_part"      # struct(keys..., segment): partition of the inner window
 _SEG = "_ts_seg"
 _RN = "_ts_rn"
-_CUTS, _HERE, _PASSED = "_ts_cuts", "_ts_here", "_ts_passed"
+_CARRY = "_ts_carry"
+
+
+def range_count(df: DataFrame) -> int:
+    """Ranges for a table: one for each ``rangeBytes`` of its input, and as many as there are cores at least."""
+    spark = df.sparkSession
+    given = spark.conf.get(RANGES_CONF, None)
+    if given:
+        return max(1, int(given))
+    size = int(spark.conf.get(RANGE_BYTES_CONF, str(DEFAULT_RANGE_BYTES)))
+    return max(spark.sparkContext.defaultParallelism, -(-input_bytes(df) // size))
 
 
-def with_rank_segment(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "scan_segment") -> DataFrame:
-    """Add the number of cuts up to each row, a segment that never falls along (keys, order).
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "scan_segment") -> DataFrame:
+    """The table in ranges of (keys, order), written once; ``name`` is the range, which never falls along that order.
 
     ``order`` names ascending columns; with the keys it should tell rows apart, since equal
     rows of the full key cannot be cut.
     """
-    ranges = int(df.sparkSession.conf.get(RANGES_CONF, str(DEFAULT_RANGES)))
-    here = F.struct(*keys, *[c for c in order if c not in keys])
-    points = df.select(here.alias("k")).orderBy(F.xxhash64("k"), "k").limit(max(1, ranges - 1))
-    every = F.filter("all", lambda _, i: (i + 1) % _FAN == 0)
-    cuts = points.agg(F.sort_array(F.collect_list("k")).alias("all")).select(F.struct("all", every.alias("some"))).scalar()
-    # a column of its own first: subqueries cannot stand inside higher-order functions
-    passed = F.size(F.filter(F.col(f"{_CUTS}.some"), lambda c: c <= F.col(_HERE))) * _FAN
-    near = F.slice(F.col(f"{_CUTS}.all"), F.col(_PASSED) + 1, _FAN)
-    return (df.withColumns({_CUTS: cuts, _HERE: here}).withColumn(_PASSED, passed)
-            .withColumn(name, F.col(_PASSED) + F.size(F.filter(near, lambda c: c <= F.col(_HERE))))
-            .drop(_CUTS, _HERE, _PASSED))
+    n = range_count(df)
+    cut = df.repartitionByRange(n, *keys, *[c for c in order if c not in keys]).withColumn(name, F.spark_partition_id())
+    return bucketed(cut, n, name, "ranges")
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -82,20 +80,19 @@ def ordered_scan(
     ``fill_up``     — ``{out: col}``: this row's ``col``, else the next non-null value
                       below it in the group (tidyr ``fill(.direction='up')``, N5/N6).
     ``segment``     — a column that never falls along ``order`` inside a group, where the
-                      caller has one; by default ``with_rank_segment``.
+                      caller has one (best that of ``ranged``); by default the table is ranged.
     ``descending``  — number the rows from the last one (row numbers only).
     """
     lag, running_sum, fill_up = dict(lag or {}), dict(running_sum or {}), dict(fill_up or {})
     if descending and (lag or running_sum or fill_up):
         # the segment summaries pick the last / first row with max_by / min_by on the ascending struct
         raise ValueError("descending supports row_number only; scan in ascending order instead")
-    columns = df.columns
+    columns, keys = df.columns, list(keys)
     if segment is None:
-        df, segment = with_rank_segment(df, keys, order, _SEG), F.col(_SEG)
+        df, segment = ranged(df, keys, order, _SEG), F.col(_SEG)
     order_cols = [F.col(c).desc() if descending else F.col(c) for c in order]
-    part = F.struct(*[F.col(k) for k in keys], segment.alias(_SEG))
-    base = df.withColumn(_PART, part)
-    w_in = Window.partitionBy(_PART).orderBy(*order_cols)
+    base = df.withColumn(_SEG, segment)
+    w_in = Window.partitionBy(_SEG, *keys).orderBy(*order_cols)
     ord_struct = F.struct(*order)
 
     inner: dict[str, Column] = {_RN: F.row_number().over(w_in)}
@@ -108,7 +105,7 @@ def ordered_scan(
             w_in.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     rows = base.withColumns(inner)
 
-    # one row per (group, segment); grouping on the window's partition key needs no shuffle
+    # one row per (segment, group), from the columns that the scan needs
     aggs = [F.count(F.lit(1)).alias("_ts_n")]
     for out, c in lag.items():
         aggs.append(F.max_by(F.col(c), ord_struct).alias(f"_ts_last_{out}"))
@@ -116,34 +113,39 @@ def ordered_scan(
         aggs.append(F.sum(c).alias(f"_ts_sum_{out}"))
     for out, c in fill_up.items():
         aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), ord_struct)).alias(f"_ts_first_{out}"))
-    seg_summary = rows.groupBy(_PART).agg(*aggs)
+    summary = base.groupBy(_SEG, *keys).agg(*aggs)
 
-    # scan the (few) segment rows of each group in segment order
-    seg_order = F.col(f"{_PART}.{_SEG}")
-    ws = Window.partitionBy(F.col(_PART).dropFields(_SEG)).orderBy(seg_order.desc() if descending else seg_order)
+    # groups in several segments: their rows in segment order
+    ws = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    several = summary.withColumn("_ts_in", F.count(F.lit(1)).over(ws)).where("_ts_in > 1")
+    ws = ws.orderBy(F.col(_SEG).desc() if descending else F.col(_SEG))
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    carry: dict[str, Column] = {"_ts_off": F.coalesce(F.sum("_ts_n").over(before), F.lit(0))}
-    for out in lag:
-        carry[f"_ts_prev_{out}"] = F.lag(f"_ts_last_{out}").over(ws)
-    for out in running_sum:
-        carry[f"_ts_psum_{out}"] = F.sum(f"_ts_sum_{out}").over(before)
-    for out in fill_up:
-        carry[f"_ts_next_{out}"] = F.first(f"_ts_first_{out}", ignorenulls=True).over(
-            ws.rowsBetween(1, Window.unboundedFollowing))
-    seg_carry = seg_summary.select(_PART, *[e.alias(n) for n, e in carry.items()])
-
-    joined = rows.join(seg_carry, on=_PART, how="inner")
+    carry: dict[str, Column] = {"off": F.coalesce(F.sum("_ts_n").over(before), F.lit(0))}
+    for i, out in enumerate(lag):
+        carry[f"prev{i}"] = F.lag(f"_ts_last_{out}").over(ws)
+    for i, out in enumerate(running_sum):
+        carry[f"sum{i}"] = F.sum(f"_ts_sum_{out}").over(before)
+    for i, out in enumerate(fill_up):
+        carry[f"next{i}"] = F.first(f"_ts_first_{out}", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing))
+    several = several.select(_SEG, *keys, *[e.alias(f"_ts_c_{n}") for n, e in carry.items()])
+    entry = F.struct(F.struct(*keys, F.lit(0).alias("_ts_0")).alias("group"), *[F.col(f"_ts_c_{n}").alias(n) for n in carry])
+    by_segment = several.groupBy(_SEG).agg(F.collect_list(entry).alias(_CARRY))
+
+    here = F.struct(*keys, F.lit(0).alias("_ts_0"))
+    joined = rows.join(by_segment, on=_SEG, how="left").withColumn(
+        _CARRY, F.get(F.filter(_CARRY, lambda x: x["group"].eqNullSafe(here)), F.lit(0)))
+    got = lambda n: F.col(f"{_CARRY}.{n}")
     final: dict[str, Column] = {}
-    for out in lag:
-        final[out] = F.when(F.col(_RN) == 1, F.col(f"_ts_prev_{out}")).otherwise(F.col(f"_ts_lag_{out}"))
+    for i, out in enumerate(lag):
+        final[out] = F.when(F.col(_RN) == 1, got(f"prev{i}")).otherwise(F.col(f"_ts_lag_{out}"))
     if row_number:
-        final[row_number] = (F.col(_RN) + F.col("_ts_off")).cast("long")
-    for out in running_sum:
-        a, b = F.col(f"_ts_cs_{out}"), F.col(f"_ts_psum_{out}")
+        final[row_number] = (F.col(_RN) + F.coalesce(got("off"), F.lit(0))).cast("long")
+    for i, out in enumerate(running_sum):
+        a, b = F.col(f"_ts_cs_{out}"), got(f"sum{i}")
         final[out] = F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(
             F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-    for out in fill_up:
-        final[out] = F.coalesce(F.col(f"_ts_bf_{out}"), F.col(f"_ts_next_{out}"))
+    for i, out in enumerate(fill_up):
+        final[out] = F.coalesce(F.col(f"_ts_bf_{out}"), got(f"next{i}"))
     keep = [c for c in columns if c not in final]
     return joined.select(*keep, *[e.alias(n) for n, e in final.items()])
 

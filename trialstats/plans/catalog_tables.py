@@ -17,10 +17,11 @@ from trialstats.operators import stats as S
 from trialstats.operators.sequence import first_per, ordered_scan
 from trialstats.plans import metrics as M
 from trialstats.plans.catalog import CBAL, ORDER_CASE, S1, _long, _trial_query, register, trials
+from trialstats.plans.coding_rules import PILOT_2, code, trials_pilot2
 from trialstats.plans.oracle_sql import EVENTS_BASE, summary_sql, with_trials
 from trialstats.plans.trials import (
-    COUNTERBALANCES, code_switches, code_trials, coded_events, counterbalance, block_order, cued_task, events_as_trials,
-    loop_name, wide_logs_from_events,
+    COUNTERBALANCES, LOOP_FIELDS, code_switches, code_trials, coded_events, collapsed_loops, counterbalance, block_order, cued_task,
+    events_as_trials, loop_name, pilot2_logs_from_events, wide_logs_from_events,
 )
 from trialstats.session import materialize
 from trialstats.sources.csv_logs import stack_by_name
@@ -50,6 +51,14 @@ SELECT id, blockNr, trialNr, event_id, task_perf, switch_type, switch FROM coded
 register("trials_coded", with_trials() + "SELECT * FROM trials")(
     lambda spark, sf: code_trials(_wide(spark, sf), file_key="participant"))
 
+register("trials_coded_full", with_trials() + """
+SELECT c.id, countBal, cBal, e.event_type AS type, CASE WHEN k % 2 = 0 THEN 'left' ELSE 'right' END AS location,
+       CASE WHEN k % 5 < 2 THEN 'circle' ELSE 'square' END AS shape, trial_type, block, task_cued, task_perf,
+       CASE WHEN trial_type = 'forced' THEN CASE WHEN task_perf = task_cued THEN 'yes' ELSE 'no' END END AS cuefol,
+       blockNr, trialNr, resp, rt, corr, switch_type, switch
+FROM coded3 c JOIN events e USING (event_id) WHERE corr < 999 AND length(resp) <= 1""")(
+    lambda spark, sf: code_trials(_wide(spark, sf), stimulus=True))
+
 register("trials_from_events", with_trials() + "SELECT * FROM trials")(trials)
 
 register("switch_type_legacy", with_trials("""
@@ -85,6 +94,38 @@ def _coalesce_wide(w: DataFrame) -> DataFrame:
     return out.select("event_id", "resp", "rt", "corr", (F.col("_n") + 1).alias("trialNr"))
 
 
+# ---------------------------------------------------------------- pilots 2-3: rules as data
+
+_P2 = """p2 AS (
+  SELECT id, ts, event_id, CASE WHEN task_perf = 'shapeloc' THEN 'shape' WHEN k = 13 THEN 'unknownTask' ELSE task_perf END AS task,
+         CASE WHEN task_perf = 'shapeloc' THEN 'none' WHEN k IN (13, 14) THEN 'unknown' ELSE 'one' END AS kind, resp, corr, rt FROM ev4),
+pilot2 AS (
+  SELECT id, ts, event_id, task AS task_perf, CASE kind WHEN 'one' THEN resp WHEN 'unknown' THEN 'unknownResp' END AS resp,
+         CASE kind WHEN 'one' THEN CAST(corr AS VARCHAR) WHEN 'unknown' THEN 'unknownCorr' END AS corr,
+         CASE kind WHEN 'one' THEN rt END AS rt, lag(task) OVER (PARTITION BY id ORDER BY ts, event_id) AS prev FROM p2)"""
+
+register("performed_task_pilot2", with_trials(_P2) + "SELECT event_id, task_perf FROM pilot2")(
+    lambda spark, sf: code(pilot2_logs_from_events(_events(spark, sf)), PILOT_2[:1]).select("event_id", "task_perf"))
+
+register("coalesce_wide_pilot2", with_trials(_P2) + "SELECT event_id, resp, corr, rt FROM pilot2")(
+    lambda spark, sf: code(pilot2_logs_from_events(_events(spark, sf)), PILOT_2).select("event_id", "resp", "corr", "rt"))
+
+register("trials_pilot2", with_trials(_P2) + """
+SELECT id, ts, event_id, task_perf, resp, corr, rt,
+       CASE WHEN task_perf IN ('loc', 'shape') AND prev IN ('loc', 'shape')
+            THEN CASE WHEN task_perf = prev THEN 'stay_' ELSE 'switch_' END || task_perf ELSE 'unknownSwitch' END AS switch_type,
+       CASE WHEN task_perf IN ('loc', 'shape') AND prev IN ('loc', 'shape') THEN CAST(task_perf <> prev AS INTEGER)::DOUBLE END AS switch
+FROM pilot2 WHERE corr <> '999'""")(lambda spark, sf: trials_pilot2(pilot2_logs_from_events(_events(spark, sf))))
+
+register("loop_collapse", "WITH " + EVENTS_BASE.strip() + """,
+lastr AS (SELECT *, row_number() OVER (PARTITION BY id, blockNr ORDER BY ts DESC, event_id DESC) = 1 AS is_last FROM coded3)
+SELECT event_id, """ + ", ".join(f"CAST(CASE WHEN is_last THEN {e} END AS INTEGER) AS nBlocks_{f}" for f, e in zip(
+    LOOP_FIELDS, ("blockNr - 1", "blockNr % 2", "blockNr + 3", "blockNr * 7"))) + ", " + ", ".join(
+    f"CAST({e} AS INTEGER) AS nTrials_{f}" for f, e in zip(LOOP_FIELDS, (
+        "(trialNr - 1) // 16", "(trialNr - 1) % 16", "trialNr - 1", "trialNr + 99"))) + " FROM lastr")(
+    lambda spark, sf: collapsed_loops(_wide(spark, sf), ["event_id"]))
+
+
 register("fill_up", with_trials() + "SELECT event_id, blockNr FROM coded3")(
     lambda spark, sf: _fill_up(_wide(spark, sf)))
 
@@ -241,6 +282,34 @@ SELECT CAST(CASE user_id WHEN 7 THEN 108 WHEN 13 THEN 111 ELSE user_id END AS BI
 FROM events GROUP BY 1""")(lambda spark, sf: S.count_by(
     _events(spark, sf).select(X.remap("user_id", {7: 108, 13: 111}).alias("id")), ["id"]))
 
+register("row_sum_complete", """
+SELECT l_orderkey, l_linenumber, CAST(l_partkey + l_suppkey + l_linenumber AS BIGINT) AS whole,
+       CASE WHEN l_linenumber <> 3 THEN CAST(l_partkey + l_suppkey + l_linenumber AS BIGINT) END AS strict,
+       CAST(l_partkey + l_suppkey + coalesce(nullif(l_linenumber, 3), 0) AS BIGINT) AS loose FROM lineitem""")(
+    lambda spark, sf: _row_sum_complete(table(spark, sf, "lineitem")))
+
+
+def _row_sum_complete(l: DataFrame) -> DataFrame:
+    whole = [F.col(c).cast("long") for c in ("l_partkey", "l_suppkey", "l_linenumber")]
+    some = [*whole[:2], F.nullif(whole[2], F.lit(3))]
+    return l.select("l_orderkey", "l_linenumber", X.row_sum(whole, na_rm=False).cast("long").alias("whole"),
+                    X.row_sum(some, na_rm=False).cast("long").alias("strict"), X.row_sum(some, na_rm=True).cast("long").alias("loose"))
+
+
+register("blank_casts", """
+SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 1 THEN o_custkey END AS INTEGER) AS custkey,
+       CASE o_orderkey % 3 WHEN 1 THEN CAST(o_custkey AS DOUBLE) END AS custnum
+FROM orders""")(lambda spark, sf: _blank_casts(table(spark, sf, "orders")))
+
+
+def _blank_casts(o: DataFrame) -> DataFrame:
+    """Numbers as text among blanks and words: blank and unreadable texts are null."""
+    kind = F.col("o_orderkey") % 3
+    text = F.when(kind == 0, F.lit("")).when(kind == 1, F.col("o_custkey").cast("string")).otherwise(F.lit("x12"))
+    t = N.blank_to_null(o.select("o_orderkey", text.alias("t")))
+    return t.select("o_orderkey", X.to_int("t").alias("custkey"), X.to_double("t").alias("custnum"))
+
+
 # ================================================================ projections
 
 register("rename_project", "SELECT o_orderkey AS id, o_custkey AS customer, o_totalprice FROM orders")(
@@ -536,8 +605,8 @@ def _breaks(e: DataFrame) -> DataFrame:
     (by user id mod 4), written in mixed case as the logs are."""
     names = ["timeBreak1", "TimeBreak2", "timebreak3", "TIMEBREAK4"]
     k = X.rmod("user_id", 4)
-    return e.select(*[F.when((F.col("event_type") == "view") & (k == i), F.col("value").cast("string")).alias(n)
-                      for i, n in enumerate(names)])
+    shown = e.where(F.col("event_type") == "view")  # other rows have no break, and are dropped as empty anyway
+    return shown.select(*[F.when(k == i, F.col("value").cast("string")).alias(n) for i, n in enumerate(names)])
 
 
 def break_durations(e: DataFrame) -> DataFrame:
@@ -555,7 +624,7 @@ register("break_durations", """WITH l AS (SELECT 'timeBreak' AS variable, value
 
 def experiment_duration(e: DataFrame) -> DataFrame:
     """Overall experiment time in minutes from the clock column (seconds)."""
-    clock = e.select(F.when(F.col("event_type") == "signup", F.col("value") * 60).alias("globalClockTime"))
+    clock = e.where(F.col("event_type") == "signup").select((F.col("value") * 60).alias("globalClockTime"))
     b2 = clock.where(F.col("globalClockTime").isNotNull()) \
               .withColumn("globalClockTime", F.col("globalClockTime") / 60)
     return S.summary_stats(b2)

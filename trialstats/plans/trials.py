@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions import scalars as X
-from trialstats.operators.sequence import ordered_scan, with_rank_segment
+from trialstats.operators.sequence import ordered_scan, ranged
 
 # ----------------------------------------------------------------------------------
 # Fixed values of the experiment (they must equal the reference's codes).
@@ -36,6 +36,10 @@ NO_KEY, NOT_ASKED, UNKNOWN_CORR = "None", 888, 999
 
 TRIAL_COLUMNS = ["id", "countBal", "cBal", "block", "blockNr", "trialNr", "trial_type",
                  "task_cued", "task_perf", "resp", "rt", "corr", "switch_type", "switch"]
+# the reference's full coded table: stimulus columns too, in its order
+STIMULUS_COLUMNS = {"Type": "type", "Location": "location", "Shape": "shape", "cue_follow": "cuefol"}  # log column -> coded column
+FULL_COLUMNS = ["id", "countBal", "cBal", "type", "location", "shape", "trial_type", "block", "task_cued", "task_perf", "cuefol",
+                "blockNr", "trialNr", "resp", "rt", "corr", "switch_type", "switch"]
 SEGMENT = "scan_segment"  # optional last column: never falls along (id, blockNr, trialNr)
 
 
@@ -99,8 +103,8 @@ def code_switches(df: DataFrame, keys=("id", "blockNr"), order=("trialNr",), seg
 
 # ---------------------------------------------------------------- events fixture (FIXTURES.md §3)
 
-def events_as_trials(events: DataFrame) -> DataFrame:
-    """Per-event projection to trial columns (no ordering yet)."""
+def events_as_trials(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Per-event projection to trial columns (no ordering yet); ``keep``: the working column ``_k`` too."""
     k = F.get_json_object("props", "$.k").try_cast("int")
     et = F.col("event_type")
     task_perf = (F.when(et.isin("click", "view"), F.lit("loc"))
@@ -113,6 +117,7 @@ def events_as_trials(events: DataFrame) -> DataFrame:
         (F.floor((F.dayofmonth("ts") - 1) / 8) + 1).cast("int").alias("blockNr"),
         task_perf.alias("task_perf"),
         (F.col("value") / 100).alias("rt"),
+        et.alias("event_type"),
     )
     e = e.withColumn("countBal", counterbalance("id"))
     in_mixed = (F.col("blockNr") <= 2) == F.col("countBal").isin(1, 3)
@@ -131,13 +136,19 @@ def events_as_trials(events: DataFrame) -> DataFrame:
                  .when(F.col("task_perf") == "loc", F.lit("x"))
                  .otherwise(F.lit("m")),
     })
-    return e.withColumn("task_cued", cued_task("cue")).drop("_k")
+    e = e.withColumns({
+        "type": F.initcap(F.col("event_type")),
+        "location": F.when(X.rmod("_k", 2) == 0, F.lit("left")).otherwise(F.lit("right")),
+        "shape": F.when(X.rmod("_k", 5) < 2, F.lit("circle")).otherwise(F.lit("square")),
+        "cuefol": F.when(F.col("trial_type") == "forced", F.when(F.col("task_perf") == cued_task("cue"), F.lit("yes")).otherwise(F.lit("no"))),
+    })
+    return e.withColumn("task_cued", cued_task("cue")).drop("event_type", *([] if keep else ["_k"]))
 
 
 def coded_events(events: DataFrame) -> DataFrame:
     """All events with trial number and switch coding, before the scored-trial filters; the last column is the scan's segment."""
     e = events_as_trials(events)
-    e = with_rank_segment(e, ["id", "blockNr"], ["ts", "event_id"], SEGMENT)
+    e = ranged(e, ["id", "blockNr"], ["ts", "event_id"], SEGMENT)
     return code_switches(e, keys=("id", "blockNr"), order=("ts", "event_id"), segment=F.col(SEGMENT), row_number="trialNr")
 
 
@@ -163,6 +174,15 @@ RESPONSE_COLUMNS = [wide_name(t, cb, kind, f) for cb in COUNTERBALANCES for kind
 LOOP_FIELDS = ("thisRepN", "thisTrialN", "thisN", "thisIndex")
 
 
+def _loop_value(loop: str, field: str) -> Column:
+    """A loop counter of the fixture: the block's, or that of the trial's position in its block."""
+    if loop == "Blocks":
+        nr = F.col("blockNr")
+        return {"thisRepN": nr - 1, "thisTrialN": nr % 2, "thisN": nr + 3, "thisIndex": nr * 7}[field]
+    pos = F.col("_pos")
+    return {"thisRepN": F.floor(pos / 16), "thisTrialN": pos % 16, "thisN": pos, "thisIndex": pos + 100}[field]
+
+
 def wide_logs_from_events(events: DataFrame) -> DataFrame:
     """Write ``events`` as the reference's wide logs: one column per counterbalance x block kind x task.
 
@@ -172,7 +192,7 @@ def wide_logs_from_events(events: DataFrame) -> DataFrame:
     a block only, so the block number has to be back-filled. Everything is text, as read from CSV.
     """
     e = events_as_trials(events)
-    e = with_rank_segment(e, ["id", "blockNr"], ["ts", "event_id"], SEGMENT)
+    e = ranged(e, ["id", "blockNr"], ["ts", "event_id"], SEGMENT)
     # position in the block from the end (1 = last trial)
     e = ordered_scan(e, ["id", "blockNr"], ["ts", "event_id"], row_number="_from_end", segment=F.col(SEGMENT), descending=True)
     kind = F.when(F.col("block") == "mixed", F.lit("mix")).otherwise(F.lit("free"))
@@ -191,16 +211,9 @@ def wide_logs_from_events(events: DataFrame) -> DataFrame:
                 cols[wide_name(t, cb, kd, "corr")] = F.when(active, F.col("corr").cast("string")) \
                     .when(odd, F.lit(str(NOT_ASKED)))
             for loop in ("Blocks", "Trials"):
+                shown = here & (F.col("_from_end") == 1) if loop == "Blocks" else here
                 for f in LOOP_FIELDS:
-                    if loop == "Blocks" and f == "thisRepN":
-                        v = F.when(here & (F.col("_from_end") == 1), (F.col("blockNr") - 1).cast("string"))
-                    elif loop == "Blocks":
-                        v = F.when(here & (F.col("_from_end") == 1), F.lit("0"))
-                    elif f == "thisN":
-                        v = F.when(here, F.col("_pos").cast("string"))
-                    else:
-                        v = F.when(here, F.lit("0"))
-                    cols[loop_name(loop, kd, cb, f)] = v
+                    cols[loop_name(loop, kd, cb, f)] = F.when(shown, _loop_value(loop, f).cast("string"))
     e = ordered_scan(e, ["id", "blockNr"], ["ts", "event_id"], row_number="_rn", segment=F.col(SEGMENT))
     e = e.withColumn("_pos", F.col("_rn") - 1)
     out = e.select(
@@ -209,23 +222,53 @@ def wide_logs_from_events(events: DataFrame) -> DataFrame:
         F.col("cue").alias("Cue"),
         F.col("trial_type").alias("Task"),
         F.col("block").alias("Block"),
+        *[F.col(c).alias(n) for n, c in STIMULUS_COLUMNS.items()],
         *[c.alias(n) for n, c in cols.items()],
     )
     return out
 
 
+def pilot2_logs_from_events(events: DataFrame) -> DataFrame:
+    """``events`` as logs of pilots 2-3: key, time and accuracy columns of two counterbalances (the first for odd ids), as text.
+
+    With k = 13 a key of the other task is pressed too (unknown task); with k = 14 the other counterbalance's column of the same task
+    holds a key as well (unknown response); ``error`` events have no key at all.
+    """
+    e = events_as_trials(events, keep=["_k"])
+    first = X.rmod("id", 2) == 1
+    cols = {}
+    for t in ("shape", "loc"):
+        other = "loc" if t == "shape" else "shape"
+        for cb in (1, 2):
+            here = (F.col("task_perf") == t) & (first if cb == 1 else ~first)
+            both = (F.col("task_perf") == other) & (first if cb == 1 else ~first) & (F.col("_k") == 13)
+            beside = (F.col("task_perf") == t) & (~first if cb == 1 else first) & (F.col("_k") == 14)
+            cols[f"both_{t}_cb{cb}_keys"] = F.when(here, F.col("resp")).when(both, F.lit("b")).when(beside, F.lit("q"))
+            cols[f"both_{t}_cb{cb}_rt"] = F.when(here, F.col("rt").cast("string"))
+            cols[f"both_{t}_cb{cb}_corr"] = F.when(here, F.col("corr").cast("string"))
+    return e.select("id", "ts", "event_id", *[c.alias(n) for n, c in cols.items()])
+
+
 def _lower_match(columns, prefix: str, suffix: str) -> list[str]:
     p, s = prefix.lower(), suffix.lower()
     return [c for c in columns if c.lower().startswith(p) and c.lower().endswith(s)]
 
 
+def collapsed_loops(wide: DataFrame, keep: list[str]) -> DataFrame:
+    """The counters of all counterbalances and block kinds as eight integer columns, ``nBlocks_thisRepN`` to ``nTrials_thisIndex``."""
+    out = {f"n{loop}_{f}": X.to_int(X.unite([F.nullif(F.col(c), F.lit("")) for c in _lower_match(wide.columns, f"n{loop}", f"_{f}")]))
+           for loop in ("Blocks", "Trials") for f in LOOP_FIELDS}
+    return wide.select(*keep, *[e.alias(n) for n, e in out.items()])
+
+
 def code_trials(wide: DataFrame, keys_order=("ts", "event_id"), file_key: str = "participant",
-                segment: Column | None = None) -> DataFrame:
+                segment: Column | None = None, stimulus: bool = False) -> DataFrame:
     """The reference's coding chain over wide logs, as one lazy plan.
 
     ``keys_order`` is the row order inside a file; ``file_key`` the column that
     tells files apart (the back-fill of the block number must not cross files). ``segment``: a
-    column that never falls along the row order of a file, where there is one.
+    column that never falls along the row order of a file, where there is one. ``stimulus`` keeps the
+    stimulus columns too (``FULL_COLUMNS``).
     The one-hot columns are collapsed in the first projection, so the ordered
     scans (back-fill, lag) run on a narrow table.
     """
@@ -258,14 +301,15 @@ def code_trials(wide: DataFrame, keys_order=("ts", "event_id"), file_key: str =
         X.to_double(X.unite([blank(c) for c in rt_cols])).alias("rt"),
         X.to_int(X.unite([F.nullif(blank(c), F.lit(str(NOT_ASKED))) for c in corr_cols])).alias("corr"),
         (trial_n + 1).alias("trialNr"),                                                # D11
+        *[(F.lower(blank(n)) if n == "Type" else blank(n)).alias(c) for n, c in STIMULUS_COLUMNS.items() if stimulus],
     )
     df = df.withColumn("countBal", counterbalance("id"))                             # D1
     # one segment for both scans, as an (id, block) group lies inside a file
     if segment is None:
-        df = with_rank_segment(df, [file_key], list(keys_order), SEGMENT)
+        df = ranged(df, [file_key], list(keys_order), SEGMENT)
     df = ordered_scan(df, [file_key], list(keys_order), fill_up={"blockNr": "_blk"}, segment=F.col(SEGMENT))
     df = df.where(F.col("_is_trial"))
     # D9, D10 before the filters, then F6, F7 and D2
     df = code_switches(df, keys=("id", "blockNr"), order=list(keys_order), segment=F.col(SEGMENT))
     df = keep_scored(df).withColumn("cBal", block_order("countBal"))
-    return df.select(*TRIAL_COLUMNS)
+    return df.select(*(FULL_COLUMNS if stimulus else TRIAL_COLUMNS))

@@ -71,6 +71,22 @@ def materialize(df: DataFrame, name: str | None = None, key: str | None = None)
     return spark.read.parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, by: str, name: str) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder as a table bucketed by ``by``: later windows and joins on
+    ``by`` (and more columns) need no exchange of it."""
+    spark = df.sparkSession
+    table = f"trialstats_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).option("path", os.path.join(ensure_checkpoint_dir(spark), table)).saveAsTable(table)
+    return spark.table(table)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files below ``df``, as the planner knows them (no job); sources of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 62)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system of the session (works on HDFS / object stores)."""
     jvm = spark.sparkContext._jvm
