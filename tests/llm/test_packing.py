@@ -93,6 +93,28 @@ def test_documents(spark, docs, odd_docs, no_docs):
     assert pack(no_docs).collect() == []
 
 
+def test_full_pool_of_null_and_repeated_ids(spark):
+    """More texts of unlike length than wait at once, with one id, few ids or none."""
+    rnd = random.Random(4)
+    texts = ["w " * rnd.choice([1, 3, 40, 400, 900]) + str(i) for i in range(3000)]
+    for ids in ([None] * 3000, [i % 3 for i in range(3000)]):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1)
+        out = pack(df, with_ids=False).groupBy("doc_id").agg({"length": "sum"}).collect()
+        want = defaultdict(int)
+        for d, t in zip(ids, texts):
+            want[d] += len(_ids_fast(t))
+        assert {r["doc_id"]: r["sum(length)"] for r in out} == want
+
+
+_KNOWN = {}
+
+
+def _ids_fast(text):
+    if not _KNOWN:
+        _KNOWN["t"] = Tokenizer.from_file(default_tokenizer_path())
+    return _KNOWN["t"].encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_loss_counts(spark):
     df = spark.createDataFrame([(1, "a b c d", 2), (2, "a b", None), (3, "x", 99)], "doc_id long, text string, answer int")
     got = {r["doc_id"]: r["loss_tokens"] for r in pack(df, loss_col="answer").groupBy("doc_id").agg({"loss_tokens": "sum"}).withColumnRenamed("sum(loss_tokens)", "loss_tokens").collect()}

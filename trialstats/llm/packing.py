@@ -105,8 +105,8 @@ class Packer:
             chosen.append((item, size))
             room, seats, loss = room - size, seats - 1, loss - bearing
         if room >= least_cut and seats and self._items:
-            item = self._items[int(np.argmax(self._tokens[:len(self._items)]))]
-            i = self._items.index(item)
+            i = int(np.argmax(self._tokens[:len(self._items)]))
+            item = self._items[i]
             head = min(room, item[2] - item[1], max(0, item[3] - item[1]) + loss)
             if head > 0 and (head >= least_cut or not chosen):
                 item = self._pop(i)
