@@ -112,7 +112,7 @@ def t975(nu: Column) -> Column:
     """Spark column: 0.975 t quantile for ``nu`` (null when nu < 1)."""
     g1, g2, g3, g4 = _cf_coeffs()
     v = nu.cast("double")
-    table = F.array(*[F.lit(x) for x in t975_table()])
+    table = F.expr("array(" + ", ".join(f"{x!r}D" for x in t975_table()) + ")")
     approx = F.lit(Z975) + F.lit(g1) / v + F.lit(g2) / (v * v) + F.lit(g3) / (v * v * v) + F.lit(g4) / (v * v * v * v)
     return (F.when(nu < 1, F.lit(None).cast("double"))
             .when(nu <= T_EXACT_MAX, F.element_at(table, nu.cast("int")))

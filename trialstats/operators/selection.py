@@ -24,29 +24,20 @@ from trialstats.operators.sequence import ordered_scan, ranged
 _G, _V, _N, _ALL, _SEG = "_qs_group", "_qs_value", "_qs_n", "_qs_all", "_qs_range"
 
 
-def _ranks(p: float) -> tuple[Column, Column, Column]:
-    """(0-based rank below, rank above, weight of the value above) of the type-7 quantile of ``_ALL`` values."""
-    h = (F.col(_ALL) - 1) * F.lit(float(p))
-    low = F.floor(h)
-    return low, F.ceil(h), h - low
-
-
-def _held(rank: Column) -> Column:
-    """Whether the rows of this value include the rank; ``_qs_sum`` is the running sum of the counts."""
-    return (F.col("_qs_sum") - F.col(_N) <= rank) & (rank < F.col("_qs_sum"))
-
-
 def _picked(scanned: DataFrame, probs: Mapping[str, float], more: Sequence[Column] = ()) -> DataFrame:
-    """One row per group: a column for each quantile."""
-    aggs, wanted = [], F.col(_V).isNull()
+    """One row per group: a column for each type-7 quantile. ``_qs_sum`` is the running sum of the counts, ``_qs_all`` their total."""
+    aggs, wanted, values = [], [f"{_V} IS NULL"], []
     for name, p in probs.items():
-        low, high, weight = _ranks(p)
-        wanted = wanted | _held(low) | _held(high)
-        aggs += [F.max(F.when(_held(low), F.col(_V))).alias(f"_lo_{name}"), F.max(F.when(_held(high), F.col(_V))).alias(f"_hi_{name}"),
-                 F.max(F.when(_held(low), weight)).alias(f"_w_{name}")]
-    out = scanned.where(wanted).groupBy(_G).agg(*aggs, *more)
-    value = {n: F.col(f"_lo_{n}") * (1 - F.col(f"_w_{n}")) + F.col(f"_hi_{n}") * F.col(f"_w_{n}") for n in probs}
-    return out.withColumns(value).drop(*[f"{x}_{n}" for n in probs for x in ("_lo", "_hi", "_w")])
+        at = f"(({_ALL} - 1) * {float(p)!r}D)"
+        for side, rank in (("lo", f"floor({at})"), ("hi", f"ceil({at})")):
+            held = f"(_qs_sum - {_N} <= {rank} AND {rank} < _qs_sum)"  # the rows of this value include the rank
+            wanted.append(held)
+            aggs.append(f"max(CASE WHEN {held} THEN {_V} END) AS _{side}_{name}")
+        aggs.append(f"max({at} - floor({at})) AS _w_{name}")
+        values.append(f"_lo_{name} * (1 - _w_{name}) + _hi_{name} * _w_{name} AS {name}")
+    out = scanned.where(" OR ".join(wanted)).groupBy(_G).agg(*map(F.expr, aggs), *more)
+    kept = [c for c in out.columns if not c.startswith(("_lo_", "_hi_", "_w_"))]
+    return out.selectExpr(*kept, *values)
 
 
 def _scanned(counts: DataFrame, order: Sequence[str]) -> DataFrame:

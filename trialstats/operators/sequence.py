@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.session import bucketed, input_bytes
@@ -55,6 +55,11 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
     return bucketed(cut, n, name, "ranges")
 
 
+def _name(column: str) -> str:
+    """A column name in SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
@@ -90,64 +95,51 @@ def ordered_scan(
     columns, keys = df.columns, list(keys)
     if segment is None:
         df, segment = ranged(df, keys, order, _SEG), F.col(_SEG)
-    order_cols = [F.col(c).desc() if descending else F.col(c) for c in order]
     base = df.withColumn(_SEG, segment)
-    w_in = Window.partitionBy(_SEG, *keys).orderBy(*order_cols)
-    ord_struct = F.struct(*order)
-
-    inner: dict[str, Column] = {_RN: F.row_number().over(w_in)}
-    for out, c in lag.items():
-        inner[f"_ts_lag_{out}"] = F.lag(c).over(w_in)
-    for out, c in running_sum.items():
-        inner[f"_ts_cs_{out}"] = F.sum(c).over(w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    for out, c in fill_up.items():
-        inner[f"_ts_bf_{out}"] = F.first(c, ignorenulls=True).over(
-            w_in.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = base.withColumns(inner)
+    # the columns are built as SQL text: a few calls to the JVM in place of hundreds
+    group = ", ".join([*map(_name, keys), "0"])  # never empty
+    by = ", ".join([_SEG, *map(_name, keys)])
+    along = ", ".join(_name(c) + (" DESC" if descending else "") for c in order)
+    place = f"struct({', '.join(map(_name, order))})"
+    lags, sums, fills = (list(enumerate(m.items())) for m in (lag, running_sum, fill_up))
+
+    inside = f"OVER (PARTITION BY {by} ORDER BY {along}"
+    inner = [f"row_number() {inside}) AS {_RN}"]
+    inner += [f"lag({_name(c)}) {inside}) AS _ts_lag{i}" for i, (_, c) in lags]
+    inner += [f"sum({_name(c)}) {inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _ts_sum{i}" for i, (_, c) in sums]
+    inner += [f"first({_name(c)}, true) {inside} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS _ts_fill{i}" for i, (_, c) in fills]
+    rows = base.selectExpr("*", *inner)
 
     # one row per (segment, group), from the columns that the scan needs
-    aggs = [F.count(F.lit(1)).alias("_ts_n")]
-    for out, c in lag.items():
-        aggs.append(F.max_by(F.col(c), ord_struct).alias(f"_ts_last_{out}"))
-    for out, c in running_sum.items():
-        aggs.append(F.sum(c).alias(f"_ts_sum_{out}"))
-    for out, c in fill_up.items():
-        aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), ord_struct)).alias(f"_ts_first_{out}"))
-    summary = base.groupBy(_SEG, *keys).agg(*aggs)
+    aggs = ["count(1) AS _ts_n"]
+    aggs += [f"max_by({_name(c)}, {place}) AS _ts_last{i}" for i, (_, c) in lags]
+    aggs += [f"sum({_name(c)}) AS _ts_total{i}" for i, (_, c) in sums]
+    aggs += [f"min_by({_name(c)}, CASE WHEN {_name(c)} IS NOT NULL THEN {place} END) AS _ts_first{i}" for i, (_, c) in fills]
+    summary = base.groupBy(_SEG, *keys).agg(*map(F.expr, aggs))
 
     # groups in several segments: their rows in segment order
-    ws = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    several = summary.withColumn("_ts_in", F.count(F.lit(1)).over(ws)).where("_ts_in > 1")
-    ws = ws.orderBy(F.col(_SEG).desc() if descending else F.col(_SEG))
-    before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    carry: dict[str, Column] = {"off": F.coalesce(F.sum("_ts_n").over(before), F.lit(0))}
-    for i, out in enumerate(lag):
-        carry[f"prev{i}"] = F.lag(f"_ts_last_{out}").over(ws)
-    for i, out in enumerate(running_sum):
-        carry[f"sum{i}"] = F.sum(f"_ts_sum_{out}").over(before)
-    for i, out in enumerate(fill_up):
-        carry[f"next{i}"] = F.first(f"_ts_first_{out}", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing))
-    several = several.select(_SEG, *keys, *[e.alias(f"_ts_c_{n}") for n, e in carry.items()])
-    entry = F.struct(F.struct(*keys, F.lit(0).alias("_ts_0")).alias("group"), *[F.col(f"_ts_c_{n}").alias(n) for n in carry])
-    by_segment = several.groupBy(_SEG).agg(F.collect_list(entry).alias(_CARRY))
-
-    here = F.struct(*keys, F.lit(0).alias("_ts_0"))
-    joined = rows.join(by_segment, on=_SEG, how="left").withColumn(
-        _CARRY, F.get(F.filter(_CARRY, lambda x: x["group"].eqNullSafe(here)), F.lit(0)))
-    got = lambda n: F.col(f"{_CARRY}.{n}")
-    final: dict[str, Column] = {}
-    for i, out in enumerate(lag):
-        final[out] = F.when(F.col(_RN) == 1, got(f"prev{i}")).otherwise(F.col(f"_ts_lag_{out}"))
+    across = f"OVER (PARTITION BY {group}"
+    walk = f"{across} ORDER BY {_SEG}{' DESC' if descending else ''}"
+    before = f"{walk} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = [f"coalesce(sum(_ts_n) {before}, 0) AS off"]
+    carry += [f"lag(_ts_last{i}) {walk}) AS prev{i}" for i, _ in lags]
+    carry += [f"sum(_ts_total{i}) {before} AS sum{i}" for i, _ in sums]
+    carry += [f"first(_ts_first{i}, true) {walk} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next{i}" for i, _ in fills]
+    several = summary.selectExpr("*", f"count(1) {across}) AS _ts_in").where("_ts_in > 1")
+    several = several.selectExpr(_SEG, f"struct({group}) AS _ts_group",
+                                 *[c[:c.rindex(" AS ")] + " AS _ts_c_" + c[c.rindex(" AS ") + 4:] for c in carry])
+    parts = ", ".join(f"_ts_c_{n} AS {n}" for n in (c[c.rindex(" AS ") + 4:] for c in carry))
+    by_segment = several.groupBy(_SEG).agg(F.expr(f"collect_list(struct(_ts_group AS here, {parts})) AS {_CARRY}"))
+
+    joined = rows.join(by_segment, _SEG, "left").selectExpr("*", f"get(filter({_CARRY}, x -> x.here <=> struct({group})), 0) AS _ts_from")
+    final = {out: f"CASE WHEN {_RN} = 1 THEN _ts_from.prev{i} ELSE _ts_lag{i} END" for i, (out, _) in lags}
     if row_number:
-        final[row_number] = (F.col(_RN) + F.coalesce(got("off"), F.lit(0))).cast("long")
-    for i, out in enumerate(running_sum):
-        a, b = F.col(f"_ts_cs_{out}"), got(f"sum{i}")
-        final[out] = F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(
-            F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-    for i, out in enumerate(fill_up):
-        final[out] = F.coalesce(F.col(f"_ts_bf_{out}"), got(f"next{i}"))
-    keep = [c for c in columns if c not in final]
-    return joined.select(*keep, *[e.alias(n) for n, e in final.items()])
+        final[row_number] = f"cast({_RN} + coalesce(_ts_from.off, 0) AS bigint)"
+    final |= {out: f"CASE WHEN _ts_sum{i} IS NOT NULL OR _ts_from.sum{i} IS NOT NULL THEN coalesce(_ts_sum{i}, 0) + coalesce(_ts_from.sum{i}, 0) END"
+              for i, (out, _) in sums}
+    final |= {out: f"coalesce(_ts_fill{i}, _ts_from.next{i})" for i, (out, _) in fills}
+    keep = [_name(c) for c in columns if c not in final]
+    return joined.selectExpr(*keep, *[f"{e} AS {_name(n)}" for n, e in final.items()])
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -147,7 +147,8 @@ def events_as_trials(events: DataFrame, keep: list[str] | None = None) -> DataFr
 
 def coded_events(events: DataFrame) -> DataFrame:
     """All events with trial number and switch coding, before the scored-trial filters; the last column is the scan's segment."""
-    e = events_as_trials(events)
+    coded = [c for c in TRIAL_COLUMNS if c not in ("trialNr", "switch_type", "switch")]
+    e = events_as_trials(events).select("ts", "event_id", *coded)  # what is written is what is used
     e = ranged(e, ["id", "blockNr"], ["ts", "event_id"], SEGMENT)
     return code_switches(e, keys=("id", "blockNr"), order=("ts", "event_id"), segment=F.col(SEGMENT), row_number="trialNr")
 

@@ -82,7 +82,7 @@ def bucketed(df: DataFrame, buckets: int, by: str, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below ``df``, as the planner knows them (no job); sources of unknown size count nothing."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     return sum(n for n in sizes if n < 1 << 62)
 
