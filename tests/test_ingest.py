@@ -132,3 +132,36 @@ def test_files_of_one_name_stay_apart(spark):
     assert raw.select("file_name").distinct().count() == 1 and raw.select("file_path").distinct().count() == 2
     got = code_trials(raw, keys_order=ORDER_KEY, file_key="file_path").select("id", "blockNr").distinct().collect()
     assert sorted(map(tuple, got)) == [(101, None), (104, 1)]
+
+
+class _Counting:
+    """A stream that counts what is read from it."""
+
+    def __init__(self, data):
+        self.data, self.at = data, 0
+
+    def read(self, n):
+        part = self.data[self.at:self.at + n]
+        self.at += len(part)
+        return part
+
+
+def test_only_heads_are_read(spark):
+    """Files with large bodies: one block a file is read, the headers are reduced to the distinct ones."""
+    from trialstats.sources.csv_logs import HEAD_BLOCK, distinct_headers, file_headers, read_head
+
+    big = _Counting(b"a,b,c\r\n" + b"1,2,3\r\n" * 2_000_000)
+    assert read_head(big) == "a,b,c" and big.at == HEAD_BLOCK
+    wide = _Counting(("x" * 40_000 + "\n" + "y" * 100_000).encode())
+    assert read_head(wide) == "x" * 40_000 and wide.at == 3 * HEAD_BLOCK
+    assert read_head(_Counting(b"\xef\xbb\xbfid,n")) == "id,n" and read_head(_Counting(b"")) == ""
+
+    folder = tempfile.mkdtemp(prefix="trialstats-heads-")
+    os.mkdir(os.path.join(folder, "a b"))
+    for i in range(40):
+        _write(folder if i % 2 else os.path.join(folder, "a b"), f"p {i}.csv", ["id", "x"] if i % 4 else ["x", "id"], [[i, i]] * 50)
+    got = {r["header"]: r["files"] for r in distinct_headers(spark, folder, recursive=True).collect()}
+    assert got == {"id,x": 30, "x,id": 10}
+    assert len(file_headers(spark, folder)) == 20
+    raw = read_trials(spark, folder, recursive=True)
+    assert raw.count() == 2000 and raw.where("id <> x").count() == 0

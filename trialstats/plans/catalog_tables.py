@@ -474,7 +474,7 @@ FROM (SELECT CAST(floor(rt / w + 0.5) AS BIGINT) AS bin, w FROM trials, w WHERE
 
 # ================================================================ outliers (M1-M3)
 
-_trial_query("rt_outliers", lambda t: O.identify_outliers(t, ["id", "block", "switch_type"], "rt")
+_trial_query("rt_outliers", lambda t: O.identify_outliers(materialize(t, "trials"), ["id", "block", "switch_type"], "rt")
              .where(F.col("is_extreme")), with_trials("""
 q AS (SELECT id, block, switch_type, quantile_cont(rt, 0.25) AS q1, quantile_cont(rt, 0.75) AS q3
       FROM trials WHERE rt IS NOT NULL GROUP BY id, block, switch_type)""") + f"""
@@ -569,6 +569,7 @@ def _mahal_trials_sql(keys: list[str]) -> str:
 
 
 def _mahal(t: DataFrame, keys) -> DataFrame:
+    t = materialize(t, "trials")  # read for the statistics and for the distances
     return O.mahalanobis(t, ["rt", "corr", "trialNr"], keys).select(*_MAHAL_SHOWN, "mahal_dist", "is_outlier")
 
 

@@ -20,6 +20,7 @@ from trialstats.operators import stats as S
 from trialstats.operators.columns import mutate_keep_unused
 from trialstats.plans.trials import SEGMENT
 from trialstats.operators.sequence import first_per, ordered_scan
+from trialstats.session import materialize
 
 SWITCH_TYPE_ORDER = ("stay_loc", "switch_loc", "stay_shape", "switch_shape")  # plot order of the reference
 DIFFICULTY_LABELS = {"easy": "Easy", "diff": "Difficult"}
@@ -310,7 +311,7 @@ def run_length_id_task(trials: DataFrame) -> DataFrame:
 
 def run_length_skeleton(trials: DataFrame) -> DataFrame:
     """E17 + J6 + N7: every (id, task) of the run table, with the free-block summary or 0."""
-    x2 = run_lengths(trials)
+    x2 = materialize(run_lengths(trials), "runs")  # read for the frame and for the statistics
     st = S.summary_stats(x2.where(F.col("block") == "freeOnly"), ["id", "task_perf"], ["n"])
     out = J.complete_left(x2, ["id", "task_perf"], st)
     return out.withColumns({"n": X.if_null("n", 0), "mean": X.if_null("mean", 0.0)})
