@@ -4,8 +4,8 @@ All of them are ``groupBy`` aggregates with map-side partial aggregation, so a
 group that holds a third of all rows is reduced inside each map task before
 anything is shuffled. A grand total over an aggregated table is a scalar
 subquery (no join, no single-partition window), and so are the one-row statistics
-that parameterise a second pass (histogram width, density bandwidth): building a
-query runs no job.
+that parameterise a second pass (histogram width, density bandwidth). Quantiles come
+from ``selection``, which writes the counts of the distinct values once.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.distributions import t975
 from trialstats.operators.selection import order_statistics
+from trialstats.session import materialize
 
 FULL = ("n", "min", "max", "median", "q1", "q3", "iqr", "mad", "mean", "sd", "se", "ci")
 COMMON = ("n", "min", "max", "median", "iqr", "mean", "sd", "se", "ci")
@@ -186,7 +187,7 @@ def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0) -> Dat
     each value. Every value counts at every point; the work after the pass is cells × points.
     """
     x = F.col(col).cast("double")
-    base = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
+    base = materialize(df.select(x.alias("_x")).where(F.col("_x").isNotNull()), "density")  # read for the statistics and for the cells
     v = F.col("_qs_value")
     st = order_statistics(base, [], F.col("_x"), {"q1": 0.25, "q3": 0.75},
                           {"n": F.count(v), "lo": F.min(v), "hi": F.max(v), "sd": F.stddev_samp(v)})
