@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialstats.operators.sequence import ordered_scan, ranged
+
 
 def _level_name(v: Any) -> str:
     if isinstance(v, float) and v.is_integer():
@@ -56,21 +58,21 @@ def with_order(df: DataFrame, col: str, levels: Sequence[str] | None = None, rev
                name: str | None = None) -> DataFrame:
     """O3: category order as a sort column (``factor(levels=...)``); position 0 = not a level.
 
-    Without ``levels`` the order is alphabetic (``as.factor``): a dense rank over the
-    distinct values, computed on the (small) set of distinct values.
+    Without ``levels`` the order is alphabetic (``as.factor``): the distinct values are numbered by
+    the ordered scan (ranges of the values, the count of each range carried to the next), so a
+    column with very many categories is numbered without one task that holds them all. Null is
+    not a category.
     """
     name = name or f"{col}_order"
     if levels is None:
-        distinct = df.select(col).distinct()
-        levels_df = distinct.select(col, F.dense_rank().over(Window.orderBy(col)).alias(name))
-        out = df.join(levels_df, col, "left")
-    else:
-        pos = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(col))
-        out = df.withColumn(name, pos.cast("int"))
-    if reverse:
-        n = len(levels) if levels is not None else None
-        out = out.withColumn(name, (F.lit(n + 1) - F.col(name)) if n else -F.col(name))
-    return out
+        distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
+        numbered = ordered_scan(ranged(distinct, [], [col]), [], [col], row_number=name, segment=F.col("scan_segment"))
+        numbered = numbered.select(col, F.col(name).cast("int").alias(name))
+        if reverse:
+            numbered = numbered.withColumn(name, numbered.select((F.max(name) + 1).alias("n")).scalar() - F.col(name))
+        return df.join(numbered, col, "left").select(*df.columns, name)
+    pos = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(col)).cast("int")
+    return df.withColumn(name, F.lit(len(levels) + 1) - pos if reverse else pos)
 
 
 def relabel(c: str | Column, labels: Mapping[str, str]) -> Column:

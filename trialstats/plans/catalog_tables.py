@@ -449,6 +449,10 @@ _trial_query("summary_multi", lambda t: S.summary_stats(t, ["block"]), with_tria
     "l AS (" + _long("trials", ["block"], [f"CAST({c} AS DOUBLE)" for c in _NUM], names=_NUM) + ")")
     + summary_sql("l", ["block"]))
 
+register("category_codes", """
+SELECT c_custkey, c_name, CAST(dense_rank() OVER (ORDER BY c_name) AS INTEGER) AS c_name_order FROM customer""")(
+    lambda spark, sf: R.with_order(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_name"))
+
 _trial_query("ordered_switch_type", lambda t: R.with_order(
     S.count_by(t.where(F.col("switch_type").isNotNull()), ["switch_type"]), "switch_type", M.SWITCH_TYPE_ORDER)
     .withColumn("label", R.relabel(F.regexp_extract("switch_type", "_(loc|shape)$", 1), M.TASK_LABELS)),
