@@ -209,7 +209,10 @@ def captures(spark: SparkSession, path: str, payloads: bool = False) -> DataFram
     source = (rows.where(F.col("response.warc_type") == "response").groupBy(F.col("hub").alias("source"))
               .agg(F.max("page_id").alias("source_page"), F.max("response.payload_bytes").alias("source_bytes"),
                    F.max("response.payload_digest").alias("source_digest")))
-    return rows.join(source, F.col("response.refers_to") == F.col("source"), "left")
+    # responses refer to nothing: they stay out of the join, where their null keys would meet in one task
+    first = F.col("response.warc_type") == "response"
+    found = rows.where(~first).join(source, F.col("response.refers_to") == F.col("source"), "left")
+    return found.unionByName(rows.where(first), allowMissingColumns=True)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, path: str | None = None, **options) -> DataFrame:
