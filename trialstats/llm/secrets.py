@@ -40,7 +40,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:(?!-----)[\s\S]){16,}?)-----END \1-----")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{39,}={0,2}")
-_DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{78,}(?![0-9A-Fa-f])")
+#: First line of base64 that goes on over line ends, real or escaped (an escape's own letter may stand before it).
+_FIRST_LINE = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{39,}")
+_NEXT_LINE = re.compile(r"""["']?(?:\r\n|[\r\n]|\\r\\n|\\[rn])[\x20\t]*["']?([A-Za-z0-9+/_-]+={0,2})""")
+#: Hex of a DER sequence, of the OpenSSH mark, or of the head of a signed token.
+_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:30|(?i:6f70656e7373682d6b65792d7631|65794a))[0-9A-Fa-f]{78,}(?![0-9A-Fa-f])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: Superset of all patterns above, in RE2 syntax.
 _ANY = (r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{16}|-----BEGIN |eyJ[A-Za-z0-9_-]+\."
@@ -154,7 +158,8 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
 
 def is_private_pem(body: str) -> bool:
     """Body of a PEM block: encrypted by its own header lines, or a key of a known structure."""
-    lines = [x.strip() for x in body.strip().splitlines()]
+    body = body.replace("\\r", "\n").replace("\\n", "\n")  # escaped line ends, as in JSON
+    lines = [x.strip(" \t\"'+,") if ":" not in x else x.strip() for x in body.strip().splitlines()]
     headed = [x for x in lines if ":" in x]
     data = decode64("".join(x for x in lines if ":" not in x))
     if not data:
@@ -164,6 +169,31 @@ def is_private_pem(body: str) -> bool:
     return is_der_private_key(data) or is_openssh_key(data)
 
 
+def _structures(data: bytes | None) -> list[str]:
+    """Kinds of the key or token that decoded bytes hold from end to end."""
+    if not data:
+        return []
+    found = [kind for kind, test in (("der", is_der_private_key), ("openssh", is_openssh_key)) if test(data)]
+    if data.startswith(b"eyJ") and data.isascii() and (m := _TOKEN.fullmatch(data.decode())) and is_signed_token(*m.groups()):
+        found.append("token")
+    return found
+
+
+def _wrapped(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64 over several lines of one length, the last of which may be shorter; quotes and indentation between lines are skipped."""
+    found = []
+    for m in _FIRST_LINE.finditer(text):
+        lines, ends = [m[0]], [m.end()]
+        while (n := _NEXT_LINE.match(text, ends[-1])) and len(n[1]) <= len(m[0]):
+            lines.append(n[1])
+            ends.append(n.end())
+            if len(n[1]) < len(m[0]):
+                break
+        for k in {len(lines), len(lines) - 1} - {0, 1}:  # the shorter line may be no part of it
+            found += [(m.start(), ends[k - 1], kind) for kind in _structures(decode64("".join(lines[:k])))]
+    return found
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans of one text, by start and then by the order of ``KINDS``."""
     found = [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if len(m[1]) >= 12]
@@ -171,10 +201,10 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     found += [(*m.span(), "hex") for m in _LONG_HEX.finditer(text)]
     found += [(*m.span(), "pem") for m in _PEM.finditer(text) if is_private_pem(m[2])]
     for m in _BASE64.finditer(text):
-        data = decode64(m[0])
-        if data:
-            found += [(*m.span(), kind) for kind, test in (("der", is_der_private_key), ("openssh", is_openssh_key)) if test(data)]
-    found += [(*m.span(), "der") for m in _DER_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_der_private_key(bytes.fromhex(m[0]))]
+        found += [(*m.span(), kind) for kind in _structures(decode64(m[0]))]
+    found += _wrapped(text)
+    for m in _HEX.finditer(text):
+        found += [(*m.span(), kind) for kind in _structures(bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else None)]
     found += [(*m.span(), "token") for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
