@@ -91,6 +91,13 @@ def test_one_of_each_group(spark, odd_docs, no_docs):
     assert jaccard.one_of_each_group(no_docs).collect() == []
 
 
+def test_working_columns_do_not_clash(spark):
+    rows = [(1, "a b c d e f g", 10, 20, 30), (2, "a b c d e f g", 11, 21, 31), (3, None, 12, 22, 32)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _llm_set long, _llm_stay_set long, _LLM_stay_id long")
+    got = jaccard.one_of_each_group(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
 def test_prefixes_lose_no_pair():
     """Any two sets at the threshold share a key of their prefixes, light or heavy, within the bounds."""
     rng = np.random.default_rng(0)

@@ -440,16 +440,25 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of_set = by_set.select("set_id", "least_id").join(named, "set_id")
     stays = of_set.where(F.col("least_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("set_id").alias("set_id"), F.first("component_id").alias("stay_id"))
     times = rows.join(stays, "set_id").where(F.col("doc_id").eqNullSafe(F.col("stay_id"))).groupBy("set_id").agg(F.count("*").alias("times"))
-    stays = written(stays.join(times, "set_id").select(F.col("set_id").alias("_llm_stay_set"), F.col("stay_id").alias("_llm_stay_id"), "times"), "jaccard-stays")
-    marked = _with_set(docs, text_col)
-    chosen = [marked.join(stays.where(where).drop("times"), (F.col("_llm_set") == F.col("_llm_stay_set")) & F.col(id_col).eqNullSafe(F.col("_llm_stay_id")))
+    own, stay_set, stay_id = (_unused(docs, name) for name in ("_llm_set", "_llm_stay_set", "_llm_stay_id"))
+    stays = written(stays.join(times, "set_id").select(F.col("set_id").alias(stay_set), F.col("stay_id").alias(stay_id), "times"), "jaccard-stays")
+    marked = _with_set(docs, text_col, own)
+    chosen = [marked.join(stays.where(where).drop("times"), (F.col(own) == F.col(stay_set)) & F.col(id_col).eqNullSafe(F.col(stay_id)))
               for where in ("times = 1", "times > 1")]
-    empty = marked.where("_llm_set is null")
-    return reduce(DataFrame.unionAll, [x.select(docs.columns) for x in (chosen[0], chosen[1].dropDuplicates(["_llm_set"]), empty)])
+    empty = marked.where(F.col(own).isNull())
+    return reduce(DataFrame.unionAll, [x.select(docs.columns) for x in (chosen[0], chosen[1].dropDuplicates([own]), empty)])
 
 
-def _with_set(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with its set id as ``_llm_set``; null without shingles."""
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _with_set(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with its set id as ``name``; null without shingles."""
 
     def make():
         hasher = WordHasher()
@@ -461,7 +470,7 @@ def _with_set(docs: DataFrame, text_col: str) -> DataFrame:
 
         return set_ids
 
-    return docs.withColumn("_llm_set", text_udf(make, "bigint")(F.col(text_col).cast("string")))
+    return docs.withColumn(name, text_udf(make, "bigint")(F.col(text_col).cast("string")))
 
 
 def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, scan_cost: float = 4.0) -> DataFrame:
