@@ -3,8 +3,9 @@
 A word is a maximal run of bytes other than the six ASCII white-space bytes
 (0x20, 0x09-0x0D); ASCII letters are lower-cased first where asked for. A word
 is known by a 64-bit polynomial hash of its bytes, a shingle by a mixed 64-bit
-hash of its five word hashes. Two different shingles get one hash with a
-probability of 2^-64 a pair, far below what could move a similarity threshold.
+hash of its five word hashes. The polynomial is taken modulo 2^64, so texts built against
+it can collide (its low bits are weak); for other texts two different words or
+shingles get one hash in about one of 2^64 pairs, far below what could move a threshold.
 """
 
 from __future__ import annotations
