@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_tables import no_docs, odd_docs  # noqa: F401
@@ -47,9 +48,11 @@ def test_equals_brute_force(spark, monkeypatch, light):
     assert _rows(jaccard.jaccard_components(df)) == _want(rows)
 
 
-def test_hot_lists_and_random_orders(spark, monkeypatch):
-    """Many heavily changed copies of one text in few tasks: hot lists, open lists, and the full test of what is left."""
-    monkeypatch.setattr(jaccard, "RANDOM_ORDERS", ((1, 1),))
+@pytest.mark.parametrize("part", [1_000, 7])
+def test_hot_lists_and_open_lists(spark, monkeypatch, part):
+    """Many heavily changed copies of one text in few tasks: hot lists, open lists (also of many parts), and the test of what is left."""
+    for name, value in (("FEW_IN_LIST", 1), ("FEW_OF_SET", 1), ("LIST_PART", part), ("LIST_ROWS", 30), ("PAIRS_HELD", 50)):
+        monkeypatch.setattr(jaccard, name, value)
     rnd = random.Random(5)
     base = [f"b{i}" for i in range(80)]
     rows = []
@@ -133,6 +136,36 @@ def test_profiles_bound_the_overlap():
     assert jaccard.profile(np.zeros(300, np.uint64)) is None and jaccard.largest_overlap(None, b"\1" * 8) is None
 
 
+def test_admitted_pairs_are_all_that_bounds_admit(monkeypatch):
+    """Against a loop over all pairs of a place, for whole lists and parts, known and unknown profiles."""
+    monkeypatch.setattr(jaccard, "PAIRS_HELD", 20)
+    rng = np.random.default_rng(4)
+    rows, sets = [], {}
+    for place in range(30):
+        base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        two = int(rng.integers(0, 2))
+        for _ in range(int(rng.integers(1, 12))):
+            own = np.unique(np.concatenate([base[rng.random(60) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 25))).astype(np.uint64)]))
+            i = int(rng.integers(-(1 << 62), 1 << 62))
+            sets[i] = own
+            cells = None if rng.random() < 0.1 else np.frombuffer(jaccard.profile(own), np.uint8).astype("<u2").tobytes()
+            rows.append({"key": place, "lo": 0, "hi": two, "part": int(rng.integers(0, two + 1)), "id": i, "n": len(own), "most": int(rng.integers(60, 120)), "component": int(rng.integers(0, 4)), "cells": cells})
+    table = pa.Table.from_pylist(rows)
+    got = {(int(x), int(y)) for a, b in jaccard.admitted_pairs(table, 75, None) for x, y in zip(a, b)}
+    want, linked = set(), set()
+    for x in rows:
+        for y in rows:
+            if x["key"] == y["key"] and x["id"] < y["id"] and x["component"] != y["component"] and x["n"] <= y["most"] and y["n"] <= x["most"] and (x["hi"] == 0 or x["part"] != y["part"]):
+                bound = jaccard.largest_overlap(*(None if z["cells"] is None else jaccard.profile(sets[z["id"]]) for z in (x, y)))
+                if 175 * min(bound if bound is not None else 1 << 30, x["n"], y["n"]) >= 75 * (x["n"] + y["n"]):
+                    want.add((x["id"], y["id"]))
+                if 175 * len(np.intersect1d(sets[x["id"]], sets[y["id"]])) >= 75 * (x["n"] + y["n"]):
+                    linked.add((x["id"], y["id"]))
+    assert got == want and linked and linked < got
+    few = [(int(x), int(y)) for a, b in jaccard.admitted_pairs(table, 75, 1) for x, y in zip(a, b)]
+    assert set(few) < got and len(few) == len(set(few))
+
+
 def test_boundary_follows_the_cost():
     assert jaccard.choose_boundary({}, 75) == 0
     assert jaccard.choose_boundary({10: 1000}, 75, scan_cost=100) >= 10

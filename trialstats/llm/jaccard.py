@@ -23,7 +23,11 @@ different components tested too, again with the size and position bounds. That i
 exact: two linked sets share a list, and are then either in one component already
 or tested themselves. A profile of each set (its shingles counted in cells, about an eighth
 of a byte for each) excludes most pairs that cannot reach the similarity, again exactly; all
-others are verified on the full sets.
+others are verified on the full sets. In an open list the entries carry their profiles,
+folded to 64 cells, and are compared in NumPy where the list is; only pairs that the
+profiles admit become rows. A long list is cut into parts, every two of which meet in a
+place of their own. First a few admitted partners of each entry are verified, which
+connects most of what belongs together, then all between components that are left.
 
 Plan. Postings move as packed blocks, dealt over buckets of the key range, and a
 list with many sets in one task is tested there and goes on with one of them, so a
@@ -62,11 +66,13 @@ ORDER_BLOCK, ORDER_REPEATS = 2_000_000, 4
 #: Postings that a task gathers before it sends them on, entries of one list from which a task tests it itself.
 POSTING_BLOCK, HOT_LIST = 500_000, 16
 BUCKET_POSTINGS = 1_000_000
-#: Entries of a list, about, that meet the others of a part where all links are wanted.
+#: Entries of a list, about, that meet those of another part in one place.
 LIST_PART = 1_000
+#: Cells of the folded profiles, rows of lists that a task compares at once, pairs that it holds meanwhile.
+CELLS, LIST_ROWS, PAIRS_HELD = 64, 20_000, 1 << 16
 BIT_ARRAY_BITS = 1 << 21
-#: Rounds of (places apart, pairs for each set) that are tested in lists that hold several components.
-RANDOM_ORDERS = ((4, 12), (16, 48))
+#: Admitted partners of an entry in an open list, and of a set in all of them, that are verified first.
+FEW_IN_LIST, FEW_OF_SET = 2, 12
 
 
 @dataclass(frozen=True)
@@ -104,8 +110,8 @@ def document_sets(hasher: WordHasher, data: np.ndarray, at: np.ndarray) -> tuple
 
 
 def profile(values: np.ndarray) -> bytes | None:
-    """Numbers of a set's shingles by their low bits, about eight to a cell; None if one does not fit a byte."""
-    cells = 8 << max(0, (len(values) // 64 - 1).bit_length())
+    """Numbers of a set's shingles by their low bits, about eight to a cell of 64 or more; None if one does not fit a byte."""
+    cells = max(CELLS, 8 << max(0, (len(values) // 64 - 1).bit_length()))
     counts = np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
@@ -404,23 +410,82 @@ def _still_open(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries, with their components, of lists that hold more than one."""
     labelled = written(entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    return labelled.join(written(open_keys, "still-open"), "key", "left_semi")
+    return written(labelled.join(open_keys, "key", "left_semi"), "still-open")
 
 
-def _shuffled_pairs(entries: DataFrame, turn: int, reach: int) -> DataFrame:
-    """Pairs up to ``reach`` places apart in a random order of each list, of different components and within the bounds."""
-    following = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)), "id")
-    there = F.array(*[F.lead(F.struct("id", "n", "most", "component"), k).over(following) for k in range(1, reach + 1)])
-    fits = F.filter("there", lambda o: (F.col("component") != o["component"]) & (F.col("n") <= o["most"]) & (o["n"] <= F.col("most")))
-    pairs = entries.withColumn("there", there).select("id", F.explode(fits).alias("o"))
-    return pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+def _folded(by_set: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, cells): the profiles of some sets in 64 cells of 16 bits; null if unknown."""
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [None if p is None else np.frombuffer(p, np.uint8).reshape(-1, CELLS).sum(0, dtype=np.int64) for p in batch.column(1).to_pylist()]
+            cells = [None if c is None or c.max() > 0xFFFF else c.astype("<u2").tobytes() for c in sums]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["id", "cells"])
+
+    wanted = by_set.join(ids, by_set["set_id"] == ids["id"], "left_semi").select(F.col("set_id").alias("id"), "profile")
+    return wanted.mapInArrow(fold, "id bigint, cells binary")
+
+
+def admitted_pairs(lists: pa.Table, percent: int, few: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b; a < b) of entries that meet in one place, of different components, and that no bound excludes.
 
-def _cross_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of different components in the lists, within the size and position bounds."""
-    x, y = entries.alias("x"), entries.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
-    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    The rows of one place (key, lo, hi) lie together. ``few``: at most so many partners of each entry among those after it.
+    """
+    key, lo, hi, part, ids, n, most, component = (lists.column(c).to_numpy() for c in ("key", "lo", "hi", "part", "id", "n", "most", "component"))
+    unknown = b"\xff" * (2 * CELLS)  # the other set's shingles then count in full
+    cells = np.frombuffer(b"".join(unknown if c is None else c for c in lists.column("cells").to_pylist()), "<u2").reshape(-1, CELLS)
+    rows = len(key)
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+    end = np.repeat(np.append(first[1:], rows), np.diff(first, append=rows))
+    after = end - np.arange(rows) - 1
+    total = np.concatenate([[0], np.cumsum(after)])
+    row = 0
+    while row < rows:
+        stop = max(row + 1, int(np.searchsorted(total, total[row] + PAIRS_HELD, side="right")) - 1)
+        i = np.repeat(np.arange(row, stop), after[row:stop])
+        j = i + 1 + np.arange(len(i)) - (total[i] - total[row])
+        fits = (component[i] != component[j]) & (n[i] <= most[j]) & (n[j] <= most[i]) & ((lo[i] == hi[i]) | (part[i] != part[j]))
+        i, j = i[fits], j[fits]
+        overlap = np.minimum(np.minimum(cells[i], cells[j]).sum(1, dtype=np.int64), np.minimum(n[i], n[j]))
+        fits = (100 + percent) * overlap >= percent * (n[i] + n[j])
+        i, j = i[fits], j[fits]
+        if few is not None and len(i):
+            order = np.lexsort((mix64((ids[i] ^ ids[j]).view(np.uint64)), i))
+            i, j = i[order], j[order]
+            start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            chosen = np.arange(len(i)) - np.repeat(start, np.diff(start, append=len(i))) < few
+            i, j = i[chosen], j[chosen]
+        if len(i):
+            yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        row = stop
+
+
+def _admitted(entries: DataFrame, by_set: DataFrame, percent: int, few: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of different components that open lists admit; all of them, or a few of each entry."""
+    with_cells = entries.join(_folded(by_set, entries.select("id").distinct()), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(len(h) for h in held) < LIST_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            place = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
+            last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in place], axis=0))  # the last place may go on in the next batch
+            cut = int(last[-1]) + 1 if len(last) else 0
+            yield from _pair_batches(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from _pair_batches(pa.Table.from_batches(held))
+
+    def _pair_batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if len(table):
+            for a, b in admitted_pairs(table, percent, few):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = _meeting_parts(with_cells, "component", "cells").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, scan_cost: float = 4.0) -> DataFrame:
@@ -501,12 +566,17 @@ def all_links(texts: DataFrame, by_set: DataFrame, order: np.ndarray, percent: i
     return _verified(texts, by_set, pairs, percent)
 
 
-def _pairs_in_parts(entries: DataFrame) -> DataFrame:
-    """All pairs in the lists within the size and position bounds; every two parts of a long list meet in a place of their own."""
+def _meeting_parts(entries: DataFrame, *more: str) -> DataFrame:
+    """(key, lo, hi, part, id, n, most, ``more``): the entries once for each place where their part of the list meets another."""
     counts = entries.groupBy("key").agg(F.ceil(F.count("*") / LIST_PART).alias("parts")).where("parts > 1")
     own = entries.join(counts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
     other = own.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
-    dealt = written(other.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "n", "most"), "list-parts")
+    return other.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "n", "most", *more)
+
+
+def _pairs_in_parts(entries: DataFrame) -> DataFrame:
+    """All pairs in the lists within the size and position bounds."""
+    dealt = written(_meeting_parts(entries), "list-parts")
     x, y = dealt.alias("x"), dealt.alias("y")
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "lo", "hi")]
     fits = (F.col("x.id") < F.col("y.id")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.part") != F.col("y.part")))
@@ -558,22 +628,21 @@ def links_of_sets(texts: DataFrame, by_set: DataFrame, order: np.ndarray, percen
     sketch = shipped(texts.sparkSession, order)
     pairs = written(_list_pairs(texts, rule, sketch, max(8, -(-total // BUCKET_POSTINGS))), "pairs")
     tested = written(_possible(pairs.where("may").select("a", "b").distinct(), by_set, percent), "tested")
-    links, labels = _connecting_links(texts, by_set, tested, percent)
+    links = _connecting_links(texts, by_set, tested, percent)
+    labels = components(links, rounds=2)
     open_keys = _open_keys(pairs, labels)
     if open_keys.isEmpty():
         return links
     entries = _open_entries(texts, rule, sketch, open_keys)
-    # neighbours in a few random orders join most of what belongs together, so that few pairs are left for the full test
-    for turn, (reach, each) in enumerate(RANDOM_ORDERS):
-        found = _shuffled_pairs(_still_open(entries, labels), turn, reach).join(tested, ["a", "b"], "left_anti")
-        found = written(_possible(found, by_set, percent), "shuffled")
-        chosen = written(_few_of_each(found, each), "chosen")
-        tested = written(tested.unionAll(chosen), "tested")
-        links = links.unionAll(_verified(texts, by_set, chosen, percent))
-        labels = components(links, rounds=2)
-    crossing = _cross_pairs(_still_open(entries, labels)).join(tested, ["a", "b"], "left_anti")
-    crossing = written(_possible(crossing, by_set, percent), "crossing")
-    return links if crossing.isEmpty() else links.unionAll(_connecting_links(texts, by_set, crossing, percent)[0])
+    # a few partners of each join most of what belongs together, so that few pairs are left
+    found = _admitted(_still_open(entries, labels), by_set, percent, FEW_IN_LIST).join(tested, ["a", "b"], "left_anti")
+    found = written(_possible(found, by_set, percent), "found")
+    chosen = written(_few_of_each(found, FEW_OF_SET), "chosen")
+    links = links.unionAll(_verified(texts, by_set, chosen, percent))
+    left = _admitted(_still_open(entries, components(links, rounds=2)), by_set, percent)
+    left = left.join(tested.unionAll(chosen), ["a", "b"], "left_anti")
+    left = written(_possible(left, by_set, percent), "left")
+    return links if left.isEmpty() else links.unionAll(_connecting_links(texts, by_set, left, percent))
 
 
 def _few_of_each(pairs: DataFrame, each: int = 3) -> DataFrame:
@@ -583,19 +652,18 @@ def _few_of_each(pairs: DataFrame, each: int = 3) -> DataFrame:
     return both.withColumn("rank", rank).where(F.col("rank") <= each).select("a", "b").distinct()
 
 
-def _connecting_links(texts: DataFrame, by_set: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links with the components of all links among ``pairs``, without verifying all of them, and component labels.
+def _connecting_links(texts: DataFrame, by_set: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Verified links with the components of all links among ``pairs``, without verifying all of them.
 
     First a few pairs of every set, which connect most of a group, then of the others those between different components.
     """
     first = written(_few_of_each(pairs), "first-pairs")
     links = _verified(texts, by_set, first, percent)
-    labels = components(links, rounds=2)
-    rest = written(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels).select("a", "b"), "rest-pairs")
-    if rest.isEmpty():
-        return links, labels
-    links = links.unionAll(_verified(texts, by_set, rest, percent))
-    return links, components(links, rounds=2)
+    others = written(pairs.join(first, ["a", "b"], "left_anti"), "other-pairs")
+    if others.isEmpty():
+        return links
+    rest = written(_apart(others, components(links, rounds=2)).select("a", "b"), "rest-pairs")
+    return links if rest.isEmpty() else links.unionAll(_verified(texts, by_set, rest, percent))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
