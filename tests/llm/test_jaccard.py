@@ -51,7 +51,7 @@ def test_equals_brute_force(spark, monkeypatch, light):
 @pytest.mark.parametrize("part", [1_000, 7])
 def test_hot_lists_and_open_lists(spark, monkeypatch, part):
     """Many heavily changed copies of one text in few tasks: hot lists, open lists (also of many parts), and the test of what is left."""
-    for name, value in (("FEW_IN_LIST", 1), ("FEW_OF_SET", 1), ("LIST_PART", part), ("LIST_ROWS", 30), ("PAIRS_HELD", 50)):
+    for name, value in (("FEW_LISTS", 1), ("FEW_IN_LIST", 1), ("FEW_OF_SET", 1), ("LIST_PART", part), ("LIST_ROWS", 30), ("PAIRS_HELD", 50)):
         monkeypatch.setattr(jaccard, name, value)
     rnd = random.Random(5)
     base = [f"b{i}" for i in range(80)]
@@ -148,7 +148,7 @@ def test_admitted_pairs_are_all_that_bounds_admit(monkeypatch):
             own = np.unique(np.concatenate([base[rng.random(60) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 25))).astype(np.uint64)]))
             i = int(rng.integers(-(1 << 62), 1 << 62))
             sets[i] = own
-            cells = None if rng.random() < 0.1 else np.frombuffer(jaccard.profile(own), np.uint8).astype("<u2").tobytes()
+            cells = None if rng.random() < 0.1 else np.frombuffer(jaccard.profile(own), np.uint8).tobytes()
             rows.append({"key": place, "lo": 0, "hi": two, "part": int(rng.integers(0, two + 1)), "id": i, "n": len(own), "most": int(rng.integers(60, 120)), "component": int(rng.integers(0, 4)), "cells": cells})
     table = pa.Table.from_pylist(rows)
     got = {(int(x), int(y)) for a, b in jaccard.admitted_pairs(table, 75, None) for x, y in zip(a, b)}

@@ -71,8 +71,8 @@ LIST_PART = 1_000
 #: Cells of the folded profiles, rows of lists that a task compares at once, pairs that it holds meanwhile.
 CELLS, LIST_ROWS, PAIRS_HELD = 64, 20_000, 1 << 16
 BIT_ARRAY_BITS = 1 << 21
-#: Admitted partners of an entry in an open list, and of a set in all of them, that are verified first.
-FEW_IN_LIST, FEW_OF_SET = 2, 12
+#: What is verified first: open lists of a set (its rarest shingles), partners of an entry there, and of a set in all of them.
+FEW_LISTS, FEW_IN_LIST, FEW_OF_SET = 4, 2, 12
 
 
 @dataclass(frozen=True)
@@ -414,12 +414,12 @@ def _still_open(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _folded(by_set: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, cells): the profiles of some sets in 64 cells of 16 bits; null if unknown."""
+    """(id, cells): the profiles of some sets in 64 cells of a byte; null if one does not fit."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = [None if p is None else np.frombuffer(p, np.uint8).reshape(-1, CELLS).sum(0, dtype=np.int64) for p in batch.column(1).to_pylist()]
-            cells = [None if c is None or c.max() > 0xFFFF else c.astype("<u2").tobytes() for c in sums]
+            cells = [None if c is None or c.max() > 255 else c.astype(np.uint8).tobytes() for c in sums]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["id", "cells"])
 
     wanted = by_set.join(ids, by_set["set_id"] == ids["id"], "left_semi").select(F.col("set_id").alias("id"), "profile")
@@ -432,8 +432,9 @@ def admitted_pairs(lists: pa.Table, percent: int, few: int | None) -> Iterator[t
     The rows of one place (key, lo, hi) lie together. ``few``: at most so many partners of each entry among those after it.
     """
     key, lo, hi, part, ids, n, most, component = (lists.column(c).to_numpy() for c in ("key", "lo", "hi", "part", "id", "n", "most", "component"))
-    unknown = b"\xff" * (2 * CELLS)  # the other set's shingles then count in full
-    cells = np.frombuffer(b"".join(unknown if c is None else c for c in lists.column("cells").to_pylist()), "<u2").reshape(-1, CELLS)
+    folded = lists.column("cells").to_pylist()
+    known = np.array([c is not None for c in folded], bool)
+    cells = np.frombuffer(b"".join(bytes(CELLS) if c is None else c for c in folded), np.uint8).reshape(-1, CELLS)
     rows = len(key)
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
     end = np.repeat(np.append(first[1:], rows), np.diff(first, append=rows))
@@ -446,7 +447,7 @@ def admitted_pairs(lists: pa.Table, percent: int, few: int | None) -> Iterator[t
         j = i + 1 + np.arange(len(i)) - (total[i] - total[row])
         fits = (component[i] != component[j]) & (n[i] <= most[j]) & (n[j] <= most[i]) & ((lo[i] == hi[i]) | (part[i] != part[j]))
         i, j = i[fits], j[fits]
-        overlap = np.minimum(np.minimum(cells[i], cells[j]).sum(1, dtype=np.int64), np.minimum(n[i], n[j]))
+        overlap = np.where(known[i] & known[j], np.minimum(cells[i], cells[j]).sum(1, dtype=np.int64), np.minimum(n[i], n[j]))
         fits = (100 + percent) * overlap >= percent * (n[i] + n[j])
         i, j = i[fits], j[fits]
         if few is not None and len(i):
@@ -635,7 +636,9 @@ def links_of_sets(texts: DataFrame, by_set: DataFrame, order: np.ndarray, percen
         return links
     entries = _open_entries(texts, rule, sketch, open_keys)
     # a few partners of each join most of what belongs together, so that few pairs are left
-    found = _admitted(_still_open(entries, labels), by_set, percent, FEW_IN_LIST).join(tested, ["a", "b"], "left_anti")
+    rarest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("most"), "key"))
+    some = written(_still_open(entries, labels).withColumn("rank", rarest).where(F.col("rank") <= FEW_LISTS).drop("rank"), "some-entries")
+    found = _admitted(some, by_set, percent, FEW_IN_LIST).join(tested, ["a", "b"], "left_anti")
     found = written(_possible(found, by_set, percent), "found")
     chosen = written(_few_of_each(found, FEW_OF_SET), "chosen")
     links = links.unionAll(_verified(texts, by_set, chosen, percent))
