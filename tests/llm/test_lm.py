@@ -77,3 +77,36 @@ def test_scores_beat_the_base_on_held_out_texts(spark):
 def test_small_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 500)
     assert _got(score(docs)) == _want([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_the_filter_grows_with_the_input(spark, monkeypatch):
+    """Far more distinct pairs than any fixed share of memory: every bucket holds all of its own, none is cut off."""
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 2_000)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
+    texts = [f"a{i} b{i} a{i} b{i} a{i} b{i}" for i in range(3_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plain = {r["doc_id"]: r["score"] for r in score(rows, held_out=F.lit(False)).collect()}
+    n, v = 7 * len(texts), 2 * len(texts) + 1
+    # a b occurs three times (level 3), the other pairs twice or once
+    share = 3 * len(texts) / n
+    single = (3 + 1) / (n + v + 1)
+    b_after_a = math.log10(share * 3 / 3 + (1 - share) * single)
+    a_after_b = math.log10(share * 2 / 3 + (1 - share) * single)
+    # the first word and the end token follow words whose pairs occur once
+    ends = Scale().ends(1)
+    low_end = int(ends[np.searchsorted(ends, len(texts), "right") - 1])
+    first = math.log10((1 - share) * single)
+    last = math.log10((1 - share) * (low_end + 1) / (n + v + 1))
+    want = first + 3 * b_after_a + 2 * a_after_b + last
+    near = [abs(s - want) < 0.02 for s in plain.values()]
+    assert len(near) == len(texts) and sum(near) > 0.9 * len(texts)  # the rest: false probes
+
+
+def test_nothing_of_the_filter_is_sent_to_the_driver():
+    """No bound on the filter's bytes is left in the interface, and a bucket's filter holds every entry of its keys."""
+    import inspect
+
+    assert "filter_mb" not in inspect.signature(score).parameters
+    keys = np.arange(1, 2_000_001, dtype=np.uint64) << np.uint64(20)
+    f = lm.build_filter(2, keys, np.full(len(keys), 3, np.uint64), least=2)
+    assert (f.levels(2, keys) >= 2).all() and f.least == {2: 2}

@@ -3,7 +3,7 @@
 Counts of words and word pairs are gathered over all training texts. Each count is
 quantised to a level of a geometric scale; the filter holds (n-gram, 1) up to
 (n-gram, level), so a count is read by probing levels until one is missing. The
-filter is broadcast, and the smoothed probability of a token comes from such probes:
+smoothed probability of a token comes from such probes:
 
     p1(w) = (c(w) + 1) / (N + V + 1)
     p2(w | h) = L c(h w) / c(h) + (1 - L) p1(w)
@@ -14,19 +14,19 @@ rate given below. L is the share of training tokens whose pair stays in the filt
 with that token left out, a leave-one-out estimate over all counts; it is 0 after a
 word too rare to begin such a pair.
 
-Plan. Two passes over the texts. The first counts per task and deals the counts, in
-packed blocks, over buckets of the key range; each bucket sums up its keys. A
-frequent n-gram meets there as one entry per block of text, not per occurrence. The
-filter takes ``bits_per_entry`` bits an entry (12 bits in words of 64: about one
-false positive in 100 probes, measured in the tests) and at most ``filter_mb``: the cutoff of the pairs, and then of the words, is
-the smallest count from ``least_counts`` on at which it keeps to that bound, so
-what is broadcast never grows past it; n-grams below a cutoff are left to the
-smoothing, and no text is left out. The second pass scores whole texts.
+Plan. The texts are hashed once, into blocks of tokens that are written. The distinct
+n-grams of each block, with their counts in its training texts, are dealt in packed
+lists over buckets of the key range; a frequent n-gram meets there as one entry per
+block of text, not per occurrence. A bucket sums up its keys, builds its part of the
+filter (``bits_per_entry`` bits an entry: 12 bits in words of 64, about one false
+positive in 100 probes, measured in the tests), probes it for all keys that it was
+sent, and returns the levels, and the exact counts of words, to their blocks. There
+the texts are scored whole. The number of buckets follows the bytes of the text, so
+the filter grows with the input, no part of it with the whole, and nothing but sums is
+broadcast or sent to the driver. The cutoffs are ``least_counts`` at any size.
 
-The base score needs exact word counts, more than a bounded broadcast can hold. The
-second pass looks up frequent words (at least 1 in ``hot_share`` tokens, so at most
-that many words) in a broadcast table and deals the others, once per text and word,
-to the bucket that holds their count; only sums per text come back.
+The base score takes the exact counts. Words with at least 1 in ``hot_share`` training
+tokens take the level of their exact count, as they would need the most probes.
 
 Edge cases. A null or empty text is the end token alone. A null id counts as the
 empty string when folds are chosen. Repeated rows count and are scored each. Without
@@ -37,6 +37,7 @@ ignored.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialstats.llm.arrowtext import pieces
-from trialstats.llm.packed import bucket_of, by_bucket, pack_sorted, short_key, summed, unpack_sorted
+from trialstats.llm.packed import bucket_of, by_bucket, pack, pack_sorted, short_key, summed, unpack, unpack_sorted
 from trialstats.llm.shared import written
 from trialstats.llm.words import WordHasher, mix64
 
@@ -72,58 +73,19 @@ class Scale:
         return np.array(out, np.int64)
 
 
-def token_keys(hasher: WordHasher, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, pair hashes, text index) of every token; each text ends with, and follows, the end token."""
+def token_hashes(hasher: WordHasher, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hash, text index) of every token; each text ends with the end token."""
     words = hasher(data, at)
     n = len(at) - 1
     tokens = np.full(len(words.hash) + n, END)
-    text = words.text
-    tokens[np.arange(len(words.hash)) + text] = words.hash
-    before = np.concatenate([[END], tokens[:-1]])
-    pairs = mix64(before * np.uint64(0x9E3779B97F4A7C15) + mix64(tokens))
-    return tokens, pairs, np.repeat(np.arange(n), words.counts + 1)
-
-
-_COUNTS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("order", T.IntegerType()), T.StructField("block", T.BinaryType())])
-
-
-def gather_counts(texts: DataFrame, buckets: int, least_counts: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(bucket, order, block of keys and counts, all, distinct) of all n-grams of ``texts`` (column text).
-
-    A block holds the counts from the order's least count on; all and distinct count every n-gram.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, n = WordHasher(), [], 0
+    tokens[np.arange(len(words.hash)) + words.text] = words.hash
+    return tokens, np.repeat(np.arange(n), words.counts + 1)
 
-        def flush() -> pa.RecordBatch:
-            rows = []
-            for k, order in enumerate(ORDERS):
-                keys, counts = np.unique(short_key(np.concatenate([h[k] for h in held])), return_counts=True)
-                rows += [(b, order, pack_sorted(keys[s], counts[s])) for b, s in by_bucket(keys, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=_COUNTS.names)
 
-        for batch in batches:
-            for _, _, data, at in pieces(batch.column(0)):
-                tokens, pairs, _ = token_keys(hasher, data, at)
-                held.append((tokens, pairs))
-                n += len(tokens)
-                if n >= BLOCK_TOKENS:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
-
-    def add(table: pa.Table) -> pa.Table:
-        order = table.column("order")[0].as_py()
-        parts = [unpack_sorted(b.as_py()) for b in table.column("block")]
-        keys, counts = summed(*(np.concatenate(c) for c in zip(*parts)))
-        keep = counts >= least_counts[order - 1]
-        return pa.table({"bucket": table.column("bucket")[:1], "order": table.column("order")[:1], "block": pa.array([pack_sorted(keys[keep], counts[keep])], pa.binary()),
-                         "all": pa.array([int(counts.sum())]), "distinct": pa.array([len(keys)])})
-
-    out = T.StructType([*_COUNTS.fields, *[T.StructField(c, T.LongType()) for c in ("all", "distinct")]])
-    return texts.select("text").mapInArrow(count, _COUNTS).groupBy("bucket", "order").applyInArrow(add, out)
+def pair_hashes(tokens: np.ndarray) -> np.ndarray:
+    """Hash of each token with the one before it; the first follows the end token, as every text does."""
+    before = np.concatenate([[END], tokens[:-1]])
+    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + mix64(tokens))
 
 
 @dataclass
@@ -195,48 +157,19 @@ def fill_words(keys: np.ndarray, levels: np.ndarray, size: int, hashes: int) ->
     return words
 
 
-def build_filter(counts: DataFrame, buckets: int, *, least_counts: tuple[int, ...] = (1, 2), bits_per_entry: int = 12, hashes: int = 5,
-                 filter_mb: int = 96, scale: Scale = Scale()) -> Filter:
-    """The filter of a counts table; the table's rows stay on the executors, bit arrays within the bound come to the driver."""
-    ends = scale.ends(1)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for order, block in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, c = unpack_sorted(block.as_py())
-                level = np.searchsorted(ends, c.astype(np.int64), "right")
-                n = np.bincount(level, minlength=1)
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([order] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64()),
-                                                  pa.array(np.bincount(level, c.astype(float))[at].astype(np.int64), pa.int64())], names=["order", "level", "n", "tokens"])
-
-    rows = (counts.select("order", "block").mapInArrow(measure, "order int, level int, n bigint, tokens bigint")
-            .groupBy("order", "level").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect())
-    least = _cutoffs({(r["order"], r["level"]): r["n"] for r in rows}, ends, least_counts, bits_per_entry, filter_mb * 8_000_000, scale)
-    total = sum(r["tokens"] for r in rows if r["order"] == 1)
-    weight = sum(r["tokens"] for r in rows if r["order"] == 2 and ends[r["level"] - 1] > least[2]) / total if total else 0.0
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, order, block in zip(*(batch.column(i) for i in range(3))):
-                keys, c = unpack_sorted(block.as_py())
-                levels = np.searchsorted(scale.ends(least[order.as_py()]), c.astype(np.int64), "right")
-                size = -(-int(levels.sum()) * bits_per_entry // 64)
-                words = fill_words(keys[levels > 0], levels[levels > 0], size, hashes)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int32()), pa.array([order.as_py()], pa.int32()), pa.array([words.astype("<u8").tobytes()], pa.binary())],
-                                                 names=["bucket", "order", "words"])
-
-    parts = {(r["order"], r["bucket"]): r["words"] for r in counts.select("bucket", "order", "block").mapInArrow(fill, "bucket int, order int, words binary").toLocalIterator()}
-    words, begin = {}, {}
-    for order in ORDERS:
-        own = [parts.pop((order, b), b"") for b in range(buckets)]
-        begin[order] = np.concatenate([[0], np.cumsum([len(w) // 8 for w in own])]).astype(np.int64)
-        words[order] = np.frombuffer(b"".join(own), "<u8")
-    return Filter(words, begin, least, hashes, scale, min(weight, 0.95))
+def build_filter(order: int, keys: np.ndarray, counts: np.ndarray, *, least: int, bits_per_entry: int = 12, hashes: int = 5, scale: Scale = Scale()) -> Filter:
+    """The filter of one bucket's n-grams of an order (distinct ascending keys), as large as their entries ask for."""
+    levels = np.searchsorted(scale.ends(least), counts.astype(np.int64), "right")
+    size = -(-int(levels.sum()) * bits_per_entry // 64)
+    words = fill_words(keys[levels > 0], levels[levels > 0], size, hashes)
+    return Filter({order: words}, {order: np.array([0, size])}, {order: least}, hashes, scale, 0.0)
 
 
 def _cutoffs(levels: dict[tuple[int, int], int], ends: np.ndarray, least_counts: tuple[int, ...], bits_per_entry: int, most_bits: int, scale: Scale) -> dict[int, int]:
-    """The smallest cutoffs, raised for the longest n-grams first, whose entries keep to ``most_bits``."""
+    """The smallest cutoffs, raised for the longest n-grams first, whose entries keep to ``most_bits``.
+
+    For callers that want a filter of bounded size; ``score`` keeps to its ``least_counts``.
+    """
     least = dict(zip(ORDERS, least_counts))
 
     def entries(order: int) -> int:
@@ -254,144 +187,151 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None,
-          least_counts: tuple[int, ...] = (1, 2), bits_per_entry: int = 12, hashes: int = 5, filter_mb: int = 96, hot_share: int = 100_000) -> DataFrame:
+          least_counts: tuple[int, ...] = (1, 2), bits_per_entry: int = 12, hashes: int = 5, hot_share: int = 100_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; trained on the rows not held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        (is_held_out(F.col(id_col)) if held_out is None else held_out).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
-    counts = written(gather_counts(rows.where(~F.col("held_out")), buckets, least_counts), "lm-counts")
-    n, v = counts.where("order = 1").agg(F.sum("all"), F.sum("distinct")).first()
-    n, v = n or 0, v or 0
-    table = build_filter(counts, buckets, least_counts=least_counts, bits_per_entry=bits_per_entry, hashes=hashes, filter_mb=filter_mb)
-    hot = _hot_words(counts, max(1, -(-n // hot_share)))
-    context = docs.sparkSession.sparkContext.broadcast((table.parts(), *[x.tobytes() for x in hot]))
-    del table
-    scored = written(_score_pass(rows, context, n, v, buckets), "lm-scored")
-    rare = _rare_words(scored, counts)
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
-    return (scored.where("block_id is not null and bucket is null").join(rare, ["block_id", "place"], "left")
-            .select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-                    F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"))
-
-
-def _hot_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the words with at least ``least`` occurrences, by key."""
+    blocks = written(_token_blocks(rows), "lm-blocks")
+    tokens = blocks.where("tokens is not null").select("block_id", "words", "tokens")
+    found = written(_looked_up(tokens, buckets, least_counts, bits_per_entry, hashes), "lm-levels")
+    n, v, kept = found.agg(F.sum(F.expr("if(order = 1, total, 0)")), F.sum(F.expr("if(order = 1, distinct, 0)")), F.sum("kept")).first()
+    n, v, kept = n or 0, v or 0, kept or 0
+    scored = _scored(tokens, found, n, v, min(kept / n, 0.95) if n else 0.0, least_counts, max(1, -(-n // hot_share)))
+    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    return (blocks.where("tokens is null").join(scored, ["block_id", "place"])
+            .select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"))
+
+
+def _packed_tokens(tokens: np.ndarray, of_text: np.ndarray, train: np.ndarray) -> tuple[bytes, bytes]:
+    """(distinct word hashes, tokens as places among them with the texts' token counts and folds) of a block.
+
+    Frequent words have small places, and low and high bytes lie apart, so that the places compress.
+    """
+    words, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    at = place[at]
+    return words[order].astype("<u8").tobytes(), zlib.compress(pack(at & 255, at >> 8, of_text, train), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in batch.column(0):
-                keys, c = unpack_sorted(block.as_py())
-                often = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array([pack_sorted(keys[often], c[often])], pa.binary())], names=["block"])
 
-    found = counts.where("order = 1").select("block").mapInArrow(run, "block binary").collect()
-    parts = [unpack_sorted(bytes(r["block"])) for r in found]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return summed(*(np.concatenate(c) for c in zip(*parts)))
+@dataclass
+class Block:
+    """A block's n-grams: distinct keys by order, ascending, and each token's place among them."""
 
+    keys: dict[int, np.ndarray]
+    at: dict[int, np.ndarray]
+    before: np.ndarray  # place of the word before each token
+    text: np.ndarray  # text of each token
+    texts: int
+    train: np.ndarray  # of each token
 
-def _score_pass(rows: DataFrame, context, n: int, v: int, buckets: int) -> DataFrame:
-    """One row per text, and one per (block of texts, bucket) with the block's rare words."""
-    out = T.StructType([T.StructField("block_id", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("bucket", T.IntegerType()),
-                        T.StructField("block", T.BinaryType()), rows.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
-                        T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    @classmethod
+    def of(cls, words: bytes, tokens: bytes) -> Block:
+        low, high, of_text, train = (c.astype(np.int64) for c in unpack(zlib.decompress(tokens)))
+        hashes, at = np.frombuffer(words, "<u8"), low | high << 8
+        text = np.repeat(np.arange(len(of_text)), of_text)
+        keys, place = np.unique(short_key(hashes), return_inverse=True)
+        pairs, of_pair = np.unique(short_key(pair_hashes(hashes[at])), return_inverse=True)
+        own = place[at]
+        return cls({1: keys, 2: pairs}, {1: own, 2: of_pair}, np.concatenate([own[-1:], own[:-1]]), text, len(of_text), train[text])
+
+
+def _token_blocks(rows: DataFrame) -> DataFrame:
+    """One row per text (block_id, place, doc_id, held_out, n_tokens), and one per block with its words and tokens."""
+    out = T.StructType([T.StructField("block_id", T.StringType()), T.StructField("place", T.IntegerType()), rows.schema["doc_id"], T.StructField("held_out", T.BooleanType()),
+                        T.StructField("n_tokens", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, hot_keys, hot_counts = context.value
-        table, hot_keys, hot_counts = Filter.of(parts), np.frombuffer(hot_keys, np.uint64), np.frombuffer(hot_counts, np.uint64)
-        # the levels that probing would find; these words would need the most probes
-        hot_levels = np.searchsorted(table.scale.ends(table.least[1]), hot_counts.astype(np.int64), "right")
         hasher = WordHasher()
-        types: list[pa.DataType] = []
-        held: list[tuple] = []  # texts' columns, and the rare words' (key, text, count)
-        texts, tokens_held = 0, 0
+        id_type: pa.DataType = pa.null()
+        held: list[tuple] = []  # texts' columns, tokens
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             block_id = uuid.uuid4().hex
-            done = [pa.concat_arrays([h[0][k] for h in held]) for k in range(6)]
-            m = len(done[0])
-            yield pa.RecordBatch.from_arrays([pa.array([block_id] * m), pa.array(np.arange(m, dtype=np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *done], names=out.names)
-            keys, place, count = (np.concatenate([h[1][k] for h in held]) for k in range(3))
-            order = np.argsort(keys, kind="stable")
-            keys, place, count = keys[order], place[order], count[order]
-            found = [(b, pack_sorted(keys[s], place[s], count[s])) for b, s in by_bucket(keys, buckets)]
-            if found:
-                m = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([block_id] * m), pa.nulls(m, pa.int32()), pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary()),
-                                                  *[pa.nulls(m, t) for t in types]], names=out.names)
+            ids, folds, counts = (pa.concat_arrays([h[k] for h in held]) for k in range(3))
+            m = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([block_id] * m, pa.string()), pa.array(np.arange(m, dtype=np.int32)), ids, folds, counts, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=out.names)
+            words, tokens = _packed_tokens(np.concatenate([h[3] for h in held]), counts.to_numpy(), ~folds.fill_null(True).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array([block_id]), pa.nulls(1, pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()),
+                                              pa.array([words], pa.binary()), pa.array([tokens], pa.binary())], names=out.names)
 
         for batch in batches:
-            types = [batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            id_type = batch.schema.field(0).type
             for row, end, data, at in pieces(batch.column(1)):
-                tokens, pairs, text = token_keys(hasher, data, at)
-                m = end - row
-                words, of_word = np.unique(short_key(tokens), return_inverse=True)
-                if len(hot_keys):
-                    where = np.minimum(np.searchsorted(hot_keys, words), len(hot_keys) - 1)
-                    is_hot = hot_keys[where] == words
-                else:
-                    where, is_hot = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-                level = np.zeros(len(words), np.int64)
-                level[~is_hot] = table.levels(1, words[~is_hot])
-                level[is_hot] = hot_levels[where[is_hot]]
-                low, high = table.bounds(1, level)
-                pair_low, _ = table.bounds(2, table.levels(2, short_key(pairs)))
-                before = np.concatenate([[np.searchsorted(words, short_key(np.array([END])))[0]], of_word[:-1]])
-                seen = high[before]
-                single = (low[of_word] + 1) / (n + v + 1)
-                weight = np.where(low[before] >= table.least[2], table.weight, 0.0)
-                p = weight * np.minimum(pair_low, seen) / np.maximum(seen, 1) + (1 - weight) * single
-                total = np.bincount(text, np.log10(p), m).astype(float)
-                often = is_hot[of_word]
-                value = np.log10(hot_counts[where[of_word[often]]].astype(float) + 1)
-                base = np.bincount(text[often], value, m).astype(float)  # without any entry it counts in integers
-                known = np.bincount(text[often], minlength=m)
-                rare = (text[~often] * len(words) + of_word[~often])
-                rare, times = np.unique(rare, return_counts=True)
-                columns = [batch.column(0).slice(row, m), batch.column(2).slice(row, m), pa.array(np.bincount(text, minlength=m)), pa.array(known), pa.array(base, pa.float64()), pa.array(total, pa.float64())]
-                held.append((columns, (words[rare % len(words)], texts + rare // len(words), times)))
-                texts, tokens_held = texts + m, tokens_held + len(tokens)
-                if tokens_held >= BLOCK_TOKENS:
+                tokens, text = token_hashes(hasher, data, at)
+                held.append((batch.column(0).slice(row, end - row), batch.column(2).slice(row, end - row), pa.array(np.bincount(text, minlength=end - row)), tokens))
+                size += len(tokens)
+                if size >= BLOCK_TOKENS:
                     yield from flush()
-                    held, texts, tokens_held = [], 0, 0
+                    held, size = [], 0
         if held:
             yield from flush()
 
     return rows.mapInArrow(run, out)
 
 
-def _rare_words(scored: DataFrame, counts: DataFrame) -> DataFrame:
-    """(block_id, place, rare_base, rare_known): sums over the dealt words of each text, from the buckets that hold their counts."""
-    part = T.StructType([T.StructField("block_id", T.StringType()), T.StructField("known", T.BinaryType()), T.StructField("base", T.BinaryType())])
-
-    def look_up(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, c = unpack_sorted(right.column("block")[0].as_py()) if len(right) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        out: list[tuple] = []
-        for block_id, block in zip(left.column("block_id"), left.column("block")):
-            own, place, times = unpack_sorted(block.as_py())
-            if len(keys):
-                where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                found = np.where(keys[where] == own, c[where], 0).astype(float)
-            else:
-                found = np.zeros(len(own))
-            place = place.astype(np.int64)
-            out.append((block_id.as_py(), np.bincount(place, times * (found > 0)).astype("<i8").tobytes(), np.bincount(place, times * np.log10(found + 1)).astype("<f8").tobytes()))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary()))] if out else [pa.array([], t) for t in (pa.string(), pa.binary(), pa.binary())], names=part.names)
-
-    def add(table: pa.Table) -> pa.Table:
-        known = [np.frombuffer(x.as_py(), "<i8") for x in table.column("known")]
-        base = [np.frombuffer(x.as_py(), "<f8") for x in table.column("base")]
-        m = max(map(len, known))
-        k, b = np.zeros(m, np.int64), np.zeros(m)
-        # in a fixed order, so that the sums do not depend on the order of arrival
-        for x, y in sorted(zip(known, base), key=lambda p: (len(p[0]), p[1].tobytes())):
-            k[:len(x)] += x
-            b[:len(y)] += y
-        return pa.table({"block_id": pa.array([table.column("block_id")[0].as_py()] * m), "place": pa.array(np.arange(m, dtype=np.int32)), "rare_base": pa.array(b), "rare_known": pa.array(k)})
-
-    dealt = scored.where("bucket is not null").select("bucket", "block_id", "block")
-    held = counts.where("order = 1").select("bucket", "block")
-    sums = dealt.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(look_up, part)
-    return sums.groupBy("block_id").applyInArrow(add, "block_id string, place int, rare_base double, rare_known bigint")
+def _looked_up(tokens: DataFrame, buckets: int, least_counts: tuple[int, ...], bits_per_entry: int, hashes: int, scale: Scale = Scale()) -> DataFrame:
+    """(block_id, order, bucket, found, total, distinct, kept): what the bucket knows of a block's n-grams, in key order.
+
+    ``found`` holds the levels read from the bucket's filter, and before them the exact counts of words. The bucket's
+    training tokens, distinct n-grams, and tokens of pairs that stay in the filter without one of them, are in one of its rows.
+    """
+    ends = scale.ends(1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block_id, words, packed in zip(*(batch.column(i) for i in range(3))):
+                block = Block.of(words.as_py(), packed.as_py())
+                for order in ORDERS:
+                    keys, counts = block.keys[order], np.bincount(block.at[order], block.train, len(block.keys[order])).astype(np.int64)
+                    found = [(block_id.as_py(), order, b, pack_sorted(keys[s], counts[s])) for b, s in by_bucket(keys, buckets)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=["block_id", "order", "bucket", "block"])
+
+    def look_up(table: pa.Table) -> pa.Table:
+        order, lists = table.column("order")[0].as_py(), table.column("block")
+        keys, counts = summed(*(np.concatenate(c) for c in zip(*(unpack_sorted(b.as_py()) for b in lists))))
+        known = counts > 0
+        own = build_filter(order, keys[known], counts[known], least=least_counts[order - 1], bits_per_entry=bits_per_entry, hashes=hashes, scale=scale)
+        levels = own.levels(order, keys)
+        found = []
+        for b in lists:
+            at = np.searchsorted(keys, unpack_sorted(b.as_py())[0])
+            found.append(pack(counts[at], levels[at]) if order == 1 else pack(levels[at]))
+        seen = counts[known].astype(np.int64)
+        stays = seen[ends[np.searchsorted(ends, seen, "right") - 1] > least_counts[1]].sum() if order == 2 else 0
+        sums = [pa.array([int(x)] + [0] * (len(lists) - 1), pa.int64()) for x in (seen.sum(), len(seen), stays)]
+        return pa.table([*(table.column(c) for c in ("block_id", "order", "bucket")), pa.array(found, pa.binary()), *sums], names=["block_id", "order", "bucket", "found", "total", "distinct", "kept"])
+
+    dealt = tokens.mapInArrow(deal, "block_id string, order int, bucket int, block binary")
+    return dealt.groupBy("bucket", "order").applyInArrow(look_up, "block_id string, order int, bucket int, found binary, total bigint, distinct bigint, kept bigint")
+
+
+def _scored(tokens: DataFrame, found: DataFrame, n: int, v: int, share: float, least_counts: tuple[int, ...], hot: int, scale: Scale = Scale()) -> DataFrame:
+    """(block_id, place, known, base, score) of each text: known tokens, sum of log10(count + 1), sum of log10 of the smoothed probabilities."""
+    bounds = Filter({}, {}, dict(zip(ORDERS, least_counts)), 0, scale, share).bounds
+
+    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        block_id = left.column("block_id")[0].as_py()
+        block = Block.of(left.column("words")[0].as_py(), left.column("tokens")[0].as_py())
+        # the buckets are ascending ranges of the keys
+        lists = sorted(zip(right.column("order").to_pylist(), right.column("bucket").to_pylist(), right.column("found").to_pylist()))
+        of_word = [unpack(x) for order, _, x in lists if order == 1]
+        counts, levels = (np.concatenate(c).astype(np.int64) for c in zip(*of_word))
+        pair_levels = np.concatenate([unpack(x)[0] for order, _, x in lists if order == 2]).astype(np.int64)
+        levels = np.where(counts >= hot, np.searchsorted(scale.ends(least_counts[0]), counts, "right"), levels)
+        low, high = bounds(1, levels)
+        pair_low, _ = bounds(2, pair_levels)
+        at, m = block.at[1], block.texts
+        seen = high[block.before]
+        single = (low[at] + 1) / (n + v + 1)
+        weight = np.where(low[block.before] >= least_counts[1], share, 0.0)
+        p = weight * np.minimum(pair_low[block.at[2]], seen) / np.maximum(seen, 1) + (1 - weight) * single
+        sums = np.bincount(block.text, counts[at] > 0, m).astype(np.int64), np.bincount(block.text, np.log10(counts + 1.0)[at], m), np.bincount(block.text, np.log10(p), m)
+        return pa.table([pa.array([block_id] * m), pa.array(np.arange(m, dtype=np.int32)), *map(pa.array, sums)], names=["block_id", "place", "known", "base", "score"])
+
+    both = tokens.groupBy("block_id").cogroup(found.select("block_id", "order", "bucket", "found").groupBy("block_id"))
+    return both.applyInArrow(run, "block_id string, place int, known bigint, base double, score double")
