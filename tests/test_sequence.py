@@ -132,3 +132,17 @@ def test_first_per_is_deterministic(spark):
     pdf = df.toPandas().sort_values(["t", "eid"])
     want = {None if g != g else int(g): int(e) for g, e in pdf.groupby("g", dropna=False)["eid"].first().items()}
     assert {k if k is None else int(k): v for k, v in got.items()} == want
+
+
+def test_rows_stay_where_they_are_with_few_ranges(spark):
+    """Fewer ranges than shuffle partitions, and nothing small enough to be broadcast by size: the rows still do not move."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(RANGES_CONF, "3")
+    try:
+        df = ranged(_data(spark).withColumn("wide", F.lit("w")), ["g"], ["t", "eid"], "seg")
+        scan = ordered_scan(df, ["g"], ["t", "eid"], lag={"p": "v"}, segment=F.col("seg"))
+        plan = scan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset(RANGES_CONF)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

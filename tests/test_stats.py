@@ -157,3 +157,23 @@ def test_density_counts_every_value(spark):
     bw = 0.9 * min(x.std(ddof=1), (q3 - q1) / 1.34) * len(x) ** -0.2
     exact = np.exp(-0.5 * ((out["x"].to_numpy()[:, None] - x[None, :]) / bw) ** 2).sum(1) / (len(x) * bw * math.sqrt(2 * math.pi))
     assert np.max(np.abs(out["density"].to_numpy() - exact)) < 1e-6
+
+
+def test_mahalanobis_without_keys_moves_no_row(spark):
+    """Statistics of all rows are a scalar: no join, so no task gets all rows and no row is dealt by a salt."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(200, 2)) @ np.array([[1, 0.4], [0, 1]]), columns=["a", "b"])
+    found = O.mahalanobis(spark.createDataFrame(pdf), ["a", "b"], digits=9)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    x = pdf.to_numpy()
+    d = x - x.mean(0)
+    want = np.einsum("ij,jk,ik->i", d, np.linalg.inv(np.cov(x, rowvar=False)), d)
+    got = found.toPandas().sort_values("a")["mahal_dist"].to_numpy()
+    assert np.allclose(got, want[np.argsort(pdf["a"].to_numpy())], atol=1e-6)
+    assert O.mahalanobis(spark.createDataFrame(pdf).limit(0), ["a", "b"]).count() == 0
+
+
+def test_group_statistics_never_make_the_rows_the_broadcast_side(spark):
+    rows = spark.createDataFrame([(k, float(i)) for k in (1, None) for i in range(20)], "k int, a double")
+    found = O.identify_outliers(rows, ["k"], "a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in found

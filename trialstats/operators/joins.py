@@ -64,11 +64,12 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, key: str, salts: int = 1
 
     The side of the statistics is partitioned by its own aggregate, so AQE could not split a hot key. The
     statistics (one row per group) are repeated for each salt and the rows of a group are dealt over the
-    salts by their content. A small table of statistics is still broadcast, by its measured size.
+    salts by their content. A small table of statistics is still broadcast, by its measured size. Every row
+    has its group's statistics; the join is an outer one so that the rows are never the side that is broadcast.
     """
     salted = stats.withColumn("_jn_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     own = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(salts)).cast("int")
-    return rows.withColumn("_jn_salt", own).join(salted, [key, "_jn_salt"]).drop("_jn_salt")
+    return rows.withColumn("_jn_salt", own).join(salted, [key, "_jn_salt"], "left").drop("_jn_salt")
 
 
 def assert_same_count(a: DataFrame, b: DataFrame) -> None:

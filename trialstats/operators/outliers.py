@@ -81,12 +81,18 @@ def mahalanobis(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), p:
     keys, cols = list(keys), list(cols)
     k = len(cols)
     x = [F.col(c).cast("double") for c in cols]
-    base = df.dropna(subset=cols).withColumn(_G, F.struct(*keys) if keys else F.lit(0))
-    st = base.groupBy(_G).agg(*[F.avg(x[i]).alias(f"_mu{i}") for i in range(k)],
-                              *[F.covar_samp(x[i], x[j]).alias(f"_cv{i}_{j}") for i in range(k) for j in range(i + 1)])
+    base = df.dropna(subset=cols)
+    if keys:
+        base = base.withColumn(_G, F.struct(*keys))
+    st = base.groupBy(*[_G] * bool(keys)).agg(*[F.avg(x[i]).alias(f"_mu{i}") for i in range(k)],
+                                              *[F.covar_samp(x[i], x[j]).alias(f"_cv{i}_{j}") for i in range(k) for j in range(i + 1)])
     st, factor = _whitening(st, k, lambda i, j: F.col(f"_cv{i}_{j}"))
-    st = st.select(_G, *[f"_mu{i}" for i in range(k)], *factor)
-    out = join_group_stats(base, st, _G)
+    own = [*[f"_mu{i}" for i in range(k)], *factor]
+    if keys:
+        out = join_group_stats(base, st.select(_G, *own), _G)
+    else:  # one group: its statistics are a scalar subquery (no join, so no row moves)
+        out = base.withColumn(_G, st.select(F.struct(*own).alias("s")).scalar())
+        out = out.withColumns({c: F.col(f"{_G}.{c}") for c in own}).drop(_G)
     for i in range(k):
         done = sum((F.col(f"_l{i}_{m}") * F.col(f"_z{m}") for m in range(i)), F.lit(0.0))
         out = out.withColumn(f"_z{i}", (x[i] - F.col(f"_mu{i}") - done) / F.col(f"_l{i}_{i}"))
