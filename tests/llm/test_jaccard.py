@@ -177,3 +177,29 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}, **{i: 200 for i in range(200, 230)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_parities_bound_the_difference():
+    """Also between sets of unlike sizes, whose parities are folded; pairs that share half of their shingles are excluded."""
+    rng = np.random.default_rng(8)
+    for n in (1, 40, 500, 3000):
+        for share in (0.0, 0.5, 0.8, 1.0):
+            both = rng.integers(0, 1 << 63, int(n * share)).astype(np.uint64)
+            x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, int(m * (1 - share))).astype(np.uint64)])) for m in (n, n * 5 // 4))
+            apart = jaccard.least_difference(jaccard.parities(x), jaccard.parities(y))
+            assert apart <= len(np.setxor1d(x, y))
+            assert share > 0.5 or n == 1 or 175 * (len(x) + len(y) - apart) < 150 * (len(x) + len(y))
+
+
+def test_open_lists_of_unlike_sets_admit_few_pairs():
+    """Sets of 500 shingles that share two thirds of them: the counts in 64 cells admit their pairs, the parities none."""
+    rng = np.random.default_rng(9)
+    base, rows = rng.integers(0, 1 << 63, 500).astype(np.uint64), []
+    for i in range(60):
+        own = np.unique(np.concatenate([base[rng.random(500) < 0.67], rng.integers(0, 1 << 63, 165).astype(np.uint64)]))
+        rows.append({"key": 1, "lo": 0, "hi": 0, "part": 0, "id": i, "n": len(own), "most": 1000, "component": i,
+                     "cells": np.frombuffer(jaccard.profile(own), np.uint8).reshape(-1, jaccard.CELLS).sum(0).astype(np.uint8).tobytes(),
+                     "odd": jaccard.folded(jaccard.parities(own), jaccard.PARITY_BYTES).tobytes()})
+    table = pa.Table.from_pylist(rows)
+    assert sum(len(a) for a, _ in jaccard.admitted_pairs(table.drop_columns(["odd"]), 75, None)) > 500
+    assert sum(len(a) for a, _ in jaccard.admitted_pairs(table, 75, None)) == 0

@@ -22,9 +22,10 @@ lists still hold more than one component; only in those lists are pairs between
 different components tested too, again with the size and position bounds. That is
 exact: two linked sets share a list, and are then either in one component already
 or tested themselves. A profile of each set (its shingles counted in cells, about an eighth
-of a byte for each) excludes most pairs that cannot reach the similarity, again exactly; all
-others are verified on the full sets. In an open list the entries carry their profiles,
-folded to 64 cells, and are compared in NumPy where the list is; only pairs that the
+of a byte for each, and the parities of these counts in cells of about one shingle) excludes most
+pairs that cannot reach the similarity, again exactly: a cell of unlike parity holds a shingle that
+only one of two sets has. All others are verified on the full sets. In an open list the entries carry
+their profiles, folded to 64 cells and 512 parities, and are compared in NumPy where the list is; only pairs that the
 profiles admit become rows. A long list is cut into parts, every two of which meet in a
 place of their own. First a few admitted partners of each entry are verified, which
 connects most of what belongs together, then all between components that are left.
@@ -70,6 +71,8 @@ BUCKET_POSTINGS = 1_000_000
 LIST_PART = 1_000
 #: Cells of the folded profiles, rows of lists that a task compares at once, pairs that it holds meanwhile.
 CELLS, LIST_ROWS, PAIRS_HELD = 64, 20_000, 1 << 16
+#: Parities of the folded profiles, in bytes.
+PARITY_BYTES = 64
 BIT_ARRAY_BITS = 1 << 21
 #: What is verified first: open lists of a set (its rarest shingles), partners of an entry there, and of a set in all of them.
 FEW_LISTS, FEW_IN_LIST, FEW_OF_SET = 4, 2, 12
@@ -125,10 +128,28 @@ def largest_overlap(a: bytes | None, b: bytes | None) -> int | None:
     return int(np.minimum(x.reshape(-1, cells).sum(0), y.reshape(-1, cells).sum(0)).sum())
 
 
+def parities(values: np.ndarray) -> bytes:
+    """Whether the number of a set's shingles is odd, by their middle bits: a bit for each of 512 cells or more, about one shingle to a cell."""
+    cells = max(PARITY_BYTES * 8, 1 << max(0, len(values) - 1).bit_length())
+    counts = np.bincount(((values >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
+def folded(odd: bytes, size: int) -> np.ndarray:
+    """The parities in ``size`` bytes, a power of two of at most their own."""
+    return np.bitwise_xor.reduce(np.frombuffer(odd, np.uint8).reshape(-1, size), axis=0)
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Shingles that are in one of two sets only, at least: their cells of unlike parity."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
 def _sets_and_repeats(texts: DataFrame, buckets: int = 64) -> DataFrame:
     """One row per document (doc_id, n, set_id), and blocks of order cells that repeat (bucket, block)."""
     out = T.StructType([texts.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("profile", T.BinaryType()),
-                        T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType())])
+                        T.StructField("parity", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size, id_type = WordHasher(), [], 0, None
@@ -139,15 +160,15 @@ def _sets_and_repeats(texts: DataFrame, buckets: int = 64) -> DataFrame:
             cells, counts = summed(short_key(keys[often]) >> np.uint64(KEY_BITS - ORDER_BITS) << np.uint64(KEY_BITS - ORDER_BITS), counts[often])
             found = [(b, pack_sorted(cells[s], counts[s])) for b, s in by_bucket(cells, buckets)]
             m = len(found)
-            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=out.names)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=out.names)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
             for row, end, data, at in pieces(batch.column(1)):
                 values, bounds, n, ids = document_sets(hasher, data, at)
                 m = end - row
-                profiles = [profile(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, m), pa.array(n), pa.array(ids), pa.array(profiles, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=out.names)
+                profiles, odd = ([f(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])] for f in (profile, parities))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, m), pa.array(n), pa.array(ids), pa.array(profiles, pa.binary()), pa.array(odd, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=out.names)
                 held.append(values)
                 size += len(values)
                 if size >= ORDER_BLOCK:
@@ -348,17 +369,19 @@ def _cell(doc_id: str) -> Column:
 
 def _possible(pairs: DataFrame, by_set: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their sets' profiles do not exclude."""
-    left = by_set.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("profile").alias("x"))
-    right = by_set.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("profile").alias("y"))
+    left = by_set.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("profile").alias("x"), F.col("parity").alias("odd_x"))
+    right = by_set.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("profile").alias("y"), F.col("parity").alias("odd_y"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.to_pydict()
             most = [largest_overlap(x, y) for x, y in zip(c["x"], c["y"])]
-            good = [m is None or (100 + percent) * m >= percent * (i + j) for m, i, j in zip(most, c["n_a"], c["n_b"])]
+            apart = [least_difference(x, y) for x, y in zip(c["odd_x"], c["odd_y"])]
+            good = [(m is None or (100 + percent) * m >= percent * (i + j)) and (100 + percent) * (i + j - d) >= 2 * percent * (i + j)
+                    for m, d, i, j in zip(most, apart, c["n_a"], c["n_b"])]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y", "odd_x", "odd_y")
     return both.mapInArrow(test, "a bigint, b bigint")
 
 
@@ -414,27 +437,29 @@ def _still_open(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _folded(by_set: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, cells): the profiles of some sets in 64 cells of a byte; null if one does not fit."""
+    """(id, cells, odd): the profiles of some sets in 64 cells of a byte, null if one does not fit, and in 512 parities."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = [None if p is None else np.frombuffer(p, np.uint8).reshape(-1, CELLS).sum(0, dtype=np.int64) for p in batch.column(1).to_pylist()]
             cells = [None if c is None or c.max() > 255 else c.astype(np.uint8).tobytes() for c in sums]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["id", "cells"])
+            odd = [folded(p, PARITY_BYTES).tobytes() for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary()), pa.array(odd, pa.binary())], names=["id", "cells", "odd"])
 
-    wanted = by_set.join(ids, by_set["set_id"] == ids["id"], "left_semi").select(F.col("set_id").alias("id"), "profile")
-    return wanted.mapInArrow(fold, "id bigint, cells binary")
+    wanted = by_set.join(ids, by_set["set_id"] == ids["id"], "left_semi").select(F.col("set_id").alias("id"), "profile", "parity")
+    return wanted.mapInArrow(fold, "id bigint, cells binary, odd binary")
 
 
 def admitted_pairs(lists: pa.Table, percent: int, few: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a, b; a < b) of entries that meet in one place, of different components, and that no bound excludes.
 
-    The rows of one place (key, lo, hi) lie together. ``few``: at most so many partners of each entry among those after it.
+    The rows of one place (key, lo, hi) lie together; their parities (``odd``) may be left out. ``few``: at most so many partners of each entry among those after it.
     """
     key, lo, hi, part, ids, n, most, component = (lists.column(c).to_numpy() for c in ("key", "lo", "hi", "part", "id", "n", "most", "component"))
     folded = lists.column("cells").to_pylist()
     known = np.array([c is not None for c in folded], bool)
     cells = np.frombuffer(b"".join(bytes(CELLS) if c is None else c for c in folded), np.uint8).reshape(-1, CELLS)
+    odd = np.frombuffer(b"".join(lists.column("odd").to_pylist()), np.uint64).reshape(len(key), -1) if "odd" in lists.column_names else None
     rows = len(key)
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
     end = np.repeat(np.append(first[1:], rows), np.diff(first, append=rows))
@@ -447,6 +472,10 @@ def admitted_pairs(lists: pa.Table, percent: int, few: int | None) -> Iterator[t
         j = i + 1 + np.arange(len(i)) - (total[i] - total[row])
         fits = (component[i] != component[j]) & (n[i] <= most[j]) & (n[j] <= most[i]) & ((lo[i] == hi[i]) | (part[i] != part[j]))
         i, j = i[fits], j[fits]
+        if odd is not None:
+            both = n[i] + n[j]
+            fits = (100 + percent) * (both - np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64)) >= 2 * percent * both
+            i, j = i[fits], j[fits]
         overlap = np.where(known[i] & known[j], np.minimum(cells[i], cells[j]).sum(1, dtype=np.int64), np.minimum(n[i], n[j]))
         fits = (100 + percent) * overlap >= percent * (n[i] + n[j])
         i, j = i[fits], j[fits]
@@ -485,7 +514,7 @@ def _admitted(entries: DataFrame, by_set: DataFrame, percent: int, few: int | No
             for a, b in admitted_pairs(table, percent, few):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = _meeting_parts(with_cells, "component", "cells").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = _meeting_parts(with_cells, "component", "cells", "odd").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -548,7 +577,7 @@ def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = written(_sets_and_repeats(texts), "jaccard-sets")
     by_set = (first.where("n > 0").groupBy("set_id")
-              .agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.max("profile").alias("profile"), F.count("*").alias("times")))
+              .agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.max("profile").alias("profile"), F.max("parity").alias("parity"), F.count("*").alias("times")))
     by_set = written(by_set, "jaccard-distinct")
     links = all_links(texts, by_set, _order_sketch(first), percent, scan_cost)
     times = by_set.select(F.col("set_id").alias("b"), "times")
@@ -613,11 +642,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, scan_
     first = written(_sets_and_repeats(texts), "jaccard-sets")
     rows = first.where("n is not null").select("doc_id", "n", "set_id")
     by_set = (first.where("n > 0").groupBy("set_id")
-              .agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.max("profile").alias("profile")))
+              .agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.max("profile").alias("profile"), F.max("parity").alias("parity")))
     by_set = written(by_set, "jaccard-distinct")
     links = links_of_sets(texts, by_set, _order_sketch(first), percent, scan_cost)
     labels = components(links)
-    of_set = by_set.drop("profile").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    of_set = by_set.drop("profile", "parity").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     of_set = written(of_set, "jaccard-labelled")
     least = written(of_set.groupBy("component").agg(F.min("least_id").alias("component_id")), "jaccard-least")
     return rows, by_set, written(of_set.join(least, "component").select("set_id", "component", "component_id"), "jaccard-components")
