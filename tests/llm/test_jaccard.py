@@ -10,6 +10,8 @@ from llm_tables import no_docs, odd_docs  # noqa: F401
 from plain import jaccard_components, shingles
 from trialstats.llm import jaccard
 from trialstats.llm.components import components
+from trialstats.llm.shared import shipped
+from trialstats.llm.words import WordHasher
 
 
 def _rows(df):
@@ -203,3 +205,32 @@ def test_open_lists_of_unlike_sets_admit_few_pairs():
     table = pa.Table.from_pylist(rows)
     assert sum(len(a) for a, _ in jaccard.admitted_pairs(table.drop_columns(["odd"]), 75, None)) > 500
     assert sum(len(a) for a, _ in jaccard.admitted_pairs(table, 75, None)) == 0
+
+
+def test_bit_array_grows_with_its_values(spark):
+    """Values that are not among 400,000 are excluded as often as with few; an array of fixed size let a sixth of them through."""
+    values = spark.range(400_000).selectExpr("xxhash64(id) as value")
+    bits = jaccard.bit_array(values, "value", 400_000)
+    own = values.toArrow().column("value").to_numpy().view(np.uint64)
+    others = np.random.default_rng(1).integers(0, 1 << 63, 100_000).astype(np.uint64)
+    assert jaccard.may_hold(bits, own).all() and jaccard.may_hold(bits, others).mean() < 0.1
+
+
+@pytest.mark.parametrize("most_bits", [1 << 12, 1 << 26])
+def test_entries_are_those_of_open_lists(spark, monkeypatch, most_bits):
+    """Also where the bit array excludes next to nothing, with several blocks a task; equal texts give one entry."""
+    monkeypatch.setattr(jaccard, "BIT_ARRAY_BITS", most_bits)
+    monkeypatch.setattr(jaccard, "POSTING_BLOCK", 500)
+    rows = _near_copies()[:300]
+    rows += [(1000 + i, t) for i, t in rows[:20]] + [(2000, None), (2001, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rule, order, want = jaccard.Rule(75, 14), np.zeros(1 << jaccard.ORDER_BITS, np.uint8), set()
+    for _, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        values, bounds, n, ids = jaccard.document_sets(WordHasher(), data, np.array([0, len(data)]))
+        key, _, position = jaccard.postings(rule, order, values, bounds, n)
+        want |= {(int(k), int(ids[0]), int(n[0])) for k in key}
+    keys = sorted({k for k, _, _ in want})[::3]
+    open_keys = spark.createDataFrame([(k,) for k in keys], "key long").repartition(2)
+    got = [(r["key"], r["id"], r["n"]) for r in jaccard._open_entries(texts, rule, shipped(spark, order), open_keys, 8).collect()]
+    assert sorted(got) == sorted(w for w in want if w[0] in set(keys)) and len(got) > 300

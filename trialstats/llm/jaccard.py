@@ -34,7 +34,8 @@ Plan. Postings move as packed blocks, dealt over buckets of the key range, and a
 list with many sets in one task is tested there and goes on with one of them, so a
 hot list meets in one place as a few entries a task. Texts are hashed anew in each
 of the passes instead of keeping 64 bits for each shingle. What is broadcast is the
-sketch and bit arrays of fixed size that only spare work.
+sketch and bit arrays (16 bits a value, 8 MB at most) that only spare work: entries of open
+lists then meet the open keys by key range.
 
 Edge cases. Null, empty and all-space texts have no shingles, are linked with nothing
 and have their own id as component. One to four words are one shingle. A null id
@@ -73,7 +74,8 @@ LIST_PART = 1_000
 CELLS, LIST_ROWS, PAIRS_HELD = 64, 20_000, 1 << 16
 #: Parities of the folded profiles, in bytes.
 PARITY_BYTES = 64
-BIT_ARRAY_BITS = 1 << 21
+#: Bits of a bit array for each value, and in all at most; with more values it only spares less work.
+VALUE_BITS, BIT_ARRAY_BITS = 16, 1 << 26
 #: What is verified first: open lists of a set (its rarest shingles), partners of an entry there, and of a set in all of them.
 FEW_LISTS, FEW_IN_LIST, FEW_OF_SET = 4, 2, 12
 
@@ -331,15 +333,21 @@ def _written_batch(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def bit_array(values: DataFrame, column: str, bits: int = BIT_ARRAY_BITS) -> np.ndarray:
-    """Bits (as booleans) of the values' lowest bits; a value that is not set is surely absent."""
+def bit_array(values: DataFrame, column: str, n: int) -> np.ndarray:
+    """Bits, eight to a byte, of about n values' lowest bits; a value whose bit is not set is surely absent."""
+    bits = min(BIT_ARRAY_BITS, 1 << max(12, (VALUE_BITS * n - 1).bit_length()))
     cell = F.col(column).bitwiseAND(F.lit(bits - 1))
-    words = (values.select(F.shiftright(cell, 5).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 31 as int))").alias("bit"))
-             .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect())
-    out = np.zeros(bits // 32, np.uint32)
-    for r in words:
-        out[r["word"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    words = (values.select(F.shiftright(cell, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    out = np.zeros(bits // 64, "<i8")
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the values (unsigned) may be among those of the bit array."""
+    cell = (values & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _members(texts: DataFrame, by_set: DataFrame, ids: DataFrame) -> DataFrame:
@@ -347,24 +355,20 @@ def _members(texts: DataFrame, by_set: DataFrame, ids: DataFrame) -> DataFrame:
 
     Only texts whose document may be wanted, by a bit array over hashes of document ids, are hashed.
     """
-    wanted_docs = by_set.join(ids, "set_id", "left_semi").select(_cell("least_id").alias("cell"))
-    wanted = shipped(texts.sparkSession, np.packbits(bit_array(wanted_docs, "cell")))
+    wanted_docs = by_set.join(ids, "set_id", "left_semi").select(F.xxhash64("least_id").alias("hash"))
+    wanted = shipped(texts.sparkSession, bit_array(wanted_docs, "hash", ids.count()))
     out = T.StructType([T.StructField("set_id", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, hasher, seen = np.unpackbits(received(wanted)).astype(bool), WordHasher(), set()
+        bits, hasher, seen = received(wanted), WordHasher(), set()
         for batch in batches:
-            chosen = batch.column(1).filter(pa.array(mask[batch.column(0).to_numpy()]))
+            chosen = batch.column(1).filter(pa.array(may_hold(bits, batch.column(0).to_numpy().view(np.uint64))))
             for _, _, data, at in pieces(chosen):
                 values, bounds, _, ids = document_sets(hasher, data, at)
                 new = [i for i, s in enumerate(ids.tolist()) if not (s in seen or seen.add(s))]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array([values[bounds[i]:bounds[i + 1]].view(np.int64) for i in new], pa.list_(pa.int64()))], names=out.names)
 
-    return texts.select(_cell("doc_id"), "text").mapInArrow(sets, out).join(ids, "set_id", "left_semi")
-
-
-def _cell(doc_id: str) -> Column:
-    return F.xxhash64(doc_id).bitwiseAND(F.lit(BIT_ARRAY_BITS - 1))
+    return texts.select(F.xxhash64("doc_id"), "text").mapInArrow(sets, out).join(ids, "set_id", "left_semi")
 
 
 def _possible(pairs: DataFrame, by_set: DataFrame, percent: int) -> DataFrame:
@@ -409,24 +413,75 @@ def _open_keys(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(apart.mapInArrow(keys, "key bigint").distinct(), "open-keys")
 
 
-def _open_entries(texts: DataFrame, rule: Rule, sketch, open_keys: DataFrame) -> DataFrame:
-    """(key, id, n, most) of all entries of the open lists; most is the largest size of a partner."""
-    wanted = shipped(texts.sparkSession, np.packbits(bit_array(open_keys, "key")))
+def _open_entries(texts: DataFrame, rule: Rule, sketch, open_keys: DataFrame, buckets: int) -> DataFrame:
+    """(key, id, n, most) of all entries of the open lists; most is the largest size of a partner.
+
+    Entries that the bit array does not exclude move in packed blocks to the open keys of their bucket, and only those in
+    open lists become rows. A block is handled alone, after the keys of its bucket.
+    """
+    wanted = shipped(texts.sparkSession, bit_array(open_keys, "key", open_keys.count()))
+    out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("entries", T.BooleanType()), T.StructField("block", T.BinaryType())])
+
+    def blocks(found: list[tuple[int, bytes]], entries: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([entries] * len(found), pa.bool_()), pa.array([x for _, x in found], pa.binary())], names=out.names)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.sort(batch.column(0).to_numpy().view(np.uint64))
+            yield blocks([(b, pack_sorted(own[s])) for b, s in by_bucket(own, buckets)], False)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, mask, hasher, seen = received(sketch), np.unpackbits(received(wanted)).astype(bool), WordHasher(), set()
-        low = np.uint64(len(mask) - 1)
+        order, bits, hasher, seen = received(sketch), received(wanted), WordHasher(), set()
+        held: list[tuple] = []
+        size = sets = 0
+
+        def flush() -> pa.RecordBatch:
+            ids, sizes, key, of, position = (np.concatenate(c) for c in zip(*held))
+            rank = np.argsort(key, kind="stable")
+            key, of, position = key[rank], of[rank], position[rank]
+            found = []
+            for b, s in by_bucket(key, buckets):
+                own, place = np.unique(of[s], return_inverse=True)
+                found.append((b, pack_sorted(key[s], place, position[s], ids[own].view(np.uint64), sizes[own])))
+            return blocks(found, True)
+
         for batch in batches:
             for _, _, data, at in pieces(batch.column(0)):
                 values, bounds, n, ids = document_sets(hasher, data, at)
                 fresh = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], bool)
                 key, of, position = postings(rule, order, values, bounds, n)
-                hit = mask[(key & low).astype(np.int64)] & fresh[of]
-                key, of, position = key[hit], of[hit], position[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ids[of]), pa.array(n[of].astype(np.int64)), pa.array(rule.largest_partner(n[of], position))], names=["key", "id", "n", "most"])
+                hit = may_hold(bits, key) & fresh[of]
+                own, of = np.unique(of[hit], return_inverse=True)
+                held.append((ids[own], n[own], key[hit], of + sets, position[hit]))
+                size, sets = size + len(of), sets + len(own)
+                if size >= POSTING_BLOCK:
+                    yield flush()
+                    held, size, sets = [], 0, 0
+        if size:
+            yield flush()
 
-    found = texts.select("text").mapInArrow(entries, "key bigint, id bigint, n bigint, most bigint")
-    return written(found.join(open_keys, "key", "left_semi").dropDuplicates(["key", "id"]), "open-entries")
+    def of_open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = -1, []
+        for batch in batches:
+            for b, is_entries, block in zip(*batch.columns):
+                if b.as_py() != bucket:
+                    bucket, held = b.as_py(), []
+                if not is_entries.as_py():
+                    held.append(unpack_sorted(block.as_py())[0])
+                    continue
+                if len(held) != 1:
+                    held = [np.sort(np.concatenate(held or [np.zeros(0, np.uint64)]))]
+                key, place, position, ids, n = unpack_sorted(block.as_py())
+                at = np.searchsorted(held[0], key)
+                hit = np.flatnonzero(at < len(held[0]))
+                hit = hit[held[0][at[hit]] == key[hit]]
+                own = place[hit].astype(np.int64)
+                n = n.astype(np.int64)[own]
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit].view(np.int64)), pa.array(ids.view(np.int64)[own]), pa.array(n), pa.array(rule.largest_partner(n, position[hit].astype(np.int64)))],
+                                                 names=["key", "id", "n", "most"])
+
+    dealt = open_keys.mapInArrow(keys, out).unionAll(texts.select("text").mapInArrow(entries, out)).repartition("bucket").sortWithinPartitions("bucket", "entries")
+    return written(dealt.mapInArrow(of_open_lists, "key bigint, id bigint, n bigint, most bigint").dropDuplicates(["key", "id"]), "open-entries")
 
 
 def _still_open(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -656,14 +711,15 @@ def links_of_sets(texts: DataFrame, by_set: DataFrame, order: np.ndarray, percen
     """Verified links (a, b of set ids) that connect all linked sets: their components are those of all links."""
     rule, total = _rule(by_set, percent, scan_cost)
     sketch = shipped(texts.sparkSession, order)
-    pairs = written(_list_pairs(texts, rule, sketch, max(8, -(-total // BUCKET_POSTINGS))), "pairs")
+    buckets = max(8, -(-total // BUCKET_POSTINGS))
+    pairs = written(_list_pairs(texts, rule, sketch, buckets), "pairs")
     tested = written(_possible(pairs.where("may").select("a", "b").distinct(), by_set, percent), "tested")
     links = _connecting_links(texts, by_set, tested, percent)
     labels = components(links, rounds=2)
     open_keys = _open_keys(pairs, labels)
     if open_keys.isEmpty():
         return links
-    entries = _open_entries(texts, rule, sketch, open_keys)
+    entries = _open_entries(texts, rule, sketch, open_keys, buckets)
     # a few partners of each join most of what belongs together, so that few pairs are left
     rarest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("most"), "key"))
     some = written(_still_open(entries, labels).withColumn("rank", rarest).where(F.col("rank") <= FEW_LISTS).drop("rank"), "some-entries")
