@@ -96,6 +96,12 @@ def test_one_of_each_group(spark, odd_docs, no_docs):
     assert jaccard.one_of_each_group(no_docs).collect() == []
 
 
+def test_texts_of_groups_are_hashed_once_a_branch(spark, odd_docs):
+    """Joins and filters on the set id do not run its function a second time, in further Python workers of the same task."""
+    plan = jaccard.one_of_each_group(odd_docs)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3
+
+
 def test_working_columns_do_not_clash(spark):
     rows = [(1, "a b c d e f g", 10, 20, 30), (2, "a b c d e f g", 11, 21, 31), (3, None, 12, 22, 32)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _llm_set long, _llm_stay_set long, _LLM_stay_id long")

@@ -67,7 +67,7 @@ ORDER_BITS = 22
 ORDER_BLOCK, ORDER_REPEATS = 2_000_000, 4
 #: Postings that a task gathers before it sends them on, entries of one list from which a task tests it itself.
 POSTING_BLOCK, HOT_LIST = 500_000, 16
-BUCKET_POSTINGS = 1_000_000
+BUCKET_POSTINGS = 250_000
 #: Entries of a list, about, that meet those of another part in one place.
 LIST_PART = 1_000
 #: Cells of the folded profiles, rows of lists that a task compares at once, pairs that it holds meanwhile.
@@ -608,7 +608,10 @@ def _unused(docs: DataFrame, name: str) -> str:
 
 
 def _with_set(docs: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``docs`` with its set id as ``name``; null without shingles."""
+    """``docs`` with its set id as ``name``; null without shingles.
+
+    Declared nondeterministic, so that a filter on the id does not make Spark hash the texts twice, in two more Python workers.
+    """
 
     def make():
         hasher = WordHasher()
@@ -620,7 +623,7 @@ def _with_set(docs: DataFrame, text_col: str, name: str) -> DataFrame:
 
         return set_ids
 
-    return docs.withColumn(name, text_udf(make, "bigint")(F.col(text_col).cast("string")))
+    return docs.withColumn(name, text_udf(make, "bigint").asNondeterministic()(F.col(text_col).cast("string")))
 
 
 def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, scan_cost: float = 4.0) -> DataFrame:
