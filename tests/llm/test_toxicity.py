@@ -1,10 +1,13 @@
 """Toxicity: exact neighbours, calibration, held-out accuracy, folds, odd rows."""
 
+import pickle
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from llm_tables import docs, no_docs, odd_docs  # noqa: F401
-from trialstats.llm.toxicity import BlockMaxIndex, isotonic, score, text_terms, train
+from trialstats.llm.shared import received
+from trialstats.llm.toxicity import BlockMaxIndex, Vocabulary, isotonic, score, text_terms, train
 from trialstats.llm.words import WordHasher
 
 
@@ -30,6 +33,40 @@ def test_neighbours_are_exact():
                 assert np.allclose(cosine, want) and np.allclose(exact[found], cosine) and without not in found and len(set(found.tolist())) == len(found)
 
 
+def test_blocks_of_other_kinds_are_not_scored():
+    """Examples of four kinds in turn, without a term in common: a query meets the blocks of its own kind only."""
+    rng = np.random.default_rng(4)
+    kind = np.arange(400) % 4
+    x = rng.random((400, 80)) * (rng.random((400, 80)) < 0.4) * (np.arange(80) // 20 == kind[:, None])
+    e, t = np.nonzero(x)
+    for own in range(4):
+        index = BlockMaxIndex.build(e, t, x[e, t], 400, 80, 64)
+        for block in index.blocks:
+            if set(kind[index.order[block.first:block.end]].tolist()) != {own}:
+                block.weight = None  # an error if scored
+        q = rng.random((30, 80)) * (np.arange(80) // 20 == own)
+        for (found, cosine), one in zip(index.nearest_of([(np.flatnonzero(r), r[r > 0]) for r in q], 9), q):
+            assert np.allclose(cosine, np.sort(x @ one)[::-1][:9]) and np.allclose((x @ one)[found], cosine)
+
+
+def test_terms_are_found():
+    rng = np.random.default_rng(5)
+    crowded = np.arange(40, dtype=np.uint64) * np.uint64(3) + np.uint64(1 << 63)
+    for keys in (rng.integers(0, 1 << 64, 500, np.uint64), crowded, np.concatenate([crowded, rng.integers(0, 1 << 64, 90, np.uint64)]), crowded[:1]):
+        keys = np.unique(keys)
+        terms = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        where, found = Vocabulary(keys).find(terms)
+        assert (found == np.isin(terms, keys)).all() and (keys[where[found]] == terms[found]).all()
+
+
+def test_a_worker_builds_its_index_once():
+    class Sent:
+        value = pickle.dumps([1, 2])
+
+    sent, built = Sent(), []
+    assert received(sent, lambda v: built.append(v) or built) is received(sent, lambda v: built.append(v)) and built == [[1, 2]]
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(1)
     x = rng.random(500)

@@ -13,15 +13,16 @@ mean of both votes is turned into a probability by an isotonic fit on leave-one-
 votes of the examples. Whole vectors alone speak of a text's subject more than of its
 label (figures in the README).
 
-Rare terms have posting lists; common ones lie in a matrix cut into blocks of examples.
-A block's bound for a query is the largest of its examples' scores over rare terms
-and products of their norms over common ones. Blocks are scored in the order of their bounds,
-the k-th best score rising after each, and those whose bound does not reach it are not;
-so the k nearest are exact.
+Blocks hold like examples (grouped by their common terms, so that texts of one language or
+kind lie together). Terms that are common in a block lie in its matrix, the others have posting lists.
+A block's bound for a query is the least of two: the largest of its examples' scores by posting lists
+and products of their norms over the matrix, and the same with the largest weight of each of its terms.
+Like queries are searched together. Blocks are scored in the order of their bounds, the k-th best
+score rising after each, and those whose bound does not reach it are not; so the k nearest are exact.
 
 Plan. The classifier is fitted on a bounded sample of labelled rows
 (``max_training_rows``, those with the smallest hashes of their id), which bounds the
-vocabulary and the examples that are broadcast; each task builds its index of them. One
+vocabulary and the examples that are broadcast; each Python worker builds its index of them once. One
 pass counts terms of the sample, one counts document frequencies (summed by ranges of
 terms), one scores all documents; the last shuffles nothing.
 
@@ -52,12 +53,18 @@ from trialstats.llm.shared import received, shipped, written
 from trialstats.llm.words import WordHasher
 
 PREFIX_BYTES = 5
-#: Terms that more than one in so many examples hold are common to an index; texts that are searched together.
-COMMON_SHARE, QUERIES = 16, 64
+#: Terms that more than one in so many examples hold are common to an index, or to a block of it.
+COMMON_SHARE, BLOCK_SHARE = 16, 12
+#: Texts that are dealt to batches of like ones, and texts in such a batch.
+TEXTS, QUERIES = 512, 64
+#: Groups of like examples, and the rounds that find them.
+GROUPS, GROUP_ROUNDS = 8, 6
 #: Examples whose votes a task finds.
 EXAMPLES_A_TASK = 5_000
 #: Examples in a block of an index.
-EXAMPLE_BLOCK = 256
+EXAMPLE_BLOCK = 1024
+#: Posting lists that are shorter are gathered at once.
+SHORT_LIST = 96
 #: Numbers of document frequencies that meet in one row.
 FREQUENCY_BLOCK = 1 << 14
 _MARK = np.zeros(256, bool)
@@ -69,32 +76,57 @@ _LOWER[65:91] += 32
 def text_terms(hasher: WordHasher, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(term hash, text index) of all terms of the texts, with repeats."""
     data = _LOWER[data]
-    words = hasher(data, at, lower=False)
-    text = words.text
+    start, end, first = hasher.split(data, at)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     if not len(text):
         return np.zeros(0, np.uint64), text
-    here = np.arange(len(data))
     mark = _MARK[data]
-    following = np.minimum.accumulate(np.where(mark, len(data), here)[::-1])[::-1]
-    preceding = np.maximum.accumulate(np.where(mark, -1, here))
-    start, end = following[words.start], preceding[words.end - 1] + 1
+    core = np.flatnonzero(~mark)
+    i = np.flatnonzero(mark[start])
+    start[i] = np.append(core, len(data))[np.searchsorted(core, start[i])]
+    i = np.flatnonzero(mark[end - 1])
+    end[i] = np.append(core, -1)[np.searchsorted(core, end[i]) - 1] + 1
     some = start < end
     start, end, text = start[some], end[some], text[some]
     long = end - start > PREFIX_BYTES
-    whole = hasher.ranges(data, start, end)
-    prefix = hasher.ranges(data, start[long], start[long] + PREFIX_BYTES) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
+    total = hasher.totals(data)
+    whole = hasher.between(total, start, end)
+    prefix = hasher.between(total, start[long], start[long] + PREFIX_BYTES) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
     return np.concatenate([whole, prefix]), np.concatenate([text, text[long]])
 
 
-def term_counts(keys: np.ndarray, hasher: WordHasher, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term index, tf) of the vocabulary terms (ascending ``keys``) in the texts, by text and term."""
+class Vocabulary:
+    """Ascending term hashes, found by their first bits."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of each term, whether it is there)."""
+        last = len(self.keys) - 1
+        where = np.minimum(self.first[terms >> self.shift], last)
+        behind = np.flatnonzero(self.keys[where] < terms)
+        for _ in range(4):
+            where[behind] = np.minimum(where[behind] + 1, last)
+            behind = behind[(self.keys[where[behind]] < terms[behind]) & (where[behind] < last)]
+        where[behind] = np.minimum(np.searchsorted(self.keys, terms[behind]), last)
+        return where, self.keys[where] == terms
+
+
+def term_counts(vocabulary: Vocabulary, hasher: WordHasher, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term index, tf) of the vocabulary terms in the texts, by text and term."""
     terms, text = text_terms(hasher, data, at)
-    if not len(keys) or not len(terms):
+    if not len(vocabulary) or not len(terms):
         return (np.zeros(0, np.int64),) * 3
-    where = np.minimum(np.searchsorted(keys, terms), len(keys) - 1)
-    found = keys[where] == terms
-    both, tf = np.unique(text[found] * len(keys) + where[found], return_counts=True)
-    return both // len(keys), both % len(keys), tf
+    where, found = vocabulary.find(terms)
+    both, tf = np.unique(text[found] * len(vocabulary) + where[found], return_counts=True)
+    return both // len(vocabulary), both % len(vocabulary), tf
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -102,89 +134,200 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
+def _like(x: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each row: rows near one of ``groups`` means by cosine. Any grouping gives the same neighbours."""
+    x = x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    mean, of = x[np.linspace(0, len(x) - 1, groups).astype(int)], np.zeros(len(x), np.int64)
+    for _ in range(GROUP_ROUNDS):
+        of = (x @ mean.T).argmax(1)
+        mean = (of == np.arange(groups)[:, None]).astype(np.float32) @ x
+        mean /= np.maximum(np.sqrt((mean ** 2).sum(1)), 1e-9)[:, None]
+    return of
+
+
+@dataclass
+class Block:
+    """Weights of a block's examples for the terms that are common in it."""
+
+    first: int
+    end: int
+    columns: np.ndarray  # of the queries' matrix
+    weight: np.ndarray  # (examples, columns)
+    norm: np.ndarray  # of its rows
+    most: np.ndarray  # of its columns
+
+
 @dataclass
 class BlockMaxIndex:
-    """Examples' vectors of positive weights: posting lists of rare terms, and blocks of examples by common terms."""
-
-    start: np.ndarray  # of each rare term's postings, one more at the end
-    example: np.ndarray
-    weight: np.ndarray
-    column: np.ndarray  # of each term in ``common``; -1 for rare terms
-    common: np.ndarray  # (examples, common terms)
-    norm: np.ndarray  # of the rows of common
+    """Examples' vectors of positive weights: blocks of like examples by the terms common there, and posting lists of all else."""
+
+    start: np.ndarray  # of each term's postings, one more at the end
+    posting: np.ndarray  # weights, the last bits of which are the place of the example
+    place_bits: np.int64
+    column: np.ndarray  # of each term that is common in some block; -1 for others
+    width: int  # number of such terms
+    blocks: list[Block]
+    mean: np.ndarray  # of each block, by those terms, of length one
+    order: np.ndarray  # the example at each place
     rows: tuple[np.ndarray, np.ndarray, np.ndarray]  # examples' starts, terms and exact weights
     n: int
-    block: int
 
     @classmethod
     def build(cls, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, block: int = 64) -> BlockMaxIndex:
-        frequency = np.bincount(term, minlength=terms)
-        often = np.flatnonzero(frequency * COMMON_SHARE > n)
-        column = np.full(terms, -1, np.int32)
-        column[often] = np.arange(len(often))
-        common = np.zeros((n, len(often)), np.float32)
-        in_common = column[term] >= 0
-        common[example[in_common], column[term[in_common]]] = weight[in_common]
-        norm = np.sqrt(np.einsum("ij,ij->i", common, common))
         if (example[1:] < example[:-1]).any():
             order = np.argsort(example, kind="stable")
-            example, term, weight, in_common = example[order], term[order], weight[order], in_common[order]
-        own = np.flatnonzero(~in_common).astype(np.int32 if len(term) < 1 << 31 else np.int64)
-        own = own[np.argsort(term[own], kind="stable")]
-        start = np.concatenate([[0], np.cumsum(np.bincount(term[own], minlength=terms))])
-        rows = np.searchsorted(example, np.arange(n + 1)), term.astype(np.int32, copy=False), weight.astype(float, copy=False)
-        return cls(start, example[own].astype(np.int32), weight[own].astype(np.float32), column, common, norm, rows, n, block)
-
-    def _rare(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Every example's dot product over the rare terms."""
-        m = self.start[term + 1] - self.start[term]
-        at = _ranges(self.start[term], m)
-        return np.bincount(self.example[at], self.weight[at] * np.repeat(weight, m), self.n)
+            example, term, weight = example[order], term[order], weight[order]
+        begin = np.searchsorted(example, np.arange(n + 1))
+        order, cuts = cls._order(example, term, weight, n, terms, block)
+        place, blocks, held, rare = np.empty(terms, np.int32), [], [], []
+        for a, b in cuts:
+            m = begin[order[a:b] + 1] - begin[order[a:b]]
+            at = _ranges(begin[order[a:b]], m)
+            of, row = term[at], np.repeat(np.arange(b - a, dtype=np.int32), m)
+            often = np.flatnonzero(np.bincount(of, minlength=terms) * BLOCK_SHARE > b - a)
+            place.fill(-1)
+            place[often] = np.arange(len(often))
+            where = place[of]
+            own = where >= 0
+            matrix = np.zeros((b - a, len(often)), np.float32)
+            matrix[row[own], where[own]] = weight[at[own]]
+            held.append(often)
+            blocks.append(Block(a, b, often, matrix, np.sqrt(np.einsum("ij,ij->i", matrix, matrix)), matrix.max(0)))
+            rare.append((of[~own], row[~own] + np.int32(a), weight[at[~own]].astype(np.float32)))
+        union = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]))
+        column = np.full(terms, -1, np.int32)
+        column[union] = np.arange(len(union))
+        for one in blocks:
+            one.columns = column[one.columns]
+        of, at, value = (np.concatenate([r[i] for r in rare] or [np.zeros(0, kind)]) for i, kind in enumerate((np.int32, np.int32, np.float32)))
+        del rare
+        start = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=terms))])
+        by_term = of.astype(np.uint64) << np.uint64(32) | np.arange(len(of), dtype=np.uint64)
+        del of
+        by_term.sort()
+        by_term &= np.uint64(0xFFFFFFFF)
+        place_bits = np.int64((1 << n.bit_length()) - 1)
+        posting = value[by_term].astype(float)
+        posting.view(np.int64)[:] &= ~place_bits
+        posting.view(np.int64)[:] |= at[by_term]
+        mean = np.zeros((len(blocks), len(union)), np.float32)
+        for i, one in enumerate(blocks):
+            mean[i, one.columns] = one.weight.sum(0)
+        mean /= np.maximum(np.sqrt((mean ** 2).sum(1)), 1e-9)[:, None]
+        return cls(start, posting, place_bits, column, len(union), blocks, mean, order, (begin, term.astype(np.int32, copy=False), weight.astype(float, copy=False)), n)
+
+    @staticmethod
+    def _order(example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, block: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """(examples with like ones side by side, first and end place of each block)."""
+        if not n:
+            return np.zeros(0, np.int64), []
+        often = np.flatnonzero(np.bincount(term, minlength=terms) * COMMON_SHARE > n)
+        column = np.full(terms, -1, np.int32)
+        column[often] = np.arange(len(often))
+        own = np.flatnonzero(column[term] >= 0)
+        x = np.zeros((n, len(often)), np.float32)
+        x[example[own], column[term[own]]] = weight[own]
+        of = _like(x, min(GROUPS, n))
+        cuts, a = [], 0
+        for size in np.bincount(of):
+            parts = -(-int(size) // block)
+            cuts += [(a + size * i // parts, a + size * (i + 1) // parts) for i in range(parts)]
+            a += int(size)
+        return np.argsort(of, kind="stable"), [(int(i), int(j)) for i, j in cuts]
+
+    def _rare(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Every place's dot products with the queries over their posting lists."""
+        score = np.empty((len(queries), self.n), np.float32)
+        sizes = [self.start[term + 1] - self.start[term] for term, _ in queries]
+        most = max(int(m.sum()) for m in sizes)
+        postings, places = np.empty(most), np.empty(most, np.int64)
+        for i, ((term, weight), m) in enumerate(zip(queries, sizes)):
+            first = self.start[term]
+            short, long = np.flatnonzero(m < SHORT_LIST), np.flatnonzero(m >= SHORT_LIST)
+            both = np.concatenate([long, short])
+            found, place = postings[:int(m.sum())], places[:int(m.sum())]
+            np.concatenate([*(self.posting[a:b] for a, b in zip(first[long].tolist(), (first[long] + m[long]).tolist())), self.posting[_ranges(first[short], m[short])]], out=found)
+            np.bitwise_and(found.view(np.int64), self.place_bits, out=place)
+            found *= np.repeat(weight[both], m[both])
+            score[i] = np.bincount(place, found, self.n)
+        return score
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (terms, positive weights) the k examples with the largest positive dot products, exactly.
 
-        Blocks are scored in the order of their bounds, in single precision, and the k-th best score so far is raised
-        after each; all within the rounding error of the last one are scored anew in double precision.
+        Like queries are searched together. Blocks are scored in the order of their bounds, in single precision, and the
+        k-th best score so far is raised after each; all within the rounding error of the last one are scored anew in
+        double precision.
         """
         q = len(queries)
         if not q or not self.n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * q
-        error = (self.common.shape[1] + 16) * 2.0 ** -22
-        score, asked = np.empty((q, self.n), np.float32), np.zeros((q, self.common.shape[1]), np.float32)
+        asked, skip = np.zeros((q, self.width), np.float32), np.full(q, -1)
         for i, (term, weight) in enumerate(queries):
-            score[i] = self._rare(term, weight)
             column = self.column[term]
-            asked[i, column[column >= 0]] = weight[column >= 0]
-        skip = np.full(q, -1) if without is None else np.array(without)
+            own = np.flatnonzero(column >= 0)
+            asked[i, column[own]] = weight[own]
+        if without is not None:
+            some = np.flatnonzero(np.array(without) >= 0)
+            place = np.empty(self.n, np.int64)
+            place[self.order] = np.arange(self.n)
+            skip[some] = place[np.array(without)[some]]
+        out: list = [None] * q
+        like = np.argsort((asked @ self.mean.T).argmax(1), kind="stable")
+        for a in range(0, q, QUERIES):
+            batch = like[a:a + QUERIES]
+            some = [queries[i] for i in batch]
+            for i, found in zip(batch, self._exact(some, self._candidates(some, asked[batch], skip[batch], k), k)):
+                out[i] = found
+        return out
+
+    def _candidates(self, queries: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, skip: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the examples that may be among its k nearest; ``skip``: a place left out, or -1."""
+        error = (max(len(b.columns) for b in self.blocks) + 16) * 2.0 ** -22
+        score = self._rare(queries)
         left_out = np.flatnonzero(skip >= 0)
-        starts = np.arange(0, self.n, self.block)
-        bound = np.maximum.reduceat(score + np.sqrt((asked ** 2).sum(1))[:, None] * self.norm, starts, axis=1) * (1 + error)
-        least, best = np.zeros(q, np.float32), np.zeros((q, k), np.float32)
-        done = np.zeros((q, len(starts)), bool)
-        for j in np.argsort(-bound.max(0), kind="stable"):
+        score[left_out, skip[left_out]] = 0
+        own, bound = [asked[:, b.columns] for b in self.blocks], np.empty((len(queries), len(self.blocks)), np.float32)
+        for j, b in enumerate(self.blocks):
+            rare = score[:, b.first:b.end]
+            bound[:, j] = np.minimum((rare + np.sqrt(np.einsum("ij,ij->i", own[j], own[j]))[:, None] * b.norm).max(1), rare.max(1) + own[j] @ b.most)
+        bound *= 1 + error
+        least, best = np.zeros(len(queries), np.float32), np.zeros((len(queries), k), np.float32)
+        done = np.zeros(bound.shape, bool)
+        for j in np.argsort(-bound.sum(0), kind="stable"):
             need = np.flatnonzero((bound[:, j] > 0) & (bound[:, j] >= least * (1 - error)))
             if not len(need):
                 continue
-            a, b = starts[j], min(starts[j] + self.block, self.n)
-            score[need, a:b] += asked[need] @ self.common[a:b].T
-            here = left_out[(skip[left_out] >= a) & (skip[left_out] < b)]
-            score[here, skip[here]] = 0
+            a, b = self.blocks[j].first, self.blocks[j].end
+            scored = score[need, a:b]
+            scored += own[j][need] @ self.blocks[j].weight.T
+            here = np.flatnonzero((skip[need] >= a) & (skip[need] < b))
+            scored[here, skip[need[here]] - a] = 0
+            score[need, a:b] = scored
             done[need, j] = True
-            better = need[score[need, a:b].max(1) > least[need]]
-            best[better] = np.partition(np.concatenate([best[better], score[better, a:b]], axis=1), -k, axis=1)[:, -k:]
-            least = best.min(1)
+            up = scored.max(1) > least[need]
+            better = need[up]
+            best[better] = np.partition(np.concatenate([best[better], scored[up]], axis=1), -k, axis=1)[:, -k:]
+            least[better] = best[better].min(1)
+        for j, b in enumerate(self.blocks):
+            score[~done[:, j], b.first:b.end] = 0
+        least = np.maximum(least * (1 - error), np.finfo(np.float32).tiny)
+        return [self.order[np.flatnonzero(row >= x)] for row, x in zip(score, least)]
+
+    def _exact(self, queries: list[tuple[np.ndarray, np.ndarray]], candidates: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k best candidates of each query, by dot products in double precision."""
         out = []
-        values = np.zeros(len(self.column))
-        for i, (term, weight) in enumerate(queries):
-            found = np.flatnonzero((score[i] > 0) & (score[i] >= least[i] * (1 - error)) & np.repeat(done[i], self.block)[:self.n])
-            found = found[found != skip[i]]
-            values[term] = weight
-            begin, of, exact = self.rows
-            m = begin[found + 1] - begin[found]
-            at = _ranges(begin[found], m)
-            dot = np.bincount(np.repeat(np.arange(len(found)), m), exact[at] * values[of[at]], len(found))
-            values[term] = 0
+        begin, of, exact = self.rows
+        asked, values = np.zeros(len(self.column), bool), np.zeros(len(self.column))
+        for (term, weight), found in zip(queries, candidates):
+            asked[term], values[term] = True, weight
+            a, m = begin[found], begin[found + 1] - begin[found]
+            terms = np.concatenate([of[i:j] for i, j in zip(a.tolist(), (a + m).tolist())] or [of[:0]])
+            shared = np.flatnonzero(asked.take(terms, mode="clip"))
+            ends = np.cumsum(m)
+            row = np.searchsorted(ends, shared, side="right")
+            dot = np.bincount(row, exact[shared + (a - (ends - m))[row]] * values[terms[shared]], len(found))
+            asked[term], values[term] = False, 0
             top = np.lexsort((found, -np.round(dot, 12)))[:k]
             out.append((found[top], dot[top]))
         return out
@@ -369,12 +512,11 @@ def _votes_of_examples(spark: SparkSession, model: Classifier) -> list[float | N
     shared, n = shipped(spark, model), len(model.ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = received(shared)
-        views, (start, term, tf) = own.views(), _lists(own.examples)
+        own, views, (start, term, tf) = received(shared, lambda model: (model, model.views(), _lists(model.examples)))
         for batch in batches:
             of = batch.column(0).to_pylist()
-            for i in range(0, len(of), QUERIES):
-                some = of[i:i + QUERIES]
+            for i in range(0, len(of), TEXTS):
+                some = of[i:i + TEXTS]
                 votes = own.votes(views, [(term[start[e]:start[e + 1]], tf[start[e]:start[e + 1]]) for e in some], some)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([v for v, _, _ in votes], pa.float64())], names=["example", "vote"])
 
@@ -391,7 +533,7 @@ def _frequencies(texts: DataFrame, sample: DataFrame, keys: np.ndarray) -> tuple
     shared = shipped(texts.sparkSession, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = received(shared)
+        keys = received(shared, Vocabulary)
         hasher, total, n, id_type = WordHasher(), np.zeros(len(keys), np.int64), 0, None
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -432,16 +574,16 @@ def score(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_co
     shared = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hasher = received(shared), WordHasher()
-        views = own.views()
+        own, views, vocabulary = received(shared, lambda model: (model, model.views(), Vocabulary(model.keys)))
+        hasher = WordHasher()
         for batch in batches:
             scores, shown = np.full(batch.num_rows, own.without_terms), [[] for _ in range(batch.num_rows)]
             for row, _, data, at in pieces(batch.column(1)):
-                text, term, tf = term_counts(own.keys, hasher, data, at)
+                text, term, tf = term_counts(vocabulary, hasher, data, at)
                 starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
                 ends = np.append(starts, len(text))[1:]
-                for first in range(0, len(starts), QUERIES):
-                    bounds = list(zip(starts[first:first + QUERIES], ends[first:first + QUERIES]))
+                for first in range(0, len(starts), TEXTS):
+                    bounds = list(zip(starts[first:first + TEXTS], ends[first:first + TEXTS]))
                     for (a, _), (vote, found, cosine) in zip(bounds, own.votes(views, [(term[a:b], tf[a:b]) for a, b in bounds])):
                         i = row + int(text[a])
                         scores[i] = own.score(vote)
