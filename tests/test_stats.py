@@ -177,3 +177,31 @@ def test_group_statistics_never_make_the_rows_the_broadcast_side(spark):
     rows = spark.createDataFrame([(k, float(i)) for k in (1, None) for i in range(20)], "k int, a double")
     found = O.identify_outliers(rows, ["k"], "a")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in found
+
+
+def test_statistics_of_many_groups_stay_off_the_driver(spark):
+    """Written statistics look small to the planner; repeated for each salt, a broadcast of them filled the driver."""
+    from trialstats.operators.joins import join_group_stats
+    from trialstats.session import materialize
+    group = lambda g: F.struct(F.when(g > 0, g).alias("g")).alias("k")  # noqa: E731  a null group too
+    stats = materialize(spark.range(100_000).select(group(F.col("id")), F.col("id").cast("double").alias("m")), "stats")
+    rows = spark.range(200_001).select(group(F.col("id") % 100_000), "id")
+    for some, broadcast in ((stats, False), (stats.where("m < 50"), True)):  # few are broadcast, once each
+        joined = join_group_stats(rows, some, "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan, "Generate" in plan) == (broadcast, not broadcast)
+        assert joined.columns == ["k", "id", "m"] and joined.count() == 200_001
+        assert joined.where("NOT m <=> if(m IS NULL, null, cast(id % 100000 AS double))").count() == 0
+        assert joined.where("m IS NOT NULL").count() == (101 if broadcast else 200_001)
+
+
+def test_quantiles_and_median_deviation_are_joined_off_the_driver(spark):
+    """Both sides have a row for each group, so neither is broadcast by the planner's guess."""
+    from trialstats.operators.selection import order_statistics
+    data = {g: [float(g or 0), float(-(g or 0)), 0.5 * i] for i, g in enumerate([None, *range(1, 40)])}
+    df = spark.createDataFrame([(g, v) for g, x in data.items() for v in x], "g int, x double")
+    found = order_statistics(df, ["g"], F.col("x"), {"q2": 0.5}, {"n": F.count("_qs_value")}, mad="mad")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "_qs_group" in x]
+    got = {r["g"]: (r["n"], r["q2"], r["mad"]) for r in found.collect()}
+    assert got == {g: (3, np.median(x), np.median(np.abs(np.array(x) - np.median(x)))) for g, x in data.items()}

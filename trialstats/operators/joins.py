@@ -6,10 +6,9 @@ packed into one struct column: struct equality treats null fields as equal, it i
 a plain equi-join, and a side that is already hash-partitioned on the struct is
 not shuffled again.
 
-No join here forces ``broadcast``: the right sides are per-group tables whose size
-grows with the number of groups, so the choice is left to AQE, which broadcasts
-from the measured size (``spark.sql.adaptive.autoBroadcastJoinThreshold``) and
-otherwise runs a sort-merge join with skew splitting.
+The right sides are per-group tables whose size grows with the number of groups. The
+choice of the join is left to the planner and AQE, but in ``join_group_stats``, which
+measures its right side: the planner's guess does not count its repeats.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _K = "_jn_key"
+BROADCAST_BYTES = 1 << 20  # most text of statistics that are broadcast: about 10,000 groups
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -60,14 +60,18 @@ def complete_left(df: DataFrame, keys: Sequence[str], stats: DataFrame,
 
 
 def join_group_stats(rows: DataFrame, stats: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """Statistics of each group back on its rows, whatever part of the rows one group holds.
+    """Statistics of each group back on its rows, whatever part of the rows one group holds and however many groups there are.
 
-    The side of the statistics is partitioned by its own aggregate, so AQE could not split a hot key. The
-    statistics (one row per group) are repeated for each salt and the rows of a group are dealt over the
-    salts by their content. A small table of statistics is still broadcast, by its measured size. Every row
-    has its group's statistics; the join is an outer one so that the rows are never the side that is broadcast.
+    ``stats`` (one row per group) is read twice, so it should be a written table. The planner would guess its size from
+    compressed files, without the repeats, and AQE keeps a broadcast chosen by that guess. So its text is measured: small
+    statistics are broadcast once each and the rows stay; others never go to the driver. A hot key is not split where the
+    partitioning by the key serves what follows too, so these are repeated for each salt and the rows of a group are dealt over the
+    salts by their content. Every row has its group's statistics; the join is an outer one so that the rows are never the side that is broadcast.
     """
-    salted = stats.withColumn("_jn_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    text = stats.agg(F.sum(F.octet_length(F.struct("*").cast("string")))).first()[0]
+    if (text or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(stats), key, "left")
+    salted = stats.withColumn("_jn_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     own = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(salts)).cast("int")
     return rows.withColumn("_jn_salt", own).join(salted, [key, "_jn_salt"], "left").drop("_jn_salt")
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from trialstats.functions.distributions import chi2_quantile
 from trialstats.operators.joins import join_group_stats
 from trialstats.operators.selection import order_statistics
+from trialstats.session import materialize
 
 _G = "_ol_group"
 
@@ -39,7 +40,7 @@ def identify_outliers(df: DataFrame, keys: Sequence[str], col: str, coef: float
     q = order_statistics(df, keys, x, {"_q1": 0.25, "_q3": 0.75})
     if keys:
         base = df.withColumn(_G, F.struct(*keys))
-        joined = join_group_stats(base, q.select(F.struct(*keys).alias(_G), "_q1", "_q3"), _G)
+        joined = join_group_stats(base, materialize(q.select(F.struct(*keys).alias(_G), "_q1", "_q3"), "quartiles"), _G)
     else:  # one group: its quartiles are a scalar subquery (no join)
         joined = df.withColumn(_G, F.lit(0)).withColumn("_q", q.select(F.struct("_q1", "_q3").alias("q")).scalar())
         joined = joined.withColumns({"_q1": F.col("_q._q1"), "_q3": F.col("_q._q3")}).drop("_q")
@@ -89,7 +90,7 @@ def mahalanobis(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), p:
     st, factor = _whitening(st, k, lambda i, j: F.col(f"_cv{i}_{j}"))
     own = [*[f"_mu{i}" for i in range(k)], *factor]
     if keys:
-        out = join_group_stats(base, st.select(_G, *own), _G)
+        out = join_group_stats(base, materialize(st.select(_G, *own), "covariances"), _G)
     else:  # one group: its statistics are a scalar subquery (no join, so no row moves)
         out = base.withColumn(_G, st.select(F.struct(*own).alias("s")).scalar())
         out = out.withColumns({c: F.col(f"{_G}.{c}") for c in own}).drop(_G)

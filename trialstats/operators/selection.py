@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from trialstats.operators.joins import join_group_stats
 from trialstats.operators.sequence import ordered_scan, ranged
+from trialstats.session import materialize
 
 _G, _V, _N, _ALL, _SEG = "_qs_group", "_qs_value", "_qs_n", "_qs_all", "_qs_range"
 
@@ -66,9 +67,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, probs: M
         probs.setdefault("_qs_median", 0.5)
     out = _picked(scanned, probs, [F.max(n).alias(n) for n in moments])
     if mad:
+        out = materialize(out, "quantiles")  # read for the medians and for the result
         both = join_group_stats(scanned.select(_G, _V, _N, "_qs_head"), out.select(_G, "_qs_median"), _G)
         away = F.abs(F.col(_V) - F.col("_qs_median"))
         away = both.select(_G, away.alias(_V), _N, "_qs_head").groupBy(_G, _V).agg(F.sum(_N).alias(_N), F.max("_qs_head").alias("_qs_head"))
         spread = _picked(_scanned(away, [_V]), {mad: 0.5})
-        out = out.join(spread, _G).drop("_qs_median")
+        out = out.join(spread.hint("merge"), _G).drop("_qs_median")  # as many rows as groups on both sides: neither goes to the driver
     return out.select(*[F.col(f"{_G}.{k}").alias(k) for k in keys], *[c for c in out.columns if c != _G])
